@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup as _exact
 from . import lexicon as _lexicon
 from . import mixing as _mixing
+from . import near_dedup as _near
 from . import quality as _quality
+from . import suffix_dedup as _suffix
 from . import tokens as _tokens
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix.suffix_dedup(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(documents(spark, sf_dir))
 
@@ -33,15 +39,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.quality(documents(spark, sf_dir))
 
 
+def op8_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near.near_components(documents(spark, sf_dir), width=4, percent=80)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op6_bpe_lexicon": op6_bpe_lexicon,
     "op7_quality_rules": op7_quality_rules,
+    "op8_setsketch_near_dedup": op8_setsketch_near_dedup,
     "op9_source_mixing": op9_source_mixing,
 }
 ORACLES: dict[str, str] = {
