@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat as _chat
+from . import context_mixing as _lm
 from . import exact_dedup as _exact
 from . import lexicon as _lexicon
 from . import mixing as _mixing
@@ -14,6 +16,7 @@ from . import near_dedup as _near
 from . import quality as _quality
 from . import suffix_dedup as _suffix
 from . import tokens as _tokens
+from . import warc as _warc
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +34,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chat.format_chats(documents(spark, sf_dir, "conversations"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warc.round_trip(documents(spark, sf_dir, "pages"))
+
+
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexicon.encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,14 +58,21 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(documents(spark, sf_dir))
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm.score_texts(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_warc": op5_warc,
     "op6_bpe_lexicon": op6_bpe_lexicon,
     "op7_quality_rules": op7_quality_rules,
     "op8_setsketch_near_dedup": op8_setsketch_near_dedup,
     "op9_source_mixing": op9_source_mixing,
+    "op10_context_mixing": op10_context_mixing,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
@@ -62,6 +80,12 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
     """,
+    "op5_warc": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        q AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS d, min(page_id) OVER (PARTITION BY b) AS f FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND f <> page_id THEN f END AS refers_to FROM q
+    """,
     "op7_quality_rules": r"""
         WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         pos AS (SELECT doc_id, i, list_slice(ws, i, i + 7) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
