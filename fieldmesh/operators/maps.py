@@ -38,7 +38,7 @@ def threshold_grid(spark, lo: float, hi: float, n: int) -> DataFrame:
 def coverage_sweep(m: DataFrame, lo: int, hi: int) -> DataFrame:
     """Ratio at each whole threshold lo..hi: a histogram of ceilings, then running sums."""
     bin_ = F.greatest(F.ceil("loss_db"), F.lit(lo)).cast("long")
-    h = m.groupBy("rx_height_m").agg(F.count("*").alias("n")).withColumn("threshold", F.explode(F.sequence(F.lit(lo), F.lit(hi))).cast("long"))
+    h = m.groupBy("rx_height_m").agg(F.count("*").alias("n")).withColumn("threshold", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))))
     c = m.filter(F.col("loss_db") <= hi).groupBy("rx_height_m", bin_.alias("threshold")).agg(F.count("*").alias("c"))
     run = W.partitionBy("rx_height_m").orderBy("threshold").rowsBetween(W.unboundedPreceding, 0)
     j = h.join(c, ["rx_height_m", "threshold"], "left").withColumn("n_covered", F.sum(F.coalesce("c", F.lit(0))).over(run))

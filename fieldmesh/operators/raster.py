@@ -34,8 +34,8 @@ def bilinear_lookup(samples: DataFrame, raster: DataFrame, res: float, value: st
 
 def nearest_cell_lookup(samples: DataFrame, raster: DataFrame, res: float, id_col: str, value: str = "z") -> DataFrame:
     """Adds the value of the nearest cell within two cells; ties to the lower row, then column."""
-    s = samples.withColumn("row", F.explode(F.sequence(F.round(F.col("y") / res) - 2, F.round(F.col("y") / res) + 2)).cast("long"))
-    s = s.withColumn("col", F.explode(F.sequence(F.round(F.col("x") / res) - 2, F.round(F.col("x") / res) + 2)).cast("long"))
+    s = samples.withColumn("row", F.explode(F.sequence((F.round(F.col("y") / res) - 2).cast("long"), (F.round(F.col("y") / res) + 2).cast("long"))))
+    s = s.withColumn("col", F.explode(F.sequence((F.round(F.col("x") / res) - 2).cast("long"), (F.round(F.col("x") / res) + 2).cast("long"))))
     c = raster.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).alias("_v"))
     d = F.pow(F.col("x") - F.col("col") * res, F.lit(2.0)) + F.pow(F.col("y") - F.col("row") * res, F.lit(2.0))
     best = s.join(c, ["row", "col"]).groupBy(id_col).agg(F.min(F.struct(d.alias("d"), "row", "col", "_v")).alias("m"))
