@@ -132,8 +132,8 @@ def _spliced(huge: DataFrame, counter: Callable[[], PieceCounter], chunk: int, o
     got = got.withColumn("next_lo", F.lead("lo").over(w))
     common = F.array_min(F.array_intersect(F.expr("transform(hi, x -> x.off)"), F.expr("transform(next_lo, x -> x.off)")))
     got = got.withColumn("splice", common).withColumn("prev", F.lag("splice").over(w)).withColumn("is_last", F.col("next_lo").isNull())
-    upto = F.when(F.col("is_last"), F.col("tokens")).otherwise(F.expr("filter(hi, x -> x.off = splice)[0].n"))
-    since = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.expr("filter(lo, x -> x.off = prev)[0].n"))
+    upto = F.when(F.col("is_last"), F.col("tokens")).otherwise(F.expr("get(filter(hi, x -> x.off = splice), 0).n"))
+    since = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.expr("get(filter(lo, x -> x.off = prev), 0).n"))
     got = got.withColumn("own", upto - since)
     return got.groupBy("row_key").agg(F.when(F.count("own") == F.count("*"), F.sum("own")).alias("n_tokens"))
 
