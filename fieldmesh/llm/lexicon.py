@@ -14,11 +14,13 @@ come; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
 import tempfile
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, tune
 
 #: Words compiled into the automaton: the most frequent ones of the corpus.
-LEXICON_WORDS = 65536
+LEXICON_WORDS = 131072
 MEMO = 300_000
 _CUT = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: The vocabulary's white space without the six ASCII characters, which cut texts already.
@@ -73,26 +75,45 @@ class Vocabulary:
         """Token ids of one word: the lowest-ranked pair is merged until none is left."""
         parts = [self.stand_in[b] for b in word.encode("utf-8", "surrogatepass")]
         parts[-1] += self.end
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, None
-            for i in range(len(parts) - 1):
-                r = ranks.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, (parts[i], parts[i + 1])
-            if best is None:
+        rank, none = self.ranks.get, 1 << 60
+        if len(parts) > 400:
+            parts = self._merge_long(parts)
+        order = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while order:
+            best = min(order)
+            if best == none:
                 break
-            out, i, n = [], 0, len(parts)
-            while i < n:
-                if i + 1 < n and parts[i] == at[0] and parts[i + 1] == at[1]:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = order.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del order[i]
+            if i < len(order):
+                order[i] = rank((parts[i], parts[i + 1]), none)
+            if i:
+                order[i - 1] = rank((parts[i - 1], parts[i]), none)
         return [self.ids[p] for p in parts if p in self.ids]
 
+    def _merge_long(self, parts: list[str]) -> list[str]:
+        """The same by a heap over a linked list, for very long words."""
+        n, rank = len(parts), self.ranks.get
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        alive = [True] * n
+        heap = [(r, i) for i in range(n - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if not alive[i] or j >= n or rank((parts[i], parts[j])) != r:
+                continue
+            parts[i] += parts[j]
+            alive[j] = False
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (q := rank((parts[x], parts[y]))) is not None:
+                    heapq.heappush(heap, (q, x))
+        return [p for p, ok in zip(parts, alive, strict=True) if ok]
+
 
 def build_automaton(entries: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
     """The minimal automaton of the words, with each word's ids at its index in byte order."""
@@ -285,8 +306,7 @@ def ship_lexicon(spark: SparkSession, words: list[str], path: str) -> str:
     """Compile the words, send the file to all executors, and give its name there."""
     v = Vocabulary(path)
     parts = build_automaton({w.encode("utf-8", "surrogatepass"): v.merge(w) for w in words if w})
-    digest = hashlib.sha256(b"".join(parts[p].tobytes() for p in PARTS)).hexdigest()[:24]
-    name = f"lexicon-{digest}.npy"
+    name = f"lexicon-{uuid.uuid4().hex}.npy"  # two shipped files never share a name
     local = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
     save_automaton(parts, local)
     spark.sparkContext.addFile(local)
