@@ -90,8 +90,9 @@ def approximate_samples(profile: Column, dist: Column, tx: Column, rx: Column, w
 
 
 def blockage(flags: Column, dist: Column, tx: Column, rx: Column, wavelength: Column) -> tuple[Column, Column]:
-    """(blocked distance, free-space loss where nothing blocks, else null)."""
-    share = F.size(F.filter(flags, lambda b: b)) / F.size(flags)
+    """(blocked distance, free-space loss where nothing blocks, else null); both null where no sample is known."""
+    known = F.size(F.filter(flags, lambda b: b.isNotNull())) > 0
+    share = F.when(known, F.size(F.filter(flags, lambda b: b)) / F.size(flags))
     full = F.sqrt(dist * dist + (tx - rx) * (tx - rx))
     return dist * share, F.when(share == 0, radio.fspl_db(full, wavelength))
 

@@ -437,7 +437,7 @@ _PROF = (
 )
 
 
-@query(with_("links", "raster").rstrip() + ", " + _PROF + "SELECT rx_id, tower_id, max(n) AS n_samples, count(z) AS n_known, round(sum(z), 7) AS sum_z, round(max(z), 6) AS top_z FROM zs GROUP BY ALL")
+@query(with_("links", "raster").rstrip() + ", " + _PROF + "SELECT rx_id, tower_id, max(n) AS n_samples, count(z) AS n_known, coalesce(round(sum(z), 7), 0) AS sum_z, round(max(z), 6) AS top_z FROM zs GROUP BY ALL")
 def link_profiles(s, d):
     p = _profiled(s, d)
     known = F.filter("profile", lambda z: z.isNotNull())
@@ -475,7 +475,7 @@ def blockage_variants(s, d):
     return r6(p.select("rx_id", "tower_id", dist.alias("approx_dist_m"), links.blockage_strict(*e, w).alias("strict_db"), links.blockage_half(*e, w).alias("half_db")))
 
 
-@query(with_("links", "raster").rstrip() + ", " + _PROF + "SELECT rx_id, tower_id, max(n) - 1 AS n, round(max(dist_m) / (max(n) - 1), 6) AS step_m, round(arg_min(z, CASE WHEN max_u THEN -i ELSE i END), 6) AS first_z, bool_or(max_u) AS swapped FROM (SELECT *, u > t AS max_u FROM zs) GROUP BY ALL")
+@query(with_("links", "raster").rstrip() + ", " + _PROF + "SELECT rx_id, tower_id, max(n) - 1 AS n, round(max(dist_m) / (max(n) - 1), 6) AS step_m, round(first(z ORDER BY CASE WHEN max_u THEN -i ELSE i END), 6) AS first_z, bool_or(max_u) AS swapped FROM (SELECT *, u > t AS max_u FROM zs) GROUP BY ALL")
 def oriented_links(s, d):
     p = _profiled(s, d)
     e = _ends(p)
