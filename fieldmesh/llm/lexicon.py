@@ -4,11 +4,11 @@ The words that most documents use are compiled into an automaton whose states sh
 prefixes. Every transition carries the number of words that its state accepts by earlier ones; summed along a path
 this is the word's index in the output table, which holds the word's token ids. The arrays are saved as one .npy
 file, sent to every executor once, and memory-mapped there. A batch's distinct words run through it together;
-words outside it are merged exactly, by the vocabulary's ranks. Texts themselves are cut at white space, and a
-task remembers what each cut piece gave.
+words outside it are merged exactly, by the vocabulary's ranks. Texts themselves are cut at ASCII white space, as
+UTF-8 bytes, and a task remembers what each cut piece gave for as long as it keeps coming.
 
-Defined cases: null text is empty and has no tokens; special strings get their ids; rows repeat as they
-come; an empty table gives no rows; other columns are not read.
+Defined cases: null text is empty and has no tokens; special strings get their ids; bytes that are no UTF-8 count as
+U+FFFD; rows repeat as they come; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from .common import text_or_empty, tune
 #: Words compiled into the automaton: the most frequent ones of the corpus.
 LEXICON_WORDS = 131072
 MEMO = 300_000
-_CUT = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: The vocabulary's white space without the six ASCII characters, which cut texts already.
 _SPACE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -69,6 +68,8 @@ class Vocabulary:
             piece = piece.lower() if "Σ" not in piece else "".join(c.lower() for c in piece)
         else:
             piece = piece.lower()
+            if piece.isalpha():
+                return [piece]
         return self.pattern.findall(piece)
 
     def merge(self, word: str) -> list[int]:
@@ -181,7 +182,7 @@ def save_automaton(parts: dict[str, np.ndarray], path: str) -> None:
 
 class Automaton:
     def __init__(self, path: str):
-        flat = np.load(path, mmap_mode="r")
+        flat = np.load(path, mmap_mode="r").view(np.ndarray)
         at = len(PARTS)
         for name, n in zip(PARTS, flat[:at].tolist(), strict=True):
             setattr(self, name, flat[at : at + n])
@@ -214,8 +215,12 @@ class Automaton:
         good[good] = self.final[state[good]] == 1
         return np.where(good, index, -1)
 
-    def outputs(self, index: int) -> list[int]:
-        return self.ids[self.offset[index] : self.offset[index + 1]].tolist()
+    def outputs(self, index: np.ndarray) -> list[list[int]]:
+        """The ids at the indexes, which are not -1."""
+        lo, n = self.offset[index], self.offset[index + 1] - self.offset[index]
+        end = np.cumsum(n)
+        flat = self.ids[np.arange(n.sum()) + np.repeat(lo - end + n, n)].tolist()
+        return [flat[b - k : b] for b, k in zip(end.tolist(), n.tolist(), strict=True)]
 
 
 class Encoder:
@@ -223,52 +228,66 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, automaton: Automaton):
         self.vocabulary, self.automaton = vocabulary, automaton
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.shown: dict[str, tuple[str, str, int]] = {}
+        self.specials = {x.encode(): (str(i), x) for x, i in vocabulary.specials.items()}
+        #: piece -> (its ids joined, its decoded text); what has not come since `shown` was last full is forgotten
+        self.shown: dict[bytes, tuple[str, str]] = {}
+        self.before: dict[bytes, tuple[str, str]] = {}
+        self.merged: dict[str, list[int]] = {}
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: set[bytes]) -> None:
         """Encode the pieces that are new: distinct words through the automaton, the rest by merging."""
-        new = [p for p in pieces if p not in self.shown]
-        if len(self.shown) + len(new) > MEMO:
-            self.shown.clear()
-            new = list(pieces)
-        split = [self.vocabulary.words(p) for p in new]
-        distinct = list({w for ws in split for w in ws})
-        found = self.automaton.lookup([w.encode("utf-8", "surrogatepass") for w in distinct])
-        ids = {w: self.automaton.outputs(i) if i >= 0 else self.vocabulary.merge(w) for w, i in zip(distinct, found.tolist(), strict=True)}
+        if len(self.shown) > MEMO // 2:
+            self.before, self.shown = self.shown, {}
+        if len(self.merged) > MEMO // 2:
+            self.merged = {}
+        shown, before = self.shown, self.before
+        fresh = pieces.difference(shown)
+        again = fresh.intersection(before)
+        shown.update((p, before[p]) for p in again)
+        new = list(fresh - again)
+        split = [self.vocabulary.words(p.decode("utf-8", "replace")) for p in new]
+        ids = self.word_ids(list({w for ws in split for w in ws}))
         token = self.vocabulary.tokens
         for p, ws in zip(new, split, strict=True):
-            own = [i for w in ws for i in ids[w]]
-            self.shown[p] = (" ".join(map(str, own)), self.decode(own, token), len(own))
+            own = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
+            shown[p] = (" ".join(map(str, own)), self.decode(own, token))
+
+    def word_ids(self, words: list[str]) -> dict[str, list[int]]:
+        found = self.automaton.lookup([w.encode() for w in words])
+        at = np.flatnonzero(found >= 0)
+        ids = dict(zip([words[i] for i in at.tolist()], self.automaton.outputs(found[at]), strict=True))
+        merged = self.merged
+        for i in np.flatnonzero(found < 0).tolist():
+            w = words[i]
+            if w not in merged:
+                merged[w] = self.vocabulary.merge(w)
+            ids[w] = merged[w]
+        return ids
 
     @staticmethod
     def decode(ids: list[int], token: dict[int, str]) -> str:
         """The file names no decoder: tokens stand side by side, parted by a space."""
         return " ".join([token[i] for i in ids])
 
-    def pieces(self, text: str) -> list[str]:
-        return _CUT.findall(text)
-
-    def run(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(number of ids, ids joined by a space, decoded text) of each text."""
-        cut: list[list[str]] = []
-        special = self.vocabulary.specials
-        for t in texts:
-            if any(x in t for x in special):
-                cut.append([p for part in self.vocabulary.special_cut.split(t) for p in ([part] if part in special else self.pieces(part))])
-            else:
-                cut.append(self.pieces(t))
-        need: set[str] = set()
-        for c in cut:
-            need.update(c)
-        self.learn(need - special.keys())
-        for s, i in special.items():
-            self.shown[s] = (str(i), s, 1)
+    def pieces(self, text: bytes) -> list[bytes]:
+        """The text between ASCII white space; special strings are pieces of their own."""
+        if any(x in text for x in self.specials):
+            parts = self.vocabulary.special_cut.split(text.decode("utf-8", "replace"))
+            return [p for part in parts for p in ([part.encode()] if part in self.vocabulary.specials else part.encode().split())]
+        return text.split()
+
+    def run(self, texts: list[bytes]) -> list[tuple[int, str, str]]:
+        """(number of ids, ids joined by a space, decoded text) of each UTF-8 text."""
+        cut = [self.pieces(t) for t in texts]
+        need: set[bytes] = set().union(*cut)
+        self.learn(need - self.specials.keys())
+        self.shown.update(self.specials)
         get = self.shown.__getitem__
         out = []
         for c in cut:
-            got = [x for x in map(get, c) if x[2]]
-            out.append((sum([x[2] for x in got]), " ".join([x[0] for x in got]), " ".join([x[1] for x in got])))
+            got = [x for x in map(get, c) if x[0]]
+            ids = " ".join([x[0] for x in got])
+            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join([x[1] for x in got])))
         return out
 
 
@@ -284,19 +303,19 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", top: int
             words: Counter = Counter()
             for piece, n in seen.items():
                 if n > 1:
-                    for w in v.words(piece):
+                    for w in v.words(piece.decode("utf-8", "replace")):
                         words[w] += n
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(_CUT.findall(t))
+                seen.update(t.split())
             if len(seen) > 2 * MEMO:
                 yield flush()
         yield flush()
 
-    counted = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word string, n long")
+    counted = docs.select(text_or_empty(text_col).cast("binary").alias("text")).mapInArrow(run, "word string, n long")
     total = counted.groupBy("word").agg(F.sum("n").alias("n"))
     rows = total.orderBy(F.desc("n"), "word").limit(top).select("word").collect()  # `top` rows at most
     return [r[0] for r in rows]
@@ -318,9 +337,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     tune(spark)
     name = ship_lexicon(spark, frequent_words(docs, path, text_col, top), path)
-    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(Vocabulary(path), Automaton(SparkFiles.get(name)))
