@@ -298,6 +298,29 @@ def test_scores_are_probabilities():
     assert np.exp(first).sum() == pytest.approx(1.0, abs=0.02)
 
 
+def test_scorer_matches_the_mixer():
+    """Looking up stretched predictions gives what the mix and its refinement say, and next bytes sum to one."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 103, rng.integers(1, 6), dtype=np.uint8)) for _ in range(400)]
+    table = np.zeros((2, context_mixing._TOTAL), np.float32)
+    context_mixing.slot_counts(words, np.arange(1.0, 401.0), table)
+    m = context_mixing.Mixer(*table)
+    m.fit(words, np.ones(len(words)))
+    s = context_mixing.Scorer(*context_mixing.stretched(table), m.weights, m.refined)
+    probe = [*words[:50], b"never-seen", b"\n"]
+    slots, bit, word = context_mixing.decisions(probe)
+    st, gate = m.inputs(slots, bit)
+    mix = m.mixed(st, gate)
+    lo, part = m._cells(mix)
+    rate = m.refined[:, :, 1] / m.refined.sum(-1)
+    p = 0.5 / (1 + np.exp(-mix)) + 0.5 * (rate[gate, lo] * (1 - part) + rate[gate, lo + 1] * part)
+    p = np.clip(p, 2.0**-20, 1 - 2.0**-20)
+    expected = np.bincount(word, np.log10(np.where(bit == 1, p, 1 - p)), len(probe))
+    assert s.log10(probe) == pytest.approx(expected, abs=1e-3)
+    one, _ = s.probability([bytes([b]) for b in range(256)])
+    assert np.exp(np.log(one).reshape(-1, 16)[:, :8].sum(1)).sum() == pytest.approx(1.0, abs=1e-6)
+
+
 def test_pipeline(spark, tmp_path, corpus):
     import corpus_pipeline
 
