@@ -11,6 +11,7 @@ from fieldmesh.functions import geo, radio
 from fieldmesh.operators import links, maps, measure, raster, runs, spatial, terrain, towers
 from fieldmesh.plans import fixtures as fx
 from fieldmesh.plans.fixtures import with_
+from fieldmesh.sources import writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -615,3 +616,37 @@ def log_durations(s, d):
     done = F.timestamp_seconds(F.unix_timestamp("o_orderdate") + F.col("o_orderkey") % 1000)
     b = o.select(F.concat(F.lit("["), ts(done), F.lit("] Finished cellular tower #"), F.col("o_orderkey").cast("string"), F.lit("/9")).alias("line"))
     return runs.log_durations(a.unionByName(b)).select("tower", "seconds")
+
+
+# --- layouts and exports ------------------------------------------------------------------------------------------
+
+
+@query("SELECT row_number() OVER (ORDER BY lat, long, height_m NULLS LAST) AS site, lat, long, height_m FROM (SELECT 40 + (s_suppkey * 7919 % 1000) / 1000e0 AS lat, -87 - (s_suppkey * 104729 % 1000) / 1000e0 AS long, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 20e0 + s_suppkey % 80 END AS height_m FROM supplier)")
+def gateway_layout(s, d):
+    k = F.col("s_suppkey")
+    log = fx.table(s, d, "supplier").select(
+        (k * 7919 % 1000 / 1000.0 + 40).alias("latitude"), (F.lit(-87.0) - k * 104729 % 1000 / 1000.0).alias("longitude"), F.when(k % 5 != 0, k % 80 + 20.0).alias("altitude_above_ground_meters")
+    )
+    return towers.gateways_to_towers(log).select("site", "lat", "long", "height_m")
+
+
+@query(with_("links") + """SELECT rx_id AS gid, -87 + x / 1e5 AS lon, 40 + y / 1e5 AS lat, 1.5e0 + rx_id % 3 AS install_height_m,
+    round(20 * log10(4 * pi() * greatest(dist_m, 1) / (299792458e0 / 1.9e9)), 6) AS ehata_path_loss_db, (rx_id % 50 + tower_id % 7)::DOUBLE AS accumulate_blockage_dist_m,
+    (rx_id % 50)::DOUBLE AS accumulate_blockage_dist_m_terrain, (tower_id % 7)::DOUBLE AS accumulate_blockage_dist_m_vegetation, x AS utm_x, y AS utm_y, '16 T' AS utm_zone,
+    (rx_id % 97)::DOUBLE AS ele_usgs_m, (rx_id % 97)::DOUBLE + 2 AS ele_lidar_z, round(dist_m, 6) AS dist_2d_m,
+    round(sqrt(dist_m * dist_m + (1.5e0 + rx_id % 3 - coalesce(tx_height_m, 50)) * (1.5e0 + rx_id % 3 - coalesce(tx_height_m, 50))), 6) AS dist_3d_m FROM links""")
+def point_results(s, d):
+    rx, tower = F.col("rx_id"), F.col("tower_id")
+    p = _links(s, d).select(
+        rx.alias("gid"), (F.col("x") / 1e5 - 87).alias("lon"), (F.col("y") / 1e5 + 40).alias("lat"), (rx % 3 + 1.5).alias("install_height_m"),
+        radio.fspl_db(F.greatest("dist_m", F.lit(1.0)), F.lit(WAVE)).alias("ehata_path_loss_db"), (rx % 50 + tower % 7).cast("double").alias("accumulate_blockage_dist_m"),
+        (rx % 50).cast("double").alias("accumulate_blockage_dist_m_terrain"), (tower % 7).cast("double").alias("accumulate_blockage_dist_m_vegetation"),
+        F.col("x").alias("utm_x"), F.col("y").alias("utm_y"), F.lit("16 T").alias("utm_zone"), (rx % 97).cast("double").alias("ele_usgs_m"), (rx % 97 + 2.0).alias("ele_lidar_z"),
+        "tx_x", "tx_y", F.coalesce("tx_height_m", F.lit(towers.DEFAULT_HEIGHT_M)).alias("tx_height_m"),
+    )
+    return r6(writers.point_rows(p), "ehata_path_loss_db", "dist_2d_m", "dist_3d_m")
+
+
+@query(with_("raster") + "SELECT 40 + y / 1e5 AS lat, -87 + x / 1e5 AS lon, round(z, 6) AS \"zInM\" FROM raster")
+def profile_export(s, d):
+    return r6(writers.profile_rows(fx.raster(s, d).select((F.col("y") / 1e5 + 40).alias("lat"), (F.col("x") / 1e5 - 87).alias("lon"), "z")), "zInM")
