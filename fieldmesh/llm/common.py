@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +19,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def tune(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that Python tasks get, so long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts (a string or binary column) have about `limit` bytes; longer texts stand alone."""
+    for b in batches:
+        size = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // limit
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,22 +43,41 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
+def stage(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
     path = getattr(df, "_staged_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        drop_path(df.sparkSession, path)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of `docs` whose keys (columns over docs, by name) are among `kept`, with their own columns.
+
+    kept may name a key several times; of the rows that share all keys one stays (the one whose columns' hash is smallest).
+    """
+    cols = [F.col(f"d.`{c}`") for c in docs.columns]
+    own = docs.alias("d").select(F.struct(*cols).alias("row"), *(c.alias(k) for k, c in keys.items()))
+    wanted = kept.groupBy(*keys).agg(F.count("*").alias("n")).select(*(F.col(k).alias(f"w_{k}") for k in keys), "n")
+    same = [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in keys]
+    got = own.join(wanted, same)
+    if not wanted.filter("n > 1").limit(1).count():
+        return got.select("row.*")
+    one = got.filter("n > 1").groupBy(*keys).agg(F.min_by("row", F.xxhash64("row.*")).alias("row"))
+    return got.filter("n = 1").select("row.*").union(one.select("row.*"))
 
 
 def sized(small: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -16,21 +16,22 @@ by doc_id; clashing extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty
+from .common import SPACE, WORD, sized, stage, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 #: Hash buckets of a source's order.
 BUCKETS = 4096
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    n = F.expr(f"size(split(trim(regexp_replace({text_col}, '[\\\\x20\\\\x09-\\\\x0D]+', ' ')), ' '))")
+def sizes(docs: DataFrame, *more: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size (words) of every row, with further columns."""
+    n = F.size(F.split(F.trim(F.regexp_replace(text_col, SPACE, " ")), " "))
     size = F.when(text_or_empty(text_col).rlike(WORD), n).otherwise(0).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *more)
 
 
 def targets(by_source: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -51,11 +52,11 @@ def targets(by_source: DataFrame, share: float = 1.5, max_epochs: int = 2, weigh
     return s.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, max_epochs: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, repeats for every row of documents."""
-    d = sizes(docs).withColumn("rank", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    d = d.withColumn("bucket", F.conv(F.substring("rank", 1, 3), 16, 10).cast("int"))
-    by_bucket = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+def _dealt(d: DataFrame, seed: int, share: float, max_epochs: int, weights: tuple[int, ...]) -> DataFrame:
+    """Rows of `sizes` with source_size, target and repeats."""
+    rank = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    d = d.withColumn("rank", rank).withColumn("bucket", F.conv(F.substring("rank", 1, 3), 16, 10).cast("int"))
+    by_bucket = stage(d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     by_bucket = by_bucket.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     goal = targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), share, max_epochs, weights)
@@ -64,22 +65,27 @@ def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, max_epochs: int = 2
     plan = by_bucket.alias("b").join(goal.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source")))
     plan = plan.select("b.source", "bucket", "before", "bucket_size", "source_size", "target", "whole", "rest")
     state = F.when(F.col("before") + F.col("bucket_size") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).otherwise(2)
-    plan = plan.withColumn("state", state)
-    # rows: BUCKETS a source at most; it is joined as Spark finds best
-    cond = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket"))
-    j = d.alias("d").join(plan.alias("p"), cond).select("d.doc_id", "d.source", "d.bucket", "d.rank", "d.size", "before", "source_size", "target", "whole", "rest", "state")
+    plan = stage(plan.withColumn("state", state), "mix-plan")
+    # BUCKETS rows a source at most
+    small_side = sized(plan, plan.count(), 128)
+    same = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket"))
+    j = d.alias("d").join(small_side.alias("p"), same).select("d.*", "before", "source_size", "target", "whole", "rest", "state")
     settled = j.filter("state < 2").withColumn("extra", F.col("state"))
-    run = W.partitionBy("source", "bucket").orderBy("rank", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    run = W.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     cut = j.filter("state = 2").withColumn("upto", F.col("before") + F.sum("size").over(run))
     # the document at the cut goes in if that leaves the source nearer to its target
     cut = cut.withColumn("extra", F.when(F.col("upto") - F.col("size") / 2.0 <= F.col("rest"), 1).otherwise(0)).drop("upto")
-    out = settled.unionByName(cut)
-    out = out.withColumn("repeats", F.least(F.col("whole") + F.col("extra"), F.lit(max_epochs)).cast("int"))
+    return settled.unionByName(cut).withColumn("repeats", F.least(F.col("whole") + F.col("extra"), F.lit(max_epochs)).cast("int"))
+
+
+def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, max_epochs: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, repeats for every row of documents."""
+    out = _dealt(sizes(docs), seed, share, max_epochs, weights)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).cast("long").alias("taken"), "repeats")
 
 
-def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with their own columns."""
-    times = mix(docs, seed).filter("repeats > 0").groupBy("doc_id").agg(F.max("repeats").alias("_repeats"))
-    out = docs.join(times, "doc_id").withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed(docs: DataFrame, seed: int = 17, share: float = 1.5, max_epochs: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The documents of the mix, each row as often as it is taken, with its own columns; rows are not joined by id."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = _dealt(sizes(docs, row), seed, share, max_epochs, weights).filter("repeats > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("again")).select("row.*")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import tune
+from .common import small
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -121,11 +121,10 @@ def failure_bits() -> Column:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the measurements and the failure bits of every row."""
-    tune(docs.sparkSession)
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 1):
             got = measure(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[m]) for m in MEASURES)], ["doc_id", *MEASURES])
 
@@ -164,12 +163,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ver
 
 def keep_good(docs: DataFrame, version: str = "v2") -> DataFrame:
     """The documents that pass, in one pass: the measurements ride along with the row."""
-    tune(docs.sparkSession)
     cols = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 1):
             got = measure(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[m]) for m in MEASURES)], ["row", *MEASURES])
 

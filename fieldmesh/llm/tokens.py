@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty, tune
+from .common import small, stage, text_or_empty
 
 CHUNK, OVERLAP = 65536, 512
 #: Distinct pieces that a task remembers.
@@ -149,7 +149,6 @@ def token_counts(
     counter: Callable[[str], PieceCounter] = library_counter,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row."""
-    tune(docs.sparkSession)
     make = lambda: counter(path)
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     long_text = F.length("text") > chunk
@@ -157,7 +156,7 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = make()
-        for b in batches:
+        for b in small(batches, 2):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c.counts(b.column(2).to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     short = base.filter(~long_text).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
