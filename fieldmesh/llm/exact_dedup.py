@@ -1,13 +1,16 @@
-"""Exact deduplication through an extendible-hash index, in DataFrame functions only.
+"""Exact deduplication through an extendible-hash index on shared files, in DataFrame functions only.
 
-1. Every row's normalised text gets a 64-bit key and a SHA-256; the index entries go to the shared folder.
-2. The directory: keys are counted in cells of their first MAX_BITS bits; directory doubling takes for each
-   cell the smallest depth at which its bucket holds at most `capacity` distinct keys.
-3. Owner tasks take the buckets' keys. Keys with one entry are done. For the others the texts are fetched and
-   grouped by (bucket, key, text): Spark's grouping compares the bytes, and rows whose keys collide while their
-   texts differ form separate chain entries. The grouping is partial before the shuffle, so a hot group
-   arrives as one row from each task.
-4. Index entries take their chain entry's smallest doc_id.
+1. Every row's normalised text gets a 64-bit key; the entries go to the shared folder.
+2. The directory: distinct keys are counted in cells of their first STEP_BITS bits, and directory doubling takes for
+   each cell the smallest depth at which its bucket holds at most `capacity` keys. Cells that are overfull at that depth are
+   doubled on by the next STEP_BITS bits, until all buckets fit or the key's 64 bits are used up.
+3. The index: entries are dealt to owner tasks by ranges of (bucket, key) and written in that order. A bucket is a
+   range of keys, so an owner has whole buckets or neighbouring parts of one.
+4. Owners chain the keys that several entries have: their texts are fetched and grouped by (bucket, key, text), which
+   compares bytes, and every distinct text of a key becomes one entry of the key's chain. The grouping is partial before
+   the shuffle, so a hot group arrives as one row from each task.
+5. Index entries of a key with one chain entry are linked with it by (bucket, key): all bytes behind that key are equal. Where
+   keys collide, the rows are linked with the chain entry whose text theirs is, byte by byte.
 
 Defined cases: null text counts as empty; empty texts equal one another; ties cannot occur between distinct
 doc_ids, and rows that repeat a doc_id are all returned and all marked alike; an empty table gives no rows; columns other
@@ -21,28 +24,61 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, sized, stage
+from .common import SPACE, release, rows_of, sized, stage
 
-MAX_BITS = 16
+STEP_BITS = 16
 
 
 def normalised(col: Column) -> Column:
     return F.regexp_replace(F.coalesce(col, F.lit("")), SPACE, " ")
 
 
-def directory(keys: DataFrame, capacity: int, max_bits: int = MAX_BITS) -> DataFrame:
-    """(cell, depth, bucket) for each cell of `max_bits` key bits; at most 2**max_bits rows."""
-    cell = F.shiftrightunsigned("key", 64 - max_bits)
-    cells = keys.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
-    # every doubling of the directory at once: the load of each cell's bucket at each depth
-    levels = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(max_bits))).alias("depth"))
-    prefix = F.expr(f"shiftright(cell, {max_bits} - depth)")
-    load = levels.groupBy("depth", prefix.alias("prefix")).agg(F.sum("n").alias("load"))
-    fits = load.filter((F.col("load") <= capacity) | (F.col("depth") == max_bits))
-    found = levels.select("cell", "depth", prefix.alias("prefix")).join(fits, ["depth", "prefix"])
-    best = found.groupBy("cell").agg(F.min("depth").alias("depth"))
-    # a bucket's name: its prefix behind a leading one, so that depths cannot clash
-    return best.select("cell", "depth", F.expr(f"shiftleft(1L, depth) + shiftright(cell, {max_bits} - depth)").alias("bucket"))
+def _doubled(cells: DataFrame, capacity: int, bits: int) -> DataFrame:
+    """(parent, cell, depth, load): every doubling of each parent's directory at once, and the first depth that fits."""
+    levels = cells.select("parent", "cell", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
+    prefix = F.expr(f"shiftright(cell, {bits} - depth)")
+    load = levels.groupBy("parent", "depth", prefix.alias("prefix")).agg(F.sum("n").alias("load"))
+    fits = load.filter((F.col("load") <= capacity) | (F.col("depth") == bits))
+    found = levels.select("parent", "cell", "depth", prefix.alias("prefix")).join(fits, ["parent", "depth", "prefix"])
+    best = found.groupBy("parent", "cell").agg(F.min(F.struct("depth", "load")).alias("best"))
+    return best.select("parent", "cell", "best.depth", "best.load")
+
+
+def directory(keys: DataFrame, capacity: int, bits: int = STEP_BITS) -> list[DataFrame]:
+    """One table for each step of `bits` bits: (parent, cell, low, load). A bucket's name is its lowest key, unsigned.
+
+    parent is the bits of all steps before (0 in the first); only cells that were overfull there go on.
+    """
+    steps: list[DataFrame] = []
+    todo = keys.select("key")
+    for done in range(0, 64, bits):
+        parent = F.shiftrightunsigned("key", 64 - done) if done else F.lit(0).cast("long")
+        cell = F.shiftrightunsigned(F.shiftleft("key", done), 64 - bits)
+        cells = todo.groupBy(parent.alias("parent"), cell.alias("cell")).agg(F.count("*").alias("n"))
+        # the lowest key: the parent's bits, the bucket's prefix, zeros
+        prefix = F.expr(f"shiftleft(shiftright(cell, {bits} - depth), {bits} - depth)")
+        low = F.shiftleft(F.shiftleft("parent", bits).bitwiseOR(prefix), 64 - done - bits)
+        step = stage(_doubled(cells, capacity, bits).select("parent", "cell", low.alias("low"), (F.col("load") > capacity).alias("over")), "directory")
+        steps.append(step)
+        over = step.filter("over")
+        n_over = over.count()
+        if not n_over or done + bits >= 64:
+            break
+        full = over.select(F.shiftleft("parent", bits).bitwiseOR(F.col("cell")).alias("full"))
+        todo = todo.join(sized(full, n_over, 16), F.shiftrightunsigned("key", 64 - done - bits) == F.col("full"), "left_semi")
+    return steps
+
+
+def with_bucket(entries: DataFrame, steps: list[DataFrame], bits: int = STEP_BITS) -> DataFrame:
+    """The entries with the bucket that the directory names for their key."""
+    out = entries.withColumn("bucket", F.lit(None).cast("long"))
+    for i, step in enumerate(steps):
+        done = i * bits
+        parent = F.shiftrightunsigned("key", 64 - done) if done else F.lit(0).cast("long")
+        cell = F.shiftrightunsigned(F.shiftleft("key", done), 64 - bits)
+        s = sized(step.select(F.col("parent").alias("p"), F.col("cell").alias("c"), "low"), step.count(), 40)
+        out = out.join(s, (parent == F.col("p")) & (cell == F.col("c")), "left").withColumn("bucket", F.coalesce("low", "bucket")).drop("p", "c", "low")
+    return out
 
 
 def exact_dedup(
@@ -51,33 +87,47 @@ def exact_dedup(
     text_col: str = "text",
     capacity: int = 65536,
     key: Callable[[Column], Column] = F.xxhash64,
+    bits: int = STEP_BITS,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    index = stage(base.select("doc_id", key(F.col("norm")).alias("key"), F.sha2("norm", 256).alias("text_sha256")), "hash-index")
-    keys = index.groupBy("key").agg(F.count("*").alias("n"))
-    multi = keys.filter("n > 1")
-    owners = F.broadcast(directory(keys, capacity))  # at most 2**MAX_BITS rows
-    multi = stage(
-        multi.withColumn("cell", F.shiftrightunsigned("key", 64 - MAX_BITS)).join(owners, "cell").select("bucket", "key"),
-        "hash-buckets",
-    )
-    n_multi = multi.count()
-    members = base.withColumn("key", key(F.col("norm"))).join(sized(multi, n_multi, 64), "key")
-    chain = members.groupBy("bucket", "key", "norm").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size"))
-    chain = chain.select("key", F.sha2("norm", 256).alias("text_sha256"), "first_id", "size")
-    out = index.join(chain, ["key", "text_sha256"], "left")
+    entries = stage(base.select("doc_id", key(F.col("norm")).alias("key"), F.sha2("norm", 256).alias("text_sha256")), "hash-entries")
+    keys = stage(entries.groupBy("key").agg(F.count("*").alias("n")), "hash-keys")
+    steps = directory(keys, capacity, bits)
+    # unsigned order: the sign bit is turned
+    order = [F.col(c).bitwiseXOR(F.lit(-(1 << 63))) for c in ("bucket", "key")]
+    index = with_bucket(entries, steps, bits).repartitionByRange(parts, *order, "doc_id").sortWithinPartitions(*order)
+    index = stage(index, "hash-index")
+    multi = stage(with_bucket(keys.filter("n > 1").select("key"), steps, bits), "hash-chains")
+    members = base.withColumn("key", key(F.col("norm"))).join(sized(multi, multi.count(), 64), "key")
+    chain = stage(members.groupBy("bucket", "key", "norm").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size")), "chain-entries")
+    collided = chain.groupBy("bucket", "key").agg(F.count("*").alias("entries")).filter("entries > 1").select("bucket", "key")
+    collided = stage(collided, "collided-keys")
+    n_collided, n_chain = collided.count(), chain.count()
+    one = chain.drop("norm")
+    columns = ["doc_id", "text_sha256", "first_id", "size"]
+    if not n_collided:
+        out = index.join(sized(one, n_chain, 64), ["bucket", "key"], "left").select(columns)
+    else:
+        apart = sized(collided, n_collided, 64)
+        out = index.join(apart, ["bucket", "key"], "left_anti").join(sized(one.join(apart, ["bucket", "key"], "left_anti"), n_chain, 64), ["bucket", "key"], "left").select(columns)
+        rows = members.join(apart, ["bucket", "key"], "left_semi").join(chain.join(apart, ["bucket", "key"], "left_semi"), ["bucket", "key", "norm"])
+        out = out.unionByName(rows.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), "first_id", "size"))
+    for t in (entries, keys, *steps):
+        release(t)
     keep = F.coalesce("first_id", "doc_id")
     return out.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id") == keep, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with their own columns; of rows that repeat a doc_id and text one stays."""
-    marks = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(marks, id_col, "left_semi")
+    """The rows of `docs` that stay, with their own columns; of rows that repeat a doc_id (or have none) and a text one stays."""
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select("doc_id", "text_sha256")
+    return rows_of(docs, kept, doc_id=F.col(f"d.`{id_col}`"), text_sha256=F.sha2(normalised(F.col(f"d.`{text_col}`")), 256))
