@@ -7,12 +7,13 @@ an empty turn put before it (INSERT); at the end empty turns close the sequence.
 
 Costs compose like matrices over (min, +), so long conversations need no single task: stretches of CHUNK turn numbers
 give 4 x 4 matrices, groups of those are composed level by level, the best states at the borders come back down, and
-each stretch is then solved between its own two borders.
+each stretch is then solved between its own two borders. Stretches that would hold more than CROWDED turns (numbers that
+are null, negative or repeated) are sorted over all tasks and cut by rank.
 
 Ties: keeping or relabelling before merging before inserting, then the role that comes first. Defined cases: null
 or unknown roles are relabelled; null text is empty; null or negative turn numbers go with the first stretch (nulls first);
-turns with one number are ordered by role and text; repeated rows are turns of their own; an empty table
-gives no rows; other columns are not read.
+turns with one number are ordered by role and text; repeated rows are turns of their own; a null conv_id is a conversation;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage, tune
+from .common import stage
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 NAMES = ("start", "system", "user", "assistant")
@@ -31,7 +33,7 @@ NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (
 MERGE, UNKNOWN, INSERT, RELABEL = 1, 1, 3, 4
 #: The empty turns that close a sequence, by its last state.
 CLOSING = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
-CHUNK = 256
+CHUNK, CROWDED = 256, 1024
 _FAR = 1 << 60
 
 
@@ -157,17 +159,35 @@ def _levels(leaves: DataFrame) -> DataFrame:
     return state
 
 
+def _cut_by_rank(rows: DataFrame, crowded: DataFrame, chunk: int) -> DataFrame:
+    """The rows, parts renumbered so that crowded ones become parts of at most `chunk` turns in the order of the turns."""
+    key = ["conv_key", "part"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = rows.join(crowded, key, "left_semi").repartitionByRange(n, *key, "t").sortWithinPartitions(*key, "t")
+    # numbers that rise with the order within and across tasks; written, so that they stay
+    many = stage(many.withColumn("sub", F.floor(F.monotonically_increasing_id() / F.lit(chunk)).cast("long")), "ranked-turns")
+    every = rows.join(crowded, key, "left_anti").withColumn("sub", F.lit(0).cast("long")).unionByName(many)
+    # one row for each stretch of the conversations concerned
+    stretches = every.join(crowded.select("conv_key").distinct(), "conv_key", "left_semi").select(*key, "sub").distinct()
+    order = W.partitionBy("conv_key").orderBy("part", "sub")
+    new = stage(stretches.withColumn("new", (F.row_number().over(order) - 1).cast("long")), "stretch-numbers")
+    return every.join(new, [*key, "sub"], "left").withColumn("part", F.coalesce("new", "part")).drop("sub", "new")
+
+
 def format_chats(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per turn: conv_id, turn, seq (order in its stretch), part, role, new_role, action, inserted, cost, closing, rendered.
 
     A conversation's rendering is the concatenation of its rows' in the order of (part, seq).
     """
-    tune(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()
     code = F.lower(F.trim(F.coalesce("role", F.lit(""))))
     code = F.when(code == "system", SYSTEM).when(code == "user", USER).when(code == "assistant", ASSISTANT).otherwise(START)
     part = F.floor(F.greatest(F.coalesce("turn", F.lit(0)), F.lit(0)) / chunk).cast("long")
     rows = turns.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")).alias("conv_key"), part.alias("part"), F.struct(F.col("turn").cast("long").alias("turn"), code.alias("code"), "role", F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    sizes = rows.groupBy("conv_key", "part").agg(F.count("*").alias("n"))
+    crowded = stage(sizes.filter(F.col("n") > max(CROWDED, chunk)).select("conv_key", "part"), "crowded-stretches")
+    if crowded.limit(1).count():
+        rows = _cut_by_rank(rows, crowded, chunk)
     leaves = rows.groupBy("conv_key", "part").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list("t")).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
