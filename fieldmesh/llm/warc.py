@@ -8,11 +8,12 @@ repeated task does no harm.
 Reading: the archives are cut into byte ranges, whatever lies at their edges. A task looks in its range for gzip
 magic, accepts a candidate once it inflates to a WARC header, and from there goes member by member. It owns the
 records that start inside its range, and reads past the end to finish the last one. Digests and sizes come from the
-payload bytes; those of a revisit from the response it refers to.
+payload bytes; a revisit names a response and its own payload's digest, and is resolved by both.
 
 Defined cases: null html is an empty payload; payloads below MIN_REVISIT are never revisits; rows that repeat a
 page_id all get a record, and of several with the same payload and smallest page_id each is a response; a null page_id
-is kept as null; an empty table writes no archive and gives no rows; other columns are not read.
+is kept as null and comes last: among equal payloads it is a revisit of any other, and a response where all are null; an
+empty table writes no archive and gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, sized, stage, tune
+from .common import drop_path, scratch_path, sized, small, stage
 
 MIN_REVISIT = 100
 #: Archives are closed beyond so many bytes; a reading task takes ranges of SPLIT bytes.
@@ -81,7 +82,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
         store.create_dir(root, recursive=True)
         done: list[tuple[str, int, int]] = []
         out, path, size, n = None, "", 0, 0
-        for b in batches:
+        for b in small(batches, 2):
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     path, size, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
@@ -114,61 +115,69 @@ def _header(raw: bytes) -> dict[str, str] | None:
 
 
 class _Window:
-    """A moving view of a file from an offset on."""
+    """A moving view of a file from an offset on; `used` bytes of its data are behind it."""
 
     def __init__(self, source, at: int):
-        self.source, self.at, self.data, self.ended = source, at, b"", False
+        self.source, self.start, self.data, self.used, self.ended = source, at, bytearray(), 0, False
         source.seek(at)
 
+    @property
+    def at(self) -> int:
+        return self.start + self.used
+
     def more(self) -> bool:
         got = b"" if self.ended else self.source.read(_READ)
         self.ended = self.ended or not got
+        if self.used >= _READ:  # what is behind goes once it is as long as a read
+            del self.data[: self.used]
+            self.start, self.used = self.start + self.used, 0
         self.data += got
         return bool(got)
 
-    def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
-
 
 def _inflate(w: _Window) -> tuple[bytes, int] | None:
-    """(content, length of the member) of the gzip member at the window's start; None if there is none."""
-    z, out, used = zlib.decompressobj(31), [], 0
+    """(content, length of the member) of the gzip member at the window's place; None if there is none."""
+    z, out, length = zlib.decompressobj(31), [], 0
     while True:
-        if used >= len(w.data) and not w.more():
+        if w.used + length >= len(w.data) and not w.more():
             return None
-        part = w.data[used : used + 65536]
+        part = bytes(w.data[w.used + length : w.used + length + 65536])
         try:
-            out.append(z.decompress(part))
+            # a candidate is judged by its first bytes
+            out.append(z.decompress(part) if out else z.decompress(part, 64))
         except zlib.error:
             return None
-        used += len(part)
-        if len(out) == 1 and len(out[0]) >= 7 and not out[0].startswith(b"WARC/1."):
-            return None  # a candidate that is no record
+        if len(out) == 1:
+            if len(out[0]) >= 7 and not out[0].startswith(b"WARC/1."):
+                return None
+            if z.unconsumed_tail:
+                out.append(z.decompress(z.unconsumed_tail))
+        length += len(part)
         if z.eof:
-            return b"".join(out), used - len(z.unused_data)
+            return b"".join(out), length - len(z.unused_data)
 
 
 def records_from(source, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header, block) of the records that start at an offset in [start, end)."""
     w = _Window(source, start)
     while w.at < end:
-        at = w.data.find(_MAGIC)
-        if at < 0:
-            w.skip(max(0, len(w.data) - 2))
+        found = w.data.find(_MAGIC, w.used)
+        if found < 0:
+            w.used = max(w.used, len(w.data) - 2)
             if not w.more():
                 return
             continue
-        w.skip(at)
+        w.used = found
         if w.at >= end:
             return
         got = _inflate(w)
         head = _header(got[0]) if got else None
         if head is None:
-            w.skip(1)
+            w.used += 1
             continue
         begin = int(head[""])
         yield head, got[0][begin : begin + int(head["content-length"])]
-        w.skip(got[1])
+        w.used += got[1]
 
 
 def read_warc(spark: SparkSession, manifest: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
@@ -201,7 +210,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, folder: str, split: int
                                 raise ValueError(f"{path}: the payload of page {ids[0]} does not match its digest")
                             rows.append((ids[0], url, "response", None, payload, len(payload), digest))
                         else:
-                            rows.append((ids[0], url, "revisit", ids[1], None, None, None))
+                            rows.append((ids[0], url, "revisit", ids[1], None, None, head["warc-payload-digest"].removeprefix("sha256:")))
                         held += len(payload)
                         if len(rows) >= 2000 or held > 4 << 20:
                             yield flush()
@@ -216,20 +225,17 @@ def read_warc(spark: SparkSession, manifest: DataFrame, folder: str, split: int
 def round_trip(pages: DataFrame, split: int = SPLIT) -> DataFrame:
     """Writes the pages, reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
-    tune(spark)
     folder = scratch_path(spark, "warc")
     if "://" not in folder:
         folder = "file://" + folder
     read = read_warc(spark, write_warc(pages, folder), folder, split).drop("payload", "url")
     read = stage(read, "records")
+    drop_path(spark, folder)
     own = read.filter("record_type = 'response'")
-    again = read.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
-    n_again = again.count()
-    if not n_again:
-        return own.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    asked = again.select(F.col("refers_to").alias("first")).distinct()
-    # of the responses that repeat a page_id, those long enough to be revisited
-    first = own.filter(F.col("payload_bytes") >= MIN_REVISIT).join(asked, F.col("page_id") == F.col("first")).groupBy("first").agg(F.min(F.struct("payload_bytes", "payload_digest")).alias("p"))
-    full = again.join(first, F.col("refers_to") == F.col("first"))
-    full = full.select("page_id", F.col("p.payload_bytes").alias("payload_bytes"), F.col("p.payload_digest").alias("payload_digest"), "record_type", "refers_to")
-    return own.select(full.columns).unionByName(full)
+    again = read.filter("record_type = 'revisit'").drop("payload_bytes")
+    asked = again.groupBy(F.col("refers_to").alias("first"), F.col("payload_digest").alias("digest")).agg(F.count("*").alias("n"))
+    # several responses may have the page_id and the digest: they are the same payload
+    first = own.join(asked, (F.col("page_id") == F.col("first")) & (F.col("payload_digest") == F.col("digest"))).groupBy("first", "digest").agg(F.min("payload_bytes").alias("payload_bytes"))
+    full = again.join(sized(first, again.count(), 128), (F.col("refers_to") == F.col("first")) & (F.col("payload_digest") == F.col("digest")))
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return own.select(names).unionByName(full.select(names))
