@@ -4,8 +4,8 @@ The words that most documents use are compiled into an automaton whose states sh
 prefixes. Every transition carries the number of words that its state accepts by earlier ones; summed along a path
 this is the word's index in the output table, which holds the word's token ids. The arrays are saved as one .npy
 file, sent to every executor once, and memory-mapped there. A batch's distinct words run through it together;
-words outside it are merged exactly, by the vocabulary's ranks. Texts themselves are cut at ASCII white space, as
-UTF-8 bytes, and a task remembers what each cut piece gave for as long as it keeps coming.
+words outside it are merged exactly, by the vocabulary's ranks, many words a step. Texts themselves are cut at ASCII
+white space and put together again by Arrow; a task remembers what each cut piece gave for as long as it keeps coming.
 
 Defined cases: null text is empty and has no tokens; special strings get their ids; bytes that are no UTF-8 count as
 U+FFFD; rows repeat as they come; an empty table gives no rows; other columns are not read.
@@ -25,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, tune
+from .common import small, text_or_empty
 
 #: Words compiled into the automaton: the most frequent ones of the corpus.
 LEXICON_WORDS = 131072
 MEMO = 300_000
+NO_RANK = 1 << 60
 #: The vocabulary's white space without the six ASCII characters, which cut texts already.
 _SPACE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -59,6 +61,90 @@ class Vocabulary:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(plain)]
         self.stand_in = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+        # the same as numbers: ids of bytes inside and at the end of words, and a hash table of the pairs that merge
+        get = lambda x: self.ids.get(x, -1)
+        self.inner = np.array([get(self.stand_in[b]) for b in range(256)], np.int64)
+        self.last = np.array([get(self.stand_in[b] + self.end) for b in range(256)], np.int64)
+        pairs = [(get(a), get(b), get(a + b), r) for (a, b), r in self.ranks.items()]
+        self.numbered = min(self.inner.min(), self.last.min(), min((min(p) for p in pairs), default=0)) >= 0
+        self.merged = np.zeros(len(pairs) + 1, np.int64)
+        self.slots = np.full(1 << max(8, (4 * len(pairs)).bit_length()), -1, np.int64)
+        self.slot_rank = np.zeros(len(self.slots), np.int64)
+        key = np.array([a << 32 | b for a, b, _, _ in pairs], np.int64) if self.numbered else np.zeros(0, np.int64)
+        rank = np.array([r for *_, r in pairs], np.int64)[: len(key)]
+        self.merged[rank] = [m for *_, m, _ in pairs][: len(key)]
+        at, self.probes = self._slot(key), 0
+        while len(key):
+            self.probes += 1
+            free = np.flatnonzero(self.slots[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            placed = free[one]
+            self.slots[at[placed]], self.slot_rank[at[placed]] = key[placed], rank[placed]
+            left = np.ones(len(key), bool)
+            left[placed] = False
+            key, rank, at = key[left], rank[left], (at[left] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        h = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(64 - (len(self.slots).bit_length() - 1))).astype(np.int64)
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids; NO_RANK for pairs that do not merge, and where an id is -1."""
+        out = np.full(a.shape, NO_RANK)
+        todo = np.flatnonzero(((a >= 0) & (b >= 0)).ravel())
+        key = a.ravel()[todo] << 32 | b.ravel()[todo]
+        at = self._slot(key)
+        flat = out.reshape(-1)
+        for _ in range(self.probes):
+            held = self.slots[at]
+            hit = held == key
+            flat[todo[hit]] = self.slot_rank[at[hit]]
+            go = ~hit & (held >= 0)
+            todo, key, at = todo[go], key[go], (at[go] + 1) & (len(self.slots) - 1)
+        return out
+
+    def merge_many(self, words: list[str]) -> list[list[int]]:
+        """Token ids of each word: in every step all words merge their lowest-ranked pair, the leftmost of equals."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        out: list[list[int]] = [[] for _ in words]
+        for lo, hi in ((1, 8), (9, 16), (17, 32), (33, 64)):
+            own = np.flatnonzero((length >= lo) & (length <= hi)) if self.numbered else []
+            for a in range(0, len(own), 20_000):
+                self._merge_rows(own[a : a + 20_000], [raw[i] for i in own[a : a + 20_000].tolist()], hi, out)
+        for i in np.flatnonzero(length > (64 if self.numbered else 0)).tolist():
+            out[i] = self.merge(words[i])
+        return out
+
+    def _merge_rows(self, own: np.ndarray, raw: list[bytes], width: int, out: list[list[int]]) -> None:
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        row = np.repeat(np.arange(len(raw)), length)
+        end = np.cumsum(length)
+        ids = self.inner[flat]
+        ids[end - 1] = self.last[flat[end - 1]]
+        s = np.full((len(raw), width + 1), -1, np.int64)  # the last column stays empty
+        s[row, np.arange(len(flat)) - (end - length)[row]] = ids
+        r = np.concatenate([self.pair_ranks(s[:, :-1], s[:, 1:]), np.full((len(raw), 1), NO_RANK)], 1)
+        cols = np.arange(width + 1)
+        while len(s):
+            best = r.argmin(1)
+            rank = r[np.arange(len(r)), best]
+            stop = rank == NO_RANK
+            if stop.any():
+                for i, ids in zip(own[stop].tolist(), s[stop].tolist(), strict=True):
+                    out[i] = ids[: ids.index(-1)]
+                s, r, own, best, rank = (x[~stop] for x in (s, r, own, best, rank))
+            if not len(s):
+                break
+            at = np.arange(len(s))
+            s[at, best] = self.merged[rank]
+            right = cols[None, :-1] > best[:, None]
+            s[:, :-1] = np.where(right, s[:, 1:], s[:, :-1])
+            r[:, :-1] = np.where(right, r[:, 1:], r[:, :-1])
+            before = np.maximum(best - 1, 0)
+            r[at, best] = self.pair_ranks(s[at, best], s[at, best + 1])
+            r[at, before] = np.where(best > 0, self.pair_ranks(s[at, before], s[at, before + 1]), r[at, before])
 
     def words(self, piece: str) -> list[str]:
         """The normalised words of a piece without ASCII white space."""
@@ -223,23 +309,29 @@ class Automaton:
         return [flat[b - k : b] for b, k in zip(end.tolist(), n.tolist(), strict=True)]
 
 
+def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the texts' pieces between ASCII white space, one after another; where each text's start)."""
+    parts = pc.ascii_split_whitespace(texts)
+    flat, at = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    return (flat, at) if full.all() else (flat.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[at])
+
+
 class Encoder:
     """Ids and decoded text of whole texts, for one task."""
 
     def __init__(self, vocabulary: Vocabulary, automaton: Automaton):
         self.vocabulary, self.automaton = vocabulary, automaton
-        self.specials = {x.encode(): (str(i), x) for x, i in vocabulary.specials.items()}
-        #: piece -> (its ids joined, its decoded text); what has not come since `shown` was last full is forgotten
-        self.shown: dict[bytes, tuple[str, str]] = {}
-        self.before: dict[bytes, tuple[str, str]] = {}
-        self.merged: dict[str, list[int]] = {}
+        self.specials = {x.encode(): (1, str(i), x) for x, i in vocabulary.specials.items()}
+        #: piece -> (its number of ids, its ids joined, its decoded text); what has not come since `shown` was last full is forgotten
+        self.shown: dict[bytes, tuple[int, str, str]] = {}
+        self.before: dict[bytes, tuple[int, str, str]] = {}
 
     def learn(self, pieces: set[bytes]) -> None:
         """Encode the pieces that are new: distinct words through the automaton, the rest by merging."""
         if len(self.shown) > MEMO // 2:
             self.before, self.shown = self.shown, {}
-        if len(self.merged) > MEMO // 2:
-            self.merged = {}
         shown, before = self.shown, self.before
         fresh = pieces.difference(shown)
         again = fresh.intersection(before)
@@ -250,18 +342,14 @@ class Encoder:
         token = self.vocabulary.tokens
         for p, ws in zip(new, split, strict=True):
             own = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
-            shown[p] = (" ".join(map(str, own)), self.decode(own, token))
+            shown[p] = (len(own), " ".join(map(str, own)), self.decode(own, token))
 
     def word_ids(self, words: list[str]) -> dict[str, list[int]]:
-        found = self.automaton.lookup([w.encode() for w in words])
+        found = self.automaton.lookup([w.encode("utf-8", "surrogatepass") for w in words])
         at = np.flatnonzero(found >= 0)
         ids = dict(zip([words[i] for i in at.tolist()], self.automaton.outputs(found[at]), strict=True))
-        merged = self.merged
-        for i in np.flatnonzero(found < 0).tolist():
-            w = words[i]
-            if w not in merged:
-                merged[w] = self.vocabulary.merge(w)
-            ids[w] = merged[w]
+        rest = [words[i] for i in np.flatnonzero(found < 0).tolist()]
+        ids.update(zip(rest, self.vocabulary.merge_many(rest), strict=True))
         return ids
 
     @staticmethod
@@ -269,26 +357,42 @@ class Encoder:
         """The file names no decoder: tokens stand side by side, parted by a space."""
         return " ".join([token[i] for i in ids])
 
-    def pieces(self, text: bytes) -> list[bytes]:
-        """The text between ASCII white space; special strings are pieces of their own."""
-        if any(x in text for x in self.specials):
-            parts = self.vocabulary.special_cut.split(text.decode("utf-8", "replace"))
-            return [p for part in parts for p in ([part.encode()] if part in self.vocabulary.specials else part.encode().split())]
-        return text.split()
-
-    def run(self, texts: list[bytes]) -> list[tuple[int, str, str]]:
-        """(number of ids, ids joined by a space, decoded text) of each UTF-8 text."""
-        cut = [self.pieces(t) for t in texts]
-        need: set[bytes] = set().union(*cut)
-        self.learn(need - self.specials.keys())
+    def special_pieces(self, text: bytes) -> list[bytes]:
+        """The pieces of a text in which special strings stand; they are pieces of their own."""
+        parts = self.vocabulary.special_cut.split(text.decode("utf-8", "replace"))
+        return [p for part in parts for p in ([part.encode()] if part in self.vocabulary.specials else part.encode().split())]
+
+    def run(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(number of ids, ids joined by a space, decoded text) of each text."""
+        special = np.zeros(len(texts), bool)
+        for x in self.specials:
+            special |= pc.match_substring(texts, x.decode()).to_numpy(zero_copy_only=False)
+        flat, at = _pieces(pc.if_else(pa.array(special), "", texts) if special.any() else texts)
+        coded = flat.dictionary_encode()
+        code, names = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+        if special.any():  # their pieces go in between
+            rows = np.flatnonzero(special)
+            own = [self.special_pieces(texts[i].as_py().encode()) for i in rows.tolist()]
+            number = {p: i for i, p in enumerate(names)}
+            extra = [np.array([number.setdefault(p, len(number)) for p in ps], np.int64) for ps in own]
+            names = list(number)
+            size = np.diff(at)
+            cuts = np.split(code, at[1:-1])
+            for i, e in zip(rows.tolist(), extra, strict=True):
+                cuts[i], size[i] = e, len(e)
+            code, at = np.concatenate(cuts), np.concatenate([[0], np.cumsum(size)])
+        self.learn(set(names) - self.specials.keys())
         self.shown.update(self.specials)
-        get = self.shown.__getitem__
-        out = []
-        for c in cut:
-            got = [x for x in map(get, c) if x[0]]
-            ids = " ".join([x[0] for x in got])
-            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join([x[1] for x in got])))
-        return out
+        got = [self.shown[p] for p in names]
+        n = np.array([g[0] for g in got], np.int64)
+        if len(n) and not n.all():  # pieces without any id leave nothing to join
+            full = n[code] > 0
+            at = np.concatenate([[0], np.cumsum(full)])[at]
+            code = code[full]
+        take, offsets = pa.array(code), pa.array(at.astype(np.int32))
+        joined = [pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array([g[k] for g in got], pa.string()).take(take)), " ") for k in (1, 2)]
+        total = np.concatenate([[0], np.cumsum(n[code])])
+        return total[at[1:]] - total[at[:-1]], joined[0], joined[1]
 
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", top: int = LEXICON_WORDS) -> list[str]:
@@ -308,25 +412,32 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", top: int
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(t.split())
+        for b in small(batches, 0):
+            found = _pieces(b.column(0))[0].value_counts()
+            for piece, n in zip(found.field(0).cast(pa.binary()).to_pylist(), found.field(1).to_pylist(), strict=True):
+                seen[piece] += n
             if len(seen) > 2 * MEMO:
                 yield flush()
         yield flush()
 
-    counted = docs.select(text_or_empty(text_col).cast("binary").alias("text")).mapInArrow(run, "word string, n long")
+    counted = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word string, n long")
     total = counted.groupBy("word").agg(F.sum("n").alias("n"))
     rows = total.orderBy(F.desc("n"), "word").limit(top).select("word").collect()  # `top` rows at most
     return [r[0] for r in rows]
 
 
+#: Folders of shipped files, removed when the driver ends.
+_SHIPPED: list[tempfile.TemporaryDirectory] = []
+
+
 def ship_lexicon(spark: SparkSession, words: list[str], path: str) -> str:
     """Compile the words, send the file to all executors, and give its name there."""
     v = Vocabulary(path)
-    parts = build_automaton({w.encode("utf-8", "surrogatepass"): v.merge(w) for w in words if w})
+    words = [w for w in words if w]
+    parts = build_automaton(dict(zip([w.encode("utf-8", "surrogatepass") for w in words], v.merge_many(words), strict=True)))
     name = f"lexicon-{uuid.uuid4().hex}.npy"  # two shipped files never share a name
-    local = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
+    _SHIPPED.append(tempfile.TemporaryDirectory(prefix="spark-"))
+    local = os.path.join(_SHIPPED[-1].name, name)
     save_automaton(parts, local)
     spark.sparkContext.addFile(local)
     return name
@@ -334,21 +445,18 @@ def ship_lexicon(spark: SparkSession, words: list[str], path: str) -> str:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", top: int = LEXICON_WORDS, with_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with_text adds the ids and the decoded text."""
-    spark = docs.sparkSession
-    tune(spark)
-    name = ship_lexicon(spark, frequent_words(docs, path, text_col, top), path)
-    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+    name = ship_lexicon(docs.sparkSession, frequent_words(docs, path, text_col, top), path)
+    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    sha = lambda texts: pa.array([hashlib.sha256(x).hexdigest() for x in texts.cast(pa.binary()).to_pylist()], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(Vocabulary(path), Automaton(SparkFiles.get(name)))
-        for b in batches:
-            got = e.run(b.column(1).to_pylist())
-            cols = [b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([sha(g[1]) for g in got], pa.string()), pa.array([sha(g[2]) for g in got], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        for b in small(batches, 1):
+            n, ids, decoded = e.run(b.column(1))
+            cols, names = [b.column(0), pa.array(n), sha(ids), sha(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_text:
-                cols += [pa.array([[int(i) for i in g[1].split()] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())]
+                cols += [pa.array([[int(i) for i in x.split()] for x in ids.to_pylist()], pa.list_(pa.int32())), decoded]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
