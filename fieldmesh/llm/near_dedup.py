@@ -8,15 +8,17 @@
    a node meets only those not reached yet, and the walk's tree is all that leaves the task. Buckets of more
    than BLOCK classes are dealt to tasks as pairs of blocks.
 3. The trees' components hold all linked texts together. Within each the full sets are compared, again by a walk
-   that meets only what is not reached, again in pairs of blocks where the component is large; the confirmed
-   trees give the final components.
+   that meets only what is not reached. A component of more than SET_BLOCK classes is dealt to tasks in chunks: a few centres
+   are compared with all members first, and what these stars join needs no further comparison among itself; only the
+   members outside the largest star are then compared with all others. The confirmed trees give the final components.
 
 A pair at similarity 0.8 misses all bands with a probability below (1 - 0.8**ROWS) ** (REGISTERS / ROWS), some
 4e-7; the estimate's floor of 0.55 is more than six standard errors away.
 
-Defined cases: null or empty text, and text without words, has an empty set and is linked with nothing; a text
-with fewer words than a shingle is one shingle; rows that repeat a doc_id are each returned; an empty table gives
-no rows; other columns are not read.
+Ids may be of any type that sorts; null comes last. Rows that repeat a doc_id with different texts are different documents,
+in the order of their texts' 64-bit hashes; of a component the smallest row is kept, and rows that repeat both are marked
+alike. Null or empty text, and text without words, has an empty set and is linked with nothing; a text with fewer words
+than a shingle is one shingle; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, sized, stage, text_or_empty, tune
+from .common import release, rows_of, sized, small, stage, text_or_empty
 from .components import components
 
 REGISTERS, ROWS = 112, 4
 BASE = 1.02
 BLOCK, SET_BLOCK = 2048, 512
+#: Centres of a round, and rounds, before what is left outside the largest star meets all others.
+CENTRES, ROUNDS = 16, 2
 FLOOR = 0.55
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _SPACES = np.zeros(256, bool)
@@ -152,20 +156,21 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketched(base: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (a 128-bit digest of the set), sketch."""
+    """doc_id, tie, n_shingles, s1, s2 (a 128-bit digest of the set), sketch; base: doc_id, tie, text."""
+    kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s, at = shingle_sets(*_flat(b.column(1)), width)
+        for b in small(batches, 2):
+            s, at = shingle_sets(*_flat(b.column(2)), width)
             n = np.diff(at)
             sums = []
             for c in (0, 1):
                 total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(s + _M[c]), dtype=np.uint64)])
                 sums.append(pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)))
             sig = registers(s, at)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *sums, pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), *sums, pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "tie", "n_shingles", "s1", "s2", "sketch"])
 
-    return base.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary")
+    return base.mapInArrow(run, f"doc_id {kind}, tie long, n_shingles long, s1 long, s2 long, sketch binary")
 
 
 def _walk(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -242,8 +247,11 @@ def _bucket_trees(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _confirmed_trees(dealt: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) with 100 * intersection >= percent * union; columns gkey, id, shingles."""
+def _confirmed(dealt: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) with 100 * intersection >= percent * union; columns gkey, id, lead, shingles.
+
+    A group without leads is walked; in one with leads, each of them is compared with all members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
@@ -272,25 +280,72 @@ def _confirmed_trees(dealt: DataFrame, percent: int) -> DataFrame:
                 hit[fit] = 100 * both >= percent * (size[some] + size[i] - both)
                 return hit
 
-            tree = _walk(len(ids), linked)
+            leads = np.flatnonzero(t.column("lead").to_numpy(zero_copy_only=False))
+            if len(leads):
+                every = np.arange(len(ids))
+                tree = [(i, int(k)) for i in leads.tolist() for k in every[linked(i, every)] if k != i]
+            else:
+                tree = _walk(len(ids), linked)
             yield pa.RecordBatch.from_arrays([pa.array([int(ids[i]) for i, _ in tree], pa.int64()), pa.array([int(ids[k]) for _, k in tree], pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # leads come first in their groups
+    return dealt.repartition(parts, "gkey").sortWithinPartitions("gkey", F.desc("lead"), "id").mapInArrow(run, "a long, b long")
+
 
+def _led(members: DataFrame, leads: DataFrame, part: int) -> DataFrame:
+    """Groups in which leads (component, id) meet all members of their component.
 
-def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+    Members are dealt to chunks of SET_BLOCK; the leads, in parts of `part`, go to every chunk, and the members to every part.
+    """
+    n_parts = leads.groupBy("component").agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("parts"))
+    chunks = F.ceil(F.col("size") / F.lit(SET_BLOCK)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    m = members.join(n_parts, "component").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(5)), chunks).cast("int")).withColumn("part", upto(F.col("parts")))
+    lead = members.join(leads.select("component", "id"), ["component", "id"], "left_semi").join(n_parts, "component")
+    lead = lead.withColumn("part", F.pmod(F.xxhash64("id", F.lit(6)), F.col("parts")).cast("int")).withColumn("chunk", upto(chunks))
+    key = F.xxhash64("component", "chunk", "part").alias("gkey")
+    columns = ["id", "shingles"]
+    return m.select(key, *columns, F.lit(False).alias("lead")).unionByName(lead.select(key, *columns, F.lit(True).alias("lead")))
+
+
+def _outside(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(component, id) of the members that are not in their component's largest star."""
+    star = members.select("component", "id").join(components(links).withColumnRenamed("component", "star"), "id", "left")
+    star = stage(star.select("component", "id", F.coalesce("star", "id").alias("star")), "stars")
+    size = star.groupBy("component", "star").agg(F.count("*").alias("n"))
+    largest = size.groupBy("component").agg(F.max_by("star", F.struct("n", "star")).alias("largest"))
+    return stage(star.join(largest, "component").filter("star != largest").select("component", "id"), "outside")
+
+
+def _large_links(members: DataFrame, percent: int) -> DataFrame:
+    """Confirmed edges within large components; members: id, component, size, shingles, staged."""
+    open_ = members.select("component", "id")
+    links = None
+    for round_ in range(ROUNDS):
+        n = open_.groupBy("component").agg(F.count("*").alias("n_open"))
+        leads = open_.join(n, "component").filter(F.pmod(F.xxhash64("id", F.lit(round_)), F.col("n_open")) < CENTRES).select("component", "id")
+        found = stage(_confirmed(_led(members, stage(leads, "centres"), CENTRES * 4), percent), "star-links")
+        links = found if links is None else links.unionByName(found)
+        open_ = _outside(members, links)
+        if not open_.limit(1).count():
+            return links
+    return links.unionByName(stage(_confirmed(_led(members, open_, SET_BLOCK // 2), percent), "last-links"))
+
+
+def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_tie: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; with_tie adds the text's hash."""
     spark = docs.sparkSession
-    tune(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    base = base.select("doc_id", F.xxhash64("text").alias("tie"), "text")
     marks = stage(_sketched(base, width), "sketches")
     digest = ["n_shingles", "s1", "s2"]
-    full = marks.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy(*digest).agg(F.min("doc_id").alias("id"))
-    classes = stage(classes, "classes")
-    one = full.join(classes.select(*digest, F.col("id").alias("doc_id")), [*digest, "doc_id"]).dropDuplicates([*digest]).select(F.col("doc_id").alias("id"), "n_shingles", "sketch")
-    one = stage(one, "class-sketches")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tie")
+    # classes get numbers of their own; they are written, so the numbers stay
+    classes = marks.filter("n_shingles > 0").groupBy(*digest).agg(F.min(place).alias("place"), F.first("sketch").alias("sketch"))
+    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    one = classes.select("id", "n_shingles", "sketch")
     step = 2 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * step + 1, step)) for i in range(REGISTERS // ROWS)])
     banded = one.select("id", F.explode(bands).alias("bucket"))
@@ -301,30 +356,39 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     trees = stage(_bucket_trees(dealt.repartition(parts, "gkey").sortWithinPartitions("gkey", "id")), "bucket-trees")
     near = components(trees)
     sizes = near.groupBy("component").agg(F.count("*").alias("size"))
-    near = stage(near.join(sizes, "component").select("id", "component", "size"), "near")
-    n_near = near.count()
+    near = near.join(sizes, "component").join(classes.select("id", "place.doc_id", "place.tie"), "id")
+    near = stage(near.select("id", "component", "size", "doc_id", "tie"), "near")
+    n_near, n_large = near.select(F.count("*"), F.count_if(F.col("size") > SET_BLOCK)).first()
 
-    asked = base.withColumnRenamed("doc_id", "id").join(sized(near, n_near, 32), "id").select("id", "text", "component", "size")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.tie") == F.col("c.tie"))
+    asked = base.alias("d").join(sized(near, n_near, 56).alias("c"), same).select("id", "text", "component", "size")
+    if marks.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        asked = asked.dropDuplicates(["id"])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 1):
             s, at = shingle_sets(*_flat(b.column(1)), width)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(s.view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), lists], ["id", "component", "size", "shingles"])
 
-    got = asked.mapInArrow(with_sets, "id long, component long, size long, shingles array<long>")
-    checked = _dealt(got, "size", SET_BLOCK, "component").select("gkey", "id", "shingles")
-    linked = stage(_confirmed_trees(checked.repartition(parts, "gkey").sortWithinPartitions("gkey", "id"), percent), "links")
-    final = components(linked)
-    ids = classes.join(final, "id", "left").select(*digest, F.coalesce("component", "id").alias("c"))
+    sets = lambda rows: rows.mapInArrow(with_sets, "id long, component long, size long, shingles array<long>")
+    few = sets(asked.filter(F.col("size") <= SET_BLOCK))
+    links = stage(_confirmed(few.select(F.xxhash64("component").alias("gkey"), "id", F.lit(False).alias("lead"), "shingles"), percent), "links")
+    if n_large:
+        links = links.unionByName(_large_links(stage(sets(asked.filter(F.col("size") > SET_BLOCK)), "large-sets"), percent))
+    final = components(links).withColumnRenamed("component", "joined")
+    ids = stage(classes.join(final, "id", "left").select(*digest, "place", F.coalesce("joined", "id").alias("joined")), "joined")
+    first = ids.groupBy("joined").agg(F.min("place").alias("first"))
+    ids = ids.join(first, "joined").select(*digest, "first")
     out = marks.drop("sketch").join(ids, digest, "left")
-    component = F.coalesce("c", "doc_id")
-    for t in (one, buckets, trees):
+    own = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    for t in (buckets, trees):
         release(t)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(place.eqNullSafe(F.col("first")) | F.col("first").isNull(), F.lit(True))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), kept.alias("kept"), *(["tie"] if with_tie else []))
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component stays, with its own columns."""
-    kept = near_components(docs, width, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component stays, with its own columns; of rows that repeat a doc_id and a text one stays."""
+    kept = near_components(docs, width, percent, id_col, text_col, with_tie=True).filter("kept").select("doc_id", "tie")
+    return rows_of(docs, kept, doc_id=F.col(f"d.`{id_col}`"), tie=F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))))
