@@ -1,55 +1,66 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
-
-A token is a word (or the end of a text), spelt as its UTF-8 bytes and a closing space; each byte is eight binary
-decisions. For every decision four predictors keep how often a one followed in their context, in hashed slots: the
-last byte, the last two, the last three, and all of the word so far. Their stretched probabilities are weighted and
-summed, with weights that a gate selects by how much the longest context has seen; a refinement map, also selected by the
-gate, corrects what the mix says by what came of it. The product over a text's decisions is its probability.
-
-1. Words are counted over the training documents, in blocks of documents, and summed over the corpus; the same pass
-   notes every block's words.
-2. Slot counts are summed over all distinct training words, weighted by their counts, in partial tables
-   that are added up in pieces. Their size is fixed by SLOTS, whatever the corpus.
-3. Weights are learnt online, batch after batch, on at most FIT_WORDS training words chosen by hash, each predicted
-   from the counts without its own occurrence; then the refinement map is filled the same way.
-4. Each distinct word is scored once; blocks get their words' scores back, and texts are summed.
-
-Defined cases: null text is empty and consists of its end; a null doc_id is held out (as the crc32 of the
-empty text is 0); rows that repeat a doc_id are all scored and all count in training; with no training text N and V are 0
+"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+
+A text is a row of tokens: its words, then an end. Each token is coded in binary decisions. The first CLASS_BITS of them
+name its class: the OWN most frequent words (the end among them) are classes of their own, the other words share
+classes by their first two bytes, cut so that the classes have equal mass. Within a class a known word has its
+share of the training counts; an unknown one has the share of the class's words that came once, times the
+probability of its spelling, eight decisions a byte.
+
+Every decision is predicted from hashed slots that count zeros and ones: for classes after the class before, the two
+classes before and the word before; for spellings after one, two and three bytes and the word so far. For classes a match
+predictor is added: the word that followed when this text last had the same two words. The stretched predictions are
+weighted and summed; a gate (length of the match, counts of the last context) selects the weights. A refinement map
+corrects what the mix says by what came of it. Probabilities multiply; bits per byte follow.
+
+1. Tasks cut texts into words and pack them as blocks: word numbers and the block's distinct words.
+2. Words are counted over the training texts of all blocks; class borders and masses follow from the counts.
+3. Spelling is learnt online over the distinct training words, and words that only other texts have are spelt.
+4. Blocks get their words' counts back (one row for each block and word).
+5. Classes are learnt online, block after block, in a seeded order of documents: each batch is predicted from what came
+   before it, then moves the weights, fills the refinement map, and is counted. Tasks' states merge by sums (weights by
+   their decisions), piece by piece in tasks; the table's size is fixed by SLOTS.
+6. Texts are scored from the merged state, and weights go on adapting within each text, from its start to its end, so a
+   score depends on the text and the model only.
+
+Defined cases: null text is empty and consists of its end; a null doc_id is held out (as the crc32 of the empty text
+is 0); rows that repeat a doc_id are all scored and all count in training; with no training text N and V are 0
 and every base term is log10(0.1 / 0.1); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty, tune
-
-#: log2 of each predictor's slots.
-SLOTS = (16, 18, 20, 23)
-#: Bytes of text in a block of documents; distinct words in a partial table; words that weights are fitted on.
-BLOCK_BYTES, PART_WORDS, FIT_WORDS = 16 << 20, 600_000, 200_000
+from .common import release, small, stage, text_or_empty
+
+CLASS_BITS, OWN = 7, 64
+CLASSES = 1 << CLASS_BITS
+#: log2 of the slots: class contexts (one class, two classes, a word's hash), spelling contexts (1, 2, 3 bytes, the word so far).
+SLOTS = (2 * CLASS_BITS, 3 * CLASS_BITS, 21)
+SPELL_SLOTS = (16, 18, 20, 20)
+BLOCK_BYTES = 8 << 20
+#: Tokens, and bytes of words, whose decisions are worked on at a time: few enough for the processor's caches.
+CHUNK, SPELL_CHUNK = 2048, 8192
+#: Longer words are spelt in pieces; one of full length is followed by another.
+SPELL_PIECE = 256
 PIECE = 1 << 16
-#: Words whose decisions are worked on at a time: few enough for the processor's caches.
-CHUNK = 2000
+CONF, RUNS, CELLS = 8, 9, 33
+RATE, SLOWER, OWN_RATE, FIRST_STEP = 0.15, 60.0, 0.02, 32
 END = b"\n"
-_START = np.cumsum([0, *(1 << s for s in SLOTS)])
-_TOTAL = int(_START[-1])
-_GATES, _CELLS = 32, 33
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """The tokens of a text without its end."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+_CLASS = np.arange(CLASSES)[:, None]
+_LEVEL = np.arange(CLASS_BITS)[None, :]
+#: The node at which each decision of a class is taken, and the bit that comes.
+NODE = (CLASSES | _CLASS) >> (CLASS_BITS - _LEVEL)
+BIT = (_CLASS >> (CLASS_BITS - 1 - _LEVEL) & 1).astype(np.int8)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,8 +68,171 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def decisions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots of the four predictors, the bit, the word) of every decision."""
+def _starts(slots: tuple[int, ...]) -> np.ndarray:
+    return np.cumsum([0, *(1 << s for s in slots)])
+
+
+def _confidence(seen: np.ndarray) -> np.ndarray:
+    """The magnitude of what a context has seen."""
+    return np.minimum(np.log2(seen + 1.0), CONF - 1).astype(np.int64)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def _cells(mix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The refinement cell below a stretched prediction, and how far it is on the way to the next one."""
+    x = (np.clip(mix, -8, 8) + 8) * ((CELLS - 1) / 16)
+    lo = np.minimum(x.astype(np.int64), CELLS - 2)
+    return lo, x - lo
+
+
+class Learner:
+    """Slot counts, gated weights and refinement map of one task, learnt online."""
+
+    def __init__(self, slots: tuple[int, ...], inputs: int, groups: int):
+        self.counts = np.zeros((int(_starts(slots)[-1]), 2), np.float32)
+        self.weights = np.full((groups * CONF, inputs), 0.4, np.float32)
+        self.seen = np.zeros(groups * CONF)
+        self.refined = np.zeros((groups, CELLS, 2))
+        self.hits = np.zeros((RUNS, 2))
+        self.step = 0
+
+    def learn(self, slots: list[np.ndarray], extra: np.ndarray | None, group: np.ndarray, bit: np.ndarray) -> None:
+        """Predict a batch of decisions from what came before, then learn from it."""
+        gates = len(self.seen)
+        st = np.empty((len(bit), self.weights.shape[1]), np.float32)
+        for k, s in enumerate(slots):
+            c = self.counts[s]
+            st[:, k] = np.log((c[:, 1] + np.float32(0.2)) / (c[:, 0] + np.float32(0.2)))
+        gate = group * CONF + _confidence(c[:, 0] + c[:, 1])
+        if extra is not None:
+            st[:, -1] = extra
+        mix = np.clip(np.einsum("nk,nk->n", self.weights[gate], st), -12, 12)
+        error = bit - _sigmoid(mix)
+        n = np.bincount(gate, minlength=gates)
+        rate = RATE / (1 + self.step / SLOWER) / np.maximum(n, 32)
+        for k in range(st.shape[1]):
+            self.weights[:, k] += rate * np.bincount(gate, error * st[:, k], gates)
+        self.seen += n
+        self.step += 1
+        lo, part = _cells(mix)
+        at = (group * CELLS + lo) * 2 + bit
+        size = self.refined.size
+        self.refined += (np.bincount(at, 1 - part, size) + np.bincount(at + 2, part, size)[:size]).reshape(self.refined.shape)
+        flat, one = self.counts.reshape(-1), np.float32(1)
+        for s in slots:
+            np.add.at(flat, s * 2 + bit, one)
+
+    def state(self) -> Iterator[pa.RecordBatch]:
+        """Rows (piece, where, what): the slots that are not empty, and under piece -1 the rest."""
+        rest = np.concatenate([(self.weights * self.seen[:, None]).ravel(), self.seen, self.refined.ravel(), self.hits.ravel()])
+        yield _state_row(-1, b"", rest.astype(np.float64).tobytes())
+        for i in range(0, len(self.counts), PIECE):
+            part = self.counts[i : i + PIECE]
+            where = np.flatnonzero(part.any(1))
+            if len(where):
+                yield _state_row(i // PIECE, where.astype(np.uint16).tobytes(), part[where].tobytes())
+
+
+_STATE = "piece int, at binary, what binary"
+
+
+def _state_row(piece: int, at: bytes, what: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([at], pa.binary()), pa.array([what], pa.binary())], ["piece", "at", "what"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the states' pieces; rows come sorted by piece, so one piece is held at a time."""
+    now, total = None, None
+
+    def done() -> pa.RecordBatch:
+        if now == -1:
+            return _state_row(-1, b"", total.tobytes())
+        where = np.flatnonzero(total.any(1))
+        return _state_row(now, where.astype(np.uint16).tobytes(), total[where].astype(np.float32).tobytes())
+
+    for b in batches:
+        for piece, at, what in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if piece != now:
+                if now is not None:
+                    yield done()
+                now, total = piece, None
+            if piece == -1:
+                x = np.frombuffer(what)
+                total = x.copy() if total is None else total + x
+            else:
+                total = np.zeros((PIECE, 2)) if total is None else total
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(what, np.float32).reshape(-1, 2)
+    if now is not None:
+        yield done()
+
+
+@dataclass
+class Model:
+    """What scoring needs: stretched slots, the last context's confidence, weights, refinement map, match rates."""
+
+    stretch: np.ndarray
+    confidence: np.ndarray
+    weights: np.ndarray
+    refined: np.ndarray
+    hit: np.ndarray
+
+    def predict(self, slots: list[np.ndarray], extra: np.ndarray | None, group: np.ndarray, moved: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of a one, stretched inputs); moved: what the weights have been moved by, for each decision."""
+        st = np.empty((len(group), self.weights.shape[1]), np.float32)
+        for k, s in enumerate(slots):
+            st[:, k] = self.stretch[s]
+        first = len(self.stretch) - len(self.confidence)
+        w = self.weights[group * CONF + self.confidence[s - first]]
+        if extra is not None:
+            st[:, -1] = extra
+        if moved is not None:
+            w += moved
+        mix = np.clip(np.einsum("nk,nk->n", w, st), -12, 12)
+        lo, part = _cells(mix)
+        flat = self.refined.reshape(-1)
+        at = group * CELLS + lo
+        p = 0.5 * _sigmoid(mix) + 0.5 * (flat[at] * (1 - part) + flat[at + 1] * part)
+        return np.clip(p, 2.0**-18, 1 - 2.0**-18), st
+
+
+def merged_model(states: DataFrame, slots: tuple[int, ...], inputs: int, groups: int) -> Model:
+    """Adds the tasks' states up in tasks, piece by piece; the driver gets one stretched number for each slot (fixed by SLOTS)."""
+    n = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    added = stage(states.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(_merged, _STATE), "model")
+    total, last, gates = int(_starts(slots)[-1]), 1 << slots[-1], groups * CONF
+    stretch, conf = np.zeros(total, np.float32), np.zeros(last, np.uint8)
+    rest = np.zeros(gates * inputs + gates + groups * CELLS * 2 + RUNS * 2)
+    for r in added.toLocalIterator():
+        if r["piece"] < 0:
+            rest = np.frombuffer(r["what"]).copy()
+            continue
+        at = np.frombuffer(r["at"], np.uint16).astype(np.int64) + r["piece"] * PIECE
+        c = np.frombuffer(r["what"], np.float32).reshape(-1, 2)
+        stretch[at] = np.log((c[:, 1] + np.float32(0.2)) / (c[:, 0] + np.float32(0.2)))
+        own = at >= total - last
+        conf[at[own] - (total - last)] = _confidence(c[own].sum(1))
+    release(added)
+    w, seen, refined, hits = np.split(rest, np.cumsum([gates * inputs, gates, groups * CELLS * 2]))
+    seen = seen[:, None]
+    weights = np.where(seen > 0, w.reshape(gates, inputs) / np.maximum(seen, 1), 0.4).astype(np.float32)
+    prior = _sigmoid(np.linspace(-8, 8, CELLS))
+    refined = refined.reshape(groups, CELLS, 2) + 8 * np.stack([1 - prior, prior], -1)
+    hits = hits.reshape(RUNS, 2) + 0.5
+    return Model(stretch, conf, weights, refined[..., 1] / refined.sum(-1), hits[:, 1] / hits.sum(1))
+
+
+# --- spelling -----------------------------------------------------------------------------------------------------
+
+
+def spelling_pieces(word: bytes) -> list[bytes]:
+    return [word[i : i + SPELL_PIECE] for i in range(0, len(word) + 1, SPELL_PIECE)]
+
+
+def spelling(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(slots of the four predictors, the bit, the word) of every decision of spelling words and a closing space."""
     n = len(words)
     length = np.fromiter(map(len, words), np.int64, n) + 1
     flat = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.uint64)
@@ -66,9 +240,9 @@ def decisions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = np.repeat(np.arange(n), length)
     at = np.arange(len(flat)) - first[word]
     shift = lambda k: np.where(at >= k, np.concatenate([np.zeros(k, np.uint64), flat[:-k]])[: len(flat)], np.uint64(0))
-    p1, p2, p3 = shift(1), shift(2), shift(3)
-    o1, o2 = p1, p1 | p2 << np.uint64(8)
-    o3 = o2 | p3 << np.uint64(16)
+    o1 = shift(1)
+    o2 = o1 | shift(2) << np.uint64(8)
+    o3 = o2 | shift(3) << np.uint64(16)
     # the word so far: a hash carried from byte to byte, all words in step
     prefix = np.zeros(len(flat), np.uint64)
     state = np.zeros(n, np.uint64)
@@ -80,269 +254,345 @@ def decisions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         state[live] = _mix((state[live] ^ (flat[where] + np.uint64(1))) * _M[0])
     bits = np.arange(8, dtype=np.uint64)
     node = (np.uint64(1) << bits)[None, :] | flat[:, None] >> (np.uint64(8) - bits)[None, :]
-    bit = (flat[:, None] >> (np.uint64(7) - bits)[None, :] & np.uint64(1)).astype(np.uint8).ravel()
-    slots = np.empty((4, len(bit)), np.int64)
-    slots[0] = (o1[:, None] << np.uint64(8) | node).ravel().astype(np.int64)
+    bit = (flat[:, None] >> (np.uint64(7) - bits)[None, :] & np.uint64(1)).astype(np.int8).ravel()
+    start = _starts(SPELL_SLOTS)
+    slots = [(o1[:, None] << np.uint64(8) | node).ravel().astype(np.int64)]
     for k, ctx in ((1, o2), (2, o3), (3, prefix)):
         h = ((ctx[:, None] + np.uint64(k)) * _M[0] ^ node * _M[2]) * _M[1]
-        slots[k] = (h >> np.uint64(64 - SLOTS[k])).ravel().astype(np.int64) + _START[k]
+        slots.append((h >> np.uint64(64 - SPELL_SLOTS[k])).ravel().astype(np.int64) + start[k])
     return slots, bit, np.repeat(word, 8)
 
 
-def slot_counts(words: list[bytes], counts: np.ndarray, table: np.ndarray) -> None:
-    """Add the words' decisions to table, (2, all slots): zeros and ones."""
-    for lo in range(0, len(words), CHUNK):
-        slots, bit, word = decisions(words[lo : lo + CHUNK])
-        c = counts[lo : lo + CHUNK][word].astype(np.float32)
-        for b in (0, 1):
-            own = bit == b
-            for k in range(4):
-                np.add.at(table[b], slots[k][own], c[own])
-
-
-def _gate(seen: np.ndarray) -> np.ndarray:
-    """By the decimal-free magnitude of what the longest context has seen."""
-    return np.minimum(np.log2(seen + 1.0), _GATES - 1).astype(np.int64)
-
-
-class Mixer:
-    """The predictors' counts, the gated weights and the refinement map."""
-
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray | None = None, refined: np.ndarray | None = None):
-        self.zeros, self.ones = zeros, ones
-        self.weights = np.tile(np.array([0.0, 0.1, 0.2, 0.7]), (_GATES, 1)) if weights is None else weights
-        #: (gates, cells, 2): what came of the mix's predictions, zeros and ones, with a prior at the prediction itself
-        at = 1 / (1 + np.exp(-np.linspace(-8, 8, _CELLS)))
-        self.refined = np.tile(np.stack([1 - at, at], -1) * 16, (_GATES, 1, 1)) if refined is None else refined
-
-    def inputs(self, slots: np.ndarray, bit: np.ndarray, own: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(stretched predictions, gate); own: occurrences of the decision itself, to be left out."""
-        st = np.empty((slots.shape[1], 4))
-        gate = None
-        for k in range(4):
-            z, o = self.zeros[slots[k]].astype(np.float64), self.ones[slots[k]].astype(np.float64)
-            if own:
-                z, o = np.maximum(z - own * (bit == 0), 0), np.maximum(o - own * (bit == 1), 0)
-            st[:, k] = np.log((o + 0.05) / (z + 0.05))
-            if k == 3:
-                gate = _gate(z + o)
-        np.clip(st, -12, 12, out=st)
-        return st, gate
-
-    def mixed(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((st * self.weights[gate]).sum(1), -12, 12)
-
-    def learn(self, slots: np.ndarray, bit: np.ndarray, count: np.ndarray, rate: float) -> None:
-        """One online step of the gated weights."""
-        st, gate = self.inputs(slots, bit, 1.0)
-        error = (bit - 1 / (1 + np.exp(-self.mixed(st, gate)))) * count
-        total = np.bincount(gate, count, _GATES) + 1e-9
-        for k in range(4):
-            self.weights[:, k] += rate * np.bincount(gate, error * st[:, k], _GATES) / total
-
-    def _cells(self, mix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = (np.clip(mix, -8, 8) + 8) * (_CELLS - 1) / 16
-        lo = np.minimum(x.astype(np.int64), _CELLS - 2)
-        return lo, x - lo
-
-    def refine(self, slots: np.ndarray, bit: np.ndarray, count: np.ndarray) -> None:
-        """Fill the refinement map with what came of the mix."""
-        st, gate = self.inputs(slots, bit, 1.0)
-        lo, part = self._cells(self.mixed(st, gate))
-        for cell, share in ((lo, 1 - part), (lo + 1, part)):
-            for b in (0, 1):
-                w = count * share * (bit == b)
-                self.refined[:, :, b] += np.bincount(gate * _CELLS + cell, w, _GATES * _CELLS).reshape(_GATES, _CELLS)
-
-    def fit(self, words: list[bytes], counts: np.ndarray) -> None:
-        """Weights online over the words in the order given, then the refinement map."""
-        weight = np.minimum(counts, 1000).astype(np.float64)
-        for step, a in enumerate(range(0, len(words), CHUNK)):
-            slots, bit, word = decisions(words[a : a + CHUNK])
-            self.learn(slots, bit, weight[a : a + CHUNK][word], 1.0 / (1 + 0.02 * step))
-        for a in range(0, len(words), CHUNK):
-            slots, bit, word = decisions(words[a : a + CHUNK])
-            self.refine(slots, bit, weight[a : a + CHUNK][word])
-
-
-def stretched(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(each slot's stretched prediction, the gate of each slot of the longest context), from the slots' counts."""
-    st = np.empty(_TOTAL, np.float32)
-    for i in range(0, _TOTAL, PIECE):
-        z, o = table[:, i : i + PIECE].astype(np.float64)
-        st[i : i + PIECE] = np.clip(np.log((o + 0.05) / (z + 0.05)), -12, 12)
-    return st, _gate(table[0, _START[3] :].astype(np.float64) + table[1, _START[3] :]).astype(np.uint8)
-
-
-class Scorer:
-    """Words' probabilities under fitted weights: the slots' predictions are stretched once, and looked up for every decision."""
-
-    def __init__(self, st: np.ndarray, gates: np.ndarray, weights: np.ndarray, refined: np.ndarray):
-        self.st, self.gates, self.weights = st, gates, weights.astype(np.float32)
-        rate = refined[:, :, 1] / refined.sum(-1)
-        self.low, self.step = rate[:, :-1].ravel(), np.diff(rate, axis=1).ravel()
-
-    def probability(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(probability of the bit that came, the word) of every decision."""
-        slots, bit, word = decisions(words)
-        gate = self.gates[slots[3] - _START[3]].astype(np.int64)
-        mix = np.einsum("kn,nk->n", self.st[slots], self.weights[gate]).astype(np.float64)
-        np.clip(mix, -12, 12, out=mix)
-        x = (np.clip(mix, -8, 8) + 8) * ((_CELLS - 1) / 16)
-        lo = np.minimum(x.astype(np.int64), _CELLS - 2)
-        at = gate * (_CELLS - 1) + lo
-        p = 0.5 / (1 + np.exp(-mix)) + 0.5 * (self.low[at] + self.step[at] * (x - lo))
-        np.clip(p, 2.0**-20, 1 - 2.0**-20, out=p)
-        return np.where(bit == 1, p, 1 - p), word
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of each word's probability."""
-        out = np.zeros(len(words))
-        for a in range(0, len(words), CHUNK):
-            own = words[a : a + CHUNK]
-            p, word = self.probability(own)
-            out[a : a + CHUNK] = np.bincount(word, np.log10(p), len(own))
-        return out
-
-
-def block_words(blocked: DataFrame) -> DataFrame:
-    """(block, word, n): each block's words and their count in its training texts; the end is a word of its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[Counter, set]] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, (train, other) in seen.items():
-                words = [*train, *(other - train.keys())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int32)), pa.array(words, pa.binary()), pa.array([train.get(w, 0) for w in words], pa.int64())], ["block", "word", "n"])
-            seen.clear()
+def _spelling_chunks(words: list[bytes]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Pieces of a bounded number of bytes, with the words they belong to."""
+    held, own, size = [], [], 0
+    for i, w in enumerate(words):
+        for p in spelling_pieces(w):
+            held.append(p)
+            own.append(i)
+            size += len(p) + 1
+            if size >= SPELL_CHUNK:
+                yield held, own
+                held, own, size = [], [], 0
+    if held:
+        yield held, own
+
+
+def spelling_bits(model: Model, words: list[bytes]) -> np.ndarray:
+    """log2 of the probability of each word's spelling."""
+    out = np.zeros(len(words))
+    for pieces, own in _spelling_chunks(words):
+        slots, bit, piece = spelling(pieces)
+        p, _ = model.predict(slots, None, np.zeros(len(bit), np.int64))
+        gain = np.bincount(piece, np.log2(np.where(bit == 1, p, 1 - p)), len(pieces))
+        np.add.at(out, own, gain)
+    return out
+
+
+def _learn_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    m = Learner(SPELL_SLOTS, len(SPELL_SLOTS), 1)
+    for b in batches:
+        for pieces, _ in _spelling_chunks(b.column(0).to_pylist()):
+            slots, bit, _ = spelling(pieces)
+            m.learn(slots, None, np.zeros(len(bit), np.int64), bit)
+    yield from m.state()
+
+
+# --- classes ------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Classes:
+    """The words with classes of their own, the class of each two first bytes, and the classes' masses."""
+
+    own: list[bytes]
+    of_prefix: np.ndarray
+    mass: np.ndarray
+    once: np.ndarray
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        n = len(words)
+        words = words.cast(pa.large_binary())
+        at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        raw = np.concatenate([raw, np.zeros(2, np.uint8)]).astype(np.int64)
+        second = np.where(at[1:] - at[:-1] > 1, raw[at[:-1] + 1], 0)
+        cls = self.of_prefix[raw[at[:-1]] << 8 | second]
+        own = pc.index_in(words, value_set=pa.array(self.own, pa.large_binary())).fill_null(-1).to_numpy()
+        return np.where(own >= 0, own, cls)
+
+
+def make_classes(counts: DataFrame) -> Classes:
+    """From (word, c): at most OWN words and 65,536 sums over two first bytes come to the driver."""
+    known = counts.filter("c > 0")
+    top = [bytes(r["word"]) for r in known.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(OWN - 1).select("word").collect()]
+    own = [END, *sorted(top)]
+    prefix = F.conv(F.rpad(F.hex(F.expr("substring(word, 1, 2)")), 4, "0"), 16, 10).cast("int")
+    name = F.when(F.col("word").isin([F.lit(w) for w in own]), F.col("word"))
+    sums = known.groupBy(prefix.alias("prefix"), name.alias("own")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect()
+    mass, once = np.zeros(CLASSES), np.zeros(CLASSES)
+    of_prefix, rare = np.zeros(65536), np.zeros(65536)
+    for r in sums:
+        if r["own"] is None:
+            of_prefix[r["prefix"]] += r["c"]
+            rare[r["prefix"]] += r["once"]
+        else:
+            mass[own.index(bytes(r["own"]))] += r["c"]
+    upto = np.cumsum(of_prefix) - of_prefix / 2
+    cls = OWN + np.minimum(upto * (CLASSES - OWN) / max(upto[-1], 1) if len(sums) else upto, CLASSES - OWN - 1).astype(np.int64)
+    mass += np.bincount(cls, of_prefix, CLASSES)
+    once += np.bincount(cls, rare, CLASSES)
+    once[OWN:] += 0.5  # a class without words that came once may still meet an unknown one
+    return Classes(own, cls, mass, once)
+
+
+def matches(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the predicted word or -1, run) of every token; texts start at `first`.
+
+    Predicted is what followed the last time this text had the two words before; run is 0 without a prediction, else
+    1 and the predictions in a row that came true just before, up to RUNS - 1.
+    """
+    n = len(ids)
+    place, run = np.full(n, -1), np.zeros(n, np.int64)
+    if n < 3:
+        return place, run
+    doc = np.zeros(n, np.int64)
+    doc[first[first < n]] = 1
+    np.cumsum(doc, out=doc)
+    same = np.flatnonzero(doc[2:] == doc[:-2]) + 2
+    a, b = ids[same - 2].astype(np.int64), ids[same - 1].astype(np.int64)
+    pair = np.unique(a * (int(ids.max()) + 1) + b, return_inverse=True)[1].ravel()
+    key = doc[same] * (int(pair.max(initial=0)) + 1) + pair
+    by = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[by][1:] == key[by][:-1])
+    place[same[by[again + 1]]] = same[by[again]]
+    hit = (place >= 0) & (ids == ids[np.maximum(place, 0)])
+    at = np.arange(n)
+    since = at - np.maximum.accumulate(np.where(hit, -1, at))  # hits in a row, this one included
+    before = np.concatenate([[0], since[:-1]])
+    run = np.where(place >= 0, 1 + np.minimum(before, RUNS - 2), 0)
+    return place, run
+
+
+@dataclass
+class Tokens:
+    """The tokens of several texts as arrays: classes, contexts, predicted classes and runs."""
+
+    cls: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
+    word: np.ndarray
+    guess: np.ndarray
+    run: np.ndarray
+    hit: np.ndarray
+
+    @staticmethod
+    def of(ids: np.ndarray, first: np.ndarray, cls_of: np.ndarray, hash_of: np.ndarray) -> Tokens:
+        cls, h = cls_of[ids].astype(np.int64), hash_of[ids].astype(np.int64)
+        back = lambda x, k, none: np.concatenate([np.full(k, none, x.dtype), x[:-k]])[: len(x)]
+        c1, c2, w1 = back(cls, 1, 0), back(cls, 2, 0), back(h, 1, 0)
+        first = first[first < len(ids)]
+        c1[first], c2[first], w1[first] = 0, 0, 0
+        c2[(first + 1)[first + 1 < len(ids)]] = 0
+        place, run = matches(ids, first)
+        guess = np.where(place >= 0, cls[np.maximum(place, 0)], -1)
+        hit = (place >= 0) & (ids == ids[np.maximum(place, 0)])
+        start = _starts(SLOTS)
+        word = (w1 & ((1 << (SLOTS[2] - CLASS_BITS)) - 1)) << CLASS_BITS
+        return Tokens(cls, c1 << CLASS_BITS, ((c2 << CLASS_BITS | c1) << CLASS_BITS) + start[1], word + start[2], guess, run, hit)
+
+    def decisions(self, at: np.ndarray | slice) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """(slots, match input, group, bit) of the tokens at the places, CLASS_BITS for each."""
+        cls, guess = self.cls[at], self.guess[at]
+        node, bit = NODE[cls], BIT[cls]
+        slots = [(c[at][:, None] + node).ravel() for c in (self.one, self.two, self.word)]
+        told = (guess >= 0)[:, None] & (NODE[guess] == node)
+        extra = np.where(told, BIT[guess] * np.float32(4) - np.float32(2), np.float32(0)).ravel()
+        return slots, extra, np.repeat(self.run[at], CLASS_BITS), bit.ravel()
+
+
+def learn_classes(m: Learner, t: Tokens) -> None:
+    for a in range(0, len(t.cls), CHUNK):
+        slots, extra, group, bit = t.decisions(slice(a, a + CHUNK))
+        m.learn(slots, extra, group, bit)
+    told = (t.guess >= 0) & (t.guess == t.cls)
+    m.hits += np.bincount(t.run[told] * 2 + t.hit[told], minlength=2 * RUNS).reshape(RUNS, 2)
+
+
+def class_bits(model: Model, t: Tokens, first: np.ndarray) -> np.ndarray:
+    """log2 of the probability of each token's class; the weights of every text adapt as it goes on.
+
+    A text's tokens come in steps, the first of FIRST_STEP tokens, each next one as long as all before; after each step
+    the text's weights move along its gradient.
+    """
+    n, texts = len(t.cls), len(first)
+    doc = np.repeat(np.arange(texts), np.diff(np.append(first, n)))
+    pos = np.arange(n) - first[doc]
+    level = np.where(pos < FIRST_STEP, 0, np.log2(np.maximum(pos, 1) / FIRST_STEP).astype(np.int64) + 1)
+    order = np.argsort(level, kind="stable")
+    cuts = np.searchsorted(level[order], np.arange(int(level.max(initial=0)) + 2))
+    moved = np.zeros((texts, model.weights.shape[1]), np.float32)
+    out = np.zeros(n)
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        pull = np.zeros((texts, moved.shape[1]))
+        for a in range(lo, hi, CHUNK):
+            at = order[a : min(a + CHUNK, hi)]
+            slots, extra, group, bit = t.decisions(at)
+            own = np.repeat(doc[at], CLASS_BITS)
+            p, st = model.predict(slots, extra, group, moved[own])
+            out[at] = np.log2(np.where(bit == 1, p, 1 - p)).reshape(-1, CLASS_BITS).sum(1)
+            error = bit - p
+            if hi < n:
+                for k in range(moved.shape[1]):
+                    pull[:, k] += np.bincount(own, error * st[:, k], texts)
+        if hi < n:
+            moved += OWN_RATE * pull / np.sqrt(1.0 + np.bincount(doc[order[lo:hi]], minlength=texts))[:, None] / CLASS_BITS
+    return out
+
+
+def text_bits(model: Model, ids: np.ndarray, first: np.ndarray, cls_of: np.ndarray, hash_of: np.ndarray, tail_of: np.ndarray) -> np.ndarray:
+    """log2 of each token's probability: its class, whether it is the predicted word, and its share within the class."""
+    t = Tokens.of(ids, first, cls_of, hash_of)
+    bits = class_bits(model, t, first)
+    told = (t.guess >= 0) & (t.guess == t.cls)
+    p = model.hit[t.run]
+    return bits + np.where(told, np.where(t.hit, np.log2(p), np.log2(1 - p) + tail_of[ids]), tail_of[ids])
+
+
+# --- blocks -------------------------------------------------------------------------------------------------------
+
+
+def cut_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(word numbers with an end behind each text, where texts start, the distinct words); number 0 is the end."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, at = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    if not full.all():
+        at = np.concatenate([[0], np.cumsum(full)])[at]
+        flat = flat.filter(pa.array(full))
+    coded = flat.dictionary_encode()
+    n = len(texts)
+    ids = np.zeros(len(flat) + n, np.int32)
+    ends = at[1:] + np.arange(n)
+    word = np.ones(len(ids), bool)
+    word[ends] = False
+    ids[word] = coded.indices.to_numpy() + 1
+    return ids, at[:-1] + np.arange(n), pa.concat_arrays([pa.array([END], pa.binary()), coded.dictionary.cast(pa.binary())])
+
+
+def _list(values: pa.Array) -> pa.Array:
+    """One row that holds all the values."""
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def pack_blocks(base: DataFrame) -> DataFrame:
+    """A row for each block of texts: its documents in a seeded order, their tokens, its words and their training counts."""
+    kind = base.schema["doc_id"].dataType.simpleString()
 
-        for b in batches:
-            for block, held, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                train, other = seen.setdefault(block, (Counter(), set()))
-                own = words_of(text)
-                own.append(END)
-                other.update(own) if held else train.update(own)
-                size += len(own)
-            if size > 8_000_000:  # a block may come in parts; they are summed later
-                yield from flush()
-                size = 0
-        yield from flush()
+    def block(number: int, rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.take(pc.sort_indices(rows, [("order", "ascending")]))
+        texts = rows.column("text").combine_chunks()
+        ids, first, words = cut_words(texts)
+        size = np.diff(np.append(first, len(ids)))
+        train = ~rows.column("held_out").to_numpy()
+        n = np.bincount(ids[np.repeat(train, size)], minlength=len(words))
+        lists = (rows.column("doc_id"), rows.column("held_out"), pc.binary_length(texts).cast(pa.int64()), pa.array(size), words, pa.array(n))
+        cols = [pa.array([number], pa.int64()), *map(_list, lists), pa.array([ids.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["block", "doc_id", "held_out", "n_bytes", "n_tokens", "words", "n", "ids"])
 
-    return blocked.select("block", "held_out", "text").mapInArrow(run, "block int, word binary, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for b in small(batches, 2):
+            held.append(b)
+            size += b.nbytes
+            if size >= BLOCK_BYTES:
+                yield block(number, pa.Table.from_batches(held))
+                number, held, size = number + 1, [], 0
+        if size:
+            yield block(number, pa.Table.from_batches(held))
 
+    schema = f"block long, doc_id array<{kind}>, held_out array<boolean>, n_bytes array<long>, n_tokens array<long>, words array<binary>, n array<long>, ids binary"
+    return base.mapInArrow(run, schema)
 
-def slot_table(distinct: DataFrame, n_distinct: int) -> np.ndarray:
-    """(2, all slots) counts over all distinct training words; partial tables are added up in pieces."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, _TOTAL), np.float32)
-        for b in batches:
-            slot_counts(b.column(0).to_pylist(), b.column(1).to_numpy(), table)
-        for i in range(0, _TOTAL, PIECE):
-            part = table[:, i : i + PIECE]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([np.ascontiguousarray(part).tobytes()], pa.binary())], ["piece", "counts"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+def _training(classes: Classes) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Learner(SLOTS, len(SLOTS) + 1, RUNS)
         for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.float32)
-                sums[i] = sums[i] + x if i in sums else x.astype(np.float64)
-        for i, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["piece", "counts"])
-
-    spark = distinct.sparkSession
-    parts = max(1, -(-n_distinct // PART_WORDS))
-    some = distinct.select("word", "c").repartition(parts).mapInArrow(partial, "piece int, counts binary")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = stage(some.repartition(n, "piece").mapInArrow(added, "piece int, counts binary"), "slots")
-    table = np.zeros((2, _TOTAL), np.float32)
-    for r in pieces.toLocalIterator():  # 2 * _TOTAL floats in all, fixed by SLOTS
-        i = r["piece"] * PIECE
-        x = np.frombuffer(r["counts"], np.float32).reshape(2, -1)
-        table[:, i : i + x.shape[1]] = x
-    return table
+            for held, size, raw, cls, h in zip(*(b.column(c).to_pylist() for c in ("held_out", "n_tokens", "ids", "cls", "hash")), strict=True):
+                ids, size, train = np.frombuffer(raw, np.int32), np.array(size, np.int64), ~np.array(held, bool)
+                ids, size = ids[np.repeat(train, size)], size[train]
+                if len(ids):
+                    learn_classes(m, Tokens.of(ids, np.cumsum(size) - size, np.frombuffer(cls, np.uint8), np.frombuffer(h, np.uint32)))
+        yield from m.state()
+
+    return run
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     spark = docs.sparkSession
-    tune(spark)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
     base = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), text_or_empty(text_col).alias("text"))
-    size = base.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    base = base.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    # a block's texts in one task: its words are noted once
-    noted = block_words(base.repartition(int(blocks), "block"))
-    noted = noted.withColumn("c", F.sum("n").over(W.partitionBy("word")))
-    noted = noted.withColumn("first", F.row_number().over(W.partitionBy("word").orderBy("block")) == 1)
-    noted = stage(noted.select("word", "block", "c", "first"), "words")
-    distinct = noted.filter("first AND c > 0")
-    n_train, n_distinct = distinct.select(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    table = slot_table(distinct, n_distinct)
-    share = min(1.0, FIT_WORDS / max(1, n_distinct))
-    fit = distinct.select("word", "c", F.xxhash64("word", F.lit(3)).alias("h")).filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-
-    shared = spark.sparkContext.broadcast(table)
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
-        counts: list[np.ndarray] = []
+    base = base.withColumn("order", F.xxhash64("doc_id", F.lit(10)))
+    kind = base.schema["doc_id"].dataType.simpleString()
+    blocks = stage(pack_blocks(base), "blocks", "zstd")
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.n").alias("n"))
+    counts = stage(words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
+    n_train, n_distinct = counts.filter("c > 0").select(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    classes = make_classes(counts)
+
+    # the end has a class of its own and is never spelt
+    learnt = stage(counts.filter((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word").mapInArrow(_learn_spelling, _STATE), "spelling")
+    speller = spark.sparkContext.broadcast(merged_model(learnt, SPELL_SLOTS, len(SPELL_SLOTS), 1))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words += b.column(0).to_pylist()
-            counts.append(b.column(1).to_numpy())
-        m = Mixer(*shared.value)
-        if words:
-            m.fit(words, np.concatenate(counts))
-        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.refined.tobytes()], pa.binary())], ["weights", "refined"])
-
-    # one task: FIT_WORDS words, whatever the corpus
-    fitted = fit.repartition(1).sortWithinPartitions("h").select("word", "c").mapInArrow(learn, "weights binary, refined binary").first()
-    if fitted:
-        weights, refined = np.frombuffer(fitted["weights"]).reshape(_GATES, 4), np.frombuffer(fitted["refined"]).reshape(_GATES, _CELLS, 2)
-    else:  # no training text: as they start
-        start = Mixer(*table)
-        weights, refined = start.weights, start.refined
+            bits = spelling_bits(speller.value, b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits)], ["word", "spelt"])
+
+    unknown = stage(counts.filter("c = 0").select("word").mapInArrow(spell, "word binary, spelt double"), "unknown-words")
+    speller.destroy()
+    rated = counts.filter("c > 0").select("word", "c", F.lit(None).cast("double").alias("spelt")).unionByName(unknown.select("word", F.lit(0).cast("long").alias("c"), "spelt"))
     unit = float(n_train) + 0.1 * (n_distinct + 1)
-    lookup = spark.sparkContext.broadcast(stretched(table))
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Scorer(*lookup.value, weights, refined)
-        last: tuple[bytes | None, float] = (None, 0.0)
+    def pack(t: pa.Table) -> pa.Table:
+        """One block's words as arrays in the order of their numbers."""
+        t = t.take(pc.sort_indices(t, [("at", "ascending")]))
+        c, spelt = t.column("c").to_numpy().astype(np.float64), t.column("spelt").fill_null(0.0).to_numpy()
+        cls = classes.of(t.column("word").combine_chunks())
+        whole = np.maximum(classes.mass[cls] + classes.once[cls], 1e-9)
+        tail = np.log2(np.maximum(np.where(c > 0, c, classes.once[cls]), 1e-9) / whole) + spelt
+        cols = [cls.astype(np.uint8), t.column("h").to_numpy().astype(np.uint32), tail, np.log10((c + 0.1) / unit), (c > 0).astype(np.uint8)]
+        return pa.table([t.column("block").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in cols)], ["block", "cls", "hash", "tail", "base", "known"])
+
+    # one row for each block and word: a frequent word has as many as there are blocks, and AQE splits a skewed join
+    noted = words.select("block", "at", "word", F.pmod(F.xxhash64("word", F.lit(7)), F.lit(1 << 31)).alias("h")).join(rated, "word")
+    packed = noted.groupBy("block").applyInArrow(pack, "block long, cls binary, hash binary, tail binary, base binary, known binary")
+    coded = stage(blocks.drop("words", "n").join(packed, "block"), "coded", "zstd")
+    for t in (blocks, learnt, unknown):
+        release(t)
+    states = stage(coded.select("held_out", "n_tokens", "ids", "cls", "hash").mapInArrow(_training(classes), _STATE), "states")
+    shared = spark.sparkContext.broadcast(merged_model(states, SLOTS, len(SLOTS) + 1, RUNS))
+    release(states)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         for b in batches:
-            words, c = b.column(0).to_pylist(), b.column(2).to_numpy()
-            # a word's rows follow one another
-            names = list(dict.fromkeys(words))
-            known = {last[0]: last[1]}
-            new = [w for w in names if w not in known]
-            known.update(zip(new, m.log10(new).tolist(), strict=True))
-            last = (words[-1], known[words[-1]]) if words else last
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(c > 0), pa.array(np.log10((c + 0.1) / unit)), pa.array([known[w] for w in words], pa.float64())], ["block", "word", "known", "base", "score"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    rated = stage(noted.select("word", "block", "c").mapInArrow(rate, "block int, word binary, known boolean, base double, score double"), "rated")
-    tune(spark)
-    kind = base.schema["doc_id"].dataType.simpleString()
+            for i in range(b.num_rows):
+                get = lambda c, dtype, i=i, b=b: np.frombuffer(b.column(c)[i].as_py(), dtype)
+                size, n_bytes = b.column("n_tokens")[i].values.to_numpy(), b.column("n_bytes")[i].values.to_numpy()
+                ids, first = get("ids", np.int32), np.cumsum(size) - size
+                bits = text_bits(shared.value, ids, first, get("cls", np.uint8), get("hash", np.uint32), get("tail", np.float64))
+                total = lambda x, first=first: np.add.reduceat(x, first)
+                bits, known = total(bits), total(get("known", np.uint8)[ids].astype(np.int64))
+                per_byte = pa.array(-bits / np.maximum(n_bytes, 1), mask=n_bytes == 0)
+                cols = [b.column("doc_id")[i].values, b.column("held_out")[i].values, pa.array(size), pa.array(known), pa.array(np.full(len(size), int(n_train)))]
+                cols += [pa.array(total(get("base", np.float64)[ids])), pa.array(bits * np.log10(2.0)), per_byte]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    def summed(texts: pa.Table, words: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        known, base_of, score_of = (words.column(c).to_numpy() for c in ("known", "base", "score"))
-        rows = []
-        for text in texts.column("text").to_pylist():
-            own = words_of(text)
-            own.append(END)
-            at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-            n_bytes = len((text or "").encode("utf-8", "surrogatepass"))
-            s = float(score_of[at].sum())
-            rows.append((len(own), int(known[at].sum()), float(base_of[at].sum()), s, -s / np.log10(2) / n_bytes if n_bytes else None))
-        cols = [texts.column("doc_id"), texts.column("held_out"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([int(n_train)] * len(rows), pa.int64())]
-        cols += [pa.array([r[i] for r in rows], pa.float64()) for i in (2, 3, 4)]
-        return pa.table(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-
-    both = base.groupBy("block").cogroup(rated.groupBy("block"))
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return both.applyInArrow(summed, schema)
+    return coded.mapInArrow(score, schema)
