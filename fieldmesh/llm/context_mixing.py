@@ -46,7 +46,8 @@ CLASSES = 1 << CLASS_BITS
 #: log2 of the slots: class contexts (one class, two classes, a word's hash), spelling contexts (1, 2, 3 bytes, the word so far).
 SLOTS = (2 * CLASS_BITS, 3 * CLASS_BITS, 21)
 SPELL_SLOTS = (16, 18, 20, 20)
-BLOCK_BYTES = 8 << 20
+#: Text in a block; tokens that are laid out as arrays at a time (a longer text stands alone).
+BLOCK_BYTES, SLICE = 24 << 20, 1 << 19
 #: Tokens, and bytes of words, whose decisions are worked on at a time: few enough for the processor's caches.
 CHUNK, SPELL_CHUNK = 2048, 8192
 #: Longer words are spelt in pieces; one of full length is followed by another.
@@ -61,6 +62,7 @@ _LEVEL = np.arange(CLASS_BITS)[None, :]
 #: The node at which each decision of a class is taken, and the bit that comes.
 NODE = (CLASSES | _CLASS) >> (CLASS_BITS - _LEVEL)
 BIT = (_CLASS >> (CLASS_BITS - 1 - _LEVEL) & 1).astype(np.int8)
+PULL = BIT * np.float32(4) - np.float32(2)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,8 +75,8 @@ def _starts(slots: tuple[int, ...]) -> np.ndarray:
 
 
 def _confidence(seen: np.ndarray) -> np.ndarray:
-    """The magnitude of what a context has seen."""
-    return np.minimum(np.log2(seen + 1.0), CONF - 1).astype(np.int64)
+    """The magnitude of what a context has seen: the exponent of a float32."""
+    return np.minimum(((seen + np.float32(1)).view(np.int32) >> 23) - 127, CONF - 1).astype(np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -83,9 +85,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _cells(mix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The refinement cell below a stretched prediction, and how far it is on the way to the next one."""
-    x = (np.clip(mix, -8, 8) + 8) * ((CELLS - 1) / 16)
+    x = (np.clip(mix, np.float32(-8), np.float32(8)) + np.float32(8)) * np.float32((CELLS - 1) / 16)
     lo = np.minimum(x.astype(np.int64), CELLS - 2)
-    return lo, x - lo
+    return lo, x - lo.astype(np.float32)
+
+
+def _stretched(counts: np.ndarray) -> np.ndarray:
+    """log(ones / zeros) of (..., 2) counts."""
+    both = np.log(counts + np.float32(0.2))
+    return both[..., 1] - both[..., 0]
+
+
+def _weighed(weights: np.ndarray, gate: np.ndarray, inputs: list[np.ndarray], moved: np.ndarray | None = None) -> np.ndarray:
+    """The gated sum of the inputs; moved: by input and text, what is added to the weights."""
+    mix = np.zeros(gate.shape, np.float32)
+    for k, x in enumerate(inputs):
+        w = weights[k][gate]
+        if moved is not None:
+            w += moved[k][:, None]
+        w *= x
+        mix += w
+    return np.clip(mix, np.float32(-12), np.float32(12), out=mix)
 
 
 class Learner:
@@ -93,41 +113,44 @@ class Learner:
 
     def __init__(self, slots: tuple[int, ...], inputs: int, groups: int):
         self.counts = np.zeros((int(_starts(slots)[-1]), 2), np.float32)
-        self.weights = np.full((groups * CONF, inputs), 0.4, np.float32)
+        self.pairs = self.counts.view(np.int64).ravel()  # a slot's two counts as one item
+        self.weights = np.full((inputs, groups * CONF), 0.4, np.float32)
         self.seen = np.zeros(groups * CONF)
         self.refined = np.zeros((groups, CELLS, 2))
         self.hits = np.zeros((RUNS, 2))
         self.step = 0
 
     def learn(self, slots: list[np.ndarray], extra: np.ndarray | None, group: np.ndarray, bit: np.ndarray) -> None:
-        """Predict a batch of decisions from what came before, then learn from it."""
+        """Predict a batch of decisions from what came before, then learn from it; all of one shape, group by rows."""
         gates = len(self.seen)
-        st = np.empty((len(bit), self.weights.shape[1]), np.float32)
-        for k, s in enumerate(slots):
-            c = self.counts[s]
-            st[:, k] = np.log((c[:, 1] + np.float32(0.2)) / (c[:, 0] + np.float32(0.2)))
-        gate = group * CONF + _confidence(c[:, 0] + c[:, 1])
+        inputs = []
+        for s in slots:
+            c = self.pairs[s].view(np.float32).reshape(*s.shape, 2)
+            inputs.append(_stretched(c))
+        gate = group[:, None] * CONF + _confidence(c[..., 0] + c[..., 1])
         if extra is not None:
-            st[:, -1] = extra
-        mix = np.clip(np.einsum("nk,nk->n", self.weights[gate], st), -12, 12)
+            inputs.append(extra)
+        mix = _weighed(self.weights, gate, inputs)
         error = bit - _sigmoid(mix)
-        n = np.bincount(gate, minlength=gates)
+        flat = gate.ravel()
+        n = np.bincount(flat, minlength=gates)
         rate = RATE / (1 + self.step / SLOWER) / np.maximum(n, 32)
-        for k in range(st.shape[1]):
-            self.weights[:, k] += rate * np.bincount(gate, error * st[:, k], gates)
+        for k, x in enumerate(inputs):
+            self.weights[k] += rate * np.bincount(flat, (error * x).ravel(), gates)
         self.seen += n
         self.step += 1
         lo, part = _cells(mix)
-        at = (group * CELLS + lo) * 2 + bit
+        at = ((group[:, None] * CELLS + lo) * 2 + bit).ravel()
+        part = part.ravel()
         size = self.refined.size
         self.refined += (np.bincount(at, 1 - part, size) + np.bincount(at + 2, part, size)[:size]).reshape(self.refined.shape)
         flat, one = self.counts.reshape(-1), np.float32(1)
         for s in slots:
-            np.add.at(flat, s * 2 + bit, one)
+            np.add.at(flat, (s * 2 + bit).ravel(), one)
 
     def state(self) -> Iterator[pa.RecordBatch]:
         """Rows (piece, where, what): the slots that are not empty, and under piece -1 the rest."""
-        rest = np.concatenate([(self.weights * self.seen[:, None]).ravel(), self.seen, self.refined.ravel(), self.hits.ravel()])
+        rest = np.concatenate([(self.weights * self.seen).ravel(), self.seen, self.refined.ravel(), self.hits.ravel()])
         yield _state_row(-1, b"", rest.astype(np.float64).tobytes())
         for i in range(0, len(self.counts), PIECE):
             part = self.counts[i : i + PIECE]
@@ -179,23 +202,19 @@ class Model:
     refined: np.ndarray
     hit: np.ndarray
 
-    def predict(self, slots: list[np.ndarray], extra: np.ndarray | None, group: np.ndarray, moved: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(probability of a one, stretched inputs); moved: what the weights have been moved by, for each decision."""
-        st = np.empty((len(group), self.weights.shape[1]), np.float32)
-        for k, s in enumerate(slots):
-            st[:, k] = self.stretch[s]
-        first = len(self.stretch) - len(self.confidence)
-        w = self.weights[group * CONF + self.confidence[s - first]]
+    def predict(self, slots: list[np.ndarray], extra: np.ndarray | None, group: np.ndarray, moved: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(probability of a one, stretched inputs), with group and moved (by input) for each row of decisions."""
+        inputs = [self.stretch[s] for s in slots]
+        gate = group[:, None] * CONF + self.confidence[slots[-1] - (len(self.stretch) - len(self.confidence))]
         if extra is not None:
-            st[:, -1] = extra
-        if moved is not None:
-            w += moved
-        mix = np.clip(np.einsum("nk,nk->n", w, st), -12, 12)
+            inputs.append(extra)
+        mix = _weighed(self.weights, gate, inputs, moved)
         lo, part = _cells(mix)
         flat = self.refined.reshape(-1)
-        at = group * CELLS + lo
-        p = 0.5 * _sigmoid(mix) + 0.5 * (flat[at] * (1 - part) + flat[at + 1] * part)
-        return np.clip(p, 2.0**-18, 1 - 2.0**-18), st
+        at = group[:, None] * CELLS + lo
+        below = flat[at]
+        p = np.float32(0.5) * (_sigmoid(mix) + below + (flat[at + 1] - below) * part)
+        return np.clip(p, np.float32(2.0**-18), np.float32(1 - 2.0**-18), out=p), inputs
 
 
 def merged_model(states: DataFrame, slots: tuple[int, ...], inputs: int, groups: int) -> Model:
@@ -211,17 +230,16 @@ def merged_model(states: DataFrame, slots: tuple[int, ...], inputs: int, groups:
             continue
         at = np.frombuffer(r["at"], np.uint16).astype(np.int64) + r["piece"] * PIECE
         c = np.frombuffer(r["what"], np.float32).reshape(-1, 2)
-        stretch[at] = np.log((c[:, 1] + np.float32(0.2)) / (c[:, 0] + np.float32(0.2)))
+        stretch[at] = _stretched(c)
         own = at >= total - last
         conf[at[own] - (total - last)] = _confidence(c[own].sum(1))
     release(added)
     w, seen, refined, hits = np.split(rest, np.cumsum([gates * inputs, gates, groups * CELLS * 2]))
-    seen = seen[:, None]
-    weights = np.where(seen > 0, w.reshape(gates, inputs) / np.maximum(seen, 1), 0.4).astype(np.float32)
+    weights = np.where(seen > 0, w.reshape(inputs, gates) / np.maximum(seen, 1), 0.4).astype(np.float32)
     prior = _sigmoid(np.linspace(-8, 8, CELLS))
     refined = refined.reshape(groups, CELLS, 2) + 8 * np.stack([1 - prior, prior], -1)
     hits = hits.reshape(RUNS, 2) + 0.5
-    return Model(stretch, conf, weights, refined[..., 1] / refined.sum(-1), hits[:, 1] / hits.sum(1))
+    return Model(stretch, conf, weights, (refined[..., 1] / refined.sum(-1)).astype(np.float32), hits[:, 1] / hits.sum(1))
 
 
 # --- spelling -----------------------------------------------------------------------------------------------------
@@ -232,7 +250,7 @@ def spelling_pieces(word: bytes) -> list[bytes]:
 
 
 def spelling(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(slots of the four predictors, the bit, the word) of every decision of spelling words and a closing space."""
+    """(slots of the four predictors and the bit, eight for a byte; the word of each byte) of spelling words and a closing space."""
     n = len(words)
     length = np.fromiter(map(len, words), np.int64, n) + 1
     flat = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.uint64)
@@ -254,13 +272,13 @@ def spelling(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
         state[live] = _mix((state[live] ^ (flat[where] + np.uint64(1))) * _M[0])
     bits = np.arange(8, dtype=np.uint64)
     node = (np.uint64(1) << bits)[None, :] | flat[:, None] >> (np.uint64(8) - bits)[None, :]
-    bit = (flat[:, None] >> (np.uint64(7) - bits)[None, :] & np.uint64(1)).astype(np.int8).ravel()
+    bit = (flat[:, None] >> (np.uint64(7) - bits)[None, :] & np.uint64(1)).astype(np.int8)
     start = _starts(SPELL_SLOTS)
-    slots = [(o1[:, None] << np.uint64(8) | node).ravel().astype(np.int64)]
+    slots = [(o1[:, None] << np.uint64(8) | node).astype(np.int64)]
     for k, ctx in ((1, o2), (2, o3), (3, prefix)):
         h = ((ctx[:, None] + np.uint64(k)) * _M[0] ^ node * _M[2]) * _M[1]
-        slots.append((h >> np.uint64(64 - SPELL_SLOTS[k])).ravel().astype(np.int64) + start[k])
-    return slots, bit, np.repeat(word, 8)
+        slots.append((h >> np.uint64(64 - SPELL_SLOTS[k])).astype(np.int64) + start[k])
+    return slots, bit, word
 
 
 def _spelling_chunks(words: list[bytes]) -> Iterator[tuple[list[bytes], list[int]]]:
@@ -284,7 +302,7 @@ def spelling_bits(model: Model, words: list[bytes]) -> np.ndarray:
     for pieces, own in _spelling_chunks(words):
         slots, bit, piece = spelling(pieces)
         p, _ = model.predict(slots, None, np.zeros(len(bit), np.int64))
-        gain = np.bincount(piece, np.log2(np.where(bit == 1, p, 1 - p)), len(pieces))
+        gain = np.bincount(piece, np.log2(1 - np.abs(bit - p)).sum(1), len(pieces))
         np.add.at(out, own, gain)
     return out
 
@@ -356,16 +374,17 @@ def matches(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     place, run = np.full(n, -1), np.zeros(n, np.int64)
     if n < 3:
         return place, run
-    doc = np.zeros(n, np.int64)
+    doc = np.zeros(n, np.uint64)
     doc[first[first < n]] = 1
     np.cumsum(doc, out=doc)
     same = np.flatnonzero(doc[2:] == doc[:-2]) + 2
-    a, b = ids[same - 2].astype(np.int64), ids[same - 1].astype(np.int64)
-    pair = np.unique(a * (int(ids.max()) + 1) + b, return_inverse=True)[1].ravel()
-    key = doc[same] * (int(pair.max(initial=0)) + 1) + pair
-    by = np.argsort(key, kind="stable")
-    again = np.flatnonzero(key[by][1:] == key[by][:-1])
-    place[same[by[again + 1]]] = same[by[again]]
+    # a hash of (text, two words) above the place: sorted, equal contexts follow one another in the order of their places
+    at = np.uint64(n.bit_length())
+    key = _mix((ids[same - 2].astype(np.uint64) * _M[2] ^ _mix(ids[same - 1].astype(np.uint64) + doc[same] * _M[1]) + doc[same]) * _M[0])
+    by = (np.sort(key << at | same.astype(np.uint64)) & ((np.uint64(1) << at) - np.uint64(1))).astype(np.int64)
+    a, b = by[:-1], by[1:]
+    again = (ids[a - 2] == ids[b - 2]) & (ids[a - 1] == ids[b - 1]) & (doc[a] == doc[b])
+    place[b[again]] = a[again]
     hit = (place >= 0) & (ids == ids[np.maximum(place, 0)])
     at = np.arange(n)
     since = at - np.maximum.accumulate(np.where(hit, -1, at))  # hits in a row, this one included
@@ -402,13 +421,14 @@ class Tokens:
         return Tokens(cls, c1 << CLASS_BITS, ((c2 << CLASS_BITS | c1) << CLASS_BITS) + start[1], word + start[2], guess, run, hit)
 
     def decisions(self, at: np.ndarray | slice) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """(slots, match input, group, bit) of the tokens at the places, CLASS_BITS for each."""
+        """(slots, match input, group, bit) of the tokens at the places; a row of CLASS_BITS for each."""
         cls, guess = self.cls[at], self.guess[at]
         node, bit = NODE[cls], BIT[cls]
-        slots = [(c[at][:, None] + node).ravel() for c in (self.one, self.two, self.word)]
-        told = (guess >= 0)[:, None] & (NODE[guess] == node)
-        extra = np.where(told, BIT[guess] * np.float32(4) - np.float32(2), np.float32(0)).ravel()
-        return slots, extra, np.repeat(self.run[at], CLASS_BITS), bit.ravel()
+        slots = [c[at][:, None] + node for c in (self.one, self.two, self.word)]
+        extra = np.zeros(node.shape, np.float32)
+        told = np.flatnonzero(guess >= 0)
+        extra[told] = np.where(NODE[guess[told]] == node[told], PULL[guess[told]], np.float32(0))
+        return slots, extra, self.run[at], bit
 
 
 def learn_classes(m: Learner, t: Tokens) -> None:
@@ -431,22 +451,26 @@ def class_bits(model: Model, t: Tokens, first: np.ndarray) -> np.ndarray:
     level = np.where(pos < FIRST_STEP, 0, np.log2(np.maximum(pos, 1) / FIRST_STEP).astype(np.int64) + 1)
     order = np.argsort(level, kind="stable")
     cuts = np.searchsorted(level[order], np.arange(int(level.max(initial=0)) + 2))
-    moved = np.zeros((texts, model.weights.shape[1]), np.float32)
+    moved = np.zeros((len(model.weights), texts), np.float32)
     out = np.zeros(n)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        pull = np.zeros((texts, moved.shape[1]))
+        pull = np.zeros(moved.shape)
         for a in range(lo, hi, CHUNK):
             at = order[a : min(a + CHUNK, hi)]
+            own = doc[at]
             slots, extra, group, bit = t.decisions(at)
-            own = np.repeat(doc[at], CLASS_BITS)
-            p, st = model.predict(slots, extra, group, moved[own])
-            out[at] = np.log2(np.where(bit == 1, p, 1 - p)).reshape(-1, CLASS_BITS).sum(1)
+            p, inputs = model.predict(slots, extra, group, moved[:, own])
             error = bit - p
+            came = 1 - np.abs(error)
+            whole = came[:, 0].astype(np.float64)
+            for j in range(1, CLASS_BITS):
+                whole *= came[:, j]
+            out[at] = np.log2(whole)
             if hi < n:
-                for k in range(moved.shape[1]):
-                    pull[:, k] += np.bincount(own, error * st[:, k], texts)
+                for k, x in enumerate(inputs):
+                    pull[k] += np.bincount(own, np.einsum("nj,nj->n", error, x), texts)
         if hi < n:
-            moved += OWN_RATE * pull / np.sqrt(1.0 + np.bincount(doc[order[lo:hi]], minlength=texts))[:, None] / CLASS_BITS
+            moved += OWN_RATE * pull / np.sqrt(1.0 + np.bincount(doc[order[lo:hi]], minlength=texts)) / CLASS_BITS
     return out
 
 
@@ -481,6 +505,15 @@ def cut_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return ids, at[:-1] + np.arange(n), pa.concat_arrays([pa.array([END], pa.binary()), coded.dictionary.cast(pa.binary())])
 
 
+def _slices(size: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """(texts, tokens) of runs of whole texts with about SLICE tokens each, from the texts' sizes."""
+    end = np.cumsum(size)
+    part = (end - size) // SLICE
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(size) else []
+    for lo, hi in zip(cuts, [*cuts[1:], len(size)], strict=True):
+        yield slice(lo, hi), slice(int(end[lo] - size[lo]), int(end[hi - 1]))
+
+
 def _list(values: pa.Array) -> pa.Array:
     """One row that holds all the values."""
     if isinstance(values, pa.ChunkedArray):
@@ -525,8 +558,9 @@ def _training(classes: Classes) -> Callable:
             for held, size, raw, cls, h in zip(*(b.column(c).to_pylist() for c in ("held_out", "n_tokens", "ids", "cls", "hash")), strict=True):
                 ids, size, train = np.frombuffer(raw, np.int32), np.array(size, np.int64), ~np.array(held, bool)
                 ids, size = ids[np.repeat(train, size)], size[train]
-                if len(ids):
-                    learn_classes(m, Tokens.of(ids, np.cumsum(size) - size, np.frombuffer(cls, np.uint8), np.frombuffer(h, np.uint32)))
+                for texts, tokens in _slices(size):
+                    own = size[texts]
+                    learn_classes(m, Tokens.of(ids[tokens], np.cumsum(own) - own, np.frombuffer(cls, np.uint8), np.frombuffer(h, np.uint32)))
         yield from m.state()
 
     return run
@@ -556,21 +590,29 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     unknown = stage(counts.filter("c = 0").select("word").mapInArrow(spell, "word binary, spelt double"), "unknown-words")
     speller.destroy()
-    rated = counts.filter("c > 0").select("word", "c", F.lit(None).cast("double").alias("spelt")).unionByName(unknown.select("word", F.lit(0).cast("long").alias("c"), "spelt"))
     unit = float(n_train) + 0.1 * (n_distinct + 1)
 
+    def attributes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """look: the word's hash and class; value: its training count, or the log2 of its spelling's probability (below 0)."""
+        for b in batches:
+            look = b.column(1).to_numpy() << CLASS_BITS | classes.of(b.column(0))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(look), b.column(2)], ["word", "look", "value"])
+
+    value = counts.filter("c > 0").select("word", F.col("c").cast("double").alias("value")).unionByName(unknown.select("word", F.col("spelt").alias("value")))
+    rated = value.select("word", F.pmod(F.xxhash64("word", F.lit(7)), F.lit(1 << 31)).alias("h"), "value").mapInArrow(attributes, "word binary, look long, value double")
+
     def pack(t: pa.Table) -> pa.Table:
         """One block's words as arrays in the order of their numbers."""
         t = t.take(pc.sort_indices(t, [("at", "ascending")]))
-        c, spelt = t.column("c").to_numpy().astype(np.float64), t.column("spelt").fill_null(0.0).to_numpy()
-        cls = classes.of(t.column("word").combine_chunks())
+        look, value = t.column("look").to_numpy(), t.column("value").to_numpy()
+        cls, c, spelt = look & (CLASSES - 1), np.maximum(value, 0), np.minimum(value, 0)
         whole = np.maximum(classes.mass[cls] + classes.once[cls], 1e-9)
         tail = np.log2(np.maximum(np.where(c > 0, c, classes.once[cls]), 1e-9) / whole) + spelt
-        cols = [cls.astype(np.uint8), t.column("h").to_numpy().astype(np.uint32), tail, np.log10((c + 0.1) / unit), (c > 0).astype(np.uint8)]
+        cols = [cls.astype(np.uint8), (look >> CLASS_BITS).astype(np.uint32), tail, np.log10((c + 0.1) / unit), (c > 0).astype(np.uint8)]
         return pa.table([t.column("block").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in cols)], ["block", "cls", "hash", "tail", "base", "known"])
 
     # one row for each block and word: a frequent word has as many as there are blocks, and AQE splits a skewed join
-    noted = words.select("block", "at", "word", F.pmod(F.xxhash64("word", F.lit(7)), F.lit(1 << 31)).alias("h")).join(rated, "word")
+    noted = words.select("block", "at", "word").join(rated, "word").drop("word")
     packed = noted.groupBy("block").applyInArrow(pack, "block long, cls binary, hash binary, tail binary, base binary, known binary")
     coded = stage(blocks.drop("words", "n").join(packed, "block"), "coded", "zstd")
     for t in (blocks, learnt, unknown):
@@ -585,14 +627,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for i in range(b.num_rows):
                 get = lambda c, dtype, i=i, b=b: np.frombuffer(b.column(c)[i].as_py(), dtype)
                 size, n_bytes = b.column("n_tokens")[i].values.to_numpy(), b.column("n_bytes")[i].values.to_numpy()
-                ids, first = get("ids", np.int32), np.cumsum(size) - size
-                bits = text_bits(shared.value, ids, first, get("cls", np.uint8), get("hash", np.uint32), get("tail", np.float64))
-                total = lambda x, first=first: np.add.reduceat(x, first)
-                bits, known = total(bits), total(get("known", np.uint8)[ids].astype(np.int64))
-                per_byte = pa.array(-bits / np.maximum(n_bytes, 1), mask=n_bytes == 0)
-                cols = [b.column("doc_id")[i].values, b.column("held_out")[i].values, pa.array(size), pa.array(known), pa.array(np.full(len(size), int(n_train)))]
-                cols += [pa.array(total(get("base", np.float64)[ids])), pa.array(bits * np.log10(2.0)), per_byte]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                every, cls, h, tail, base_of, known_of = (get(c, t) for c, t in (("ids", np.int32), ("cls", np.uint8), ("hash", np.uint32), ("tail", np.float64), ("base", np.float64), ("known", np.uint8)))
+                for texts, tokens in _slices(size):
+                    own, ids = size[texts], every[tokens]
+                    first = np.cumsum(own) - own
+                    bits, base, known = (np.add.reduceat(x, first) for x in (text_bits(shared.value, ids, first, cls, h, tail), base_of[ids], known_of[ids].astype(np.int64)))
+                    raw = n_bytes[texts]
+                    cols = [b.column(c)[i].values[texts] for c in ("doc_id", "held_out")]
+                    cols += [pa.array(own), pa.array(known), pa.array(np.full(len(own), int(n_train))), pa.array(base), pa.array(bits * np.log10(2.0))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(-bits / np.maximum(raw, 1), mask=raw == 0)], names)
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return coded.mapInArrow(score, schema)

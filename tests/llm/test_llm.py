@@ -466,7 +466,7 @@ def test_scores_match_a_plain_scorer(spark):
                 slots = [int(one) << 7 | node, (int(two) << 14 | int(one) << 7 | node) + int(starts[1]), ((word & (1 << 14) - 1) << 7 | node) + int(starts[2])]
                 st = np.array([*model.stretch[slots], (4.0 * told - 2 if on else 0.0)], np.float32)
                 gate = group * cm.CONF + int(model.confidence[slots[2] - int(starts[2])])
-                mix = float(np.clip((model.weights[gate] + moved.astype(np.float32)) @ st, -12, 12))
+                mix = float(np.clip((model.weights[:, gate] + moved.astype(np.float32)) @ st, -12, 12))
                 x = (min(max(mix, -8), 8) + 8) * 2
                 cell = min(int(x), cm.CELLS - 2)
                 p = 0.5 / (1 + math.exp(-mix)) + 0.5 * (model.refined[group][cell] * (1 - x + cell) + model.refined[group][cell + 1] * (x - cell))
@@ -522,7 +522,7 @@ def test_class_and_spelling_probabilities_sum_to_one(spark):
     second = np.log2(np.where(bit == 1, p, 1 - p)).reshape(-1, 24)[:, 8:16].sum(1)
     slots, bit, _ = cm.spelling([b"a"])
     p, _ = model.predict(slots, None, np.zeros(len(bit), np.int64))
-    end = np.log2(np.where(bit == 1, p, 1 - p))[8:16].sum()
+    end = np.log2(np.where(bit == 1, p, 1 - p))[1].sum()
     assert (2.0**second).sum() + 2.0**end == pytest.approx(1.0, abs=1e-6)
 
 
