@@ -47,7 +47,7 @@ CLASSES = 1 << CLASS_BITS
 SLOTS = (2 * CLASS_BITS, 3 * CLASS_BITS, 21)
 SPELL_SLOTS = (16, 18, 20, 20)
 #: Text in a block; tokens that are laid out as arrays at a time (a longer text stands alone).
-BLOCK_BYTES, SLICE = 24 << 20, 1 << 19
+BLOCK_BYTES, SLICE = 32 << 20, 1 << 19
 #: Tokens, and bytes of words, whose decisions are worked on at a time: few enough for the processor's caches.
 CHUNK, SPELL_CHUNK = 2048, 8192
 #: Longer words are spelt in pieces; one of full length is followed by another.
@@ -580,7 +580,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = make_classes(counts)
 
     # the end has a class of its own and is never spelt
-    learnt = stage(counts.filter((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word").mapInArrow(_learn_spelling, _STATE), "spelling")
+    learnt = counts.filter((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word").mapInArrow(_learn_spelling, _STATE)
     speller = spark.sparkContext.broadcast(merged_model(learnt, SPELL_SLOTS, len(SPELL_SLOTS), 1))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -615,11 +615,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     noted = words.select("block", "at", "word").join(rated, "word").drop("word")
     packed = noted.groupBy("block").applyInArrow(pack, "block long, cls binary, hash binary, tail binary, base binary, known binary")
     coded = stage(blocks.drop("words", "n").join(packed, "block"), "coded", "zstd")
-    for t in (blocks, learnt, unknown):
+    for t in (blocks, counts, unknown):
         release(t)
-    states = stage(coded.select("held_out", "n_tokens", "ids", "cls", "hash").mapInArrow(_training(classes), _STATE), "states")
+    states = coded.select("held_out", "n_tokens", "ids", "cls", "hash").mapInArrow(_training(classes), _STATE)
     shared = spark.sparkContext.broadcast(merged_model(states, SLOTS, len(SLOTS) + 1, RUNS))
-    release(states)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
