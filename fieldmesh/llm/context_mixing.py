@@ -47,7 +47,7 @@ CLASSES = 1 << CLASS_BITS
 SLOTS = (2 * CLASS_BITS, 3 * CLASS_BITS, 21)
 SPELL_SLOTS = (16, 18, 20, 20)
 #: Text in a block; tokens that are laid out as arrays at a time (a longer text stands alone).
-BLOCK_BYTES, SLICE = 32 << 20, 1 << 19
+BLOCK_BYTES, SLICE = 24 << 20, 1 << 17
 #: Tokens, and bytes of words, whose decisions are worked on at a time: few enough for the processor's caches.
 CHUNK, SPELL_CHUNK = 2048, 8192
 #: Longer words are spelt in pieces; one of full length is followed by another.
@@ -514,6 +514,11 @@ def _slices(size: np.ndarray) -> Iterator[tuple[slice, slice]]:
         yield slice(lo, hi), slice(int(end[lo] - size[lo]), int(end[hi - 1]))
 
 
+def _array(batch: pa.RecordBatch, column: str, row: int, dtype: type) -> np.ndarray:
+    """The bytes of a row as an array, without a copy."""
+    return np.frombuffer(batch.column(column)[row].as_buffer(), dtype)
+
+
 def _list(values: pa.Array) -> pa.Array:
     """One row that holds all the values."""
     if isinstance(values, pa.ChunkedArray):
@@ -555,12 +560,14 @@ def _training(classes: Classes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Learner(SLOTS, len(SLOTS) + 1, RUNS)
         for b in batches:
-            for held, size, raw, cls, h in zip(*(b.column(c).to_pylist() for c in ("held_out", "n_tokens", "ids", "cls", "hash")), strict=True):
-                ids, size, train = np.frombuffer(raw, np.int32), np.array(size, np.int64), ~np.array(held, bool)
-                ids, size = ids[np.repeat(train, size)], size[train]
+            for i in range(b.num_rows):
+                ids, cls, h = (_array(b, c, i, t) for c, t in (("ids", np.int32), ("cls", np.uint8), ("hash", np.uint32)))
+                size, held = b.column("n_tokens")[i].values.to_numpy(), b.column("held_out")[i].values.to_numpy(zero_copy_only=False)
                 for texts, tokens in _slices(size):
-                    own = size[texts]
-                    learn_classes(m, Tokens.of(ids[tokens], np.cumsum(own) - own, np.frombuffer(cls, np.uint8), np.frombuffer(h, np.uint32)))
+                    own, train = size[texts], ~held[texts]
+                    if train.any():
+                        some, own = ids[tokens][np.repeat(train, own)], own[train]
+                        learn_classes(m, Tokens.of(some, np.cumsum(own) - own, cls, h))
         yield from m.state()
 
     return run
@@ -624,9 +631,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         for b in batches:
             for i in range(b.num_rows):
-                get = lambda c, dtype, i=i, b=b: np.frombuffer(b.column(c)[i].as_py(), dtype)
                 size, n_bytes = b.column("n_tokens")[i].values.to_numpy(), b.column("n_bytes")[i].values.to_numpy()
-                every, cls, h, tail, base_of, known_of = (get(c, t) for c, t in (("ids", np.int32), ("cls", np.uint8), ("hash", np.uint32), ("tail", np.float64), ("base", np.float64), ("known", np.uint8)))
+                every, cls, h, tail, base_of, known_of = (_array(b, c, i, t) for c, t in (("ids", np.int32), ("cls", np.uint8), ("hash", np.uint32), ("tail", np.float64), ("base", np.float64), ("known", np.uint8)))
                 for texts, tokens in _slices(size):
                     own, ids = size[texts], every[tokens]
                     first = np.cumsum(own) - own
