@@ -35,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,19 +152,28 @@ class Learner:
     def state(self) -> Iterator[pa.RecordBatch]:
         """Rows (piece, where, what): the slots that are not empty, and under piece -1 the rest."""
         rest = np.concatenate([(self.weights * self.seen).ravel(), self.seen, self.refined.ravel(), self.hits.ravel()])
-        yield _state_row(-1, b"", rest.astype(np.float64).tobytes())
+        yield _state_row(-1, np.zeros(0, np.uint16), rest.astype(np.float64))
         for i in range(0, len(self.counts), PIECE):
             part = self.counts[i : i + PIECE]
             where = np.flatnonzero(part.any(1))
             if len(where):
-                yield _state_row(i // PIECE, where.astype(np.uint16).tobytes(), part[where].tobytes())
+                yield _state_row(i // PIECE, where.astype(np.uint16), part[where])
 
 
 _STATE = "piece int, at binary, what binary"
 
 
-def _state_row(piece: int, at: bytes, what: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([at], pa.binary()), pa.array([what], pa.binary())], ["piece", "at", "what"])
+def _squeezed(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed: shuffles carry less."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _opened(raw: bytes | pa.Buffer, dtype: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype)
+
+
+def _state_row(piece: int, at: np.ndarray, what: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([_squeezed(at)], pa.binary()), pa.array([_squeezed(what)], pa.binary())], ["piece", "at", "what"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +182,9 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> pa.RecordBatch:
         if now == -1:
-            return _state_row(-1, b"", total.tobytes())
+            return _state_row(-1, np.zeros(0, np.uint16), total)
         where = np.flatnonzero(total.any(1))
-        return _state_row(now, where.astype(np.uint16).tobytes(), total[where].astype(np.float32).tobytes())
+        return _state_row(now, where.astype(np.uint16), total[where].astype(np.float32))
 
     for b in batches:
         for piece, at, what in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -183,11 +193,11 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield done()
                 now, total = piece, None
             if piece == -1:
-                x = np.frombuffer(what)
+                x = _opened(what, np.float64)
                 total = x.copy() if total is None else total + x
             else:
                 total = np.zeros((PIECE, 2)) if total is None else total
-                total[np.frombuffer(at, np.uint16)] += np.frombuffer(what, np.float32).reshape(-1, 2)
+                total[_opened(at, np.uint16)] += _opened(what, np.float32).reshape(-1, 2)
     if now is not None:
         yield done()
 
@@ -226,10 +236,10 @@ def merged_model(states: DataFrame, slots: tuple[int, ...], inputs: int, groups:
     rest = np.zeros(gates * inputs + gates + groups * CELLS * 2 + RUNS * 2)
     for r in added.toLocalIterator():
         if r["piece"] < 0:
-            rest = np.frombuffer(r["what"]).copy()
+            rest = _opened(r["what"], np.float64).copy()
             continue
-        at = np.frombuffer(r["at"], np.uint16).astype(np.int64) + r["piece"] * PIECE
-        c = np.frombuffer(r["what"], np.float32).reshape(-1, 2)
+        at = _opened(r["at"], np.uint16).astype(np.int64) + r["piece"] * PIECE
+        c = _opened(r["what"], np.float32).reshape(-1, 2)
         stretch[at] = _stretched(c)
         own = at >= total - last
         conf[at[own] - (total - last)] = _confidence(c[own].sum(1))
@@ -538,7 +548,7 @@ def pack_blocks(base: DataFrame) -> DataFrame:
         train = ~rows.column("held_out").to_numpy()
         n = np.bincount(ids[np.repeat(train, size)], minlength=len(words))
         lists = (rows.column("doc_id"), rows.column("held_out"), pc.binary_length(texts).cast(pa.int64()), pa.array(size), words, pa.array(n))
-        cols = [pa.array([number], pa.int64()), *map(_list, lists), pa.array([ids.tobytes()], pa.binary())]
+        cols = [pa.array([number], pa.int64()), *map(_list, lists), pa.array([_squeezed(ids)], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["block", "doc_id", "held_out", "n_bytes", "n_tokens", "words", "n", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -561,7 +571,7 @@ def _training(classes: Classes) -> Callable:
         m = Learner(SLOTS, len(SLOTS) + 1, RUNS)
         for b in batches:
             for i in range(b.num_rows):
-                ids, cls, h = (_array(b, c, i, t) for c, t in (("ids", np.int32), ("cls", np.uint8), ("hash", np.uint32)))
+                ids, (cls, h) = _opened(b.column("ids")[i].as_buffer(), np.int32), (_array(b, c, i, t) for c, t in (("cls", np.uint8), ("hash", np.uint32)))
                 size, held = b.column("n_tokens")[i].values.to_numpy(), b.column("held_out")[i].values.to_numpy(zero_copy_only=False)
                 for texts, tokens in _slices(size):
                     own, train = size[texts], ~held[texts]
@@ -632,7 +642,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in batches:
             for i in range(b.num_rows):
                 size, n_bytes = b.column("n_tokens")[i].values.to_numpy(), b.column("n_bytes")[i].values.to_numpy()
-                every, cls, h, tail, base_of, known_of = (_array(b, c, i, t) for c, t in (("ids", np.int32), ("cls", np.uint8), ("hash", np.uint32), ("tail", np.float64), ("base", np.float64), ("known", np.uint8)))
+                every = _opened(b.column("ids")[i].as_buffer(), np.int32)
+                cls, h, tail, base_of, known_of = (_array(b, c, i, t) for c, t in (("cls", np.uint8), ("hash", np.uint32), ("tail", np.float64), ("base", np.float64), ("known", np.uint8)))
                 for texts, tokens in _slices(size):
                     own, ids = size[texts], every[tokens]
                     first = np.cumsum(own) - own

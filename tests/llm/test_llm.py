@@ -492,7 +492,7 @@ def test_scores_match_a_plain_scorer(spark):
     summed = Counter()
     for r in merged:
         if r["piece"] >= 0:
-            for a, c in zip(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["what"], np.float32).reshape(-1, 2), strict=True):
+            for a, c in zip(cm._opened(r["at"], np.uint16), cm._opened(r["what"], np.float32).reshape(-1, 2), strict=True):
                 for b in (0, 1):
                     if c[b]:
                         summed[r["piece"] * cm.PIECE + int(a), b] += int(c[b])
