@@ -621,16 +621,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def pack(t: pa.Table) -> pa.Table:
         """One block's words as arrays in the order of their numbers."""
         t = t.take(pc.sort_indices(t, [("at", "ascending")]))
-        look, value = t.column("look").to_numpy(), t.column("value").to_numpy()
-        cls, c, spelt = look & (CLASSES - 1), np.maximum(value, 0), np.minimum(value, 0)
-        whole = np.maximum(classes.mass[cls] + classes.once[cls], 1e-9)
-        tail = np.log2(np.maximum(np.where(c > 0, c, classes.once[cls]), 1e-9) / whole) + spelt
-        cols = [cls.astype(np.uint8), (look >> CLASS_BITS).astype(np.uint32), tail, np.log10((c + 0.1) / unit), (c > 0).astype(np.uint8)]
-        return pa.table([t.column("block").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in cols)], ["block", "cls", "hash", "tail", "base", "known"])
+        look = t.column("look").to_numpy()
+        cols = [(look & (CLASSES - 1)).astype(np.uint8).tobytes(), (look >> CLASS_BITS).astype(np.uint32).tobytes(), _squeezed(t.column("value").to_numpy())]
+        return pa.table([t.column("block").slice(0, 1), *(pa.array([x], pa.binary()) for x in cols)], ["block", "cls", "hash", "value"])
 
     # one row for each block and word: a frequent word has as many as there are blocks, and AQE splits a skewed join
     noted = words.select("block", "at", "word").join(rated, "word").drop("word")
-    packed = noted.groupBy("block").applyInArrow(pack, "block long, cls binary, hash binary, tail binary, base binary, known binary")
+    packed = noted.groupBy("block").applyInArrow(pack, "block long, cls binary, hash binary, value binary")
     coded = stage(blocks.drop("words", "n").join(packed, "block"), "coded", "zstd")
     for t in (blocks, counts, unknown):
         release(t)
@@ -643,7 +640,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for i in range(b.num_rows):
                 size, n_bytes = b.column("n_tokens")[i].values.to_numpy(), b.column("n_bytes")[i].values.to_numpy()
                 every = _opened(b.column("ids")[i].as_buffer(), np.int32)
-                cls, h, tail, base_of, known_of = (_array(b, c, i, t) for c, t in (("cls", np.uint8), ("hash", np.uint32), ("tail", np.float64), ("base", np.float64), ("known", np.uint8)))
+                cls, h, value = _array(b, "cls", i, np.uint8), _array(b, "hash", i, np.uint32), _opened(b.column("value")[i].as_buffer(), np.float64)
+                c, spelt = np.maximum(value, 0), np.minimum(value, 0)
+                whole = np.maximum(classes.mass[cls] + classes.once[cls], 1e-9)
+                tail = np.log2(np.maximum(np.where(c > 0, c, classes.once[cls]), 1e-9) / whole) + spelt
+                base_of, known_of = np.log10((c + 0.1) / unit), c > 0
                 for texts, tokens in _slices(size):
                     own, ids = size[texts], every[tokens]
                     first = np.cumsum(own) - own
