@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,5 +157,3 @@ def in_bbox(x: Column, y: Column, lo_x: float, hi_x: float, lo_y: float, hi_y: f
     """Edges included; plain comparisons, so that they reach a Parquet scan."""
     return x.between(lo_x, hi_x) & y.between(lo_y, hi_y)
 
-
-QUARTER = math.pi / 2

@@ -43,6 +43,11 @@ def fresnel_radius(wavelength: Column, d1: Column, d2: Column) -> Column:
     return F.sqrt(wavelength * d1 * d2 / (d1 + d2))
 
 
+def fresnel_max_radius(mhz: Column, dist: Column) -> Column:
+    """The first zone's largest radius, half way."""
+    return fresnel_radius(wavelength_m(mhz), dist / 2.0, dist / 2.0)
+
+
 def _log2nd(x: Column, a: float, b: float, c: float) -> Column:
     lg = F.log10(x)
     return lg * b + lg * lg * c + a

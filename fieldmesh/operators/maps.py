@@ -30,11 +30,6 @@ def coverage_ratio(m: DataFrame, max_db: float | None = None) -> DataFrame:
     return m.groupBy("rx_height_m").agg(F.count("*").alias("n"), F.count_if(F.coalesce(ok, F.lit(False))).alias("n_covered")).withColumn("ratio", F.col("n_covered") / F.col("n"))
 
 
-def threshold_grid(spark, lo: float, hi: float, n: int) -> DataFrame:
-    step = (hi - lo) / (n - 1)
-    return spark.range(n).select(F.col("id").alias("k"), (F.col("id") * step + lo).alias("threshold"))
-
-
 def coverage_sweep(m: DataFrame, lo: int, hi: int) -> DataFrame:
     """Ratio at each whole threshold lo..hi: a histogram of ceilings, then running sums."""
     bin_ = F.greatest(F.ceil("loss_db"), F.lit(lo)).cast("long")
@@ -60,20 +55,31 @@ def _segments(cdf: DataFrame, key: str) -> DataFrame:
     return cdf.withColumn("v1", F.lead("v").over(w)).withColumn("p1", F.lead("p").over(w))
 
 
-def ecdf_at(cdf: DataFrame, at: DataFrame, key: str = "rx_height_m") -> DataFrame:
-    """The distribution at values (k, x), linear between points; null outside its range."""
+def _met(at: DataFrame, keys: DataFrame, seg: DataFrame, key: str, x: str, lo: str, hi: str, width: float) -> DataFrame:
+    """Every place (k, x) of every key with the segment [lo, hi) that holds it, if any; a last point holds itself only.
+
+    Segments and places meet in buckets of `width`: an equi-join, in which a segment stands once in each bucket it crosses.
+    """
+    cell = lambda c: F.floor(F.col(c) / width).cast("long")
+    s = seg.withColumn("_b", F.explode(F.sequence(cell(lo), F.coalesce(cell(hi), cell(lo)))))
+    p = keys.crossJoin(F.broadcast(at)).withColumn("_b", cell(x))  # the result's rows: places times keys
+    holds = (F.col(x) >= F.col(lo)) & ((F.col(x) < F.col(hi)) | (F.col(hi).isNull() & (F.col(x) == F.col(lo))))
+    return p.alias("p").join(s.alias("s"), (F.col(f"p.{key}") == F.col(f"s.{key}")) & (F.col("p._b") == F.col("s._b")) & holds, "left").select("p.*", "v", "p", "v1", "p1").drop("_b")
+
+
+def ecdf_at(cdf: DataFrame, at: DataFrame, key: str = "rx_height_m", width: float = 0.125) -> DataFrame:
+    """The distribution at values (k, x), linear between points; null outside its range. width: of buckets, in the value's unit."""
     s = _segments(cdf.groupBy(key, "v").agg(F.max("p").alias("p")), key)
-    j = s.join(at, (F.col("x") >= F.col("v")) & ((F.col("x") < F.col("v1")) | (F.col("v1").isNull() & (F.col("x") == F.col("v")))))
+    j = _met(at, cdf.select(key).distinct(), s, key, "x", "v", "v1", width)
     p = F.when(F.col("v1").isNull(), F.col("p")).otherwise(F.col("p") + (F.col("p1") - F.col("p")) * (F.col("x") - F.col("v")) / (F.col("v1") - F.col("v")))
-    return at.join(cdf.select(key).distinct(), F.lit(True)).join(j.select(key, "k", p.alias("p")), [key, "k"], "left")
+    return j.select(key, "k", *[c for c in at.columns if c != "k"], p.alias("p"))
 
 
-def ecdf_inverse(cdf: DataFrame, at: DataFrame, key: str = "rx_height_m") -> DataFrame:
+def ecdf_inverse(cdf: DataFrame, at: DataFrame, key: str = "rx_height_m", width: float = 1 / 1024) -> DataFrame:
     """The value at shares (k, q), linear between points; null beyond the covered share."""
-    s = _segments(cdf, key)
-    j = s.join(at, (F.col("q") >= F.col("p")) & ((F.col("q") < F.col("p1")) | (F.col("p1").isNull() & (F.col("q") == F.col("p")))))
+    j = _met(at, cdf.select(key).distinct(), _segments(cdf, key), key, "q", "p", "p1", width)
     v = F.when(F.col("p1").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("v1") - F.col("v")) * (F.col("q") - F.col("p")) / (F.col("p1") - F.col("p")))
-    return at.join(cdf.select(key).distinct(), F.lit(True)).join(j.select(key, "k", v.alias("v")), [key, "k"], "left")
+    return j.select(key, "k", *[c for c in at.columns if c != "k"], v.alias("v"))
 
 
 def coverage_ratio_gain(m: DataFrame, n: int = 10_000, far: float = 1e6) -> DataFrame:
@@ -138,6 +144,20 @@ def extra_towers(m: DataFrame, area_km2: float, max_db: float, wavelength: float
     return c.withColumn("extra_towers", (F.lit(1.0) - F.col("ratio")) * area_km2 / (math.pi * r_km**2)).withColumn("extra_rounded", F.ceil("extra_towers").cast("long"))
 
 
+def extra_towers_by_table(m: DataFrame, table: DataFrame, areas: DataFrame, max_db: float) -> DataFrame:
+    """The same with the radius at which a (dist_km, loss_db) table reaches the largest loss, linear between its rows.
+
+    areas: (rx_height_m, area_km2, n_existing). The radius is null where the table does not reach that loss.
+    """
+    w = W.orderBy("loss_db", "dist_km")  # a loss curve: few rows
+    seg = table.select("dist_km", "loss_db", F.lead("dist_km").over(w).alias("d1"), F.lead("loss_db").over(w).alias("l1"))
+    hold = seg.filter((F.col("loss_db") <= max_db) & ((F.col("l1") > max_db) | (F.col("l1").isNull() & (F.col("loss_db") == max_db))))
+    r = hold.select((F.col("dist_km") + F.coalesce((F.col("d1") - F.col("dist_km")) * (F.lit(max_db) - F.col("loss_db")) / (F.col("l1") - F.col("loss_db")), F.lit(0.0))).alias("radius_km")).agg(F.max("radius_km").alias("radius_km"))
+    c = coverage_ratio(m, max_db).join(areas, "rx_height_m").crossJoin(F.broadcast(r))
+    c = c.withColumn("extra_towers", (F.lit(1.0) - F.col("ratio")) * F.col("area_km2") / (F.col("radius_km") * F.col("radius_km") * math.pi))
+    return c.withColumn("extra_rounded", F.ceil("extra_towers").cast("long")).withColumn("n_all", F.col("n_existing") + F.col("extra_rounded"))
+
+
 def fetch_map(results: DataFrame, rx: DataFrame, kind: str) -> DataFrame:
     """A result kind with its pixels' places; vegetation distance is a difference of two kinds."""
     v = F.col("blockage_dist_m") - F.col("terrain_dist_m") if kind == "veg_dist" else F.col(kind)

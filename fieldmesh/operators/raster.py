@@ -2,34 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Cells on a block's side; samples travel to blocks, one row for each link and block.
-BLOCK = 256
+#: Cells on a block's side; samples travel to blocks, one row for each link and block, and a block is some 9 kB.
+BLOCK = 32
 
 
-def blocks(raster: DataFrame, values: tuple[str, ...] = ("z", "ele"), side: int = BLOCK) -> DataFrame:
-    """One row per block: (block_row, block_col, cells) with a halo of one cell on the far sides, cells a map from place to values."""
+def blocks(raster: DataFrame, value: str = "z", side: int = BLOCK) -> DataFrame:
+    """One row per block: (block_row, block_col, cells), cells a dense array, row after row, with a halo of one cell on the far sides."""
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
-    r = raster.withColumn("s", F.explode(shifts)).withColumn("block_row", F.floor((F.col("row") - F.col("s.i")) / side)).withColumn("block_col", F.floor((F.col("col") - F.col("s.j")) / side))
-    own = F.struct((F.col("row") * 1_000_000_000 + F.col("col")).alias("at"), *[F.col(v).cast("double").alias(v) for v in values])
-    r = r.withColumn("own", own).dropDuplicates(["block_row", "block_col", "row", "col"])
-    return r.groupBy("block_row", "block_col").agg(F.map_from_entries(F.collect_list(F.struct("own.at", "own"))).alias("cells"))
+    r = raster.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias("v")).withColumn("s", F.explode(shifts))
+    r = r.withColumn("block_row", F.floor((F.col("row") - F.col("s.i")) / side)).withColumn("block_col", F.floor((F.col("col") - F.col("s.j")) / side))
+    at = (F.col("row") - F.col("block_row") * side) * (side + 1) + F.col("col") - F.col("block_col") * side
+    # a halo cell lies one row or column past the block; the other shifts name the cell's own block again
+    r = r.select("block_row", "block_col", at.cast("int").alias("at"), "v")
+
+    def fill(t: pa.Table) -> pa.Table:
+        cells, known = np.zeros((side + 1) ** 2), np.zeros((side + 1) ** 2, bool)
+        v = t.column("v")
+        own = ~v.is_null().to_numpy(zero_copy_only=False) if isinstance(v, pa.Array) else ~v.is_null().combine_chunks().to_numpy(zero_copy_only=False)
+        at = t.column("at").to_numpy()[own]
+        cells[at], known[at] = v.to_numpy()[own], True
+        row = pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), pa.array(cells, mask=~known))
+        return pa.table([t.column("block_row").slice(0, 1), t.column("block_col").slice(0, 1), row], ["block_row", "block_col", "cells"])
+
+    return r.groupBy("block_row", "block_col").applyInArrow(fill, "block_row long, block_col long, cells array<double>")
+
+
+def _bilinear(x: Column, y: Column, res: float, side: int) -> Column:
+    """The value at a place from the `cells` of its block; null beside missing cells."""
+    fx, fy = x / res, y / res
+    c, r = F.floor(fx).cast("long"), F.floor(fy).cast("long")
+    tx, ty = fx - F.floor(fx), fy - F.floor(fy)
+    at = (r - F.floor(r / side) * side) * (side + 1) + c - F.floor(c / side) * side
+    cell = lambda i, k: F.get("cells", (at + i * (side + 1) + k).cast("int"))
+    along = lambda a, b, t: F.when(t == 0, a).otherwise(a * (F.lit(1.0) - t) + b * t)
+    return along(along(cell(0, 0), cell(0, 1), tx), along(cell(1, 0), cell(1, 1), tx), ty)
 
 
 def bilinear_lookup(samples: DataFrame, raster: DataFrame, res: float, value: str = "z", side: int = BLOCK) -> DataFrame:
     """Adds `value` to samples (x, y) by bilinear interpolation; null outside or beside missing cells."""
-    fx, fy = F.col("x") / res, F.col("y") / res
-    s = samples.withColumn("_c", F.floor(fx).cast("long")).withColumn("_r", F.floor(fy).cast("long")).withColumn("_tx", fx - F.floor(fx)).withColumn("_ty", fy - F.floor(fy))
-    s = s.withColumn("block_row", F.floor(F.col("_r") / side)).withColumn("block_col", F.floor(F.col("_c") / side))
-    j = s.join(blocks(raster, (value,), side), ["block_row", "block_col"], "left")
-    at = lambda i, k: F.col("cells")[(F.col("_r") + i) * 1_000_000_000 + F.col("_c") + k][value]
-    along = lambda a, b, t: F.when(t == 0, a).otherwise(a * (F.lit(1.0) - t) + b * t)
-    tx, ty = F.col("_tx"), F.col("_ty")
-    v = along(along(at(0, 0), at(0, 1), tx), along(at(1, 0), at(1, 1), tx), ty)
-    return j.withColumn(value, v).drop("_c", "_r", "_tx", "_ty", "block_row", "block_col", "cells")
+    s = samples.withColumn("block_row", F.floor(F.floor(F.col("y") / res) / side)).withColumn("block_col", F.floor(F.floor(F.col("x") / res) / side))
+    j = s.join(blocks(raster, value, side), ["block_row", "block_col"], "left")
+    return j.withColumn(value, _bilinear(F.col("x"), F.col("y"), res, side)).drop("block_row", "block_col", "cells")
 
 
 def nearest_cell_lookup(samples: DataFrame, raster: DataFrame, res: float, id_col: str, value: str = "z") -> DataFrame:
@@ -96,8 +115,11 @@ def attach_crs(tiles: DataFrame, known: DataFrame, fallback: DataFrame, tol: flo
     """Each tile's projection by parameters equal within tolerances; the fallback list for tiles without any."""
     t = tiles.join(fallback.select("tile", F.col("lon0").alias("_lon0"), F.col("lat0").alias("_lat0")), "tile", "left")
     t = t.withColumn("lon0", F.coalesce("lon0", "_lon0")).withColumn("lat0", F.coalesce("lat0", "_lat0")).drop("_lon0", "_lat0")
+    # a known projection stands in its own key and in both neighbours, so no rounding edge parts a pair
+    cell = lambda c: F.floor(c / 1e-3).cast("long")
     k = known.select("crs", F.col("lon0").alias("k_lon0"), F.col("lat0").alias("k_lat0"))
-    near = (F.round(F.col("lon0"), 3) == F.round(F.col("k_lon0"), 3)) & (F.abs(F.col("lon0") - F.col("k_lon0")) <= tol) & (F.abs(F.col("lat0") - F.col("k_lat0")) <= tol)
+    k = k.withColumn("k_cell", F.explode(F.array(*[cell(F.col("k_lon0")) + i for i in (-1, 0, 1)])))
+    near = (cell(F.col("lon0")) == F.col("k_cell")) & (F.abs(F.col("lon0") - F.col("k_lon0")) <= tol) & (F.abs(F.col("lat0") - F.col("k_lat0")) <= tol)
     return t.join(k, near, "left").groupBy("tile", "lon0", "lat0").agg(F.min("crs").alias("crs"))
 
 
@@ -137,20 +159,34 @@ def profiles(links: DataFrame, raster: DataFrame, res: float, step: float, min_n
     from .links import sample_profile
 
     s = sample_profile(links, step, min_n)
-    at = lambda p, i: F.struct(i.alias("i"), p["x"].alias("x"), p["y"].alias("y"), F.floor(p["y"] / res / side).alias("br"), F.floor(p["x"] / res / side).alias("bc"))
+    at = lambda p, i: F.struct(i.alias("i"), p["x"].alias("x"), p["y"].alias("y"), F.floor(F.floor(p["y"] / res) / side).alias("br"), F.floor(F.floor(p["x"] / res) / side).alias("bc"))
     s = s.withColumn("samples", F.transform("samples", at))
     need = s.select("tower_id", "rx_id", "samples", F.explode(F.array_distinct(F.transform("samples", lambda p: F.struct(p["br"].alias("br"), p["bc"].alias("bc"))))).alias("b"))
     need = need.select("tower_id", "rx_id", F.col("b.br").alias("block_row"), F.col("b.bc").alias("block_col"), F.expr("filter(samples, p -> p.br = b.br AND p.bc = b.bc)").alias("own"))
-    j = need.join(blocks(raster, (value,), side), ["block_row", "block_col"], "left")
-
-    def one(p: Column) -> Column:
-        fx, fy = p["x"] / res, p["y"] / res
-        c, r = F.floor(fx).cast("long"), F.floor(fy).cast("long")
-        tx, ty = fx - F.floor(fx), fy - F.floor(fy)
-        cell = lambda i, k: F.col("cells")[(r + i) * 1_000_000_000 + c + k][value]
-        along = lambda a, b, t: F.when(t == 0, a).otherwise(a * (F.lit(1.0) - t) + b * t)
-        return F.struct(p["i"].alias("i"), along(along(cell(0, 0), cell(0, 1), tx), along(cell(1, 0), cell(1, 1), tx), ty).alias("z"))
-
+    j = need.join(blocks(raster, value, side), ["block_row", "block_col"], "left")
+    one = lambda p: F.struct(p["i"].alias("i"), _bilinear(p["x"], p["y"], res, side).alias("z"))
     got = j.select("tower_id", "rx_id", F.transform("own", one).alias("own")).groupBy("tower_id", "rx_id").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("all"))
     got = got.select("tower_id", "rx_id", F.expr("transform(all, p -> p.z)").alias("profile"))
     return links.join(got, ["tower_id", "rx_id"])
+
+
+def in_covered_area(points: DataFrame, footprints: DataFrame, size: float) -> DataFrame:
+    """The points for which some tile exists; size: a tile's width."""
+    cell = lambda c: F.floor(c / size).cast("long")
+    f = footprints.withColumn("_cx", F.explode(F.sequence(cell(F.col("lo_x")), cell(F.col("hi_x"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("lo_y")), cell(F.col("hi_y")))))
+    p = points.withColumn("_px", cell(F.col("x"))).withColumn("_py", cell(F.col("y")))
+    inside = F.col("x").between(F.col("lo_x"), F.col("hi_x")) & F.col("y").between(F.col("lo_y"), F.col("hi_y"))
+    return p.join(f.drop("tile"), (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & inside, "left_semi").drop("_px", "_py")
+
+
+def surface_difference(raster: DataFrame, reference: DataFrame) -> DataFrame:
+    """Surface minus ground of every cell, and ground minus a reference's (row, col, ref_ele); null where one is missing."""
+    j = raster.join(reference.select("row", "col", "ref_ele"), ["row", "col"], "left")
+    return j.withColumn("surface_m", F.col("z") - F.col("ele")).withColumn("ground_diff_m", F.col("ele") - F.col("ref_ele"))
+
+
+def difference_summary(diff: DataFrame, *values: str) -> DataFrame:
+    """(value, n, lowest, highest, mean) of each difference."""
+    rows = F.array(*[F.struct(F.lit(v).alias("value"), F.col(v).alias("d")) for v in values])
+    d = diff.select(F.explode(rows).alias("r")).select("r.value", "r.d")
+    return d.groupBy("value").agg(F.count("d").alias("n"), F.min("d").alias("lowest"), F.max("d").alias("highest"), F.avg("d").alias("mean"))

@@ -99,5 +99,24 @@ def scenario_summary(towers: DataFrame, rx: DataFrame, key: str) -> DataFrame:
     return t.join(r, key).withColumn("per_1000_km2", F.col("n_towers") * 1000.0 / F.col("area_km2"))
 
 
-def cumulative(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    return df.withColumn("running", F.sum(value).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+def sweep(*frames: DataFrame) -> DataFrame:
+    """Every combination of the parameters' few values, with a number in their order."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.crossJoin(F.broadcast(f))
+    return out
+
+
+def join_point_results(points: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("gid", "height_m")) -> DataFrame:
+    """Results back at their source points, group by group; a point or result without its partner is an error."""
+    p, r = points.withColumn("_p", F.lit(1)), results.withColumn("_r", F.lit(1))
+    j = p.join(r, list(keys), "full_outer")
+    ok = F.col("_p").isNotNull() & F.col("_r").isNotNull()
+    checked = F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("points and results differ at "), F.to_json(F.struct(*keys)))).cast("boolean"))
+    return j.filter(checked).drop("_p", "_r")
+
+
+def select_counties(counties: DataFrame, state: str, names: list[str] | None = None) -> DataFrame:
+    """Areas (statefp, name) of a state, all or those named."""
+    out = counties.filter(F.col("statefp") == state)
+    return out if names is None else out.filter(F.col("name").isin(names))

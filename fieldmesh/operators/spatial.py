@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmesh.functions.geo import dist2d
+from fieldmesh.functions.geo import EARTH_KM, dist2d, haversine_km
+
+from .scratch import cut_lineage
 
 
 def _around(c: Column) -> Column:
@@ -38,14 +41,45 @@ def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, start: float, limi
     Cells start at `start` metres; rows without a hit within a cell's width try cells four times as wide, so the last, widest
     rounds are for few rows.
     """
+    return _widening(a, a_id, b_id, start, limit, lambda left, r: range_join(left, b.select(b_id, "x", "y"), r))
+
+
+def nearest_geo(a: DataFrame, b: DataFrame, a_id: str, b_id: str, start_km: float) -> DataFrame:
+    """The same for (lat, lon) by great-circle distance; dist_m. The last round's cells span the sphere."""
+    return _widening(a, a_id, b_id, start_km * 1000.0, 21_000_000.0, lambda left, r: geo_join(left, b.select(b_id, "lat", "lon"), r))
+
+
+def geo_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """All pairs of a and b (lat, lon; b's prefixed with b_) within a great-circle distance in metres, with dist_m.
+
+    Cells are bands of latitude as wide as the radius, cut by longitude so that a neighbour reaches no further than the
+    next cell; b is put into its nine neighbours, and once more across the date line.
+    """
+    high = radius / 1000.0 / EARTH_KM * 180.0 / math.pi
+    band = lambda lat: F.floor((lat + 90.0) / high).cast("long")
+    # a radius spans most degrees of longitude at a band's end nearer to the pole
+    edge = lambda k: F.least(F.greatest(F.abs(k * high - 90.0), F.abs((k + 1) * high - 90.0)) + high, F.lit(89.999))
+    wide = lambda k: F.least(F.lit(high) / F.cos(F.radians(edge(k))), F.lit(400.0)) * 1.6
+    right = b.select([F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn("_band", F.explode(_around(band(F.col("b_lat")))))
+    turned = F.explode(F.array(*[F.col("b_lon") + turn for turn in (-360.0, 0.0, 360.0)]))
+    right = right.withColumn("_turned", turned).withColumn("_wide", wide(F.col("_band"))).filter(F.abs("_turned") <= F.lit(180.0) + F.col("_wide"))
+    right = right.withColumn("_cell", F.explode(_around(F.floor(F.col("_turned") / F.col("_wide")).cast("long")))).drop("_wide")
+    left = a.withColumn("_band", band(F.col("lat"))).withColumn("_cell", F.floor(F.col("lon") / wide(F.col("_band"))).cast("long"))
+    d = haversine_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) * 1000.0
+    once = F.abs(F.col("lon") - F.col("_turned")) <= 180.0
+    return left.join(right, ["_band", "_cell"]).withColumn("dist_m", d).filter((F.col("dist_m") <= radius) & once).drop("_band", "_cell", "_turned")
+
+
+def _widening(a: DataFrame, a_id: str, b_id: str, start: float, limit: float, pairs: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
     left, out, r = a, None, float(start)
     while True:
-        hit = range_join(left, b.select(b_id, "x", "y"), r).groupBy(a_id).agg(F.min(F.struct("dist_m", F.col(f"b_{b_id}").alias("id"))).alias("m"))
-        hit = hit.select(a_id, F.col("m.id").alias(f"nearest_{b_id}"), F.col("m.dist_m").alias("dist_m"))
+        hit = pairs(left, r).groupBy(a_id).agg(F.min(F.struct("dist_m", F.col(f"b_{b_id}").alias("id"))).alias("m"))
+        hit = cut_lineage(hit.select(a_id, F.col("m.id").alias(f"nearest_{b_id}"), F.col("m.dist_m").alias("dist_m")), "nearest")
         out = hit if out is None else out.unionByName(hit)
-        if r >= limit or not left.join(hit, a_id, "left_anti").limit(1).count():
+        left = left.join(hit, a_id, "left_anti")
+        if r >= limit or not left.limit(1).count():
             return a.join(out, a_id, "left")
-        left, r = left.join(hit, a_id, "left_anti"), r * 4
+        r *= 4
 
 
 def edges_of(polygons: DataFrame, ring: str = "ring") -> DataFrame:
@@ -61,23 +95,34 @@ def _on_edge(tol: float) -> Column:
     return near & F.col("x").between(F.least("x1", "x2") - tol, F.greatest("x1", "x2") + tol) & F.col("y").between(F.least("y1", "y2") - tol, F.greatest("y1", "y2") + tol)
 
 
-def points_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, bands: int = 512) -> DataFrame:
+def _in_boxes(points: DataFrame, box: DataFrame, tol: float) -> DataFrame:
+    """The points (x, y) with the poly_id of every box that holds them."""
+    side = box.agg(F.max(F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y")))).first()[0] or 1.0
+    cell = lambda c: F.floor(c / float(side)).cast("long")
+    reach = lambda lo, hi: F.explode(F.sequence(cell(F.col(lo) - tol), cell(F.col(hi) + tol)))
+    b = box.withColumn("_cx", reach("lo_x", "hi_x")).withColumn("_cy", reach("lo_y", "hi_y"))
+    p = points.withColumn("_cx", cell(F.col("x"))).withColumn("_cy", cell(F.col("y")))
+    inside = F.col("x").between(F.col("lo_x") - tol, F.col("hi_x") + tol) & F.col("y").between(F.col("lo_y") - tol, F.col("hi_y") + tol)
+    return p.join(b, ["_cx", "_cy"]).filter(inside).drop("_cx", "_cy", "lo_x", "hi_x", "lo_y", "hi_y")
+
+
+def points_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str) -> DataFrame:
     """(point_id, poly_id) of the points inside or on each polygon.
 
-    Points outside the bounding boxes go first. Edges and points then meet in bands of y, so each point sees the
-    edges that can cross its row only; the crossings are counted, partly before the shuffle.
+    Points meet the polygons whose bounding boxes hold them first, in cells as large as the largest box. Points and edges of
+    a polygon then meet in bands of y, as many as the largest ring has edges, so each point sees the edges that can cross its
+    row only; the crossings are counted, partly before the shuffle.
     """
     edges = edges_of(polygons)
     tol = 2.220446049250313e-16**0.85
-    box = edges.groupBy("poly_id").agg(F.min("x1").alias("lo_x"), F.max("x1").alias("hi_x"), F.min("y1").alias("lo_y"), F.max("y1").alias("hi_y"))
-    height = box.agg(F.max(F.col("hi_y") - F.col("lo_y"))).first()[0] or 1.0
-    h = max(float(height) / bands, 1e-9)
+    box = edges.groupBy("poly_id").agg(F.min("x1").alias("lo_x"), F.max("x1").alias("hi_x"), F.min("y1").alias("lo_y"), F.max("y1").alias("hi_y"), F.count("*").alias("n"))
+    height, most = box.agg(F.max(F.col("hi_y") - F.col("lo_y")), F.max("n")).first()
+    box = box.drop("n")
+    h = max(float(height or 1.0) / max(512, most or 0), 1e-9)
     band = lambda c: F.floor(c / h).cast("long")
     e = edges.withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2") - tol), band(F.greatest("y1", "y2") + tol))))
-    p = points.select(F.col(point_id), "x", "y").withColumn("band", band(F.col("y")))
-    j = p.join(e, "band").join(F.broadcast(box) if polygons.limit(1001).count() <= 1000 else box, "poly_id").filter(
-        F.col("x").between(F.col("lo_x") - tol, F.col("hi_x") + tol) & F.col("y").between(F.col("lo_y") - tol, F.col("hi_y") + tol)
-    )
+    p = _in_boxes(points.select(F.col(point_id), "x", "y"), box, tol).withColumn("band", band(F.col("y")))
+    j = p.join(e, ["poly_id", "band"])
     straddles = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
     at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1"))
     j = j.withColumn("crosses", F.when(straddles & (F.col("x") < at), 1).otherwise(0)).withColumn("on", F.when(_on_edge(tol), 1).otherwise(0))
@@ -188,12 +233,20 @@ def convex_hull(points: DataFrame, group: str) -> DataFrame:
     return part.groupBy(group).applyInPandas(final, schema.replace(", x", ", seq long, x"))
 
 
-def min_spacing(grid: DataFrame) -> DataFrame:
-    """The smallest gap among distinct x and among distinct y; found in ranges of the sorted values."""
+def min_spacing(grid: DataFrame, part: float = 1e6) -> DataFrame:
+    """The smallest gap among distinct x and among distinct y; found in ranges of `part`, each carrying its last value into the next."""
     out = None
     for c in ("x", "y"):
-        d = grid.select(F.col(c).alias("v")).distinct()
-        gap = d.withColumn("gap", F.col("v") - F.lag("v").over(W.partitionBy(F.floor(F.col("v") / 1e6)).orderBy("v")))
-        gap = gap.agg(F.min("gap").alias("gap")).select(F.lit(c).alias("axis"), "gap")
+        d = grid.select(F.col(c).alias("v")).distinct().withColumn("_p", F.floor(F.col("v") / part))
+        inner = d.withColumn("gap", F.col("v") - F.lag("v").over(W.partitionBy("_p").orderBy("v"))).groupBy("_p").agg(F.min("gap").alias("gap"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        # one row for each range
+        between = F.col("lo") - F.lag("hi").over(W.orderBy("_p"))
+        gap = inner.select(F.least("gap", between).alias("gap")).agg(F.min("gap").alias("gap")).select(F.lit(c).alias("axis"), "gap")
         out = gap if out is None else out.unionByName(gap)
     return out
+
+
+def axis_grid(axes: DataFrame) -> DataFrame:
+    """Grid points of axes (axis, mean, n, res): n of them, `res` apart, centred on the mean."""
+    g = axes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    return g.select("axis", "i", ((F.col("i") - (F.col("n") - 1) / 2.0) * F.col("res") + F.col("mean")).alias("at"))

@@ -70,6 +70,12 @@ def optimistic_fspl(rx: DataFrame, towers: DataFrame, mhz: float, start: float)
     return nearest(rx, towers, "rx_id", "tower_id", start).withColumn("fspl_db", radio.fspl_db(F.col("dist_m"), radio.wavelength_m(F.lit(mhz))))
 
 
+def antenna_radius(towers: DataFrame, rx_height_m: float, strategy: str) -> DataFrame:
+    """One row, the radio horizon of the lowest or highest antennas (tower heights null: the default)."""
+    pick = {"lowest": F.min, "highest": F.max}[strategy]
+    return with_default_height(towers).agg(pick("height_m").alias("height_m")).withColumn("radius_m", radio.horizon_radius_m(F.col("height_m"), F.lit(rx_height_m)))
+
+
 def gateways_to_towers(df: DataFrame) -> DataFrame:
     t = df.select(F.col("latitude").alias("lat"), F.col("longitude").alias("long"), F.col("altitude_above_ground_meters").alias("height_m"))
     return number_sites(t, "lat", "long", "height_m")

@@ -17,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 WAVE = 299792458.0 / 1.9e9
+#: The radius of links that get a profile.
+NEAR = 9000.0
 
 
 def query(sql: str) -> Callable[[Query], Query]:
@@ -90,13 +92,13 @@ def ecdf_inverse(s, d):
 
 
 @query(with_("cdf", cdf2=_CDF2).rstrip() + ", " + _SEG.format("cdf2") + """,
-    shares AS (SELECT k::INT AS k, lo + k * ((hi - lo) / 1999) AS x FROM (SELECT min(v) AS lo, max(v) AS hi FROM cdf), (SELECT unnest(range(2000)) AS k)),
+    shares AS (SELECT k::INT AS k, lo + k * ((hi - lo) / 9999) AS x FROM (SELECT min(v) AS lo, max(v) AS hi FROM cdf), (SELECT unnest(range(10000)) AS k)),
     edge AS (SELECT rx_height_m, min(v) AS lo, max(v) AS hi, max(p) AS top FROM cdf GROUP BY 1),
     got AS (SELECT a.k, a.x, e.*, s.v, s.v1, s.p, s.p1 FROM shares a CROSS JOIN edge e ASOF LEFT JOIN seg s ON s.rx_height_m = e.rx_height_m AND a.x >= s.v),
     sh AS (SELECT rx_height_m, k, x, CASE WHEN x < lo THEN 0 WHEN x > hi THEN top + (1 - top) * (x - hi) / (1e6 - hi) ELSE p + coalesce((p1 - p) * (x - v) / (v1 - v), 0) END AS share FROM got)
     SELECT rx_height_m, k, round(x, 6) AS x, round(share, 6) AS share, round(100 * (share - first_value(share) OVER (PARTITION BY k ORDER BY rx_height_m)), 6) + 0 AS gain_pct FROM sh""")
 def coverage_ratio_gain(s, d):
-    g = r6(maps.coverage_ratio_gain(_map(s, d), 2000), "x", "share", "gain_pct")
+    g = r6(maps.coverage_ratio_gain(_map(s, d)), "x", "share", "gain_pct")
     return g.withColumn("gain_pct", F.col("gain_pct") + 0.0)
 
 
@@ -224,11 +226,17 @@ def shrunk_area(s, d):
     return spatial.in_shrunk_area(fx.rx(s, d), fx.polygons(s), "rx_id", 3001.0)
 
 
-@query(with_("edges", "rx") + "SELECT a.*, n.n_rx FROM (SELECT poly_id, round(abs(sum(x1 * y2 - x2 * y1)) / 2e6, 6) AS area_km2, round(sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)), 6) AS cx, round(sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)), 6) AS cy FROM edges GROUP BY 1) a, (SELECT count(*) AS n_rx FROM rx) n")
+_TRI = "t AS (SELECT tower_id AS poly_id, x AS xa, y AS ya, x + 100 + tower_id % 7 * 10 AS xb, y + 50 AS yb, x + 80 AS xc, y + 200 + tower_id % 5 AS yc FROM towers), k AS (SELECT *, xa * yb - xb * ya AS k1, xb * yc - xc * yb AS k2, xc * ya - xa * yc AS k3 FROM t)"
+
+
+@query(with_("towers").rstrip() + ", " + _TRI + " SELECT poly_id, round(abs(k1 + k2 + k3) / 2e6, 6) AS area_km2, round(((xa + xb) * k1 + (xb + xc) * k2 + (xc + xa) * k3) / (3 * (k1 + k2 + k3)), 3) AS cx, round(((ya + yb) * k1 + (yb + yc) * k2 + (yc + ya) * k3) / (3 * (k1 + k2 + k3)), 3) AS cy FROM k")
 def polygon_measures(s, d):
-    p = fx.polygons(s)
-    n = fx.rx(s, d).agg(F.count("*").alias("n_rx"))
-    return r6(spatial.polygon_area_km2(p).join(spatial.polygon_centroid(p), "poly_id")).join(n, F.lit(True))
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, k = F.col("x"), F.col("y"), F.col("tower_id")
+    first = p(x, y)
+    t = fx.towers(s, d).select(k.alias("poly_id"), F.array(first, p(x + 100 + k % 7 * 10, y + 50), p(x + 80, y + 200 + k % 5), first).alias("ring"))
+    j = spatial.polygon_area_km2(t).join(spatial.polygon_centroid(t), "poly_id")
+    return j.select("poly_id", F.round("area_km2", 6).alias("area_km2"), F.round("cx", 3).alias("cx"), F.round("cy", 3).alias("cy"))
 
 
 @query("WITH p AS (SELECT c_nationkey AS g, ((c_custkey * 6151) % 1000) * 100e0 + 50 + 25 * (c_custkey // 1000) AS x, ((c_custkey * 3079) % 1000) * 100e0 + 50 AS y FROM customer) SELECT g, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y FROM p GROUP BY 1")
@@ -278,13 +286,13 @@ def utm_forward(s, d):
     return _latlon(s, d).select("id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"), z.alias("zone"))
 
 
-@query(f"WITH p AS ({_LL} WHERE c_custkey * 37 % 1600 > 800), {_UTM} SELECT id, true AS lat_back, true AS lon_back FROM xy")
+@query(f"WITH p AS ({_LL}) SELECT id, round(lat, 4) AS lat_back, round(lon, 4) AS lon_back FROM p")
 def utm_round_trip(s, d):
-    p = _latlon(s, d).filter("lat > 0.1")
+    """There and back, both hemispheres: southern rows come back a metre off, some 1e-5 degrees, as the added constant is 9999999."""
     x, y, _ = geo.to_utm(F.col("lat"), F.col("lon"))
-    p = p.withColumn("x", x).withColumn("y", y)
-    lat, lon = geo.from_utm(F.col("x"), F.col("y"), geo.zone_of(F.col("lon")).cast("double"), F.lit(True))
-    return p.select("id", (F.abs(lat - F.col("lat")) < 1e-5).alias("lat_back"), (F.abs(lon - F.col("lon")) < 1e-5).alias("lon_back"))
+    p = _latlon(s, d).withColumn("x", x).withColumn("y", y)
+    lat, lon = geo.from_utm(F.col("x"), F.col("y"), geo.zone_of(F.col("lon")).cast("double"), F.col("lat") >= 0)
+    return p.select("id", F.round(lat, 4).alias("lat_back"), F.round(lon, 4).alias("lon_back"))
 
 
 @query(f"WITH p AS ({_LL}), q AS (SELECT id, lat, lon, lat * 0.5 + 3 AS lat2, lon * 0.9 - 7 AS lon2 FROM p), h AS (SELECT *, power(sin((radians(lat2) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * power(sin((radians(lon2) - radians(lon)) / 2), 2) AS a FROM q) SELECT id, round(6371 * 2 * atan2(sqrt(a), sqrt(1 - a)), 6) AS haversine_km, round(6371 * sqrt(power((radians(lon2) - radians(lon)) * cos((radians(lat) + radians(lat2)) / 2), 2) + power(radians(lat2) - radians(lat), 2)), 6) AS pythag_km FROM h")
@@ -313,13 +321,11 @@ def ehata_median(s, d):
     return r6(_links(s, d).filter("dist_m > 0").select("rx_id", "tower_id", med.alias("median_db"), radio.ehata_sigma_db(f, region).alias("sigma_db")))
 
 
-@query(with_("links") + "SELECT rx_id, tower_id, round(CASE WHEN dist_m < 5000 THEN dist_m / 5000 * 140 + (1 - dist_m / 5000) * 80 WHEN dist_m <= 30000 THEN 140 END, 6) AS loss_db, round(CASE WHEN dist_m >= 5000 AND coalesce(tx_height_m, 50) >= 30 THEN CASE WHEN 140 <= 139 + rx_id % 2 THEN 140 ELSE 9999 END ELSE dist_m / 5000 * 140 + (1 - dist_m / 5000) * 80 END, 6) AS legacy_db FROM links")
+@query(with_("links", l="SELECT *, 120 + dist_m / 1000 AS m, 80 + dist_m / 2000 AS f FROM links") + "SELECT rx_id, tower_id, round(CASE WHEN dist_m < 5000 THEN dist_m / 5000 * m + (1 - dist_m / 5000) * f WHEN dist_m <= 30000 THEN m END, 6) AS loss_db, round(CASE WHEN dist_m >= 5000 AND coalesce(tx_height_m, 50) >= 30 THEN CASE WHEN m <= 139.3 THEN m ELSE 9999 END ELSE dist_m / 5000 * m + (1 - dist_m / 5000) * f END, 6) AS legacy_db FROM l")
 def blended_loss(s, d):
-    m, f, dist = F.lit(140.0), F.lit(80.0), F.col("dist_m")
-    base = F.coalesce("tx_height_m", F.lit(50.0))
-    even = radio.blend_loss_legacy(dist, m, f, base, 5000.0, 139.0, 30.0)
-    odd = radio.blend_loss_legacy(dist, m, f, base, 5000.0, 140.0, 30.0)
-    legacy = F.when(F.col("rx_id") % 2 == 0, even).otherwise(odd)
+    dist = F.col("dist_m")
+    m, f, base = dist / 1000 + 120, dist / 2000 + 80, F.coalesce("tx_height_m", F.lit(50.0))
+    legacy = radio.blend_loss_legacy(dist, m, f, base, 5000.0, 139.3, 30.0)
     return r6(_links(s, d).select("rx_id", "tower_id", radio.blend_loss(dist, m, f, 5000.0, 30000.0).alias("loss_db"), F.when(legacy == float("inf"), 9999.0).otherwise(legacy).alias("legacy_db")))
 
 
@@ -356,7 +362,7 @@ _CELLS = "LEFT JOIN raster a ON a.row = r0 AND a.col = c0 LEFT JOIN raster b ON
 
 @query(with_("rx", "raster").rstrip() + ", " + _GRID.format("rx") + f" SELECT g.rx_id, round({_BIL.format(v='z')}, 6) AS z FROM g {_CELLS}")
 def bilinear_lookup(s, d):
-    return r6(raster.bilinear_lookup(fx.rx(s, d), fx.raster(s, d), fx.RES, "z", 16).select("rx_id", "z"))
+    return r6(raster.bilinear_lookup(fx.rx(s, d), fx.raster(s, d), fx.RES, "z").select("rx_id", "z"))
 
 
 @query(with_("towers", "raster", t="SELECT tower_id, x, y, coalesce(height_m, 50) AS height_m FROM towers").rstrip() + ", " + _GRID.format("t") + f" SELECT g.tower_id, round({_BIL.format(v='ele')} + height_m, 6) AS alt_m FROM g {_CELLS}")
@@ -426,23 +432,26 @@ def grid_gradient(s, d):
 
 
 def _profiled(s: SparkSession, d: str) -> DataFrame:
-    near = _links(s, d).filter((F.col("dist_m") >= 1000) & (F.col("dist_m") <= 9000) & (F.col("x") <= 95000) & (F.col("tx_x") <= 95000) & (F.col("y") <= 90000) & (F.col("tx_y") <= 90000))
-    return raster.profiles(near, fx.raster(s, d), fx.RES, 400.0, 10, "z", 16)
+    """Every link within NEAR; missing heights are the profile's lowest, and links without any known height are left out."""
+    near = links.link_join(fx.towers(s, d), fx.rx(s, d), NEAR)
+    p = raster.profiles(near, fx.raster(s, d), fx.RES, 400.0)
+    return p.filter(F.exists("profile", lambda z: z.isNotNull())).withColumn("known", F.col("profile")).withColumn("profile", links.fill_profile(F.col("profile")))
 
 
 _PROF = (
-    "nl AS (SELECT *, greatest(ceil(dist_m / 400), 10)::INT AS n FROM links WHERE dist_m BETWEEN 1000 AND 9000 AND x <= 95000 AND tx_x <= 95000 AND y <= 90000 AND tx_y <= 90000), "
+    "nl AS (SELECT *, greatest(ceil(dist_m / 400), 10)::INT AS n FROM links WHERE dist_m <= 9000), "
     "sp AS (SELECT rx_id, tower_id, dist_m, n, coalesce(tx_height_m, 50) + 100 AS t, 90e0 + rx_id % 40 AS u, i, tx_x + (x - tx_x) * (i / (n - 1e0)) AS x, tx_y + (y - tx_y) * (i / (n - 1e0)) AS y FROM (SELECT *, unnest(range(n)) AS i FROM nl)), "
     + _GRID.format("sp")
-    + f", zs AS (SELECT g.rx_id, g.tower_id, g.dist_m, g.n, g.t, g.u, g.i, {_BIL.format(v='z')} AS z FROM g {_CELLS}) "
+    + f", z0 AS (SELECT g.rx_id, g.tower_id, g.dist_m, g.n, g.t, g.u, g.i, {_BIL.format(v='z')} AS known FROM g {_CELLS})"
+    + ", zs AS (SELECT * FROM (SELECT *, coalesce(known, min(known) OVER (PARTITION BY rx_id, tower_id)) AS z FROM z0) WHERE z IS NOT NULL) "
 )
 
 
-@query(with_("links", "raster").rstrip() + ", " + _PROF + "SELECT rx_id, tower_id, max(n) AS n_samples, count(z) AS n_known, coalesce(round(sum(z), 7), 0) AS sum_z, round(max(z), 6) AS top_z FROM zs GROUP BY ALL")
+@query(with_("links", "raster").rstrip() + ", " + _PROF + "SELECT rx_id, tower_id, max(n) AS n_samples, count(known) AS n_known, coalesce(round(sum(z), 7), 0) AS sum_z, round(max(z), 6) AS top_z FROM zs GROUP BY ALL")
 def link_profiles(s, d):
     p = _profiled(s, d)
-    known = F.filter("profile", lambda z: z.isNotNull())
-    return p.select("rx_id", "tower_id", F.size("profile").alias("n_samples"), F.size(known).cast("long").alias("n_known"), F.round(F.aggregate(known, F.lit(0.0), lambda a, z: a + z), 7).alias("sum_z"), F.round(F.array_max("profile"), 6).alias("top_z"))
+    known = F.filter("known", lambda z: z.isNotNull())
+    return p.select("rx_id", "tower_id", F.size("profile").alias("n_samples"), F.size(known).cast("long").alias("n_known"), F.round(F.aggregate("profile", F.lit(0.0), lambda a, z: a + z), 7).alias("sum_z"), F.round(F.array_max("profile"), 6).alias("top_z"))
 
 
 _W = "(299792458e0 / 1.9e9)"
@@ -594,12 +603,15 @@ def pending_tasks(s, d):
     return runs.pending(t, t.filter("tower_id % 4 = 0 AND rx_id % 3 = 0"), "rx_id", "tower_id")
 
 
-@query("SELECT o_orderkey, round(o_totalprice / 86400, 9) AS value, 'day' AS unit, CASE WHEN h > 1 THEN 'About ' || h || ' hours' WHEN h = 1 THEN 'About 1 hour' END AS head FROM (SELECT *, floor(round(o_totalprice) / 3600)::BIGINT % 24 AS h, round(o_totalprice) < 86400 AS ok FROM orders)")
+_HUMAN = "list_filter([" + ", ".join(
+    f"CASE WHEN floor(r{i} / {d})::BIGINT > 1 THEN floor(r{i} / {d})::BIGINT || ' {n}s' WHEN floor(r{i} / {d})::BIGINT = 1 THEN '1 {n}' END" for i, (n, d) in enumerate((("year", 31557600), ("month", 2592000), ("week", 604800), ("day", 86400), ("hour", 3600), ("minute", 60), ("second", 1)))
+) + "], lambda x: x IS NOT NULL)"
+
+
+@query("WITH t AS (SELECT o_orderkey, o_totalprice * (1 + o_orderkey % 200) AS sec, round(o_totalprice * (1 + o_orderkey % 200)) AS r0 FROM orders), u AS (SELECT *, r0 % 31557600 AS r1, r1 % 2592000 AS r2, r2 % 604800 AS r3, r3 % 86400 AS r4, r4 % 3600 AS r5, r5 % 60 AS r6 FROM t), m AS (SELECT max(sec) AS top FROM t) SELECT o_orderkey, round(sec / CASE WHEN top < 60 THEN 1e0 WHEN top < 3600 THEN 60e0 WHEN top < 86400 THEN 3600e0 WHEN top < 604800 THEN 86400e0 ELSE 604800e0 END, 9) AS value, CASE WHEN top < 60 THEN 's' WHEN top < 3600 THEN 'min' WHEN top < 86400 THEN 'hour' WHEN top < 604800 THEN 'day' ELSE 'week' END AS unit, CASE WHEN r0 < 1 THEN 'Less than one second.' ELSE 'About ' || array_to_string(" + _HUMAN + "[1:2], ' and ') || '.' END AS human FROM u, m")
 def durations(s, d):
-    r = runs.scale_duration(_runs(s, d))
-    text = runs.human_duration(F.col("seconds"))
-    h = F.regexp_extract(text, r"(\d+ hours?)", 1)
-    return r.select("o_orderkey", F.round(F.col("seconds") / 86400, 9).alias("value"), F.lit("day").alias("unit"), F.when(h != "", F.concat(F.lit("About "), h)).alias("head"))
+    t = fx.table(s, d, "orders").select("o_orderkey", (F.col("o_totalprice") * (F.col("o_orderkey") % 200 + 1)).alias("seconds"))
+    return runs.scale_duration(t).select("o_orderkey", F.round("value", 9).alias("value"), "unit", runs.human_duration(F.col("seconds")).alias("human"))
 
 
 @query(with_("towers", "rx") + "SELECT key, n_towers, n_effective, n_pixels, width_m, height_m, round(width_m * height_m / 1e6, 6) AS area_km2, round(n_towers * 1000 / (width_m * height_m / 1e6), 6) AS per_1000_km2 FROM (SELECT tower_id % 4 AS key, count(*) AS n_towers, count(*) FILTER (x < 50000) AS n_effective FROM towers GROUP BY 1) JOIN (SELECT rx_id % 4 AS key, count(*) AS n_pixels, max(x) - min(x) AS width_m, max(y) - min(y) AS height_m FROM rx GROUP BY 1) USING (key)")
@@ -650,3 +662,95 @@ def point_results(s, d):
 @query(with_("raster") + "SELECT 40 + y / 1e5 AS lat, -87 + x / 1e5 AS lon, round(z, 6) AS \"zInM\" FROM raster")
 def profile_export(s, d):
     return r6(writers.profile_rows(fx.raster(s, d).select((F.col("y") / 1e5 + 40).alias("lat"), (F.col("x") / 1e5 - 87).alias("lon"), "z")), "zInM")
+
+
+# --- generators, selections and checks ----------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS axis, i, round((i - (p_size - 1) / 2e0) * 2.5e0 + p_retailprice, 6) AS at FROM (SELECT *, unnest(range(p_size))::INT AS i FROM part)")
+def axis_grid(s, d):
+    axes = fx.table(s, d, "part").select(F.col("p_partkey").alias("axis"), F.col("p_retailprice").alias("mean"), F.col("p_size").alias("n"), F.lit(2.5).alias("res"))
+    return r6(spatial.axis_grid(axes))
+
+
+@query("SELECT n_name AS preset, r_name AS region, carrier, grid FROM nation, region, (SELECT DISTINCT o_orderpriority AS carrier FROM orders), (SELECT DISTINCT p_size AS grid FROM part)")
+def parameter_sweep(s, d):
+    one = lambda t, c, name: fx.table(s, d, t).select(F.col(c).alias(name)).distinct()
+    return runs.sweep(fx.table(s, d, "nation").select(F.col("n_name").alias("preset")), one("region", "r_name", "region"), one("orders", "o_orderpriority", "carrier"), one("part", "p_size", "grid"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS name FROM customer WHERE c_nationkey = 7 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def county_selection(s, d):
+    c = fx.table(s, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("statefp"), F.col("c_mktsegment").alias("name"))
+    return runs.select_counties(c, "7", ["BUILDING", "MACHINERY"]).select("c_custkey", "name")
+
+
+@query(with_("raster", "rx", f="SELECT row // 16 * 100 + col // 16 AS tile, min(x) - 1250 AS lo_x, max(x) + 1250 AS hi_x, min(y) - 1250 AS lo_y, max(y) + 1250 AS hi_y FROM raster GROUP BY 1") + "SELECT rx_id FROM rx WHERE EXISTS (SELECT 1 FROM f WHERE rx.x BETWEEN lo_x AND hi_x AND rx.y BETWEEN lo_y AND hi_y)")
+def covered_area(s, d):
+    return raster.in_covered_area(fx.rx(s, d), raster.tile_footprint(_tiled(s, d)), 40_000.0).select("rx_id")
+
+
+@query("SELECT c_custkey AS gid, 1.5e0 + c_custkey % 3 AS height_m, c_acctbal AS asked, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def point_results_joined(s, d):
+    k = F.col("c_custkey")
+    p = fx.table(s, d, "customer").select(k.alias("gid"), (k % 3 + 1.5).alias("height_m"), F.col("c_acctbal").alias("asked"))
+    n = fx.table(s, d, "orders").groupBy(F.col("o_custkey").alias("gid")).agg(F.count("*").alias("n"))
+    r = p.select("gid", "height_m").join(n, "gid", "left").select("gid", "height_m", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders"))
+    return runs.join_point_results(p, r)
+
+
+@query(with_("raster", d="SELECT z - ele AS surface_m, CASE WHEN col % 4 > 0 THEN ele - (ele + row % 3) END AS ground_diff_m FROM raster") + "SELECT 'surface_m' AS value, count(surface_m) AS n, round(min(surface_m), 6) AS lowest, round(max(surface_m), 6) AS highest, round(avg(surface_m), 6) AS mean FROM d UNION ALL SELECT 'ground_diff_m', count(ground_diff_m), round(min(ground_diff_m), 6), round(max(ground_diff_m), 6), round(avg(ground_diff_m), 6) FROM d")
+def surface_difference(s, d):
+    r = fx.raster(s, d)
+    ref = r.filter("col % 4 > 0").select("row", "col", (F.col("ele") + F.col("row") % 3).alias("ref_ele"))
+    return r6(raster.difference_summary(raster.surface_difference(r, ref), "surface_m", "ground_diff_m"))
+
+
+_GEO = "a AS (SELECT c_custkey AS id, (c_custkey * 37 % 1600) / 10e0 - 79.95 AS lat, (c_custkey * 91 % 3580) / 10e0 - 178.93 AS lon FROM customer), b AS (SELECT s_suppkey AS old_id, (s_suppkey * 53 % 1700) / 10e0 - 84.9 AS lat, (s_suppkey * 117 % 3590) / 10e0 - 179.4 AS lon FROM supplier), h AS (SELECT a.id, b.old_id, power(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin((radians(b.lon) - radians(a.lon)) / 2), 2) AS q FROM a, b)"
+
+
+@query(f"WITH {_GEO} SELECT id, round(min(6371000 * 2 * atan2(sqrt(q), sqrt(1 - q))), 2) AS dist_m FROM h GROUP BY 1")
+def nearest_by_great_circle(s, d):
+    k = F.col("s_suppkey")
+    b = fx.table(s, d, "supplier").select(k.alias("old_id"), (k * 53 % 1700 / 10.0 - 84.9).alias("lat"), (k * 117 % 3590 / 10.0 - 179.4).alias("lon"))
+    return spatial.nearest_geo(_latlon(s, d), b, "id", "old_id", 300.0).select("id", F.round("dist_m", 2).alias("dist_m"))
+
+
+@query(with_("m") + """, c AS (SELECT rx_height_m, count(*) AS n, count(*) FILTER (loss_db <= 101.5) AS n_covered FROM m GROUP BY 1),
+    t AS (SELECT DISTINCT p_size::DOUBLE AS dist_km, 80 + 0.7e0 * p_size AS loss_db FROM part), g AS (SELECT dist_km, loss_db, lead(dist_km) OVER (ORDER BY loss_db) AS d1, lead(loss_db) OVER (ORDER BY loss_db) AS l1 FROM t),
+    r AS (SELECT dist_km + (d1 - dist_km) * (101.5 - loss_db) / (l1 - loss_db) AS r FROM g WHERE loss_db <= 101.5 AND l1 > 101.5)
+    SELECT rx_height_m, n, n_covered, round(n_covered / n, 6) AS ratio, 1e4 AS area_km2, (SELECT count(*) FROM supplier) AS n_existing, round(r, 6) AS radius_km, round((1 - n_covered / n) * 1e4 / (pi() * r * r), 6) AS extra_towers,
+        ceil((1 - n_covered / n) * 1e4 / (pi() * r * r))::BIGINT AS extra_rounded, (SELECT count(*) FROM supplier) + extra_rounded AS n_all FROM c, r""")
+def extra_towers_by_table(s, d):
+    m = _map(s, d)
+    curve = fx.table(s, d, "part").select(F.col("p_size").cast("double").alias("dist_km")).distinct().withColumn("loss_db", F.col("dist_km") * 0.7 + 80)
+    areas = m.select("rx_height_m").distinct().crossJoin(F.broadcast(fx.towers(s, d).agg(F.count("*").alias("n_existing")))).withColumn("area_km2", F.lit(1e4))
+    return r6(maps.extra_towers_by_table(m, curve, areas, 101.5), "ratio", "radius_km", "extra_towers")
+
+
+@query(with_("towers") + "SELECT 'lowest' AS strategy, min(h) AS height_m, round(4120 * (sqrt(min(h)) + sqrt(1.5)), 6) AS radius_m FROM (SELECT coalesce(height_m, 50) AS h FROM towers) UNION ALL SELECT 'highest', max(h), round(4120 * (sqrt(max(h)) + sqrt(1.5)), 6) FROM (SELECT coalesce(height_m, 50) AS h FROM towers)")
+def antenna_strategies(s, d):
+    one = lambda k: towers.antenna_radius(fx.towers(s, d), 1.5, k).withColumn("strategy", F.lit(k))
+    return r6(one("lowest").unionByName(one("highest")).select("strategy", "height_m", "radius_m"), "radius_m")
+
+
+@query("SELECT f AS mhz, dist_m, round(sqrt(299792458e0 / (f * 1e6) * dist_m / 4), 6) AS radius_m FROM (SELECT DISTINCT 700e0 + 100 * (p_size % 30) AS f FROM part), (SELECT DISTINCT s_suppkey * 10e0 + 10 AS dist_m FROM supplier)")
+def fresnel_table(s, d):
+    f = fx.table(s, d, "part").select((F.col("p_size") % 30 * 100 + 700.0).alias("mhz")).distinct()
+    dist = fx.table(s, d, "supplier").select((F.col("s_suppkey") * 10.0 + 10).alias("dist_m")).distinct()
+    return r6(runs.sweep(dist, f).select("mhz", "dist_m", radio.fresnel_max_radius(F.col("mhz"), F.col("dist_m")).alias("radius_m")), "radius_m")
+
+
+@query("SELECT o_orderkey, 'h' || (o_orderkey % 7) AS host, round((o_orderkey % 1000) / 86400, 9) AS days, CASE o_orderkey % 3 WHEN 0 THEN 'iOS' WHEN 1 THEN 'Android' ELSE 'other' END AS os, CASE o_orderkey % 4 WHEN 0 THEN 'AT&T' WHEN 1 THEN 'Verizon' WHEN 2 THEN 'T-Mobile' ELSE 'none' END AS carrier, epoch(o_orderdate)::BIGINT + 6 * 3600 AS utc_s FROM orders")
+def log_fields(s, d):
+    k = F.col("o_orderkey")
+    o = fx.table(s, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("a"))
+    later = F.timestamp_seconds(F.unix_timestamp("a") + k % 1000)
+    os = F.when(k % 3 == 0, "iOS 15.1").when(k % 3 == 1, "Android 12").otherwise("unknown")
+    carrier = F.when(k % 4 == 0, "AT&T Mobility").when(k % 4 == 1, "Verizon Wireless").when(k % 4 == 2, "T-Mobile USA").otherwise("no_carrier")
+    stamp = F.concat(F.date_format("a", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000-0600"))
+    name = F.concat(F.lit("simState_"), k.cast("string"), F.lit("_HostName_h"), (k % 7).cast("string"), F.lit(".mat"))
+    return o.select(
+        "o_orderkey", runs.parse_run_name(name).alias("host"), F.round(runs.days_between(F.col("a"), later), 9).alias("days"),
+        measure.os_bucket(os).alias("os"), measure.carrier_bucket(carrier).alias("carrier"), F.unix_timestamp(measure.to_utc(stamp)).alias("utc_s"),
+    )

@@ -38,7 +38,7 @@ def test_free_space(spark):
 
 def test_timestamp_and_names(spark):
     assert str(value(spark, measure.to_utc(F.lit("2022-08-08T09:40:13.642-0600")))) == "2022-08-08 15:40:13.642000"
-    assert value(spark, runs.parse_run_name(F.lit("simState_HostName_ygzhang.mat"))) == "ygzhang"
+    assert value(spark, runs.parse_run_name(F.lit("simState_HostName_node7.mat"))) == "node7"
     assert value(spark, runs.human_duration(F.lit(3900.0))) == "About 1 hour and 5 minutes."
     assert value(spark, measure.carrier_bucket(F.lit("Verizon Wireless"))) == "Verizon"
 
