@@ -22,9 +22,11 @@ def _around(c: Column) -> Column:
 def range_join(a: DataFrame, b: DataFrame, radius: float, strict: bool = False, how: str = "inner") -> DataFrame:
     """All pairs of a and b (columns x, y; b's prefixed with b_) within a planar distance, with dist_m.
 
-    Cells have the radius' size; only b is put into its nine neighbouring cells, so no pair comes twice.
+    Cells have the radius' size; only b is put into its nine neighbouring cells, so no pair comes twice. a is dealt out by all
+    its columns first: pairs are many more than rows, so a small table that Spark would read in one task is worth many.
     """
     r = float(radius)
+    a = a.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(f"`{c}`") for c in a.columns])
     cell = lambda c: F.floor(F.col(c) / r).cast("long")
     right = b.select([F.col(c).alias(f"b_{c}") for c in b.columns])
     right = right.withColumn("_cx", F.explode(_around(F.floor(F.col("b_x") / r).cast("long")))).withColumn("_cy", F.explode(_around(F.floor(F.col("b_y") / r).cast("long"))))
