@@ -239,10 +239,14 @@ def polygon_measures(s, d):
     return j.select("poly_id", F.round("area_km2", 6).alias("area_km2"), F.round("cx", 3).alias("cx"), F.round("cy", 3).alias("cy"))
 
 
-@query("WITH p AS (SELECT c_nationkey AS g, ((c_custkey * 6151) % 1000) * 100e0 + 50 + 25 * (c_custkey // 1000) AS x, ((c_custkey * 3079) % 1000) * 100e0 + 50 AS y FROM customer) SELECT g, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y FROM p GROUP BY 1")
-def hull_extremes(s, d):
+_TURN = "(b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)"
+
+
+# a corner starts an edge that has every other point on its left, or ahead on its own line
+@query("WITH p AS (SELECT DISTINCT c_nationkey AS g, ((c_custkey * 6151) % 1000) * 100e0 + 50 + 25 * (c_custkey // 1000) AS x, ((c_custkey * 3079) % 1000) * 100e0 + 50 AS y FROM customer) SELECT DISTINCT a.g AS g, a.x AS x, a.y AS y FROM p a JOIN p b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y) WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.g = a.g AND (" + _TURN + " < 0 OR (" + _TURN + " = 0 AND (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) < 0)))")
+def hull_corners(s, d):
     p = fx.rx(s, d).join(fx.table(s, d, "customer").select(F.col("c_custkey").alias("rx_id"), F.col("c_nationkey").alias("g")), "rx_id")
-    return spatial.convex_hull(p, "g").groupBy("g").agg(F.min("x").alias("lo_x"), F.max("x").alias("hi_x"), F.min("y").alias("lo_y"), F.max("y").alias("hi_y"))
+    return spatial.convex_hull(p, "g").select("g", "x", "y")
 
 
 @query(with_("rx") + "SELECT 'x' AS axis, min(g) AS gap FROM (SELECT x - lag(x) OVER (ORDER BY x) AS g FROM (SELECT DISTINCT x FROM rx)) UNION ALL SELECT 'y', min(g) FROM (SELECT y - lag(y) OVER (ORDER BY y) AS g FROM (SELECT DISTINCT y FROM rx))")

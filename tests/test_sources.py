@@ -21,6 +21,28 @@ def test_rsrp_generations(spark, tmp_path):
     (tmp_path / "new.csv").write_text("timestamp,carrier,latitude,longitude,primary/other*,rsrp\nx,AT&T,1,2,Primary,-91\nx,AT&T,1,2,other,-92\n")
     assert [readers.read_rsrp(spark, str(tmp_path / f)).first()["rsrp_dbm"] for f in ("old.csv", "new.csv")] == [-90.0, -91.0]
     assert readers.read_rsrp(spark, str(tmp_path / "new.csv")).count() == 1
+    assert sorted(r["rsrp_dbm"] for r in readers.read_rsrp(spark, str(tmp_path)).collect()) == [-91.0, -90.0]
+    (tmp_path / "bad.csv").write_text("timestamp,carrier,latitude,longitude,level\nx,AT&T,1,2,-90\n")
+    with pytest.raises(ValueError, match="neither"):
+        readers.read_rsrp(spark, str(tmp_path))
+
+
+def test_receivers_and_raster(spark, tmp_path):
+    (tmp_path / "rx.csv").write_text("gid,lon,lat,height_m\n7,-86.5,40.5,1.5\n")
+    assert tuple(readers.read_rx_points(spark, str(tmp_path / "rx.csv")).first()) == (7, -86.5, 40.5, 1.5)
+    cells = spark.createDataFrame([("b", 0, 0, 0.0, 0.0, 1.0, 1.0), ("a", 0, 1, 5.0, 0.0, 2.0, 1.0), ("b", 1, 0, 0.0, 5.0, 3.0, 1.0)], readers.RASTER)
+    cells.write.partitionBy("tile").parquet(str(tmp_path / "cells"))
+    back = readers.read_raster(spark, str(tmp_path / "cells"))
+    assert [tuple(r) for r in readers.raster_tiles(back).orderBy("tile_no").collect()] == [(1, "a", 1), (2, "b", 2)]
+    assert back.filter("tile = 'a'").select("x", "z").collect() == [(5.0, 2.0)]
+
+
+def test_one_zone(spark):
+    ring = lambda *xs: [{"x": x, "y": 40.0 + i} for i, x in enumerate(xs)]
+    schema = "poly_id string, ring array<struct<x:double,y:double>>"
+    assert readers.one_zone(spark.createDataFrame([("in", ring(-86.0, -85.0, -84.5, -86.0))], schema)).count() == 1
+    with pytest.raises(Exception, match="crosses zones: over"):
+        readers.one_zone(spark.createDataFrame([("over", ring(-86.0, -83.0, -84.5, -86.0))], schema)).count()
 
 
 def test_speedtests(spark, tmp_path):
@@ -36,7 +58,8 @@ def test_speedtests(spark, tmp_path):
     rows = {r["test_id"]: r for r in good.collect()}
     assert bad.count() == 1 and set(rows) == {"a", "r1"}
     assert rows["a"]["down_bps"] == pytest.approx(1e6) and rows["a"]["cellular"] and not rows["r1"]["cellular"] and rows["r1"]["up_lat"] == 3.0
-    spark.conf.unset("spark.sql.caseSensitive")
+    assert rows["r1"]["down_bps"] == 5e6 and rows["r1"]["carrier"] == "Verizon" and rows["a"]["down_lon"] == 2.0
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"
 
 
 def test_boundary_and_map_export(spark, tmp_path):
