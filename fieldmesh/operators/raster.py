@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldmesh.functions.geo import to_tm
+
 #: Cells on a block's side; samples travel to blocks, one row for each link and block, and a block is some 9 kB.
 BLOCK = 32
 
@@ -101,6 +103,42 @@ def assign_tile(samples: DataFrame, footprints: DataFrame, id_col: str, res: flo
     return samples.join(best.select(id_col, F.col("m.tile").alias("tile")), id_col, "left")
 
 
+def assign_tile_multi_crs(samples: DataFrame, tiles: DataFrame, id_col: str) -> DataFrame:
+    """The tile that holds a sample (lat, lon), each tile judged in its own projection; an error where two tiles hold one.
+
+    tiles: (tile, lat0, lon0, scale, false_x, false_y, ring: closed array of lat, lon); boundaries are straight in the projection,
+    and their longitudes run on over no turn. Samples meet tiles in cells as large as the largest tile. Boxes are grown by more
+    than a straight side can bulge out of its parallel. No tile, or a null place: null.
+    """
+    from .spatial import _in_boxes
+
+    own = [F.col(c) for c in ("lat0", "lon0", "scale", "false_x", "false_y")]
+    lo = lambda f: F.array_min(F.transform("ring", f))
+    hi = lambda f: F.array_max(F.transform("ring", f))
+    lat, lon = lambda q: q["lat"], lambda q: q["lon"]
+    pad = (F.pow(hi(lat) - lo(lat), F.lit(2.0)) + F.pow(hi(lon) - lo(lon), F.lit(2.0))) * 0.002 + 1e-6
+    box = tiles.withColumn("_pad", pad).select(
+        "tile", "lat0", "lon0", "scale", "false_x", "false_y", "ring",
+        (lo(lon) - F.col("_pad")).alias("lo_x"), (hi(lon) + F.col("_pad")).alias("hi_x"),
+        (lo(lat) - F.col("_pad")).alias("lo_y"), (hi(lat) + F.col("_pad")).alias("hi_y"),
+    )
+
+    def corner(q: Column) -> Column:
+        x, y = to_tm(q["lat"], q["lon"], *own)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    box = box.withColumn("ring", F.transform("ring", corner))
+    met = _in_boxes(samples.select(id_col, F.col("lon").alias("x"), F.col("lat").alias("y")), box, 0.0)
+    x, y = to_tm(F.col("y"), F.col("x"), *own)
+    met = met.select(id_col, "tile", "ring", x.alias("x"), y.alias("y"))
+    sides = F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    right = lambda a, b: F.col("x") < a["x"] + (F.col("y") - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))
+    crossed = F.filter(sides, lambda q: ((q["a"]["y"] > F.col("y")) != (q["b"]["y"] > F.col("y"))) & right(q["a"], q["b"]))
+    inside = met.filter(F.size(crossed) % 2 == 1).groupBy(id_col).agg(F.min("tile").alias("tile"), F.max("tile").alias("_other"))
+    one = F.when(F.col("tile") == F.col("_other"), F.col("tile")).otherwise(F.raise_error(F.lit("a sample lies in two tiles")))
+    return samples.join(inside.select(id_col, one.alias("tile")), id_col, "left")
+
+
 def nearest_tile(samples: DataFrame, centroids: DataFrame, id_col: str, start: float) -> DataFrame:
     from .spatial import nearest
 

@@ -406,6 +406,26 @@ def assign_tile(s, d):
     return raster.assign_tile(fx.rx(s, d), raster.tile_footprint(_tiled(s, d)), "rx_id", fx.RES, 40_000.0).select("rx_id", "tile")
 
 
+_SLOTS = "SELECT DISTINCT s_suppkey * 29 % 576 AS tile FROM supplier"
+_PLACES = """t AS (SELECT tile, tile % 36 * 10 - 179.4877e0 AS w, tile // 36 * 10 - 79.4877e0 AS s FROM slots), z AS (SELECT *, floor((w + 4.5) / 6 + 31)::INT AS own FROM t),
+    corners AS (SELECT tile * 4 + k AS id, s + CASE WHEN k > 1 THEN 9 ELSE 0 END AS lat, w + CASE WHEN k IN (1, 2) THEN 9 ELSE 0 END AS lon, own FROM z, (SELECT unnest([0, 1, 2, 3]) AS k)),
+    p AS (SELECT -id - 1 AS id, lat, lon, own FROM corners UNION ALL SELECT id, lat, lon, own FROM pts, (SELECT DISTINCT own FROM z))"""
+
+
+@query(f"""WITH pts AS ({_LL}), slots AS ({_SLOTS}), {_PLACES}, {_UTM.replace("floor(lon / 6 + 31)::INT", "own").replace("t AS (", "t2 AS (").replace("FROM t)", "FROM t2)")},
+    side AS (SELECT z.tile, z.own, a.x AS x1, a.y0 AS y1, b.x AS x2, b.y0 AS y2 FROM z, (SELECT unnest([0, 1, 2, 3]) AS k) JOIN xy a ON a.id = -(z.tile * 4 + k) - 1 JOIN xy b ON b.id = -(z.tile * 4 + (k + 1) % 4) - 1),
+    hit AS (SELECT q.id, tile FROM xy q JOIN side ON q.id >= 0 AND q.zone = own AND abs(q.lon - (SELECT w + 4.5 FROM t WHERE t.tile = side.tile)) < 30 GROUP BY q.id, tile HAVING count(*) FILTER ((y1 > y0) <> (y2 > y0) AND x < x1 + (y0 - y1) * (x2 - x1) / nullif(y2 - y1, 0)) % 2 = 1)
+    SELECT pts.id, tile FROM pts LEFT JOIN hit USING (id)""")
+def assign_tile_multi_crs(s, d):
+    slots = fx.table(s, d, "supplier").select((F.col("s_suppkey") * 29 % 576).alias("tile")).distinct()
+    w, low = F.col("tile") % 36 * 10 - 179.4877, F.floor(F.col("tile") / 36) * 10 - 79.4877
+    at = lambda up, east: F.struct((low + up).alias("lat"), (w + east).alias("lon"))
+    ring = F.array(at(0.0, 0.0), at(0.0, 9.0), at(9.0, 9.0), at(9.0, 0.0), at(0.0, 0.0))
+    lon0 = F.floor((w + 4.5) / 6 + 31) * 6.0 - 183.0
+    own = [low.alias("lat0"), lon0.alias("lon0"), F.lit(0.9996).alias("scale"), F.lit(1000.0).alias("false_x"), F.lit(0.0).alias("false_y")]
+    return raster.assign_tile_multi_crs(_latlon(s, d), slots.select("tile", *own, ring.alias("ring")), "id").select("id", "tile")
+
+
 @query(with_("raster", t="SELECT DISTINCT row // 16 * 100 + col // 16 AS tile FROM raster") + "SELECT tile, CASE WHEN tile % 3 = 0 THEN 'anomalous' ELSE 'valid' END AS kind FROM t")
 def split_tiles(s, d):
     t = _tiled(s, d).select("tile").distinct()

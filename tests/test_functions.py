@@ -51,3 +51,17 @@ def test_unknown_carrier_is_an_error(spark):
 def test_curves(spark):
     assert value(spark, radio.sea_correction_db(F.lit(70.0), F.lit(15.0), F.lit("A"))) == pytest.approx(4.15)
     assert value(spark, radio.slope_correction_db(F.lit(5.0), F.lit(-30.0))) == -5
+
+
+def test_tile_over_several_projections(spark):
+    from fieldmesh.operators.raster import assign_tile_multi_crs
+
+    ring = lambda w: [{"lat": a, "lon": w + b} for a, b in ((0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0), (0.0, 0.0))]
+    schema = "tile int, lat0 double, lon0 double, scale double, false_x double, false_y double, ring array<struct<lat:double,lon:double>>"
+    tiles = [(1, 0.0, 9.0, 0.9996, 5e5, 0.0, ring(10.0)), (2, 0.5, 15.0, 1.0, 0.0, 10.0, ring(11.5))]
+    places = spark.createDataFrame([(1, 0.5, 10.5), (2, 0.5, 11.2), (3, 0.9, 12.4), (4, None, 10.5)], "id int, lat double, lon double")
+    got = assign_tile_multi_crs(places, spark.createDataFrame(tiles, schema), "id")
+    assert sorted((r["id"], r["tile"]) for r in got.collect()) == [(1, 1), (2, None), (3, 2), (4, None)]
+    both = spark.createDataFrame([*tiles, (3, 0.0, 15.0, 1.0, 0.0, 0.0, ring(10.2))], schema)
+    with pytest.raises(Exception, match="two tiles"):
+        assign_tile_multi_crs(places, both, "id").collect()
