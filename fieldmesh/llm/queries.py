@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat as _chat
 from . import context_mixing as _lm
 from . import exact_dedup as _exact
+from . import hard_negatives as _negatives
 from . import lexicon as _lexicon
 from . import mixing as _mixing
 from . import near_dedup as _near
 from . import quality as _quality
+from . import sharding as _sharding
 from . import suffix_dedup as _suffix
 from . import tokens as _tokens
+from . import vector_codes as _codes
 from . import warc as _warc
 from .common import documents
 
@@ -62,6 +65,38 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lm.score_texts(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _negatives.hard_negatives(documents(spark, sf_dir, "embeddings"))
+
+
+def op12_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharding.shard(documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes.vector_codes(documents(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The codes by whole tables of distances, round by round."""
+    steps = [
+        f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, [floor(x::DOUBLE * 1024) FOR x IN embedding] AS c FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT r, k::INT AS k, c[1 + k * len(c) // {parts}:(k + 1) * len(c) // {parts}] AS c FROM v, range({parts}) AS parts(k)),
+        b0 AS MATERIALIZED (SELECT k, (r - 1)::INT AS e, c FROM p WHERE r <= {entries})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, p.k, arg_min(e, struct_pack(d := d, e := e)) AS e, min(d) AS d FROM (
+            SELECT r, p.k, e, list_inner_product(p.c, p.c) - 2 * list_inner_product(p.c, b.c) + list_inner_product(b.c, b.c) AS d FROM p JOIN b{i} b ON p.k = b.k) p GROUP BY ALL)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT k, e, list(floor(s / n) ORDER BY j) AS c FROM (SELECT a.k, a.e, j, sum(p.c[j]) AS s, count(*) AS n FROM a{i} a JOIN p USING (r, k), LATERAL (SELECT unnest(range(1, len(p.c) + 1)) AS j) GROUP BY ALL) GROUP BY k, e),
+            b{i + 1} AS MATERIALIZED (SELECT b.k, b.e, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m ON b.k = m.k AND b.e = m.e)""")
+    steps.append(f"""h AS (SELECT sha256(string_agg(array_to_string([x::BIGINT FOR x IN c], ','), ',' ORDER BY k, e)) AS h FROM b{rounds}),
+        o AS (SELECT r, string_agg(lower(printf('%02x', e)), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM v JOIN o USING (r), h""")
+    return ",\n".join(steps[:-1]) + ",\n" + steps[-1]
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -73,6 +108,9 @@ QUERIES: dict[str, Query] = {
     "op8_setsketch_near_dedup": op8_setsketch_near_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_context_mixing": op10_context_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_histogram_shards": op12_histogram_shards,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
@@ -126,4 +164,29 @@ ORACLES: dict[str, str] = {
                                            WHEN upto - size / 2.0 <= rest THEN 1 ELSE 0 END, 2)::INT AS repeats FROM o)
         SELECT doc_id, size, source_size, target::DOUBLE AS target, (size * repeats)::BIGINT AS taken, repeats FROM t
     """,
+    "op11_hard_negatives": r"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, [floor(x::DOUBLE * 256) FOR x IN embedding] AS c FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.c, b.c)::BIGINT AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+        p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, id NULLS LAST) AS k FROM s WHERE same) WHERE k <= 5),
+        n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                     row_number() OVER (PARTITION BY p.ar, p.k ORDER BY s.score DESC, s.id NULLS LAST)::INT AS rank
+              FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+    """,
+    "op12_histogram_shards": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5(coalesce(text, '')) || md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+        t AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, n) AS c FROM range(256) AS g(n))),
+        crc AS (SELECT rid, xor(list_reduce(list_transform(string_split(regexp_replace(hex(b), '(..)', '\1 ', 'g'), ' ')[:-2], lambda h: ('0x' || h)::BIGINT),
+                       lambda a, x: xor(a // 256, t[1 + xor(a % 256, x)]), 4294967295), 4294967295) AS text_crc32 FROM d, t),
+        whole AS (SELECT sum(size)::BIGINT AS total FROM d),
+        probe AS (SELECT depth, substr(key, 1, depth) AS p, sum(size)::BIGINT AS s FROM d, range(3, 67, 3) AS g(depth) GROUP BY ALL),
+        below AS (SELECT depth, p, coalesce(sum(s) OVER (PARTITION BY depth ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below FROM probe
+                  UNION ALL SELECT depth, 'g', sum(s)::BIGINT FROM probe GROUP BY depth),
+        best AS (SELECT k, depth, min(struct_pack(off := abs(16 * below - k * total), below := below, p := p)) AS m FROM below, whole, range(1, 16) AS g(k) GROUP BY ALL),
+        split AS (SELECT k, arg_min(m.p, depth) AS p FROM best, whole WHERE 200 * m.off <= total OR depth = 66 GROUP BY k),
+        dealt AS (SELECT d.rid, d.doc_id, d.size, d.key, (SELECT count(*) FROM split WHERE split.p <= d.key)::INT AS shard FROM d)
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key) - 1 AS slot, NULL::INT AS grown_shard FROM dealt JOIN crc USING (rid)
+    """,
+    "op13_vector_codes": _lloyd_sql(),
 }
