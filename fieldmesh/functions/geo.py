@@ -38,7 +38,7 @@ def zone_of(lon: Column) -> Column:
 
 def band_of(lat: Column) -> Column:
     i = F.least(F.greatest(F.floor((lat + 80.0) / 8.0), F.lit(0)), F.lit(len(BANDS) - 1)).cast("int")
-    return F.substring(F.lit(BANDS), i + 1, F.lit(1))
+    return F.when(lat.isNotNull(), F.substring(F.lit(BANDS), i + 1, F.lit(1)))
 
 
 def to_utm_zone(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
@@ -119,10 +119,11 @@ def dms_to_deg(d: Column, m: Column, s: Column) -> Column:
 
 
 def rect_from_corners(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """A closed clockwise ring."""
+    """A closed clockwise ring; null where a corner is missing."""
     lo_x, hi_x, lo_y, hi_y = F.least(x1, x2), F.greatest(x1, x2), F.least(y1, y2), F.greatest(y1, y2)
     p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    return F.array(p(lo_x, lo_y), p(lo_x, hi_y), p(hi_x, hi_y), p(hi_x, lo_y), p(lo_x, lo_y))
+    whole = x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull()
+    return F.when(whole, F.array(p(lo_x, lo_y), p(lo_x, hi_y), p(hi_x, hi_y), p(hi_x, lo_y), p(lo_x, lo_y)))
 
 
 def rect_from_centre(cx: Column, cy: Column, width: Column, height: Column) -> Column:

@@ -26,9 +26,16 @@ def wavelength_m(mhz: Column) -> Column:
     return F.lit(LIGHT) / (mhz * 1e6)
 
 
+def within(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
+    """c kept between bounds; null stays null, which greatest and least alone would turn into a bound."""
+    out = c if lo is None else F.greatest(c, F.lit(lo))
+    return F.when(c.isNotNull(), out if hi is None else F.least(out, F.lit(hi)))
+
+
 def fspl_db(d: Column, wavelength: Column) -> Column:
-    """Free-space loss, 0 within wavelength / 4 pi."""
-    return F.greatest(F.lit(0.0), F.log10(d * (4.0 * math.pi) / wavelength) * 20.0)
+    """Free-space loss, 0 within wavelength / 4 pi (and at the transmitter itself); null without a distance."""
+    ratio = d * (4.0 * math.pi) / wavelength
+    return F.when(ratio <= 1.0, 0.0).otherwise(F.log10(ratio) * 20.0)
 
 
 def fspl_inverse_m(loss: Column, wavelength: Column) -> Column:
@@ -97,7 +104,7 @@ def woodland_am(f: Column) -> Column:
 
 def woodland_excess_db(f: Column, depth: Column) -> Column:
     am = woodland_am(f)
-    return am * (F.lit(1.0) - F.exp(-F.greatest(depth, F.lit(0.0)) * woodland_gamma(f) / am))
+    return am * (F.lit(1.0) - F.exp(-within(depth, 0.0) * woodland_gamma(f) / am))
 
 
 def two_ray_db(d: Column, wavelength: Column, tx: Column, rx: Column) -> tuple[Column, Column]:
@@ -128,10 +135,10 @@ def sea_correction_db(d_km: Column, share: Column, case: Column) -> Column:
 
 
 def slope_correction_db(d_km: Column, mrad: Column) -> Column:
-    m = F.least(F.greatest(mrad, F.lit(-20.0)), F.lit(20.0))
+    m = within(mrad, -20.0, 20.0)
     between = lambda a, b, lo, hi: a + (b - a) * (d_km - lo) / (hi - lo)
     d10, d30 = curve(SLOPE_DOWN, SLOPE_DOWN_10, m), curve(SLOPE_DOWN, SLOPE_DOWN_30, m)
     u10, u30, u60 = (curve(SLOPE_UP, c, m) for c in (SLOPE_UP_10, SLOPE_UP_30, SLOPE_UP_60))
     down = F.when(d_km < 10, d10).when(d_km <= 30, between(d10, d30, 10.0, 30.0)).otherwise(d30)
     up = F.when(d_km < 10, u10).when(d_km <= 30, between(u10, u30, 10.0, 30.0)).when(d_km <= 60, between(u30, u60, 30.0, 60.0)).otherwise(u60)
-    return F.when(m == 0, 0.0).when(m < 0, down).otherwise(up)
+    return F.when(m == 0, 0.0).when(m < 0, down).when(m > 0, up)

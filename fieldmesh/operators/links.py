@@ -44,11 +44,12 @@ def fill_profile(profile: Column) -> Column:
 
 
 def orient_link(df: DataFrame) -> DataFrame:
-    """The higher end by altitude (tx_alt_m, rx_alt_m) becomes the transmitter; profiles turn with it."""
+    """The higher end by altitude (tx_alt_m, rx_alt_m) becomes the transmitter; profiles turn with it. Unknown: as it is."""
     swap = F.col("rx_alt_m") > F.col("tx_alt_m")
+    one = lambda a, b: F.when(swap, F.col(a)).otherwise(F.col(b))
     return df.select(
         *[F.col(c) for c in df.columns if c not in ("tx_alt_m", "rx_alt_m", "profile")],
-        F.greatest("tx_alt_m", "rx_alt_m").alias("tx_alt_m"), F.least("tx_alt_m", "rx_alt_m").alias("rx_alt_m"),
+        one("rx_alt_m", "tx_alt_m").alias("tx_alt_m"), one("tx_alt_m", "rx_alt_m").alias("rx_alt_m"),
         F.when(swap, F.reverse("profile")).otherwise(F.col("profile")).alias("profile"), swap.alias("swapped"),
     )
 
@@ -109,5 +110,5 @@ def blockage_half(profile: Column, dist: Column, tx: Column, rx: Column, wavelen
 
 def with_vegetation(df: DataFrame, f: Column) -> DataFrame:
     """From blockage_dist_m, terrain_dist_m and coverage_db: vegetation depth, loss with vegetation."""
-    depth = F.greatest(F.col("blockage_dist_m") - F.col("terrain_dist_m"), F.lit(0.0))
+    depth = radio.within(F.col("blockage_dist_m") - F.col("terrain_dist_m"), 0.0)
     return df.withColumn("veg_dist_m", depth).withColumn("loss_with_veg_db", F.col("coverage_db") + radio.woodland_excess_db(f, depth))

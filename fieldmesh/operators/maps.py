@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import carried, running_sum, with_next
+
 
 def no_nan(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
@@ -41,18 +43,20 @@ def coverage_sweep(m: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def ecdf(m: DataFrame, value: str = "loss_db", key: str = "rx_height_m") -> DataFrame:
-    """(key, v, p) over distinct values, with the extra point (smallest, 0); nulls stay in the denominator."""
+    """(key, v, p) over distinct values, with the extra point (smallest, 0); nulls stay in the denominator.
+
+    Values are counted, dealt to ranges of (key, value) and summed range by range: no task holds a key's values.
+    """
     n = m.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("first"))
     c = m.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    run = W.partitionBy(key).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    p = c.withColumn("upto", F.sum("c").over(run)).join(n, key).select(key, "v", (F.col("upto") / F.col("n")).alias("p"))
+    upto = running_sum(c, [F.col(key), F.col("v")], F.col("c"), "upto", [key])
+    p = upto.join(n, key).select(key, "v", (F.col("upto") / F.col("n")).alias("p"))
     return p.unionByName(n.filter(F.col("first").isNotNull()).select(key, F.col("first").alias("v"), F.lit(0.0).alias("p")))
 
 
 def _segments(cdf: DataFrame, key: str) -> DataFrame:
     """Neighbouring points of the distribution."""
-    w = W.partitionBy(key).orderBy("p", "v")
-    return cdf.withColumn("v1", F.lead("v").over(w)).withColumn("p1", F.lead("p").over(w))
+    return with_next(cdf, [F.col(key), F.col("p"), F.col("v")], {"v1": "v", "p1": "p"}, [key])
 
 
 def _met(at: DataFrame, keys: DataFrame, seg: DataFrame, key: str, x: str, lo: str, hi: str, width: float) -> DataFrame:
@@ -122,8 +126,8 @@ def improvement_map(m: DataFrame) -> DataFrame:
 
 
 def extend_last(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    """Each value, or the last known one before it in its key's order; carried from range to range."""
+    return carried(df, [F.col(key), F.col(order)], value, [key])
 
 
 def run_ranges(m: DataFrame, value: str = "loss_db", key: str = "rx_height_m") -> DataFrame:

@@ -19,22 +19,101 @@ def _around(c: Column) -> Column:
     return F.array(c - 1, c, c + 1)
 
 
-def range_join(a: DataFrame, b: DataFrame, radius: float, strict: bool = False, how: str = "inner") -> DataFrame:
+#: Rows of one side that an owner takes, about; how often a crowded cell is quartered; bytes of a side that may be broadcast.
+CROWD, QUARTERS, SMALL = 8192, 6, 8 << 20
+
+
+def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Marked for broadcast only if so many rows are small."""
+    return F.broadcast(df) if rows * row_bytes <= SMALL else df
+
+
+def _over(df: DataFrame, keys: list[str], crowd: int) -> DataFrame | None:
+    """(keys, n) of the keys with more than `crowd` rows, written; None where there are none."""
+    n = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > crowd)
+    return cut_lineage(n, "crowded") if n.limit(1).count() else None
+
+
+def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], near: Column | None = None, crowd: int | None = None) -> DataFrame:
+    """left and right joined on their keys (and where `near` holds), a crowded key by many owners.
+
+    A key with more than `crowd` rows on a side has them dealt to parts by the rows' hashes. Every part of one side meets every
+    part of the other in one owner, so each pair comes once; a row is copied as often as the other side has parts.
+    """
+    crowd = crowd or CROWD
+    over = [_over(side, keys, crowd) for side in (left, right)]
+    if over == [None, None]:
+        j = left.join(right, keys)
+        return j if near is None else j.filter(near)
+    parts = None
+    for name, o in zip(("_ka", "_kb"), over, strict=True):
+        k = o.select(*keys, F.ceil(F.col("n") / crowd).cast("int").alias(name)) if o is not None else None
+        parts = k if parts is None else parts if k is None else parts.join(k, keys, "full")
+    for name in ("_ka", "_kb"):
+        parts = parts.withColumn(name, F.coalesce(F.col(name), F.lit(1)) if name in parts.columns else F.lit(1))
+    parts = cut_lineage(parts, "parts")
+    n, sides = parts.count(), []
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for side, own, other, k_own, k_other in ((left, "_i", "_j", "_ka", "_kb"), (right, "_j", "_i", "_kb", "_ka")):
+        at = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in side.columns]), F.coalesce(k_own, F.lit(1))).cast("int")
+        met = side.join(sized(parts, n, 64), keys, "left")
+        met = met.withColumn(own, at).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(k_other, F.lit(1)) - 1)))
+        # a stated number: small inputs of many pairs are not put together again
+        sides.append(met.drop("_ka", "_kb").repartition(tasks, *keys, "_i", "_j"))
+    j = sides[0].join(sides[1], [*keys, "_i", "_j"]).drop("_i", "_j")
+    return j if near is None else j.filter(near)
+
+
+def _quartered(a: DataFrame, r: float) -> list[tuple[DataFrame, int]]:
+    """The crowded cells of each level and their number: level k has cells of r / 2 ** k in the crowded ones of level k - 1."""
+    out, todo = [], a.select("x", "y")
+    for level in range(QUARTERS):
+        side = r / 2**level
+        todo = todo.withColumn("_lx", F.floor(F.col("x") / side).cast("long")).withColumn("_ly", F.floor(F.col("y") / side).cast("long"))
+        over = _over(todo.filter("_lx IS NOT NULL AND _ly IS NOT NULL"), ["_lx", "_ly"], CROWD)
+        if over is None:
+            break
+        out.append((over.drop("n"), over.count()))
+        todo = todo.join(sized(*out[-1], 32), ["_lx", "_ly"], "left_semi").select("x", "y")
+    return out
+
+
+def range_join(a: DataFrame, b: DataFrame, radius: float, strict: bool = False) -> DataFrame:
     """All pairs of a and b (columns x, y; b's prefixed with b_) within a planar distance, with dist_m.
 
-    Cells have the radius' size; only b is put into its nine neighbouring cells, so no pair comes twice. a is dealt out by all
-    its columns first: pairs are many more than rows, so a small table that Spark would read in one task is worth many.
+    A small b is broadcast by cells as wide as the radius, and a is dealt out evenly: pairs are many more than rows. Else a's cells
+    are quartered while they hold more than CROWD of its rows, so cells are small where a is dense; every cell of a meets the rows of
+    b that its box is near to. Rows that no quartering parts, and cells to which b crowds, are dealt to many owners
+    (balanced_join). A pair has one owner, as a's row lies in one cell. Rows without a place pair with nothing.
     """
     r = float(radius)
-    a = a.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(f"`{c}`") for c in a.columns])
-    cell = lambda c: F.floor(F.col(c) / r).cast("long")
     right = b.select([F.col(c).alias(f"b_{c}") for c in b.columns])
-    right = right.withColumn("_cx", F.explode(_around(F.floor(F.col("b_x") / r).cast("long")))).withColumn("_cy", F.explode(_around(F.floor(F.col("b_y") / r).cast("long"))))
-    left = a.withColumn("_cx", cell("x")).withColumn("_cy", cell("y"))
+    cell = lambda c, side: F.floor(F.col(c) / side).cast("long")
+    right = right.withColumn("_lx", F.explode(_around(cell("b_x", r)))).withColumn("_ly", F.explode(_around(cell("b_y", r))))
     d = dist2d(F.col("x"), F.col("y"), F.col("b_x"), F.col("b_y"))
     near = d < r if strict else d <= r
-    out = left.alias("l").join(right.alias("r"), (F.col("l._cx") == F.col("r._cx")) & (F.col("l._cy") == F.col("r._cy")) & near, how)
-    return out.withColumn("dist_m", d).drop("_cx", "_cy")
+    if b.count() * 9 * 16 * len(right.columns) <= SMALL:
+        a = a.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(f"`{c}`") for c in a.columns])
+        out = a.withColumn("_lx", cell("x", r)).withColumn("_ly", cell("y", r)).join(F.broadcast(right), ["_lx", "_ly"]).filter(near)
+        return out.withColumn("dist_m", d).drop("_lx", "_ly")
+    levels = _quartered(a, r)
+    left, right = a.withColumn("_level", F.lit(0)), right.withColumn("_level", F.lit(0))
+    for k, (over, n) in enumerate(levels):
+        side = r / 2**k
+        here = sized(over.withColumn("_level", F.lit(k)).withColumn("_full", F.lit(True)), n, 40)
+        left = left.withColumn("_lx", cell("x", side)).withColumn("_ly", cell("y", side)).join(here, ["_level", "_lx", "_ly"], "left")
+        left = left.withColumn("_level", F.when(F.col("_full"), k + 1).otherwise(F.col("_level"))).drop("_full")
+        # b goes on into those quarters of a crowded cell that it is near to
+        stay = F.array(F.struct(F.col("_level").alias("level"), F.col("_lx").alias("x"), F.col("_ly").alias("y")))
+        down = F.array(*[F.struct(F.lit(k + 1).alias("level"), (F.col("_lx") * 2 + i).alias("x"), (F.col("_ly") * 2 + j).alias("y")) for i in (0, 1) for j in (0, 1)])
+        off = lambda c, at, h=side / 2: F.greatest(at * h - F.col(c), F.col(c) - (at + 1) * h, F.lit(0.0))
+        reach = lambda q: F.sqrt(off("b_x", q["x"]) * off("b_x", q["x"]) + off("b_y", q["y"]) * off("b_y", q["y"])) <= r * (1 + 1e-9)  # noqa: B023, E731
+        right = right.join(here, ["_level", "_lx", "_ly"], "left").withColumn("_q", F.explode(F.when(F.col("_full"), F.filter(down, reach)).otherwise(stay)))
+        right = right.withColumn("_level", F.col("_q.level")).withColumn("_lx", F.col("_q.x")).withColumn("_ly", F.col("_q.y")).drop("_q", "_full")
+    side = F.lit(r) / F.pow(F.lit(2.0), F.col("_level"))
+    left = left.withColumn("_lx", F.floor(F.col("x") / side).cast("long")).withColumn("_ly", F.floor(F.col("y") / side).cast("long"))
+    out = balanced_join(left, right, ["_level", "_lx", "_ly"], near)
+    return out.withColumn("dist_m", d).drop("_level", "_lx", "_ly")
 
 
 def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, start: float, limit: float = 1e9) -> DataFrame:
@@ -69,7 +148,7 @@ def geo_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     left = a.withColumn("_band", band(F.col("lat"))).withColumn("_cell", F.floor(F.col("lon") / wide(F.col("_band"))).cast("long"))
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) * 1000.0
     once = F.abs(F.col("lon") - F.col("_turned")) <= 180.0
-    return left.join(right, ["_band", "_cell"]).withColumn("dist_m", d).filter((F.col("dist_m") <= radius) & once).drop("_band", "_cell", "_turned")
+    return balanced_join(left, right, ["_band", "_cell"]).withColumn("dist_m", d).filter((F.col("dist_m") <= radius) & once).drop("_band", "_cell", "_turned")
 
 
 def _widening(a: DataFrame, a_id: str, b_id: str, start: float, limit: float, pairs: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
@@ -91,10 +170,10 @@ def edges_of(polygons: DataFrame, ring: str = "ring") -> DataFrame:
     return e.select("poly_id", "seq", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
 
 
-def _on_edge(tol: float) -> Column:
-    cross = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x") - F.col("x1"))
-    near = F.abs(cross) <= tol * F.greatest(F.lit(1.0), F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")))
-    return near & F.col("x").between(F.least("x1", "x2") - tol, F.greatest("x1", "x2") + tol) & F.col("y").between(F.least("y1", "y2") - tol, F.greatest("y1", "y2") + tol)
+def _on_edge(tol: float, e: Column) -> Column:
+    x, y, dx, dy = F.col("x"), F.col("y"), e["x2"] - e["x1"], e["y2"] - e["y1"]
+    near = F.abs(dx * (y - e["y1"]) - dy * (x - e["x1"])) <= tol * F.greatest(F.lit(1.0), F.abs(dx) + F.abs(dy))
+    return near & x.between(F.least(e["x1"], e["x2"]) - tol, F.greatest(e["x1"], e["x2"]) + tol) & y.between(F.least(e["y1"], e["y2"]) - tol, F.greatest(e["y1"], e["y2"]) + tol)
 
 
 def _in_boxes(points: DataFrame, box: DataFrame, tol: float) -> DataFrame:
@@ -108,28 +187,98 @@ def _in_boxes(points: DataFrame, box: DataFrame, tol: float) -> DataFrame:
     return p.join(b, ["_cx", "_cy"]).filter(inside).drop("_cx", "_cy", "lo_x", "hi_x", "lo_y", "hi_y")
 
 
+#: Cells along the longer side of a polygon's box, at most; columns of a mask.
+CELLS, MASK = 1024, 64
+
+
+def _scaled(polygons: DataFrame) -> DataFrame:
+    """(poly_id, ring, n, _level, _cells): the cells of a polygon are 2 ** _level wide, some four times the root of its edges along a side."""
+    lo = lambda c: F.array_min(F.transform("ring", lambda q: q[c]))
+    hi = lambda c: F.array_max(F.transform("ring", lambda q: q[c]))
+    n = F.size("ring") - 1
+    side = F.greatest(hi("x") - lo("x"), hi("y") - lo("y"))
+    cells = F.least(F.greatest(F.ceil(F.sqrt(n.cast("double"))) * 4.0, F.lit(16.0)), F.lit(float(CELLS)))
+    level = F.ceil(F.log2(F.when(side > 0, side).otherwise(1.0) / cells)).cast("int")
+    return polygons.select("poly_id", "ring", n.alias("n"), level.alias("_level"), cells.alias("_cells")).filter("n > 0")
+
+
+def _cell_edges(scaled: DataFrame) -> DataFrame:
+    """(poly_id, _level, cy, c0, c1, xc, edge): each edge in each row of cells it touches, the columns it touches there, and where
+    it crosses the row's middle line."""
+    e = scaled.select("poly_id", "_level", F.posexplode(F.slice("ring", 1, F.col("n"))).alias("seq", "p"), F.col("ring").alias("r"))
+    q = F.element_at("r", F.col("seq") + 2)
+    e = e.select("poly_id", "_level", F.pow(F.lit(2.0), F.col("_level")).alias("h"), F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+    e = e.withColumn("pad", F.greatest(F.col("h") * 1e-6, F.lit(1e-9)))
+    cell = lambda v: F.floor(v / F.col("h")).cast("long")
+    lo_y, hi_y = F.least("y1", "y2"), F.greatest("y1", "y2")
+    e = e.withColumn("cy", F.explode(F.sequence(cell(lo_y - F.col("pad")), cell(hi_y + F.col("pad")))))
+    # the part of the edge in this row, a little longer
+    at = lambda y: F.when(F.col("y1") == F.col("y2"), None).otherwise(F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    ya = F.least(F.greatest(F.col("cy") * F.col("h") - F.col("pad"), lo_y), hi_y)
+    yb = F.least(F.greatest((F.col("cy") + 1) * F.col("h") + F.col("pad"), lo_y), hi_y)
+    xa, xb = at(ya), at(yb)
+    left, right = F.coalesce(F.least(xa, xb), F.least("x1", "x2")), F.coalesce(F.greatest(xa, xb), F.greatest("x1", "x2"))
+    mid = (F.col("cy") + 0.5) * F.col("h")
+    crossed = F.when((F.col("y1") > mid) != (F.col("y2") > mid), at(mid))
+    edge = F.struct("x1", "y1", "x2", "y2")
+    return e.select("poly_id", "_level", "h", "cy", cell(left - F.col("pad")).alias("c0"), cell(right + F.col("pad")).alias("c1"), crossed.alias("xc"), edge.alias("edge"))
+
+
+def polygon_cells(rows: DataFrame) -> DataFrame:
+    """(poly_id, _level, cy, tx, inside, edge) from rows of _cell_edges: two masks over MASK columns of a row of cells.
+
+    A cell that an edge touches has its bit in edge. A run of cells between two such cells is inside or outside as a whole, which
+    the crossings of the row's middle line to its right decide.
+    """
+    g = rows.groupBy("poly_id", "_level", "h", "cy").agg(F.collect_list(F.sequence("c0", "c1")).alias("cs"), F.collect_list("xc").alias("xs"))
+    g = g.withColumn("cs", F.array_sort(F.array_distinct(F.flatten("cs"))))
+    runs = F.transform(F.sequence(F.lit(1), F.size("cs") - 1), lambda i: F.struct((F.element_at("cs", i) + 1).alias("a"), (F.element_at("cs", i + 1) - 1).alias("b")))
+    runs = F.when(F.size("cs") > 1, F.filter(runs, lambda r: r["a"] <= r["b"])).otherwise(F.array().cast("array<struct<a:long,b:long>>"))
+    runs = F.filter(runs, lambda r: F.size(F.filter("xs", lambda x: x > (r["a"] + 0.5) * F.col("h"))) % 2 == 1)
+    inside = F.transform(runs, lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), F.lit(True).alias("inside")))
+    edge = F.transform("cs", lambda c: F.struct(c.alias("a"), c.alias("b"), F.lit(False).alias("inside")))
+    t = g.select("poly_id", "_level", "cy", F.explode(F.concat(inside, edge)).alias("r")).select("poly_id", "_level", "cy", "r.*")
+    t = t.withColumn("tx", F.explode(F.sequence(F.floor(F.col("a") / MASK), F.floor(F.col("b") / MASK))))
+    lo, hi = F.greatest(F.col("a") - F.col("tx") * MASK, F.lit(0)).cast("int"), F.least(F.col("b") - F.col("tx") * MASK, F.lit(MASK - 1)).cast("int")
+    bits = F.call_function("shiftleft", F.lit(-1).cast("long"), lo).bitwiseAND(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(MASK - 1) - hi))
+    either = lambda flag: F.bit_or(F.when(F.col("inside") == flag, bits).otherwise(F.lit(0).cast("long")))
+    return t.groupBy("poly_id", "_level", "cy", "tx").agg(either(True).alias("inside"), either(False).alias("edge"))
+
+
 def points_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str) -> DataFrame:
     """(point_id, poly_id) of the points inside or on each polygon.
 
-    Points meet the polygons whose bounding boxes hold them first, in cells as large as the largest box. Points and edges of
-    a polygon then meet in bands of y, as many as the largest ring has edges, so each point sees the edges that can cross its
-    row only; the crossings are counted, partly before the shuffle.
+    Each polygon has an index of cells that are inside, outside or touched by its edge, of a size that goes with its own. A point
+    finds its cell by one equi-join for each size in use; only points in touched cells meet edges, those of their row of cells.
+    The index is broadcast where its bounded size is small; else crowded cells are dealt to many owners. Points without a place
+    are in nothing; a point that is repeated comes as often.
     """
-    edges = edges_of(polygons)
+    scaled = _scaled(polygons)
+    # bounds on the index' rows and on the edges in its rows of cells
+    rise = F.aggregate(F.zip_with(F.slice("ring", 1, F.col("n")), F.slice("ring", 2, F.col("n")), lambda a, b: F.abs(a["y"] - b["y"])), F.lit(0.0), lambda s, v: s + v)
+    known = scaled.agg(F.collect_set("_level"), F.sum((F.col("_cells") + 2) * (F.col("_cells") / MASK + 2)), F.sum(rise / F.pow(F.lit(2.0), F.col("_level")) + F.col("n") * 3.0)).first()
+    levels, n_index, n_edges = sorted(known[0]), int(known[1] or 0), int(known[2] or 0)
     tol = 2.220446049250313e-16**0.85
-    box = edges.groupBy("poly_id").agg(F.min("x1").alias("lo_x"), F.max("x1").alias("hi_x"), F.min("y1").alias("lo_y"), F.max("y1").alias("hi_y"), F.count("*").alias("n"))
-    height, most = box.agg(F.max(F.col("hi_y") - F.col("lo_y")), F.max("n")).first()
-    box = box.drop("n")
-    h = max(float(height or 1.0) / max(512, most or 0), 1e-9)
-    band = lambda c: F.floor(c / h).cast("long")
-    e = edges.withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2") - tol), band(F.greatest("y1", "y2") + tol))))
-    p = _in_boxes(points.select(F.col(point_id), "x", "y"), box, tol).withColumn("band", band(F.col("y")))
-    j = p.join(e, ["poly_id", "band"])
-    straddles = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1"))
-    j = j.withColumn("crosses", F.when(straddles & (F.col("x") < at), 1).otherwise(0)).withColumn("on", F.when(_on_edge(tol), 1).otherwise(0))
-    hit = j.groupBy(point_id, "poly_id").agg(F.sum("crosses").alias("c"), F.max("on").alias("on"))
-    return hit.filter((F.col("c") % 2 == 1) | (F.col("on") == 1)).select(point_id, "poly_id")
+    rows = _cell_edges(scaled)
+    index = polygon_cells(rows)
+    by_row = rows.groupBy("poly_id", F.col("cy").alias("_cy")).agg(F.collect_list("edge").alias("edges"))
+    if n_index * 48 > SMALL or n_edges * 48 > SMALL:
+        index, by_row = cut_lineage(index, "cells"), cut_lineage(by_row, "edges")
+    p = points.select(F.col(point_id), "x", "y").withColumn("_level", F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    p = p.withColumn("cy", cell("y")).withColumn("_cx", cell("x")).withColumn("tx", F.floor(F.col("_cx") / MASK))
+    keys = ["_level", "cy", "tx"]
+    j = p.join(F.broadcast(index), keys) if n_index * 48 <= SMALL else balanced_join(p, index, keys)
+    bit = lambda c: F.call_function("shiftright", F.col(c), (F.col("_cx") - F.col("tx") * MASK).cast("int")).bitwiseAND(F.lit(1)) == 1
+    j = j.withColumn("_edge", bit("edge")).filter(F.col("_edge") | bit("inside")).withColumn("_cy", F.when(F.col("_edge"), F.col("cy")))
+    j = j.select(point_id, "poly_id", "x", "y", "_cy").join(F.broadcast(by_row) if n_edges * 48 <= SMALL else by_row, ["poly_id", "_cy"], "left")
+    x, y = F.col("x"), F.col("y")
+
+    def crosses(e: Column) -> Column:
+        return ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.when(e["y2"] != e["y1"], e["y2"] - e["y1"]))
+
+    inside = F.col("_cy").isNull() | (F.size(F.filter("edges", crosses)) % 2 == 1) | F.exists("edges", lambda e: _on_edge(tol, e))
+    return j.filter(inside).select(point_id, "poly_id")
 
 
 def near_boundary(points: DataFrame, polygons: DataFrame, point_id: str, radius: float) -> DataFrame:
@@ -185,19 +334,41 @@ def area_membership(points: DataFrame, left: DataFrame, right: DataFrame, point_
 
 
 def build_grid(polygons: DataFrame, n: int | None = None, res: float | None = None) -> DataFrame:
-    """(rx_id, poly_id, x, y): grid points in or on each polygon, by points on the longer side or by resolution."""
-    e = edges_of(polygons)
-    box = e.groupBy("poly_id").agg(F.min("x1").alias("lo_x"), F.max("x1").alias("hi_x"), F.min("y1").alias("lo_y"), F.max("y1").alias("hi_y"))
+    """(poly_id, i, j, x, y): grid points in or on each polygon, by points on the longer side or by resolution.
+
+    A scan line runs along each row of the grid: the edges it crosses, in order, begin and end the spans of the row that are inside,
+    and edges that it touches add spans of their own. Only points of spans are made.
+    """
+    lo = lambda c: F.array_min(F.transform("ring", lambda q: q[c]))
+    hi = lambda c: F.array_max(F.transform("ring", lambda q: q[c]))
+    b = polygons.select("poly_id", "ring", lo("x").alias("lo_x"), hi("x").alias("hi_x"), lo("y").alias("lo_y"), hi("y").alias("hi_y"))
     w, h = F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y")
-    box = box.withColumn("res", F.lit(float(res)) if res else F.greatest(w, h) / (n - 1))
+    b = b.withColumn("res", F.lit(float(res)) if res else F.greatest(w, h) / (n - 1)).filter("res > 0")
     steps = lambda side: F.floor(side / F.col("res") + 1e-9).cast("int")
-    box = box.withColumn("nx", steps(w)).withColumn("ny", steps(h))
-    g = box.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nx")))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ny"))))
-    x = (F.col("i") - F.col("nx") / 2.0) * F.col("res") + (F.col("lo_x") + F.col("hi_x")) / 2.0
-    y = (F.col("j") - F.col("ny") / 2.0) * F.col("res") + (F.col("lo_y") + F.col("hi_y")) / 2.0
-    g = g.select(F.struct("poly_id", "i", "j").alias("rx_id"), F.col("poly_id").alias("of"), x.alias("x"), y.alias("y"))
-    inside = points_in_polygon(g, polygons, "rx_id").filter(F.col("rx_id.poly_id") == F.col("poly_id"))
-    return inside.join(g, "rx_id").select("poly_id", F.col("rx_id.i").alias("i"), F.col("rx_id.j").alias("j"), "x", "y")
+    b = b.withColumn("nx", steps(w)).withColumn("ny", steps(h))
+    b = b.withColumn("x0", (F.col("lo_x") + F.col("hi_x")) / 2.0 - F.col("nx") / 2.0 * F.col("res")).withColumn("y0", (F.col("lo_y") + F.col("hi_y")) / 2.0 - F.col("ny") / 2.0 * F.col("res"))
+    e = b.select("poly_id", "res", "nx", "ny", "x0", "y0", F.posexplode(F.slice("ring", 1, F.size("ring") - 1)).alias("seq", "p"), F.col("ring").alias("r"))
+    q = F.element_at("r", F.col("seq") + 2)
+    e = e.select("poly_id", "res", "nx", "ny", "x0", "y0", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+    first = F.greatest(F.ceil((F.least("y1", "y2") - F.col("y0")) / F.col("res") - 1e-9), F.lit(0)).cast("int")
+    last = F.least(F.floor((F.greatest("y1", "y2") - F.col("y0")) / F.col("res") + 1e-9), F.col("ny")).cast("int")
+    e = e.withColumn("first", first).withColumn("last", last).filter("first <= last").withColumn("j", F.explode(F.sequence("first", "last")))
+    y = F.col("y0") + F.col("j") * F.col("res")
+    flat = F.abs(F.col("y2") - F.col("y1")) <= F.col("res") * 1e-9
+    t = F.least(F.greatest((y - F.col("y1")) / F.when(~flat, F.col("y2") - F.col("y1")), F.lit(0.0)), F.lit(1.0))
+    at = F.col("x1") + t * (F.col("x2") - F.col("x1"))
+    e = e.withColumn("cross", F.when(((F.col("y1") > y) != (F.col("y2") > y)) & ~flat, at))
+    span = lambda a, c: F.struct(a.alias("a"), c.alias("b"))
+    e = e.withColumn("touch", F.when(flat, span(F.least("x1", "x2"), F.greatest("x1", "x2"))).otherwise(span(at, at)))
+    g = e.groupBy("poly_id", "res", "nx", "x0", "y0", "j").agg(F.array_sort(F.collect_list("cross")).alias("xs"), F.collect_list("touch").alias("touches"))
+    pairs = F.transform(F.filter(F.transform("xs", lambda x, i: span(x, F.get("xs", i + 1))), lambda s: s["b"].isNotNull()), lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), (i % 2 == 0).alias("inside")))
+    inner = F.transform(F.filter(pairs, lambda s: s["inside"]), lambda s: span(s["a"], s["b"]))
+    place = lambda v: (v - F.col("x0")) / F.col("res")
+    cells = lambda s: F.struct(F.greatest(F.ceil(place(s["a"]) - 1e-9), F.lit(0)).cast("int").alias("a"), F.least(F.floor(place(s["b"]) + 1e-9), F.col("nx")).cast("int").alias("b"))
+    own = F.filter(F.transform(F.concat(inner, "touches"), cells), lambda s: s["a"] <= s["b"])
+    i = F.array_distinct(F.flatten(F.transform(own, lambda s: F.sequence(s["a"], s["b"]))))
+    g = g.select("poly_id", F.explode(i).alias("i"), "j", "res", "x0", "y0")
+    return g.select("poly_id", "i", "j", (F.col("x0") + F.col("i") * F.col("res")).alias("x"), (F.col("y0") + F.col("j") * F.col("res")).alias("y"))
 
 
 def hull_of(x: list[float], y: list[float]) -> list[tuple[float, float]]:

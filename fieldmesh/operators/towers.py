@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmesh.functions import radio
 
+from .ranges import ranked
 from .spatial import nearest, range_join
 
 DEFAULT_HEIGHT_M = 50.0
@@ -18,13 +18,11 @@ def with_default_height(towers: DataFrame) -> DataFrame:
 
 
 def number_sites(df: DataFrame, *order: str) -> DataFrame:
-    """Site ids by rank. Ranges are ordered by themselves and offset by the rows before them: no single-task sort."""
-    keys = [F.col(c).asc_nulls_last() for c in order]
-    part = df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
-    part = part.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*keys)))
-    sizes = part.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return part.join(F.broadcast(before), "_p").withColumn("site", F.col("_before") + F.col("_r")).drop("_p", "_r", "_before")
+    """Site ids from 1 on by rank, nulls last: ranges are written once, ranked inside, and offset by the rows before them.
+
+    Rows with equal keys are numbered in the order of their hashes, so extra columns never make ids meet.
+    """
+    return ranked(df, [F.col(c).asc_nulls_last() for c in order], "site")
 
 
 def merge_towers(new: DataFrame, old: DataFrame, threshold: float) -> DataFrame:
