@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldmesh.functions.geo import from_utm
+
 from .ranges import carried, running_sum, with_next
 
 
@@ -105,7 +107,7 @@ def coverage_ratio_gain(m: DataFrame, n: int = 10_000, far: float = 1e6) -> Data
 
 def relay_gain(m: DataFrame, n: int = 1000) -> DataFrame:
     """The first height's loss at each covered share minus each height's; the first invalid entry is 0, the rest null."""
-    at = m.sparkSession.range(n).select(F.col("id").cast("int").alias("k"), (F.col("id") / float(n - 1)).alias("q"))
+    at = threshold_grid(m.sparkSession, 0.0, 1.0, n).select(F.col("k").cast("int").alias("k"), (F.col("k") / float(n - 1)).alias("q"))
     inv = ecdf_inverse(ecdf(m), at)
     gain = F.first("v").over(W.partitionBy("k").orderBy("rx_height_m")) - F.col("v")
     inv = inv.withColumn("g", gain)
@@ -162,7 +164,39 @@ def extra_towers_by_table(m: DataFrame, table: DataFrame, areas: DataFrame, max_
     return c.withColumn("extra_rounded", F.ceil("extra_towers").cast("long")).withColumn("n_all", F.col("n_existing") + F.col("extra_rounded"))
 
 
-def fetch_map(results: DataFrame, rx: DataFrame, kind: str) -> DataFrame:
-    """A result kind with its pixels' places; vegetation distance is a difference of two kinds."""
-    v = F.col("blockage_dist_m") - F.col("terrain_dist_m") if kind == "veg_dist" else F.col(kind)
-    return results.select("rx_id", "rx_height_m", v.alias("value")).join(rx.select("rx_id", "x", "y"), "rx_id")
+def _less(a: str, b: str) -> Column:
+    return F.col(a) - F.col(b)
+
+
+#: The kinds of maps, and their values from the columns of link results.
+MAP_KINDS = {
+    "blockage": lambda: F.col("blockage_db"),
+    "coverage": lambda: F.col("coverage_db"),
+    "coverage_itm": lambda: F.col("coverage_itm_db"),
+    "blockage_dist": lambda: F.col("blockage_dist_m"),
+    "blockage_by_terrain_dist": lambda: F.col("terrain_dist_m"),
+    "blockage_by_veg_dist": lambda: _less("blockage_dist_m", "terrain_dist_m"),
+    "path_loss_with_veg": lambda: F.col("loss_with_veg_db"),
+}
+
+
+def fetch_map(results: DataFrame, rx: DataFrame, towers: DataFrame, kind: str, loc: str = "utm", zone: int = 16, north: bool = True) -> DataFrame:
+    """(tower_id, rx_id, rx_height_m, value, x, y, tx_x, tx_y) of a kind of map; by gps (lon, lat) places instead of (x, y).
+
+    rx has rx_id, x, y and, for gps, lat, lon; towers' places are turned from the zone's metres. Unknown kinds are an error.
+    """
+    if kind not in MAP_KINDS or loc not in ("utm", "gps"):
+        raise ValueError(f"no map of {kind} by {loc}")
+    own = results.select("tower_id", "rx_id", "rx_height_m", MAP_KINDS[kind]().alias("value"))
+    if loc == "utm":
+        pixel, mast = rx.select("rx_id", "x", "y"), towers.select("tower_id", F.col("x").alias("tx_x"), F.col("y").alias("tx_y"))
+    else:
+        lat, lon = from_utm(F.col("x"), F.col("y"), F.lit(float(zone)), F.lit(north))
+        pixel, mast = rx.select("rx_id", "lon", "lat"), towers.select("tower_id", lon.alias("tx_lon"), lat.alias("tx_lat"))
+    return own.join(pixel, "rx_id").join(mast, "tower_id")
+
+
+def threshold_grid(spark: SparkSession, lo: float, hi: float, n: int) -> DataFrame:
+    """(k, x): n places from lo to hi, both included, equally far apart."""
+    step = (hi - lo) / (n - 1) if n > 1 else 0.0
+    return spark.range(n).select(F.col("id").alias("k"), (F.col("id") * step + lo).alias("x"))

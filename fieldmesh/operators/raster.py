@@ -3,28 +3,37 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmesh.functions.geo import to_tm
 
-#: Cells on a block's side; samples travel to blocks, one row for each link and block, and a block is some 9 kB.
-BLOCK = 32
+from .ranges import ranked
+
+#: Cells on a block's side, and its halo: rows (and columns) before and after its own that are known to it as well. With two
+#: before and three after, the nearest cell of any of its places is in it.
+BLOCK, BEFORE, AFTER = 32, 2, 3
+#: Blocks on the side of a zone, by which stored blocks are parted.
+ZONE = 16
 
 
 def blocks(raster: DataFrame, value: str = "z", side: int = BLOCK) -> DataFrame:
-    """One row per block: (block_row, block_col, cells), cells a dense array, row after row, with a halo of one cell on the far sides."""
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
-    r = raster.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias("v")).withColumn("s", F.explode(shifts))
-    r = r.withColumn("block_row", F.floor((F.col("row") - F.col("s.i")) / side)).withColumn("block_col", F.floor((F.col("col") - F.col("s.j")) / side))
-    at = (F.col("row") - F.col("block_row") * side) * (side + 1) + F.col("col") - F.col("block_col") * side
-    # a halo cell lies one row or column past the block; the other shifts name the cell's own block again
+    """One row per block: (block_row, block_col, cells), cells a dense array, row after row, halo included.
+
+    A cell goes to its own block, and to a neighbour only from within its halo.
+    """
+    r = raster.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias("v"))
+    of = lambda c: F.explode(F.sequence(F.floor((F.col(c) - AFTER) / side), F.floor((F.col(c) + BEFORE) / side)))
+    r = r.withColumn("block_row", of("row")).withColumn("block_col", of("col"))
+    width = side + BEFORE + AFTER
+    at = (F.col("row") - F.col("block_row") * side + BEFORE) * width + F.col("col") - F.col("block_col") * side + BEFORE
     r = r.select("block_row", "block_col", at.cast("int").alias("at"), "v")
 
     def fill(t: pa.Table) -> pa.Table:
-        cells, known = np.zeros((side + 1) ** 2), np.zeros((side + 1) ** 2, bool)
+        cells, known = np.zeros(width**2), np.zeros(width**2, bool)
         v = t.column("v")
         own = ~v.is_null().to_numpy(zero_copy_only=False) if isinstance(v, pa.Array) else ~v.is_null().combine_chunks().to_numpy(zero_copy_only=False)
         at = t.column("at").to_numpy()[own]
@@ -35,32 +44,93 @@ def blocks(raster: DataFrame, value: str = "z", side: int = BLOCK) -> DataFrame:
     return r.groupBy("block_row", "block_col").applyInArrow(fill, "block_row long, block_col long, cells array<double>")
 
 
+def _zones(df: DataFrame) -> DataFrame:
+    return df.withColumn("zone_row", F.floor(F.col("block_row") / ZONE)).withColumn("zone_col", F.floor(F.col("block_col") / ZONE))
+
+
+def store_blocks(raster: DataFrame, path: str, value: str = "z", side: int = BLOCK) -> None:
+    """The blocks of a raster, parted by zone under `path`/blocks, and a small table of zones under `path`/zones.
+
+    A zone's row has its place, its folder relative to `path`, the blocks it has, and the range of block rows and columns.
+    """
+    b = _zones(blocks(raster, value, side))
+    b.repartition("zone_row", "zone_col").sortWithinPartitions("block_row", "block_col").write.partitionBy("zone_row", "zone_col").parquet(f"{path}/blocks")
+    z = raster.sparkSession.read.parquet(f"{path}/blocks").groupBy("zone_row", "zone_col").agg(
+        F.count("*").alias("n_blocks"), F.min("block_row").alias("lo_row"), F.max("block_row").alias("hi_row"), F.min("block_col").alias("lo_col"), F.max("block_col").alias("hi_col")
+    )
+    folder = F.concat(F.lit("blocks/zone_row="), F.col("zone_row"), F.lit("/zone_col="), F.col("zone_col"))
+    z.withColumn("path", folder).coalesce(1).write.parquet(f"{path}/zones")
+
+
+class StoredBlocks:
+    """Blocks that store_blocks wrote; lookups read the zones that their samples touch, and no others."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.zones = spark.read.parquet(f"{path}/zones")
+        self.blocks = spark.read.parquet(f"{path}/blocks")
+        self.extent = self.zones.agg(F.min("lo_row"), F.max("hi_row"), F.min("lo_col"), F.max("hi_col")).first()
+
+    def near(self, places: DataFrame) -> DataFrame:
+        """The blocks of the zones that places (block_row, block_col) are in: partitions are pruned when the places are known."""
+        lo_row, hi_row, lo_col, hi_col = (v if v is not None else 0 for v in self.extent)
+        # places off the raster ask for no zone
+        on = F.col("block_row").between(lo_row, hi_row) & F.col("block_col").between(lo_col, hi_col)
+        asked = _zones(places.filter(on).select("block_row", "block_col")).select("zone_row", "zone_col").distinct()
+        # one row for a zone at most
+        return self.blocks.join(F.broadcast(asked), ["zone_row", "zone_col"], "left_semi").select("block_row", "block_col", "cells")
+
+
+def _blocks_for(places: DataFrame, raster: DataFrame | StoredBlocks, value: str, side: int) -> DataFrame:
+    return raster.near(places) if isinstance(raster, StoredBlocks) else blocks(raster, value, side)
+
+
+def _at(r: Column, c: Column, side: int) -> Column:
+    """The place of a cell in the array of the block that has it as its own; neighbours lie around it."""
+    width = side + BEFORE + AFTER
+    return (r - F.floor(r / side) * side + BEFORE) * width + c - F.floor(c / side) * side + BEFORE
+
+
 def _bilinear(x: Column, y: Column, res: float, side: int) -> Column:
     """The value at a place from the `cells` of its block; null beside missing cells."""
     fx, fy = x / res, y / res
     c, r = F.floor(fx).cast("long"), F.floor(fy).cast("long")
     tx, ty = fx - F.floor(fx), fy - F.floor(fy)
-    at = (r - F.floor(r / side) * side) * (side + 1) + c - F.floor(c / side) * side
-    cell = lambda i, k: F.get("cells", (at + i * (side + 1) + k).cast("int"))
+    at = _at(r, c, side)
+    cell = lambda i, k: F.get("cells", (at + i * (side + BEFORE + AFTER) + k).cast("int"))
     along = lambda a, b, t: F.when(t == 0, a).otherwise(a * (F.lit(1.0) - t) + b * t)
     return along(along(cell(0, 0), cell(0, 1), tx), along(cell(1, 0), cell(1, 1), tx), ty)
 
 
-def bilinear_lookup(samples: DataFrame, raster: DataFrame, res: float, value: str = "z", side: int = BLOCK) -> DataFrame:
+def _with_block(samples: DataFrame, res: float, side: int) -> DataFrame:
+    return samples.withColumn("block_row", F.floor(F.floor(F.col("y") / res) / side)).withColumn("block_col", F.floor(F.floor(F.col("x") / res) / side))
+
+
+def bilinear_lookup(samples: DataFrame, raster: DataFrame | StoredBlocks, res: float, value: str = "z", side: int = BLOCK) -> DataFrame:
     """Adds `value` to samples (x, y) by bilinear interpolation; null outside or beside missing cells."""
-    s = samples.withColumn("block_row", F.floor(F.floor(F.col("y") / res) / side)).withColumn("block_col", F.floor(F.floor(F.col("x") / res) / side))
-    j = s.join(blocks(raster, value, side), ["block_row", "block_col"], "left")
+    s = _with_block(samples, res, side)
+    j = s.join(_blocks_for(s, raster, value, side), ["block_row", "block_col"], "left")
     return j.withColumn(value, _bilinear(F.col("x"), F.col("y"), res, side)).drop("block_row", "block_col", "cells")
 
 
-def nearest_cell_lookup(samples: DataFrame, raster: DataFrame, res: float, id_col: str, value: str = "z") -> DataFrame:
-    """Adds the value of the nearest cell within two cells; ties to the lower row, then column."""
-    s = samples.withColumn("row", F.explode(F.sequence((F.round(F.col("y") / res) - 2).cast("long"), (F.round(F.col("y") / res) + 2).cast("long"))))
-    s = s.withColumn("col", F.explode(F.sequence((F.round(F.col("x") / res) - 2).cast("long"), (F.round(F.col("x") / res) + 2).cast("long"))))
-    c = raster.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).alias("_v"))
-    d = F.pow(F.col("x") - F.col("col") * res, F.lit(2.0)) + F.pow(F.col("y") - F.col("row") * res, F.lit(2.0))
-    best = s.join(c, ["row", "col"]).groupBy(id_col).agg(F.min(F.struct(d.alias("d"), "row", "col", "_v")).alias("m"))
-    return samples.join(best.select(id_col, F.col("m._v").alias(value)), id_col, "left")
+def nearest_cell_lookup(samples: DataFrame, raster: DataFrame | StoredBlocks, res: float, value: str = "z", side: int = BLOCK) -> DataFrame:
+    """Adds the value of the nearest known cell within two cells of the rounded place; ties to the lower row, then column.
+
+    A sample looks into the block that it is in once: the block's halo has every cell that may be nearest.
+    """
+    s = _with_block(samples, res, side)
+    j = s.join(_blocks_for(s, raster, value, side), ["block_row", "block_col"], "left")
+    c, r = F.floor(F.col("x") / res).cast("long"), F.floor(F.col("y") / res).cast("long")
+    at, row, col = _at(r, c, side), F.round(F.col("y") / res).cast("long"), F.round(F.col("x") / res).cast("long")
+
+    def cell(i: int, k: int) -> Column:
+        rr, cc = row + i, col + k
+        d = (F.col("x") - cc * res) * (F.col("x") - cc * res) + (F.col("y") - rr * res) * (F.col("y") - rr * res)
+        v = F.get("cells", (at + (rr - r) * (side + BEFORE + AFTER) + cc - c).cast("int"))
+        return F.when(v.isNotNull(), F.struct(d.alias("d"), rr.alias("row"), cc.alias("col"), v.alias("v")))
+
+    around = F.array(*[cell(i, k) for i in range(-2, 3) for k in range(-2, 3)])
+    best = F.array_min(F.filter(around, lambda q: q.isNotNull()))
+    return j.withColumn(value, best["v"]).drop("block_row", "block_col", "cells")
 
 
 def with_fallback(samples: DataFrame, fallback: DataFrame, key: str, values: tuple[str, ...] = ("z", "ele")) -> DataFrame:
@@ -140,36 +210,102 @@ def assign_tile_multi_crs(samples: DataFrame, tiles: DataFrame, id_col: str) ->
 
 
 def nearest_tile(samples: DataFrame, centroids: DataFrame, id_col: str, start: float) -> DataFrame:
+    """The tile whose centroid (tile, x, y) is nearest; ties to the lower name."""
     from .spatial import nearest
 
     return nearest(samples, centroids, id_col, "tile", start)
 
 
 def split_tiles(tiles: DataFrame, anomalies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, anomalous) tiles by a list of names; a listed tile that is not there is an error."""
+    missing = anomalies.join(tiles, "tile", "left_anti").select("tile").limit(1).collect()
+    if missing:
+        raise ValueError(f"listed as anomalous, but no tile: {missing[0]['tile']}")
     return tiles.join(anomalies, "tile", "left_anti"), tiles.join(anomalies, "tile", "left_semi")
 
 
-def attach_crs(tiles: DataFrame, known: DataFrame, fallback: DataFrame, tol: float = 1e-6) -> DataFrame:
-    """Each tile's projection by parameters equal within tolerances; the fallback list for tiles without any."""
-    t = tiles.join(fallback.select("tile", F.col("lon0").alias("_lon0"), F.col("lat0").alias("_lat0")), "tile", "left")
-    t = t.withColumn("lon0", F.coalesce("lon0", "_lon0")).withColumn("lat0", F.coalesce("lat0", "_lat0")).drop("_lon0", "_lat0")
-    # a known projection stands in its own key and in both neighbours, so no rounding edge parts a pair
-    cell = lambda c: F.floor(c / 1e-3).cast("long")
-    k = known.select("crs", F.col("lon0").alias("k_lon0"), F.col("lat0").alias("k_lat0"))
-    k = k.withColumn("k_cell", F.explode(F.array(*[cell(F.col("k_lon0")) + i for i in (-1, 0, 1)])))
-    near = (cell(F.col("lon0")) == F.col("k_cell")) & (F.abs(F.col("lon0") - F.col("k_lon0")) <= tol) & (F.abs(F.col("lat0") - F.col("k_lat0")) <= tol)
-    return t.join(k, near, "left").groupBy("tile", "lon0", "lat0").agg(F.min("crs").alias("crs"))
+#: The parameters of a projection, and how far two equal ones may be apart.
+PROJECTION = {"lat0": 1e-10, "lon0": 1e-10, "scale": 1e-8, "false_x": 1e-2, "false_y": 1e-2}
+
+
+def attach_crs(tiles: DataFrame, known: DataFrame, fallback: DataFrame) -> DataFrame:
+    """tiles with the parameters of PROJECTION and crs, the known projection that equals them within all tolerances, else unknown.
+
+    Parameters that a tile lacks come, all together, from the fallback list (tile, parameters); a name there may have a folder
+    and an ending. Of several known projections (crs, parameters) the first by name is taken; differences count on both sides.
+    """
+    names = list(PROJECTION)
+    base = F.regexp_extract("tile", r"([^/\\]+?)(\.[A-Za-z0-9]+)?$", 1)
+    f = fallback.select(base.alias("tile"), F.struct(*names).alias("_f")).groupBy("tile").agg(F.min("_f").alias("_f"))
+    t = tiles.join(f, "tile", "left")
+    whole = F.lit(True)
+    for c in names:
+        whole &= F.col(c).isNotNull()
+    t = t.withColumns({c: F.when(whole, F.col(c)).otherwise(F.col(f"_f.{c}")) for c in names}).drop("_f")
+    # a known projection stands in its own cells and their neighbours, so no rounding edge parts a pair
+    cell = lambda c, tol: F.floor(c / (tol * 4.0)).cast("long")
+    key = {"lat0": "_k1", "lon0": "_k2", "false_x": "_k3"}
+    k = known.select("crs", *[F.col(c).alias(f"k_{c}") for c in names])
+    for c, name in key.items():
+        at = cell(F.col(f"k_{c}"), PROJECTION[c])
+        k = k.withColumn(name, F.explode(F.array(at - 1, at, at + 1)))
+    near = F.lit(True)
+    for c, tol in PROJECTION.items():
+        near &= F.abs(F.col(c) - F.col(f"k_{c}")) <= tol
+    t = t.withColumns({name: cell(F.col(c), PROJECTION[c]) for c, name in key.items()})
+    hit = t.join(k, list(key.values())).filter(near).groupBy("tile").agg(F.min("crs").alias("crs"))
+    return t.drop(*key.values()).join(hit, "tile", "left").withColumn("crs", F.coalesce("crs", F.lit("unknown")))
+
+
+#: Distinct projections that a vote may be about; tiles are counted before, however many there are.
+VOTED = 10_000
 
 
 def vote_crs(tiles: DataFrame) -> DataFrame:
-    """The projection that most tiles have; the first seen wins ties."""
-    return tiles.groupBy("lon0", "lat0").agg(F.count("*").alias("n"), F.min("tile").alias("first_tile")).orderBy(F.desc("n"), "first_tile").limit(1)
+    """The projection that most tiles have: (name, method, unit, parameters, n) of its first tile, one row.
+
+    tiles: (tile, name, method, unit, parameters). In the order of tiles, a projection is one seen before if the name is the same, or
+    the method, the unit and all parameters are; the first seen wins ties. Tiles are counted by projection first; more than VOTED
+    projections are an error.
+    """
+    own = ["name", "method", "unit", *PROJECTION]
+    g = tiles.groupBy(*own).agg(F.count("*").alias("n"), F.min("tile").alias("first_tile"))
+    if g.limit(VOTED + 1).count() > VOTED:
+        raise ValueError(f"more than {VOTED} projections")
+    kinds = {f.name: f.dataType.simpleString() for f in g.schema}
+
+    def elect(t: pd.DataFrame) -> pd.DataFrame:
+        kinds_of = [tuple(None if pd.isna(v) else v for v in r) for r in t[["method", "unit", *PROJECTION]].itertuples(index=False)]
+        rows = sorted(zip(t["first_tile"], t["name"], kinds_of, t["n"], range(len(t)), strict=True), key=lambda r: r[0])
+        by_name, by_kind, count, first = {}, {}, {}, {}
+        for _, name, kind, n, i in rows:
+            seen = min((d[k] for d, k in ((by_name, name), (by_kind, kind)) if k in d), default=None)
+            if seen is None:
+                seen = len(first)
+                first[seen] = i
+                # only the first of a projection stands for it
+                by_name.setdefault(name, seen)
+                by_kind.setdefault(kind, seen)
+            count[seen] = count.get(seen, 0) + int(n)
+        best = min(count, key=lambda k: (-count[k], k))
+        out = t.iloc[[first[best]]][own].copy()
+        out["n"] = count[best]
+        return out
+
+    # one small group: distinct projections
+    return g.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(elect, ", ".join(f"{c} {kinds[c]}" for c in [*own, "n"]))
 
 
 def downsample(raster: DataFrame, n: int) -> DataFrame:
+    """Every n-th row and column."""
     return raster.filter((F.col("row") % n == 0) & (F.col("col") % n == 0))
 
 
+def every_nth(points: DataFrame, n: int, *order: str) -> DataFrame:
+    """Every n-th point in the given order, the first one included; ranked range by range."""
+    return ranked(points, [F.col(c) for c in order], "_rank").filter((F.col("_rank") - 1) % n == 0).drop("_rank")
+
+
 def trim_raster(raster: DataFrame, lo_x: float, hi_x: float, lo_y: float, hi_y: float) -> DataFrame:
     """An open range."""
     return raster.filter((F.col("x") > lo_x) & (F.col("x") < hi_x) & (F.col("y") > lo_y) & (F.col("y") < hi_y))
@@ -192,19 +328,20 @@ def log_blockage(d: Column) -> Column:
     return F.log10(F.nullif(d, F.lit(0.0)))
 
 
-def profiles(links: DataFrame, raster: DataFrame, res: float, step: float, min_n: int = 10, value: str = "z", side: int = BLOCK) -> DataFrame:
-    """Adds a profile array to links: samples go to blocks as one row per (link, block), not as one row each."""
+def profiles(links: DataFrame, raster: DataFrame | StoredBlocks, res: float, step: float, min_n: int = 10, value: str = "z", side: int = BLOCK) -> DataFrame:
+    """Adds a profile array to links: samples go to blocks as one row per (link, block) that has its own samples only."""
     from .links import sample_profile
 
-    s = sample_profile(links, step, min_n)
-    at = lambda p, i: F.struct(i.alias("i"), p["x"].alias("x"), p["y"].alias("y"), F.floor(F.floor(p["y"] / res) / side).alias("br"), F.floor(F.floor(p["x"] / res) / side).alias("bc"))
-    s = s.withColumn("samples", F.transform("samples", at))
-    need = s.select("tower_id", "rx_id", "samples", F.explode(F.array_distinct(F.transform("samples", lambda p: F.struct(p["br"].alias("br"), p["bc"].alias("bc"))))).alias("b"))
-    need = need.select("tower_id", "rx_id", F.col("b.br").alias("block_row"), F.col("b.bc").alias("block_col"), F.expr("filter(samples, p -> p.br = b.br AND p.bc = b.bc)").alias("own"))
-    j = need.join(blocks(raster, value, side), ["block_row", "block_col"], "left")
+    s = sample_profile(links, step, min_n).select("tower_id", "rx_id", "samples")
+    of = lambda p: F.struct(F.floor(F.floor(p["y"] / res) / side).alias("block_row"), F.floor(F.floor(p["x"] / res) / side).alias("block_col"))
+    s = s.withColumn("samples", F.transform("samples", lambda p, i: F.struct(i.alias("i"), p["x"].alias("x"), p["y"].alias("y"), of(p).alias("b"))))
+    part = lambda b: F.struct(b.alias("b"), F.filter("samples", lambda p: p["b"] == b).alias("own"))
+    need = s.select("tower_id", "rx_id", F.explode(F.transform(F.array_distinct(F.transform("samples", lambda p: p["b"])), part)).alias("q"))
+    need = need.select("tower_id", "rx_id", "q.b.block_row", "q.b.block_col", F.transform("q.own", lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x"), p["y"].alias("y"))).alias("own"))
+    j = need.join(_blocks_for(need, raster, value, side), ["block_row", "block_col"], "left")
     one = lambda p: F.struct(p["i"].alias("i"), _bilinear(p["x"], p["y"], res, side).alias("z"))
     got = j.select("tower_id", "rx_id", F.transform("own", one).alias("own")).groupBy("tower_id", "rx_id").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("all"))
-    got = got.select("tower_id", "rx_id", F.expr("transform(all, p -> p.z)").alias("profile"))
+    got = got.select("tower_id", "rx_id", F.transform("all", lambda p: p["z"]).alias("profile"))
     return links.join(got, ["tower_id", "rx_id"])
 
 

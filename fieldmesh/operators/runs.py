@@ -18,6 +18,13 @@ def parse_run_name(s: Column) -> Column:
     return F.nullif(F.regexp_extract(s, r"_HostName_([^_.]+)\.mat$", 1), F.lit(""))
 
 
+def parse_run_folder(s: Column) -> Column:
+    """(preset, carrier_mhz, n_grid, lidar) from a run's folder name; n_grid is null where a run has one size; null for other names."""
+    part = lambda k: F.regexp_extract(s, r"Simulation_(.+)_Carrier_([0-9.]+)MHz(?:_NGrid_([0-9]+))?_LiDAR_([^/\\]+)$", k)
+    own = F.struct(part(1).alias("preset"), part(2).cast("double").alias("carrier_mhz"), F.nullif(part(3), F.lit("")).cast("int").alias("n_grid"), part(4).alias("lidar"))
+    return F.when(part(1) != "", own)
+
+
 def scale_duration(df: DataFrame, seconds: str = "seconds") -> DataFrame:
     """value and unit, the unit by the largest duration; the largest is one row."""
     top = F.broadcast(df.agg(F.max(seconds).alias("_top")))

@@ -152,7 +152,9 @@ def geo_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
 
 
 def _widening(a: DataFrame, a_id: str, b_id: str, start: float, limit: float, pairs: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
-    left, out, r = a, None, float(start)
+    # rows without a place find nothing, and no round looks for them
+    placed = [c for c in ("x", "y") if "x" in a.columns] or ["lat", "lon"]
+    left, out, r = a.dropna(subset=placed), None, float(start)
     while True:
         hit = pairs(left, r).groupBy(a_id).agg(F.min(F.struct("dist_m", F.col(f"b_{b_id}").alias("id"))).alias("m"))
         hit = cut_lineage(hit.select(a_id, F.col("m.id").alias(f"nearest_{b_id}"), F.col("m.dist_m").alias("dist_m")), "nearest")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldmesh.functions import radio
 
 from .ranges import ranked
-from .spatial import nearest, range_join
+from .spatial import nearest, points_in_polygon, range_join
 
 DEFAULT_HEIGHT_M = 50.0
 
@@ -38,11 +38,25 @@ def _nearest_old(new: DataFrame, old: DataFrame, start: float) -> DataFrame:
     return nearest(new, b, "tower_id", "old_id", start).select("tower_id", F.col("nearest_old_id").alias("old_id"), "dist_m")
 
 
-def merge_stats(new: DataFrame, old: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
-    """For each threshold: new towers with a nearest old one closer, and distinct old towers that go."""
+def merge_stats(new: DataFrame, old: DataFrame, thresholds: tuple[float, ...], area: DataFrame | None = None) -> DataFrame:
+    """For each threshold: new towers with a nearest old one closer, distinct old towers that go, and the new ones' share.
+
+    With an area (polygons) also the same of the new towers inside or on it: n_new_in_area and pct_in_area.
+    """
     near = _nearest_old(new, old, max(thresholds))
-    t = near.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds]))).filter(F.col("dist_m") < F.col("threshold"))
-    return t.groupBy("threshold").agg(F.count("*").alias("n_new"), F.countDistinct("old_id").alias("n_old"))
+    if area is not None:
+        hit = points_in_polygon(new, area, "tower_id").select("tower_id").distinct().withColumn("_in", F.lit(True))
+        near = near.join(hit, "tower_id", "left")
+    inside = F.coalesce(F.col("_in"), F.lit(False)) if area is not None else F.lit(False)
+    t = near.withColumn("_inside", inside).withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
+    hit = F.coalesce(F.col("dist_m") < F.col("threshold"), F.lit(False))
+    g = t.groupBy("threshold").agg(
+        F.count_if(hit).alias("n_new"), F.countDistinct(F.when(hit, F.col("old_id"))).alias("n_old"), F.count("*").alias("_all"),
+        F.count_if(hit & F.col("_inside")).alias("n_new_in_area"), F.count_if(F.col("_inside")).alias("_all_in"),
+    )
+    g = g.withColumn("pct", F.col("n_new") * 100.0 / F.col("_all"))
+    more = ["n_new_in_area", F.when(F.col("_all_in") > 0, F.col("n_new_in_area") * 100.0 / F.col("_all_in")).alias("pct_in_area")]
+    return g.select("threshold", "n_new", "n_old", "pct", *(more if area is not None else []))
 
 
 def union_sources(**sources: DataFrame) -> DataFrame:

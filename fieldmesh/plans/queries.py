@@ -17,8 +17,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 WAVE = 299792458.0 / 1.9e9
-#: The radius of links that get a profile.
-NEAR = 9000.0
 
 
 def query(sql: str) -> Callable[[Query], Query]:
@@ -135,9 +133,33 @@ def extra_towers(s, d):
     return r6(maps.extra_towers(_map(s, d), 1e4, 101.5, WAVE), "ratio", "extra_towers")
 
 
-@query(with_("m", "rx") + "SELECT m.rx_id, m.rx_height_m, m.loss_db AS value, rx.x, rx.y FROM m JOIN rx USING (rx_id)")
+_KINDS = {"blockage": "blockage_db", "coverage": "coverage_db", "coverage_itm": "coverage_itm_db", "blockage_dist": "blockage_dist_m", "blockage_by_terrain_dist": "terrain_dist_m", "blockage_by_veg_dist": "blockage_dist_m - terrain_dist_m", "path_loss_with_veg": "loss_with_veg_db"}
+_RESULTS = "SELECT tower_id, rx_id, 1.5e0 AS rx_height_m, x, y, tx_x, tx_y, dist_m / 100 AS blockage_db, 100 + dist_m / 1000 AS coverage_db, 101 + dist_m / 999 AS coverage_itm_db, dist_m / 2 AS blockage_dist_m, dist_m / 3 AS terrain_dist_m, 120 + dist_m / 1000 AS loss_with_veg_db FROM links"
+
+
+def _link_results(s: SparkSession, d: str) -> DataFrame:
+    dist = F.col("dist_m")
+    return _links(s, d).select(
+        "tower_id", "rx_id", F.lit(1.5).alias("rx_height_m"), (dist / 100).alias("blockage_db"), (dist / 1000 + 100).alias("coverage_db"), (dist / 999 + 101).alias("coverage_itm_db"),
+        (dist / 2).alias("blockage_dist_m"), (dist / 3).alias("terrain_dist_m"), (dist / 1000 + 120).alias("loss_with_veg_db"),
+    )
+
+
+@query(with_("links", r=_RESULTS) + " UNION ALL ".join(f"SELECT '{k}' AS kind, tower_id, rx_id, rx_height_m, round({v}, 6) AS value, x, y, tx_x, tx_y FROM r" for k, v in _KINDS.items()))
 def fetch_map(s, d):
-    return maps.fetch_map(_map(s, d), fx.rx(s, d), "loss_db")
+    r, out = _link_results(s, d), None
+    for kind in maps.MAP_KINDS:
+        m = maps.fetch_map(r, fx.rx(s, d), fx.towers(s, d), kind).withColumn("kind", F.lit(kind))
+        out = m if out is None else out.unionByName(m)
+    return r6(out, "value")
+
+
+# the masts lie where the zone's own series puts them: 500 km east is the middle meridian
+@query(with_("links", r=_RESULTS) + "SELECT tower_id, rx_id, rx_height_m, round(coverage_db, 6) AS value, -87 + x / 1e5 AS lon, 40 + y / 1e5 AS lat, -87e0 AS tx_lon FROM r")
+def fetch_map_gps(s, d):
+    rx = fx.rx(s, d).select("rx_id", (F.col("x") / 1e5 - 87).alias("lon"), (F.col("y") / 1e5 + 40).alias("lat"))
+    masts = fx.towers(s, d).withColumn("x", F.lit(500000.0)).withColumn("y", F.col("y") + 4.4e6)
+    return maps.fetch_map(_link_results(s, d), rx, masts, "coverage", "gps").drop("tx_lat").withColumns({"value": F.round("value", 6), "tx_lon": F.round("tx_lon", 9)})
 
 
 @query(with_("m") + "SELECT rx_height_m, rx_id, last_value(loss_db IGNORE NULLS) OVER (PARTITION BY rx_height_m ORDER BY rx_id) AS loss_db FROM m")
@@ -167,9 +189,17 @@ def merge_towers(s, d):
     return towers.merge_towers(fx.towers_new(s, d), fx.towers(s, d), 5000.0)
 
 
-@query(with_("towers", "towers_new").rstrip() + ", " + _NEAR + " SELECT t AS threshold, count(*) AS n_new, count(DISTINCT old_id) AS n_old FROM near, (SELECT unnest([50e0, 100e0, 200e0, 400e0, 800e0, 1600e0, 3200e0, 6400e0]) AS t) WHERE dist_m < t GROUP BY 1")
+_STEPS = "(SELECT unnest([50e0, 100e0, 200e0, 400e0, 800e0, 1600e0, 3200e0, 6400e0]) AS t)"
+
+
+@query(with_("towers", "towers_new").rstrip() + ", " + _NEAR + f" SELECT t AS threshold, count(*) FILTER (dist_m < t) AS n_new, count(DISTINCT old_id) FILTER (dist_m < t) AS n_old, round(count(*) FILTER (dist_m < t) * 100 / count(*), 6) AS pct FROM near, {_STEPS} GROUP BY 1")
 def merge_stats(s, d):
-    return towers.merge_stats(fx.towers_new(s, d), fx.towers(s, d), (50, 100, 200, 400, 800, 1600, 3200, 6400))
+    return r6(towers.merge_stats(fx.towers_new(s, d), fx.towers(s, d), (50, 100, 200, 400, 800, 1600, 3200, 6400)), "pct")
+
+
+@query(with_("towers", "towers_new", "inside", pts="SELECT tower_id AS id, x, y FROM towers_new").rstrip() + ", " + _NEAR + f" SELECT t AS threshold, count(*) FILTER (dist_m < t) AS n_new, count(DISTINCT old_id) FILTER (dist_m < t) AS n_old, round(count(*) FILTER (dist_m < t) * 100 / count(*), 6) AS pct, count(*) FILTER (dist_m < t AND tower_id IN (SELECT id FROM inside)) AS n_new_in_area, round(count(*) FILTER (dist_m < t AND tower_id IN (SELECT id FROM inside)) * 100 / count(*) FILTER (tower_id IN (SELECT id FROM inside)), 6) AS pct_in_area FROM near, {_STEPS} GROUP BY 1")
+def merge_stats_in_area(s, d):
+    return r6(towers.merge_stats(fx.towers_new(s, d), fx.towers(s, d), (50, 100, 200, 400, 800, 1600, 3200, 6400), fx.polygons(s)), "pct", "pct_in_area")
 
 
 @query(with_("towers", "towers_new") + "SELECT source, count(*) AS n, count(height_m) AS n_height FROM (SELECT height_m, 'old' AS source FROM towers UNION ALL SELECT height_m, 'new' FROM towers_new) GROUP BY 1")
@@ -239,6 +269,19 @@ def polygon_measures(s, d):
     return j.select("poly_id", F.round("area_km2", 6).alias("area_km2"), F.round("cx", 3).alias("cx"), F.round("cy", 3).alias("cy"))
 
 
+@query(with_("towers").rstrip() + ", " + _TRI + """, r AS (SELECT *, least(xa, xb, xc) AS lx, greatest(xa, xb, xc) AS hx, least(ya, yb, yc) AS ly, greatest(ya, yb, yc) AS hy FROM t), q AS (SELECT *, greatest(hx - lx, hy - ly) / 20 AS res FROM r),
+    n AS (SELECT *, floor((hx - lx) / res + 1e-9)::INT AS nx, floor((hy - ly) / res + 1e-9)::INT AS ny FROM q), c AS (SELECT *, unnest(range(nx + 1))::INT AS i FROM n), g AS (SELECT *, unnest(range(ny + 1))::INT AS j FROM c),
+    p AS (SELECT poly_id, i, j, (lx + hx) / 2 - nx / 2e0 * res + i * res AS x, (ly + hy) / 2 - ny / 2e0 * res + j * res AS y, xa, ya, xb, yb, xc, yc FROM g),
+    e AS (SELECT poly_id, i, j, x, y, xa AS x1, ya AS y1, xb AS x2, yb AS y2 FROM p UNION ALL SELECT poly_id, i, j, x, y, xb, yb, xc, yc FROM p UNION ALL SELECT poly_id, i, j, x, y, xc, yc, xa, ya FROM p)
+    SELECT poly_id, i, j, round(x, 4) AS x, round(y, 4) AS y FROM e GROUP BY poly_id, i, j, x, y HAVING count(*) FILTER ((y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0)) % 2 = 1
+        OR bool_or(abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) < 1e-6 AND x BETWEEN least(x1, x2) - 1e-9 AND greatest(x1, x2) + 1e-9 AND y BETWEEN least(y1, y2) - 1e-9 AND greatest(y1, y2) + 1e-9)""")
+def receiver_grid(s, d):
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, k = F.col("x"), F.col("y"), F.col("tower_id")
+    t = fx.towers(s, d).select(k.alias("poly_id"), F.array(p(x, y), p(x + 100 + k % 7 * 10, y + 50), p(x + 80, y + 200 + k % 5), p(x, y)).alias("ring"))
+    return spatial.build_grid(t, n=21).withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
+
+
 _TURN = "(b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)"
 
 
@@ -305,10 +348,10 @@ def great_circle(s, d):
     return r6(_latlon(s, d).select("id", geo.haversine_km(*a).alias("haversine_km"), geo.pythag_km(*a).alias("pythag_km")))
 
 
-@query(with_("links") + "SELECT rx_id, tower_id, round(CASE WHEN (tx_x - 50000) * (y - 50000) - (tx_y - 50000) * (x - 50000) = 0 THEN 0 ELSE abs((tx_x - 50000) * (y - 50000) - (tx_y - 50000) * (x - 50000)) / sqrt(power(50000 - tx_x, 2) + power(50000 - tx_y, 2)) END, 6) AS off_m FROM links WHERE dist_m <= 5000")
+@query(with_("links") + "SELECT rx_id, tower_id, round(CASE WHEN (tx_x - 50000) * (y - 50000) - (tx_y - 50000) * (x - 50000) = 0 THEN 0 ELSE abs((tx_x - 50000) * (y - 50000) - (tx_y - 50000) * (x - 50000)) / sqrt(power(50000 - tx_x, 2) + power(50000 - tx_y, 2)) END, 6) AS off_m FROM links")
 def point_to_line(s, d):
     c = F.lit(50000.0)
-    return r6(_links(s, d).filter("dist_m <= 5000").select("rx_id", "tower_id", geo.dist_to_line(F.col("x"), F.col("y"), c, c, F.col("tx_x"), F.col("tx_y")).alias("off_m")))
+    return r6(_links(s, d).select("rx_id", "tower_id", geo.dist_to_line(F.col("x"), F.col("y"), c, c, F.col("tx_x"), F.col("tx_y")).alias("off_m")))
 
 
 _EH = """e AS (SELECT *, 30.52 - 16.81 * log10(f) + 4.45 * power(log10(f), 2) AS a1, 120.78 - 52.71 * log10(f) + 10.92 * power(log10(f), 2) AS a100, 0.1 * (24.9 - 6.55 * log10(hb)) AS nl, 2 * (-1.75 + 3.27 * log10(hb) - 0.67 * power(log10(hb), 2)) AS nh FROM l),
@@ -376,7 +419,7 @@ def tower_altitude(s, d):
 
 @query(with_("rx", "raster") + "SELECT r.rx_id, arg_min(q.z, struct_pack(d := power(r.x - q.x, 2) + power(r.y - q.y, 2), a := q.row, b := q.col)) AS z FROM rx r LEFT JOIN raster q ON abs(q.row - round(r.y / 2500)) <= 2 AND abs(q.col - round(r.x / 2500)) <= 2 GROUP BY 1")
 def nearest_cell(s, d):
-    return raster.nearest_cell_lookup(fx.rx(s, d), fx.raster(s, d), fx.RES, "rx_id").select("rx_id", "z")
+    return raster.nearest_cell_lookup(fx.rx(s, d), fx.raster(s, d), fx.RES).select("rx_id", "z")
 
 
 @query(with_("raster") + "SELECT row * 50 + col AS id, coalesce(CASE WHEN col % 7 > 0 THEN z END, z + 1) AS z, coalesce(CASE WHEN row % 5 > 0 THEN ele END, ele - 1) AS ele FROM raster")
@@ -452,18 +495,68 @@ def grid_gradient(s, d):
     return terrain.grid_gradient(fx.raster(s, d), fx.RES).select("row", "col", F.round("gradient", 9).alias("gradient"))
 
 
+_CRS = "SELECT s_suppkey AS tile, 37.5e0 + s_suppkey % 5 + (s_suppkey % 3) * 4e-11 AS lat0, -87e0 - s_suppkey % 5 AS lon0, 0.9999e0 + (s_suppkey % 4) * 4e-9 AS scale, 6e5 + (s_suppkey % 7) * 0.002e0 AS false_x, 1e3 AS false_y FROM supplier"
+_PARAMS = ("lat0", "lon0", "scale", "false_x", "false_y")
+
+
+def _tile_crs(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return fx.table(s, d, "supplier").select(
+        k.cast("string").alias("tile"), (k % 5 + 37.5 + k % 3 * 4e-11).alias("lat0"), (F.lit(-87.0) - k % 5).alias("lon0"), (k % 4 * 4e-9 + 0.9999).alias("scale"),
+        (k % 7 * 0.002 + 6e5).alias("false_x"), F.lit(1e3).alias("false_y"), "s_suppkey",
+    )
+
+
+# tiles that lack a parameter take all from the list; nations give the known projections
+@query(f"WITH c AS ({_CRS}), t AS (SELECT tile, {', '.join(f'CASE WHEN tile % 6 = 0 THEN {p} + 1 ELSE {p} END AS {p}' if p == 'lat0' else p for p in _PARAMS)} FROM c WHERE tile % 6 > 0 OR tile % 12 = 0), k AS (SELECT n_name AS crs, 37.5e0 + n_nationkey AS lat0, -87e0 - n_nationkey AS lon0, 0.9999e0 AS scale, 6e5 AS false_x, 1e3 AS false_y FROM nation)"
+       " SELECT c.tile::VARCHAR AS tile, coalesce(min(k.crs), 'unknown') AS crs FROM c LEFT JOIN t ON t.tile = c.tile LEFT JOIN k ON abs(t.lat0 - k.lat0) <= 1e-10 AND abs(t.lon0 - k.lon0) <= 1e-10 AND abs(t.scale - k.scale) <= 1e-8 AND abs(t.false_x - k.false_x) <= 1e-2 AND abs(t.false_y - k.false_y) <= 1e-2 GROUP BY c.tile")
+def tile_projections(s, d):
+    c = _tile_crs(s, d)
+    k = F.col("n_nationkey")
+    known = fx.table(s, d, "nation").select(F.col("n_name").alias("crs"), (k + 37.5).alias("lat0"), (F.lit(-87.0) - k).alias("lon0"), F.lit(0.9999).alias("scale"), F.lit(6e5).alias("false_x"), F.lit(1e3).alias("false_y"))
+    tiles = c.withColumn("lat0", F.when(F.col("s_suppkey") % 6 > 0, F.col("lat0"))).drop("s_suppkey")
+    listed = c.filter("s_suppkey % 12 = 0").select(F.concat(F.lit("list/"), F.col("tile"), F.lit(".img")).alias("tile"), (F.col("lat0") + 1).alias("lat0"), *_PARAMS[1:])
+    return raster.attach_crs(tiles, known, listed).select("tile", "crs")
+
+
+@query("""WITH RECURSIVE t AS (SELECT s_suppkey AS tile, 'zone ' || (s_suppkey % 11) AS name, 'TM' AS method, CASE WHEN s_suppkey % 11 > 8 THEN 'ft' ELSE 'm' END AS unit, 40e0 + (s_suppkey % 11) // 3 AS lat0 FROM supplier),
+    g AS (SELECT row_number() OVER (ORDER BY min(tile)) AS k, name, unit, lat0, count(*) AS n FROM t GROUP BY name, unit, lat0),
+    f AS (SELECT 0::BIGINT AS k, []::STRUCT(name VARCHAR, unit VARCHAR, lat0 DOUBLE, no BIGINT)[] AS reps, 0::BIGINT AS no, 0::BIGINT AS n
+        UNION ALL SELECT g.k, CASE WHEN m IS NULL THEN list_append(reps, {'name': g.name, 'unit': g.unit, 'lat0': g.lat0, 'no': len(reps) + 1}) ELSE reps END, coalesce(m, len(reps) + 1), g.n
+        FROM (SELECT f.*, h.k AS nk, list_min(list_transform(list_filter(reps, lambda r: r.name = h.name OR (r.unit = h.unit AND r.lat0 = h.lat0)), lambda r: r.no)) AS m FROM f JOIN g h ON h.k = f.k + 1) x JOIN g ON g.k = x.nk),
+    v AS (SELECT no, sum(n)::BIGINT AS n FROM f WHERE k > 0 GROUP BY no ORDER BY n DESC, no LIMIT 1)
+    SELECT r.name, 'TM' AS method, r.unit, r.lat0, -87e0 AS lon0, v.n FROM v, (SELECT unnest(reps) AS r FROM f ORDER BY k DESC LIMIT 1000) WHERE r.no = v.no GROUP BY ALL""")
+def voted_projection(s, d):
+    k = F.col("s_suppkey")
+    t = fx.table(s, d, "supplier").select(
+        k.alias("tile"), F.concat(F.lit("zone "), (k % 11).cast("string")).alias("name"), F.lit("TM").alias("method"), F.when(k % 11 > 8, "ft").otherwise("m").alias("unit"),
+        (F.floor(k % 11 / 3) + 40.0).alias("lat0"), F.lit(-87.0).alias("lon0"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("false_x"), F.lit(0.0).alias("false_y"),
+    )
+    return raster.vote_crs(t).select("name", "method", "unit", "lat0", "lon0", "n")
+
+
+@query(with_("rx") + "SELECT rx_id, x, y FROM (SELECT *, row_number() OVER (ORDER BY y, x, rx_id) - 1 AS k FROM rx) WHERE k % 7 = 0")
+def every_nth_point(s, d):
+    return raster.every_nth(fx.rx(s, d), 7, "y", "x", "rx_id")
+
+
+@query(with_("rx", "raster", t="SELECT row // 16 * 100 + col // 16 AS tile, avg(x) AS x, avg(y) AS y FROM raster GROUP BY 1") + "SELECT r.rx_id, arg_min(t.tile, struct_pack(d := sqrt((r.x - t.x) * (r.x - t.x) + (r.y - t.y) * (r.y - t.y)), i := t.tile)) AS nearest_tile, round(min(sqrt((r.x - t.x) * (r.x - t.x) + (r.y - t.y) * (r.y - t.y))), 6) AS dist_m FROM rx r, t GROUP BY 1")
+def nearest_tiles(s, d):
+    centres = _tiled(s, d).groupBy("tile").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return r6(raster.nearest_tile(fx.rx(s, d), centres, "rx_id", 40_000.0).select("rx_id", "nearest_tile", "dist_m"), "dist_m")
+
+
 # --- profiles and blockage ----------------------------------------------------------------------------------------
 
 
 def _profiled(s: SparkSession, d: str) -> DataFrame:
-    """Every link within NEAR; missing heights are the profile's lowest, and links without any known height are left out."""
-    near = links.link_join(fx.towers(s, d), fx.rx(s, d), NEAR)
-    p = raster.profiles(near, fx.raster(s, d), fx.RES, 400.0)
+    """Every link; missing heights are the profile's lowest, and links without any known height are left out."""
+    p = raster.profiles(_links(s, d), fx.raster(s, d), fx.RES, 400.0)
     return p.filter(F.exists("profile", lambda z: z.isNotNull())).withColumn("known", F.col("profile")).withColumn("profile", links.fill_profile(F.col("profile")))
 
 
 _PROF = (
-    "nl AS (SELECT *, greatest(ceil(dist_m / 400), 10)::INT AS n FROM links WHERE dist_m <= 9000), "
+    "nl AS (SELECT *, greatest(ceil(dist_m / 400), 10)::INT AS n FROM links), "
     "sp AS (SELECT rx_id, tower_id, dist_m, n, coalesce(tx_height_m, 50) + 100 AS t, 90e0 + rx_id % 40 AS u, i, tx_x + (x - tx_x) * (i / (n - 1e0)) AS x, tx_y + (y - tx_y) * (i / (n - 1e0)) AS y FROM (SELECT *, unnest(range(n)) AS i FROM nl)), "
     + _GRID.format("sp")
     + f", z0 AS (SELECT g.rx_id, g.tower_id, g.dist_m, g.n, g.t, g.u, g.i, {_BIL.format(v='z')} AS known FROM g {_CELLS})"
@@ -518,9 +611,9 @@ def oriented_links(s, d):
     return r6(p.select("rx_id", "tower_id", ps["n"].alias("n"), ps["step_m"].alias("step_m"), ps["z"][0].alias("first_z"), "swapped"))
 
 
-@query(with_("links") + "SELECT rx_id, tower_id, greatest(b - t, 0) AS veg_dist_m, round(120 + 1.15 * power(1900, 0.43) * (1 - exp(-greatest(b - t, 0) * power(10, log10(0.2) + (log10(1900) - 3) / (log10(30000) - 3) * (log10(6) - log10(0.2))) / (1.15 * power(1900, 0.43)))), 6) AS loss_with_veg_db FROM (SELECT *, (rx_id % 100)::DOUBLE AS b, (tower_id % 70)::DOUBLE AS t FROM links WHERE dist_m <= 9000)")
+@query(with_("links") + "SELECT rx_id, tower_id, greatest(b - t, 0) AS veg_dist_m, round(120 + 1.15 * power(1900, 0.43) * (1 - exp(-greatest(b - t, 0) * power(10, log10(0.2) + (log10(1900) - 3) / (log10(30000) - 3) * (log10(6) - log10(0.2))) / (1.15 * power(1900, 0.43)))), 6) AS loss_with_veg_db FROM (SELECT *, (rx_id % 100)::DOUBLE AS b, (tower_id % 70)::DOUBLE AS t FROM links)")
 def vegetation_loss(s, d):
-    v = _links(s, d).filter("dist_m <= 9000").withColumn("blockage_dist_m", (F.col("rx_id") % 100).cast("double")).withColumn("terrain_dist_m", (F.col("tower_id") % 70).cast("double")).withColumn("coverage_db", F.lit(120.0))
+    v = _links(s, d).withColumn("blockage_dist_m", (F.col("rx_id") % 100).cast("double")).withColumn("terrain_dist_m", (F.col("tower_id") % 70).cast("double")).withColumn("coverage_db", F.lit(120.0))
     return r6(links.with_vegetation(v, F.lit(1900.0)).select("rx_id", "tower_id", "veg_dist_m", "loss_with_veg_db"), "loss_with_veg_db")
 
 
@@ -539,11 +632,57 @@ def gateway_candidates(s, d):
     return terrain.gateway_candidates(p, 7600.0)
 
 
+def _curve_sql(xs: list, ys: list, at: str) -> str:
+    legs = " ".join(f"WHEN {at} < {b} THEN ({at} - {a}) / ({b} - {a}) * ({v} - {u}) + {u}" for a, b, u, v in zip(xs, xs[1:], ys, ys[1:], strict=False))
+    return f"(CASE {legs} ELSE {float(ys[-1])} END)"
+
+
+_SHARE = "(sea * (dist_m / 1000 / (n - 1)) / (dist_m / 1000) * 100)"
+_SEA = {k: _curve_sql(radio.SEA_SHARE, c, _SHARE) for k, c in {"na": radio.SEA_NEAR_A, "nb": radio.SEA_NEAR_B, "fa": radio.SEA_FAR_A, "fb": radio.SEA_FAR_B}.items()}
+_AT_A, _AT_B = "NOT at_tx AND at_rx", "at_tx AND NOT at_rx"
+_SEA_N, _SEA_F = (f"(CASE WHEN {_AT_A} THEN {_SEA[k + 'a']} WHEN {_AT_B} THEN {_SEA[k + 'b']} ELSE ({_SEA[k + 'a']} + {_SEA[k + 'b']}) / 2 END)" for k in "nf")
+_SEA_DB = f"round(CASE WHEN sea = 0 THEN 0 WHEN dist_m > 60000 THEN {_SEA_F} WHEN dist_m < 30000 THEN {_SEA_N} ELSE {_SEA_N} + ({_SEA_F} - {_SEA_N}) * (dist_m / 1000 - 30) / 30 END, 6)"
+
+
 @query(with_("links", "raster").rstrip() + ", " + _PROF + """, w AS (SELECT *, i - (n - 1) / 2e0 AS c FROM zs), q AS (SELECT rx_id, tower_id, n, dist_m, count(*) FILTER (z < 20) AS sea, bool_or(z < 20 AND i + 1 <= round(1000 / (dist_m / (n - 1)))) AS at_tx, bool_or(z < 20 AND i + 1 >= n - round(1000 / (dist_m / (n - 1)))) AS at_rx FROM zs GROUP BY ALL)
-    SELECT rx_id, tower_id, round(sea * (dist_m / 1000 / (n - 1)) / (dist_m / 1000) * 100, 6) AS sea_pct, CASE WHEN sea = 0 THEN NULL WHEN NOT at_tx AND at_rx THEN 'A' WHEN at_tx AND NOT at_rx THEN 'B' ELSE 'C' END AS sea_case FROM q""".replace(", w AS (SELECT *, i - (n - 1) / 2e0 AS c FROM zs)", ""))
+    SELECT rx_id, tower_id, round(sea * (dist_m / 1000 / (n - 1)) / (dist_m / 1000) * 100, 6) AS sea_pct, CASE WHEN sea = 0 THEN NULL WHEN NOT at_tx AND at_rx THEN 'A' WHEN at_tx AND NOT at_rx THEN 'B' ELSE 'C' END AS sea_case, SEA_DB AS sea_db FROM q""".replace("SEA_DB", _SEA_DB).replace(", w AS (SELECT *, i - (n - 1) / 2e0 AS c FROM zs)", ""))
 def sea_shares(s, d):
     p = _profiled(s, d).withColumn("profile", F.transform("profile", lambda z: F.when(z < 20, 0.0).otherwise(z)))
-    return r6(terrain.sea_share(p).select("rx_id", "tower_id", "sea_pct", "sea_case"), "sea_pct")
+    return r6(terrain.sea_share(p).select("rx_id", "tower_id", "sea_pct", "sea_case", "sea_db"), "sea_pct", "sea_db")
+
+
+_STEP = "st AS (SELECT *, dist_m / (n - 1) AS step FROM zs)"
+
+
+@query(with_("links", "raster").rstrip() + ", " + _PROF.rstrip() + ", " + _STEP + """,
+    near AS (SELECT rx_id, tower_id, dist_m, z, count(*) AS c FROM st WHERE i >= n - least(floor(10000 / step + 1e-9)::INT + 1, n) GROUP BY ALL),
+    cum AS (SELECT *, sum(c) OVER w / (sum(c) OVER (PARTITION BY rx_id, tower_id))::DOUBLE AS p1, lag(z) OVER (PARTITION BY rx_id, tower_id ORDER BY z) AS v0 FROM near WINDOW w AS (PARTITION BY rx_id, tower_id ORDER BY z)),
+    pt AS (SELECT *, coalesce(lag(p1) OVER (PARTITION BY rx_id, tower_id ORDER BY z), 0) AS p0 FROM cum),
+    h AS (SELECT rx_id, tower_id, dist_m, arg_min(coalesce(v0, z) + (z - coalesce(v0, z)) * (0.9 - p0) / (p1 - p0), z) FILTER (p1 >= 0.9) AS h10, arg_min(coalesce(v0, z) + (z - coalesce(v0, z)) * (0.1 - p0) / (p1 - p0), z) FILTER (p1 >= 0.1) AS h90,
+        arg_min(coalesce(v0, z) + (z - coalesce(v0, z)) * (0.5 - p0) / (p1 - p0), z) FILTER (p1 >= 0.5) AS h50 FROM pt GROUP BY ALL),
+    dhs AS (SELECT *, least((h10 - h90) * CASE WHEN dist_m < 10000 THEN dist_m * (1 - 0.8 * exp(-0.2)) / (1 - 0.8 * exp(-0.02 * dist_m)) ELSE 1 END, 500) AS dh FROM h),
+    e AS (SELECT dhs.*, st.z AS z_end, 1.507213 - 8.458676 * log10(dh) + 6.102538 * power(log10(dh), 2) AS kh, -11.728795 + 15.544272 * log10(dh) - 1.8154766 * power(log10(dh), 2) AS top FROM dhs JOIN st USING (rx_id, tower_id) WHERE st.i = st.n - 1),
+    f AS (SELECT rx_id, tower_id, dh, CASE WHEN dh < 10 THEN 0 ELSE kh END AS kh, CASE WHEN dh < 10 THEN 0 WHEN z_end <= h90 THEN -top WHEN z_end < h50 THEN -top + top * (z_end - h90) / (h50 - h90) WHEN z_end = h50 THEN 0 WHEN z_end < h10 THEN top * (z_end - h50) / (h10 - h50) ELSE top END AS khf FROM e)
+    SELECT rx_id, tower_id, round(dh, 4) AS delta_h_m, round(kh, 4) AS kh_db, round(khf, 4) AS khf_db, round(kh - khf, 4) AS krh_db FROM f""")
+def rolling_hilly(s, d):
+    h = terrain.rolling_hilly(_profiled(s, d))
+    return h.select("rx_id", "tower_id", *[F.round(c, 4).alias(c) for c in ("delta_h_m", "kh_db", "khf_db", "krh_db")])
+
+
+_DOWN = [_curve_sql(radio.SLOPE_DOWN, c, "mr") for c in (radio.SLOPE_DOWN_10, radio.SLOPE_DOWN_30)]
+_UP = [_curve_sql(radio.SLOPE_UP, c, "mr") for c in (radio.SLOPE_UP_10, radio.SLOPE_UP_30, radio.SLOPE_UP_60)]
+
+
+@query(with_("links", "raster").rstrip() + ", " + _PROF.rstrip() + ", " + _STEP + f""",
+    a AS (SELECT rx_id, tower_id, k, any_value(dist_m) / 1000 AS d, bool_or(z <> 0) AS rough, atan(regr_slope(z, i) FILTER (i >= n - least(floor(k * 1000 / step + 1e-9)::INT + 1, n)) / any_value(step)) - atan(regr_slope(z, i) / any_value(step)) AS angle
+        FROM st, (SELECT unnest(range(5, 11)) AS k) GROUP BY ALL),
+    b AS (SELECT rx_id, tower_id, any_value(d) AS d, bool_or(rough) AS rough, min(angle) FILTER (k <= d) AS lo, max(angle) FILTER (k <= d) AS hi, arg_min(angle, k) FILTER (k <= d) AS first FROM a GROUP BY ALL),
+    c AS (SELECT *, CASE WHEN d >= 5 AND rough THEN least(greatest(1000 * CASE WHEN lo > 0 THEN hi WHEN hi < 0 THEN lo ELSE first END, -20), 20) END AS mr FROM b)
+    SELECT rx_id, tower_id, round(mr, 4) AS slope_mrad, round(CASE WHEN mr IS NULL OR mr = 0 THEN 0 WHEN mr < 0 THEN CASE WHEN d < 10 THEN {_DOWN[0]} WHEN d <= 30 THEN {_DOWN[0]} + ({_DOWN[1]} - {_DOWN[0]}) * (d - 10) / 20 ELSE {_DOWN[1]} END
+        ELSE CASE WHEN d < 10 THEN {_UP[0]} WHEN d <= 30 THEN {_UP[0]} + ({_UP[1]} - {_UP[0]}) * (d - 10) / 20 WHEN d <= 60 THEN {_UP[1]} + ({_UP[2]} - {_UP[1]}) * (d - 30) / 30 ELSE {_UP[2]} END END, 4) AS slope_db FROM c""")
+def general_slope(s, d):
+    g = terrain.general_slope(_profiled(s, d))
+    return g.select("rx_id", "tower_id", F.round("slope_mrad", 4).alias("slope_mrad"), F.round("slope_db", 4).alias("slope_db"))
 
 
 # --- measurements -------------------------------------------------------------------------------------------------
@@ -562,9 +701,16 @@ def carrier_segments(s, d):
     return t.groupBy("carrier", "device_id", "segment").agg(F.count("*").alias("k")).groupBy("carrier").agg(F.count("*").alias("n_segments"), F.sum("k").alias("n"))
 
 
-@query(with_("rsrp").rstrip() + ", " + _SEG24.format(g=86400, by="device_id") + " SELECT device_id, segment::BIGINT AS segment, count(*) AS n_points, '<LineString><coordinates>' || string_agg(printf('%.6f,%.6f,%.1f', lon, lat, rsrp_dbm), ' ' ORDER BY ts, event_id) || '</coordinates></LineString>' AS kml FROM st GROUP BY ALL")
+# pieces of three points, and the point before each piece but the first
+@query(with_("rsrp").rstrip() + ", " + _SEG24.format(g=86400, by="device_id") + """, pl AS (SELECT *, row_number() OVER (PARTITION BY device_id, segment ORDER BY ts, event_id) - 1 AS k FROM st),
+    mean AS (SELECT device_id, segment, least(greatest((avg(rsrp_dbm) + 120) / 60, 0), 1) AS sh FROM st GROUP BY ALL),
+    col AS (SELECT device_id, segment, 'FF' || printf('%02X', round((1 - sh) * 255)::INT) || printf('%02X', round(sh * 255)::INT) || '00' AS colour FROM mean),
+    pc AS (SELECT *, k // 3 AS piece, true AS own FROM pl UNION ALL SELECT *, k // 3 + 1, false FROM pl WHERE k % 3 = 2)
+    SELECT device_id, segment::BIGINT AS segment, piece::BIGINT AS piece, count(*) FILTER (own) AS n_points, any_value(colour) AS colour,
+        '<Placemark><Style><LineStyle><color>' || any_value(colour) || '</color></LineStyle></Style><LineString><coordinates>' || string_agg(printf('%.6f,%.6f,%.1f', lon, lat, rsrp_dbm), ' ' ORDER BY k) || '</coordinates></LineString></Placemark>' AS kml
+    FROM pc JOIN col USING (device_id, segment) GROUP BY ALL HAVING count(*) FILTER (own) > 0""")
 def kml_tracks(s, d):
-    return measure.tracks_to_kml_rows(measure.segment_tracks(fx.rsrp(s, d), 86400.0))
+    return measure.tracks_to_kml_rows(measure.segment_tracks(fx.rsrp(s, d), 86400.0), size=3)
 
 
 @query("WITH t AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS shape, json_extract_string(props, '$.k')::DOUBLE AS k, 1 + event_id % 1000 AS us FROM events) SELECT event_id, shape, round(CASE WHEN shape = 'A' THEN k * 1000 * 8 / us * 1e6 ELSE k * 1e6 END, 6) AS bps, CASE WHEN shape = 'A' THEN event_id % 3 > 0 ELSE event_id % 5 > 0 END AS cellular FROM t")
@@ -577,9 +723,9 @@ def speed_tests(s, d):
     return r6(e.select("event_id", shape.alias("shape"), measure.throughput_bps(shape, k * 1000, F.col("event_id") % 1000 + 1, k).alias("bps"), measure.cellular_only(shape, states, wifi).alias("cellular")))
 
 
-@query(with_("links", "inside", pts="SELECT rx_id * 10000000 + tower_id AS id, x, y FROM links WHERE dist_m < 9000 UNION ALL SELECT -1 - (rx_id * 10000000 + tower_id), tx_x, tx_y FROM links WHERE dist_m < 9000") + "SELECT a.id AS test_id FROM inside a JOIN inside b ON b.id = -1 - a.id WHERE a.id >= 0 AND a.poly_id = 1 AND b.poly_id = 1")
+@query(with_("links", "inside", pts="SELECT rx_id * 10000000 + tower_id AS id, x, y FROM links UNION ALL SELECT -1 - (rx_id * 10000000 + tower_id), tx_x, tx_y FROM links") + "SELECT a.id AS test_id FROM inside a JOIN inside b ON b.id = -1 - a.id WHERE a.id >= 0 AND a.poly_id = 1 AND b.poly_id = 1")
 def tests_in_area(s, d):
-    t = _links(s, d).filter("dist_m < 9000").select((F.col("rx_id") * 10000000 + F.col("tower_id")).alias("test_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("tx_x").alias("x2"), F.col("tx_y").alias("y2"))
+    t = _links(s, d).select((F.col("rx_id") * 10000000 + F.col("tower_id")).alias("test_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("tx_x").alias("x2"), F.col("tx_y").alias("y2"))
     return measure.tests_in_area(t, fx.polygons(s, 1)).select("test_id")
 
 
@@ -765,6 +911,14 @@ def fresnel_table(s, d):
     return r6(runs.sweep(dist, f).select("mhz", "dist_m", radio.fresnel_max_radius(F.col("mhz"), F.col("dist_m")).alias("radius_m")), "radius_m")
 
 
+@query("SELECT o_orderkey, 'Tipp_' || (o_orderkey % 3) AS preset, 700e0 + o_orderkey % 5 AS carrier_mhz, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 100)::INT END AS n_grid, 'IN_' || o_orderpriority AS lidar FROM orders")
+def run_folders(s, d):
+    k = F.col("o_orderkey")
+    size = F.when(k % 2 == 0, F.concat(F.lit("_NGrid_"), (k % 100).cast("string"))).otherwise("")
+    name = F.concat(F.lit("results/Simulation_Tipp_"), (k % 3).cast("string"), F.lit("_Carrier_"), (k % 5 + 700).cast("string"), F.lit("MHz"), size, F.lit("_LiDAR_IN_"), F.col("o_orderpriority"))
+    return fx.table(s, d, "orders").select("o_orderkey", runs.parse_run_folder(name).alias("a")).select("o_orderkey", "a.*")
+
+
 @query("SELECT o_orderkey, 'h' || (o_orderkey % 7) AS host, round((o_orderkey % 1000) / 86400, 9) AS days, CASE o_orderkey % 3 WHEN 0 THEN 'iOS' WHEN 1 THEN 'Android' ELSE 'other' END AS os, CASE o_orderkey % 4 WHEN 0 THEN 'AT&T' WHEN 1 THEN 'Verizon' WHEN 2 THEN 'T-Mobile' ELSE 'none' END AS carrier, epoch(o_orderdate)::BIGINT + 6 * 3600 AS utc_s FROM orders")
 def log_fields(s, d):
     k = F.col("o_orderkey")

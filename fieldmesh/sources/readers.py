@@ -28,6 +28,11 @@ def read_rx_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("gid long, lon double, lat double, height_m double").csv(path, header=True)
 
 
+def read_rx_list(spark: SparkSession, path: str) -> DataFrame:
+    """(lat, lon) of a list of receivers with the columns RXLatitudes and RXLongitudes, wherever they stand."""
+    return spark.read.csv(path, header=True).select(F.col("RXLatitudes").cast("double").alias("lat"), F.col("RXLongitudes").cast("double").alias("lon"))
+
+
 def read_stations(spark: SparkSession, path: str, check_ids: bool = False) -> DataFrame:
     df = spark.read.schema("id int, name string, latitude double, longitude double").csv(path, header=True)
     if check_ids:
