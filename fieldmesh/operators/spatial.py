@@ -172,10 +172,10 @@ def edges_of(polygons: DataFrame, ring: str = "ring") -> DataFrame:
     return e.select("poly_id", "seq", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
 
 
-def _on_edge(tol: float, e: Column) -> Column:
-    x, y, dx, dy = F.col("x"), F.col("y"), e["x2"] - e["x1"], e["y2"] - e["y1"]
-    near = F.abs(dx * (y - e["y1"]) - dy * (x - e["x1"])) <= tol * F.greatest(F.lit(1.0), F.abs(dx) + F.abs(dy))
-    return near & x.between(F.least(e["x1"], e["x2"]) - tol, F.greatest(e["x1"], e["x2"]) + tol) & y.between(F.least(e["y1"], e["y2"]) - tol, F.greatest(e["y1"], e["y2"]) + tol)
+def _on_edge(tol: float) -> Column:
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    near = F.abs(dx * (F.col("y") - F.col("y1")) - dy * (F.col("x") - F.col("x1"))) <= tol * F.greatest(F.lit(1.0), F.abs(dx) + F.abs(dy))
+    return near & F.col("x").between(F.least("x1", "x2") - tol, F.greatest("x1", "x2") + tol) & F.col("y").between(F.least("y1", "y2") - tol, F.greatest("y1", "y2") + tol)
 
 
 def _in_boxes(points: DataFrame, box: DataFrame, tol: float) -> DataFrame:
@@ -263,24 +263,28 @@ def points_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str) ->
     tol = 2.220446049250313e-16**0.85
     rows = _cell_edges(scaled)
     index = polygon_cells(rows)
-    by_row = rows.groupBy("poly_id", F.col("cy").alias("_cy")).agg(F.collect_list("edge").alias("edges"))
+    edges = rows.select("poly_id", "cy", "edge.*")
     if n_index * 48 > SMALL or n_edges * 48 > SMALL:
-        index, by_row = cut_lineage(index, "cells"), cut_lineage(by_row, "edges")
+        index, edges = cut_lineage(index, "cells"), cut_lineage(edges, "edges")
     p = points.select(F.col(point_id), "x", "y").withColumn("_level", F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
     cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
     p = p.withColumn("cy", cell("y")).withColumn("_cx", cell("x")).withColumn("tx", F.floor(F.col("_cx") / MASK))
     keys = ["_level", "cy", "tx"]
-    j = p.join(F.broadcast(index), keys) if n_index * 48 <= SMALL else balanced_join(p, index, keys)
+    j = p.join(F.broadcast(index), keys) if n_index * 48 <= SMALL else cut_lineage(balanced_join(p, index, keys), "met")
     bit = lambda c: F.call_function("shiftright", F.col(c), (F.col("_cx") - F.col("tx") * MASK).cast("int")).bitwiseAND(F.lit(1)) == 1
-    j = j.withColumn("_edge", bit("edge")).filter(F.col("_edge") | bit("inside")).withColumn("_cy", F.when(F.col("_edge"), F.col("cy")))
-    j = j.select(point_id, "poly_id", "x", "y", "_cy").join(F.broadcast(by_row) if n_edges * 48 <= SMALL else by_row, ["poly_id", "_cy"], "left")
-    x, y = F.col("x"), F.col("y")
-
-    def crosses(e: Column) -> Column:
-        return ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.when(e["y2"] != e["y1"], e["y2"] - e["y1"]))
-
-    inside = F.col("_cy").isNull() | (F.size(F.filter("edges", crosses)) % 2 == 1) | F.exists("edges", lambda e: _on_edge(tol, e))
-    return j.filter(inside).select(point_id, "poly_id")
+    inside = j.filter(bit("inside")).select(point_id, "poly_id")
+    # a stated number of tasks: few points, but each meets many edges
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = j.filter(bit("edge")).select(point_id, "poly_id", "x", "y", "cy").repartition(tasks, point_id, "poly_id", "x", "y", "cy")
+    met = met.groupBy(point_id, "poly_id", "x", "y", "cy").agg(F.count("*").alias("k"))
+    # edges of the row that the point's height and the ray to its right can meet
+    level_with = F.col("y").between(F.least("y1", "y2") - tol, F.greatest("y1", "y2") + tol) & (F.greatest("x1", "x2") >= F.col("x") - tol)
+    met = met.join(F.broadcast(edges), ["poly_id", "cy"]).filter(level_with) if n_edges * 48 <= SMALL else balanced_join(met, edges, ["poly_id", "cy"], level_with)
+    straddles = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
+    at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1"))
+    met = met.withColumn("c", F.when(straddles & (F.col("x") < at), 1).otherwise(0)).withColumn("on", F.when(_on_edge(tol), 1).otherwise(0))
+    hit = met.groupBy(point_id, "poly_id", "x", "y", "cy", "k").agg(F.sum("c").alias("c"), F.max("on").alias("on")).filter("c % 2 = 1 OR on = 1")
+    return inside.unionByName(hit.select(point_id, "poly_id", F.explode(F.sequence(F.lit(1).cast("long"), "k"))).select(point_id, "poly_id"))
 
 
 def near_boundary(points: DataFrame, polygons: DataFrame, point_id: str, radius: float) -> DataFrame:

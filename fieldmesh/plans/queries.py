@@ -663,10 +663,10 @@ _STEP = "st AS (SELECT *, dist_m / (n - 1) AS step FROM zs)"
     dhs AS (SELECT *, least((h10 - h90) * CASE WHEN dist_m < 10000 THEN dist_m * (1 - 0.8 * exp(-0.2)) / (1 - 0.8 * exp(-0.02 * dist_m)) ELSE 1 END, 500) AS dh FROM h),
     e AS (SELECT dhs.*, st.z AS z_end, 1.507213 - 8.458676 * log10(dh) + 6.102538 * power(log10(dh), 2) AS kh, -11.728795 + 15.544272 * log10(dh) - 1.8154766 * power(log10(dh), 2) AS top FROM dhs JOIN st USING (rx_id, tower_id) WHERE st.i = st.n - 1),
     f AS (SELECT rx_id, tower_id, dh, CASE WHEN dh < 10 THEN 0 ELSE kh END AS kh, CASE WHEN dh < 10 THEN 0 WHEN z_end <= h90 THEN -top WHEN z_end < h50 THEN -top + top * (z_end - h90) / (h50 - h90) WHEN z_end = h50 THEN 0 WHEN z_end < h10 THEN top * (z_end - h50) / (h10 - h50) ELSE top END AS khf FROM e)
-    SELECT rx_id, tower_id, round(dh, 4) AS delta_h_m, round(kh, 4) AS kh_db, round(khf, 4) AS khf_db, round(kh - khf, 4) AS krh_db FROM f""")
+    SELECT rx_id, tower_id, round(dh, 6) AS delta_h_m, round(kh, 6) AS kh_db, round(khf, 6) AS khf_db, round(kh - khf, 6) AS krh_db FROM f""")
 def rolling_hilly(s, d):
     h = terrain.rolling_hilly(_profiled(s, d))
-    return h.select("rx_id", "tower_id", *[F.round(c, 4).alias(c) for c in ("delta_h_m", "kh_db", "khf_db", "krh_db")])
+    return r6(h.select("rx_id", "tower_id", "delta_h_m", "kh_db", "khf_db", "krh_db"))
 
 
 _DOWN = [_curve_sql(radio.SLOPE_DOWN, c, "mr") for c in (radio.SLOPE_DOWN_10, radio.SLOPE_DOWN_30)]
