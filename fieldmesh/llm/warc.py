@@ -10,8 +10,12 @@ magic, accepts a candidate once it inflates to a WARC header, and from there goe
 records that start inside its range, and reads past the end to finish the last one. Digests and sizes come from the
 payload bytes; a revisit names a response and its own payload's digest, and is resolved by both.
 
+Damage is an error, not a loss: every archive must give as many records as its manifest says, every payload must have its
+digest, and every revisit must find the response that it names.
+
 Defined cases: null html is an empty payload; payloads below MIN_REVISIT are never revisits; rows that repeat a
-page_id all get a record, and of several with the same payload and smallest page_id each is a response; a null page_id
+page_id all get a record, and of several with the same payload and smallest page_id each is a response; page ids may be of any
+type that Spark casts to a string and back; urls come back as they were, null ones and escapes included; a null page_id
 is kept as null and comes last: among equal payloads it is a revisit of any other, and a response where all are null; an
 empty table writes no archive and gives no rows; other columns are not read.
 """
@@ -19,6 +23,7 @@ empty table writes no archive and gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,30 +40,37 @@ ARCHIVE_BYTES, SPLIT = 256 << 20, 4 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 20
 _DATE = "2024-01-01T00:00:00Z"
+_ESCAPE = re.compile("%(25|0D|0A)")
+
+
+def _plain(value: str) -> str:
+    """What _line was given."""
+    return _ESCAPE.sub(lambda m: chr(int(m[1], 16)), value)
 
 
 def _line(name: str, value: str) -> bytes:
-    clean = value.replace("\r", "%0D").replace("\n", "%0A")
+    clean = value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
     return f"{name}: {clean}\r\n".encode("utf-8", "surrogatepass")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One gzip member."""
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+    """One gzip member; ids are written as strings."""
     head = b"WARC/1.1\r\n"
     head += _line("WARC-Type", "response" if refers_to is None else "revisit")
     head += _line("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>")
     head += _line("WARC-Date", _DATE)
-    head += _line("WARC-Target-URI", url or "")
+    if url is not None:
+        head += _line("WARC-Target-URI", url)
     head += _line("WARC-Payload-Digest", f"sha256:{digest}")
     if page_id is not None:
-        head += _line("X-Page-Id", str(page_id))
+        head += _line("X-Page-Id", page_id)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     if refers_to is None:
         block += payload
     else:
         head += _line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         head += _line("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>")
-        head += _line("X-Refers-To-Page-Id", str(refers_to))
+        head += _line("X-Refers-To-Page-Id", refers_to)
     head += _line("Content-Type", "application/http; msgtype=response")
     head += _line("Content-Length", str(len(block)))
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -74,6 +86,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     groups = stage(groups, "equal-payloads")
     marked = base.join(sized(groups, groups.count(), 128), "digest", "left")
     marked = marked.select("page_id", "url", "payload", "digest", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("refers_to"))
+    marked = marked.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.col("refers_to").cast("string").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -181,7 +194,7 @@ def records_from(source, start: int, end: int) -> Iterator[tuple[dict[str, str],
 
 
 def read_warc(spark: SparkSession, manifest: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest of every record as stored."""
+    """path, page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest of every record as stored; ids are strings."""
     ranges = manifest.filter("n_bytes > 0").select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split, F.col("n_bytes")).alias("stop"))
 
@@ -189,8 +202,8 @@ def read_warc(spark: SparkSession, manifest: DataFrame, folder: str, split: int
         from pyarrow import fs
 
         store = fs.FileSystem.from_uri(folder)[0]
-        names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+        names = ["path", "page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()]
         rows: list[tuple] = []
         held = 0
 
@@ -202,15 +215,14 @@ def read_warc(spark: SparkSession, manifest: DataFrame, folder: str, split: int
                 with store.open_input_file(path) as source:
                     for head, block in records_from(source, start, stop):
                         payload = block[block.find(b"\r\n\r\n") + 4 :]
-                        ids = [int(head[k]) if k in head else None for k in ("x-page-id", "x-refers-to-page-id")]
-                        url = head.get("warc-target-uri", "").replace("%0D", "\r").replace("%0A", "\n")
+                        page, first, url = (_plain(head[k]) if k in head else None for k in ("x-page-id", "x-refers-to-page-id", "warc-target-uri"))
                         if head["warc-type"] == "response":
                             digest = hashlib.sha256(payload).hexdigest()
                             if head["warc-payload-digest"] != f"sha256:{digest}":
-                                raise ValueError(f"{path}: the payload of page {ids[0]} does not match its digest")
-                            rows.append((ids[0], url, "response", None, payload, len(payload), digest))
+                                raise ValueError(f"{path}: the payload of page {page} does not match its digest")
+                            rows.append((path, page, url, "response", None, payload, len(payload), digest))
                         else:
-                            rows.append((ids[0], url, "revisit", ids[1], None, None, head["warc-payload-digest"].removeprefix("sha256:")))
+                            rows.append((path, page, url, "revisit", first, None, None, head["warc-payload-digest"].removeprefix("sha256:")))
                         held += len(payload)
                         if len(rows) >= 2000 or held > 4 << 20:
                             yield flush()
@@ -219,7 +231,15 @@ def read_warc(spark: SparkSession, manifest: DataFrame, folder: str, split: int
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = ranges.repartition(n, "path", "start")
-    return dealt.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    return dealt.mapInArrow(run, "path string, page_id string, url string, record_type string, refers_to string, payload binary, payload_bytes long, payload_digest string")
+
+
+def check_complete(read: DataFrame, manifest: DataFrame) -> None:
+    """An error where an archive gave another number of records than its manifest says."""
+    got = read.groupBy("path").agg(F.count("*").alias("got"))
+    bad = manifest.filter("n_records > 0").join(got, "path", "left").filter(F.coalesce("got", F.lit(0)) != F.col("n_records")).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['path']}: {bad[0]['got'] or 0} of {bad[0]['n_records']} records can be read")
 
 
 def round_trip(pages: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -228,14 +248,25 @@ def round_trip(pages: DataFrame, split: int = SPLIT) -> DataFrame:
     folder = scratch_path(spark, "warc")
     if "://" not in folder:
         folder = "file://" + folder
-    read = read_warc(spark, write_warc(pages, folder), folder, split).drop("payload", "url")
-    read = stage(read, "records")
+    manifest = write_warc(pages, folder)
+    read = stage(read_warc(spark, manifest, folder, split).drop("payload", "url"), "records")
+    check_complete(read, manifest)
     drop_path(spark, folder)
+    return resolved(read, pages.schema["page_id"].dataType.simpleString())
+
+
+def resolved(read: DataFrame, kind: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of records as read; ids of the given type.
+
+    A revisit takes its size from the response with the page_id and the digest that it names; one without is an error.
+    """
     own = read.filter("record_type = 'response'")
     again = read.filter("record_type = 'revisit'").drop("payload_bytes")
     asked = again.groupBy(F.col("refers_to").alias("first"), F.col("payload_digest").alias("digest")).agg(F.count("*").alias("n"))
     # several responses may have the page_id and the digest: they are the same payload
-    first = own.join(asked, (F.col("page_id") == F.col("first")) & (F.col("payload_digest") == F.col("digest"))).groupBy("first", "digest").agg(F.min("payload_bytes").alias("payload_bytes"))
-    full = again.join(sized(first, again.count(), 128), (F.col("refers_to") == F.col("first")) & (F.col("payload_digest") == F.col("digest")))
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    first = own.join(asked, F.col("page_id").eqNullSafe(F.col("first")) & (F.col("payload_digest") == F.col("digest"))).groupBy("first", "digest").agg(F.min("payload_bytes").alias("payload_bytes"))
+    full = again.join(sized(first, again.count(), 128), F.col("refers_to").eqNullSafe(F.col("first")) & (F.col("payload_digest") == F.col("digest")), "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce("page_id", F.lit("null")))).cast("long")
+    full = full.withColumn("payload_bytes", F.when(F.col("payload_bytes").isNotNull(), F.col("payload_bytes")).otherwise(lost))
+    names = [F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")]
     return own.select(names).unionByName(full.select(names))
