@@ -6,7 +6,7 @@ So such a place is a stable boundary, whatever stands on either side. It serves
 
 * Within a text, the pieces between stable boundaries are encoded apart and their counts remembered, so the
   library sees each distinct piece of a task once.
-* Huge texts are cut natively into overlapping chunks, which tasks share. Every chunk is encoded by itself and
+* Huge texts are cut into overlapping chunks in one pass, and tasks share the chunks. Every chunk is encoded by itself and
   gives, for the overlaps at its ends, the boundaries it found with their offsets and the tokens before them.
   Neighbouring chunks are spliced at the first boundary that both have; texts with an overlap without one are
   encoded again with a wider overlap, the last time whole.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import small, stage, text_or_empty
 
 CHUNK, OVERLAP = 65536, 512
-#: Distinct pieces that a task remembers.
-MEMO = 400_000
+#: Bytes of distinct pieces, with their entries, that a task remembers, about; an entry beside its piece.
+MEMO_BYTES, ENTRY = 64 << 20, 150
 _PIECE = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+")
 #: White space that the pattern knows besides the six ASCII characters, and what Python and the pattern treat differently.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
@@ -40,7 +40,7 @@ class PieceCounter:
     """Token counts of whole texts, by pieces."""
 
     def __init__(self, encode_batch: Callable[[list[str]], list[int]], specials: tuple[str, ...] = ()):
-        self.encode_batch, self.memo = encode_batch, {}
+        self.encode_batch, self.memo, self.held = encode_batch, {}, 0
         # a special string is found before the pattern runs; it must lie within one piece
         self.specials = tuple(s for s in specials if re.search(r"\s", s))
 
@@ -55,9 +55,12 @@ class PieceCounter:
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
+        size = sum(map(len, new)) + ENTRY * len(new)
+        if self.held + size > MEMO_BYTES and self.memo:
             self.memo.clear()
             new = list(pieces)
+            self.held, size = 0, sum(map(len, new)) + ENTRY * len(new)
+        self.held += size
         self.memo.update(zip(new, self.encode_batch(new), strict=True))
 
     def counts(self, texts: list[str]) -> list[int]:
@@ -116,17 +119,41 @@ def _chunk_counts(chunks: DataFrame, counter: Callable[[], PieceCounter]) -> Dat
     return chunks.mapInArrow(run, "row_key string, k long, tokens long, lo array<struct<off:long,n:long>>, hi array<struct<off:long,n:long>>")
 
 
+#: Characters of chunks that leave a task at a time, about.
+_OUT = 2 << 20
+
+
+def chunks_of(huge: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(row_key, k, start, piece, left, right): every text's chunks, cut in one pass; left and right are the overlaps at its ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["row_key", "k", "start", "piece", "left", "right"])
+
+        for b in small(batches, 1):
+            for key, text in zip(b.column(0), b.column(1), strict=True):
+                name, whole = key.as_py(), text.as_py()
+                parts = max(1, -(-(len(whole) - overlap) // chunk))
+                for k in range(parts):
+                    last = k == parts - 1
+                    piece = whole[k * chunk :] if last else whole[k * chunk : (k + 1) * chunk + overlap]
+                    rows.append((name, k, k * chunk, piece, overlap if k else 0, 0 if last else overlap))
+                    held += len(piece)
+                    if held > _OUT:
+                        yield flush()
+                        rows, held = [], 0
+        yield flush()
+
+    return huge.select("row_key", "text").mapInArrow(run, "row_key string, k long, start long, piece string, left int, right int")
+
+
 def _spliced(huge: DataFrame, counter: Callable[[], PieceCounter], chunk: int, overlap: int) -> DataFrame:
     """row_key, n_tokens; null where two chunks share no boundary."""
-    n = F.length("text")
-    parts = F.greatest(F.lit(1), F.ceil((n - overlap) / F.lit(chunk))).cast("long")
-    cut = huge.select("row_key", "text", parts.alias("parts"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("k"))
-    start, last = F.col("k") * chunk, F.col("k") == F.col("parts") - 1
-    piece = F.when(last, F.expr(f"substring(text, int(k * {chunk} + 1))")).otherwise(F.expr(f"substring(text, int(k * {chunk} + 1), {chunk + overlap})"))
-    cut = cut.select(
-        "row_key", "k", start.alias("start"), piece.alias("piece"),
-        F.when(F.col("k") > 0, overlap).otherwise(0).alias("left"), F.when(last, 0).otherwise(overlap).alias("right"),
-    )
+    cut = chunks_of(huge, chunk, overlap)
     got = _chunk_counts(cut.repartition("row_key", "k"), counter)
     w = W.partitionBy("row_key").orderBy("k")
     got = got.withColumn("next_lo", F.lead("lo").over(w))

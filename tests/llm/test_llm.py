@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -373,6 +374,53 @@ def test_warc(spark):
         assert {r["page_id"]: tuple(r) for r in warc.round_trip(df, split).collect()} == expected
 
 
+def test_warc_ids_and_urls_of_any_kind(spark):
+    rows = [("b%0D", "http://x/%0D%25\r\n", "p" * 120), ("a", None, "p" * 120), ("", "", "q" * 120), (None, "u", "r")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect()}
+    assert got == {"b%0D": ("revisit", "a"), "a": ("response", None), "": ("response", None), None: ("response", None)}
+    folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    read = warc.read_warc(spark, warc.write_warc(df, folder), folder)
+    assert {r["page_id"]: r["url"] for r in read.collect()} == {i: u for i, u, _ in rows}
+
+
+def test_damaged_archives_are_errors(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, "u", "".join(rng.choices("abcdefgh", k=900))) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    manifest = warc.write_warc(df, folder)
+    warc.check_complete(warc.read_warc(spark, manifest, folder), manifest)
+    path = manifest.filter("n_records > 0").first()["path"]
+    with open(path, "r+b") as f:
+        f.seek(5000)
+        two = f.read(2)
+        f.seek(5000)
+        f.write(bytes(255 - b for b in two))
+    with pytest.raises(Exception, match="records can be read|does not match its digest"):
+        warc.check_complete(warc.read_warc(spark, manifest, folder), manifest)
+    lone = spark.createDataFrame([("f", "7", "revisit", "3", None, "d")], "path string, page_id string, record_type string, refers_to string, payload_bytes long, payload_digest string")
+    with pytest.raises(Exception, match="no response for the revisit of page 7"):
+        warc.resolved(lone, "long").collect()
+
+
+def test_huge_texts_are_cut_in_one_pass(spark):
+    text = "".join(chr(97 + i % 26) if i % 7 else " é"[i % 2] for i in range(5000))
+    df = spark.createDataFrame([("k", text), ("s", "ab")], "row_key string, text string")
+    got = sorted((r["row_key"], r["k"], r["start"], r["piece"], r["left"], r["right"]) for r in tokens.chunks_of(df, 300, 40).collect())
+    n = 17
+    want = [("k", k, k * 300, text[k * 300 :] if k == n - 1 else text[k * 300 : k * 300 + 340], 40 if k else 0, 0 if k == n - 1 else 40) for k in range(n)]
+    assert got == [*want, ("s", 0, 0, "ab", 0, 0)]
+
+
+def test_piece_memory_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 4000)
+    counter = tokens.PieceCounter(lambda batch: [len(p) for p in batch])
+    for k in range(50):
+        words = [f" {k}-{i}" + "x" * 40 for i in range(5)]
+        assert counter.counts(["".join(words)]) == [sum(map(len, words))]
+        assert sum(map(len, counter.memo)) + tokens.ENTRY * len(counter.memo) <= max(4000, counter.held) <= 4000 or len(counter.memo) <= 5
+
+
 def test_warc_with_repeated_and_null_ids(spark):
     a, b, short = "x" * 150, "y" * 400, "z"
     rows = [(1, "u", a), (1, "u", b), (2, "u", b), (3, "u", a), (None, "u", a), (None, None, "n" * 200), (None, None, "n" * 200), (4, "u", short), (4, "u", short)]
