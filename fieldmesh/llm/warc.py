@@ -158,13 +158,13 @@ def _inflate(w: _Window) -> tuple[bytes, int] | None:
         try:
             # a candidate is judged by its first bytes
             out.append(z.decompress(part) if out else z.decompress(part, 64))
+            if len(out) == 1:
+                if len(out[0]) >= 7 and not out[0].startswith(b"WARC/1."):
+                    return None
+                if z.unconsumed_tail:
+                    out.append(z.decompress(z.unconsumed_tail))
         except zlib.error:
             return None
-        if len(out) == 1:
-            if len(out[0]) >= 7 and not out[0].startswith(b"WARC/1."):
-                return None
-            if z.unconsumed_tail:
-                out.append(z.decompress(z.unconsumed_tail))
         length += len(part)
         if z.eof:
             return b"".join(out), length - len(z.unused_data)
