@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fieldmesh.functions.geo import from_utm
 
 from .ranges import carried, running_sum, with_next
+from .runs import few
 
 
 def no_nan(c: Column) -> Column:
@@ -68,7 +69,7 @@ def _met(at: DataFrame, keys: DataFrame, seg: DataFrame, key: str, x: str, lo: s
     """
     cell = lambda c: F.floor(F.col(c) / width).cast("long")
     s = seg.withColumn("_b", F.explode(F.sequence(cell(lo), F.coalesce(cell(hi), cell(lo)))))
-    p = keys.crossJoin(F.broadcast(at)).withColumn("_b", cell(x))  # the result's rows: places times keys
+    p = keys.crossJoin(few(at)).withColumn("_b", cell(x))  # the result's rows: places times keys
     holds = (F.col(x) >= F.col(lo)) & ((F.col(x) < F.col(hi)) | (F.col(hi).isNull() & (F.col(x) == F.col(lo))))
     return p.alias("p").join(s.alias("s"), (F.col(f"p.{key}") == F.col(f"s.{key}")) & (F.col("p._b") == F.col("s._b")) & holds, "left").select("p.*", "v", "p", "v1", "p1").drop("_b")
 

@@ -106,11 +106,57 @@ def scenario_summary(towers: DataFrame, rx: DataFrame, key: str) -> DataFrame:
     return t.join(r, key).withColumn("per_1000_km2", F.col("n_towers") * 1000.0 / F.col("area_km2"))
 
 
+def scenario_table(scenarios: DataFrame, towers: DataFrame, rx: DataFrame) -> DataFrame:
+    """The key parameters of scenarios (poly_id, ring, radius_m, n_side), one row each.
+
+    area_km2; n_tower_in_area and their density_per_1000_km2; sim_area_km2, the area grown by the radius (for convex boundaries, else
+    null); n_tower, those inside the area or within the radius of its boundary; side_km, the box' longer side; n_side pixels along it
+    and delta_km between them; n_user receivers in the area. towers: (tower_id, x, y), rx: (rx_id, x, y).
+    """
+    from .spatial import edges_of, near_boundary, points_in_polygon, polygon_area_km2
+
+    n = F.size("ring") - 1
+    corner = lambda i: F.element_at("ring", (i % n + 1).cast("int"))
+    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"])
+    turns = F.transform(F.sequence(F.lit(0), n - 1), lambda i: turn(corner(i), corner(i + 1), corner(i + 2)))
+    side = lambda c: F.array_max(F.transform("ring", lambda q: q[c])) - F.array_min(F.transform("ring", lambda q: q[c]))
+    convex = F.forall(turns, lambda t: t >= 0) | F.forall(turns, lambda t: t <= 0)
+    s = scenarios.select("poly_id", "radius_m", "n_side", convex.alias("_convex"), (F.greatest(side("x"), side("y")) / 1000.0).alias("side_km"))
+    e = edges_of(scenarios)
+    length = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1")))
+    s = s.join(polygon_area_km2(scenarios), "poly_id").join(e.groupBy("poly_id").agg(F.sum(length).alias("_around_m")), "poly_id")
+    inside = points_in_polygon(towers, scenarios, "tower_id")
+    widest = scenarios.agg(F.max("radius_m")).first()[0] or 1.0
+    near = near_boundary(towers, scenarios, "tower_id", widest).join(scenarios.select("poly_id", "radius_m"), "poly_id").filter("boundary_m <= radius_m")
+    count = lambda df, name: df.groupBy("poly_id").agg(F.count("*").alias(name))
+    effective = inside.unionByName(near.select("tower_id", "poly_id")).distinct()
+    for df, name in ((inside, "n_tower_in_area"), (effective, "n_tower"), (points_in_polygon(rx, scenarios, "rx_id"), "n_user")):
+        s = s.join(count(df, name), "poly_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    r = F.col("radius_m") / 1000.0
+    grown = F.when(F.col("_convex"), F.col("area_km2") + F.col("_around_m") / 1000.0 * r + F.pi() * r * r)
+    return s.select(
+        "poly_id", "area_km2", "n_tower_in_area", (F.col("n_tower_in_area") * 1000.0 / F.col("area_km2")).alias("density_per_1000_km2"), grown.alias("sim_area_km2"),
+        "n_tower", "side_km", "n_side", (F.col("side_km") / F.col("n_side")).alias("delta_km"), "n_user",
+    )
+
+
+#: Rows of a parameter list that is broadcast, at most.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A list of parameters, counted before it is broadcast; more than FEW are an error."""
+    n = df.limit(FEW + 1).count()
+    if n > FEW:
+        raise ValueError(f"more than {FEW} rows of parameters")
+    return F.broadcast(df)
+
+
 def sweep(*frames: DataFrame) -> DataFrame:
-    """Every combination of the parameters' few values, with a number in their order."""
+    """Every combination of the parameters' few values; the first list may be of any length."""
     out = frames[0]
     for f in frames[1:]:
-        out = out.crossJoin(F.broadcast(f))
+        out = out.crossJoin(few(f))
     return out
 
 

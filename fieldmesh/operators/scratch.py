@@ -1,20 +1,53 @@
-"""Lineage cut by tables in the shared folder."""
+"""Tables in the folder that all executors share: lineage cut there survives lost executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of tables written so far and not yet deleted.
+_written: list[str] = []
 
-def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir and read again; a local folder only where none is named."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where none is named, a local run makes its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return found.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def cut_lineage(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+    """Written to the shared folder and read again."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path, compression=compression)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes every table that this process has cut lineage with, once the results that read them are written; how many."""
+    paths = list(_written)
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)

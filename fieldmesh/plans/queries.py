@@ -790,6 +790,18 @@ def scenario_summary(s, d):
     return r6(runs.scenario_summary(t, fx.rx(s, d).withColumn("key", F.col("rx_id") % 4), "key"), "area_km2", "per_1000_km2")
 
 
+@query(with_("towers", "rx", "inside", pts="SELECT tower_id AS id, x, y FROM towers UNION ALL SELECT -1 - rx_id, x, y FROM rx").rstrip() + ", " + _BOUND + """,
+    a AS (SELECT poly_id, abs(sum(x1 * y2 - x2 * y1)) / 2e6 AS area, sum(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2))) / 1000 AS around, greatest(max(x1) - min(x1), max(y1) - min(y1)) / 1000 AS side FROM edges GROUP BY 1),
+    t AS (SELECT e.poly_id, bool_and((e.x2 - e.x1) * (f.y2 - f.y1) - (e.y2 - e.y1) * (f.x2 - f.x1) <= 0) OR bool_and((e.x2 - e.x1) * (f.y2 - f.y1) - (e.y2 - e.y1) * (f.x2 - f.x1) >= 0) AS convex FROM edges e JOIN edges f ON e.poly_id = f.poly_id AND f.x1 = e.x2 AND f.y1 = e.y2 GROUP BY 1),
+    n AS (SELECT poly_id, count(*) FILTER (id >= 0) AS n_tower_in_area, count(*) FILTER (id < 0) AS n_user FROM inside GROUP BY 1),
+    w AS (SELECT poly_id, count(DISTINCT id) AS n_tower FROM (SELECT id, poly_id FROM inside WHERE id >= 0 UNION ALL SELECT id, poly_id FROM b WHERE id >= 0 AND boundary_m <= 3000 + 2000 * poly_id) GROUP BY 1)
+    SELECT poly_id, round(area, 6) AS area_km2, n_tower_in_area, round(n_tower_in_area * 1000 / area, 6) AS density_per_1000_km2, CASE WHEN convex THEN round(area + around * r + pi() * r * r, 6) END AS sim_area_km2, n_tower, round(side, 6) AS side_km, 100 AS n_side, round(side / 100, 6) AS delta_km, n_user
+    FROM (SELECT *, 3 + 2e0 * poly_id AS r FROM a) JOIN t USING (poly_id) JOIN n USING (poly_id) JOIN w USING (poly_id)""")
+def scenario_table(s, d):
+    p = fx.polygons(s).withColumn("radius_m", F.col("poly_id") * 2000.0 + 3000.0).withColumn("n_side", F.lit(100))
+    return r6(runs.scenario_table(p, fx.towers(s, d), fx.rx(s, d)))
+
+
 @query("WITH l AS (SELECT o_orderkey AS k, '[' || strftime(o_orderdate, '%Y/%m/%d %H:%M:%S') || '] Effective cellular tower #' || o_orderkey || '/9 ...' AS line FROM orders UNION ALL SELECT o_orderkey, '[' || strftime(o_orderdate + INTERVAL 1 SECOND * (o_orderkey % 1000), '%Y/%m/%d %H:%M:%S') || '] Finished cellular tower #' || o_orderkey || '/9' FROM orders), g AS (SELECT k AS tower, (k % 1000)::DOUBLE AS seconds FROM l GROUP BY 1, 2) SELECT tower, seconds FROM g")
 def log_durations(s, d):
     o = fx.table(s, d, "orders")
