@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmesh.operators.scratch import cut_lineage as stage
+from fieldmesh.operators.scratch import drop_path, scratch_path, shared_dir
+
+__all__ = ["documents", "drop_path", "release", "rows_of", "scratch_path", "shared_dir", "sized", "small", "stage", "text_or_empty"]
+
 #: Small sides up to this many bytes (rows counted, times a stated row size) are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 48 << 20
 #: Words are runs of anything but these six characters.
@@ -30,33 +33,6 @@ def small(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20)
                 yield b.slice(lo, hi - lo)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path, compression=compression)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def release(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
     path = getattr(df, "_staged_path", None)
