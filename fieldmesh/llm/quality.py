@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import small
+from .common import small, stage
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -151,6 +151,17 @@ def ablations(entries: DataFrame, version: str) -> DataFrame:
     )
 
 
+def ablation_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(version, rule, n_failed, n_regained, n_kept) of every policy, from a ledger that is written once: no text is read again."""
+    entries, out = stage(ledger(docs, id_col, text_col), "ledger"), None
+    for version in POLICIES:
+        kept = apply_policy(entries, version).agg(F.count_if("kept").alias("n_kept"))
+        # one row
+        part = ablations(entries, version).withColumn("version", F.lit(version)).join(F.broadcast(kept), F.lit(True))
+        out = part if out is None else out.unionByName(part)
+    return out.select("version", "rule", "n_failed", "n_regained", "n_kept")
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: str = "v2") -> DataFrame:
     """The ledger under a policy, with base_failed; kept is false wherever the base fails."""
     out = apply_policy(ledger(docs, id_col, text_col), version)

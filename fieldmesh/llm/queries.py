@@ -77,6 +77,10 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _codes.vector_codes(documents(spark, sf_dir, "embeddings"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.ablation_report(documents(spark, sf_dir))
+
+
 def _lloyd_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
     """The codes by whole tables of distances, round by round."""
     steps = [
@@ -111,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op11_hard_negatives": op11_hard_negatives,
     "op12_histogram_shards": op12_histogram_shards,
     "op13_vector_codes": op13_vector_codes,
+    "quality_ablations": quality_ablations,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
@@ -190,3 +195,10 @@ ORACLES: dict[str, str] = {
     """,
     "op13_vector_codes": _lloyd_sql(),
 }
+#: Every policy's rules by their bits.
+_POLICY_ROWS = ", ".join(f"('{v}', '{r}', {1 << i}, {_quality.policy_mask(v)})" for v in _quality.POLICIES for i, r in enumerate(_quality.RULES) if _quality.policy_mask(v) >> i & 1)
+ORACLES["quality_ablations"] = f"""
+    WITH q AS MATERIALIZED (SELECT failed_bits AS b FROM ({ORACLES["op7_quality_rules"]}))
+    SELECT version, rule, count(*) FILTER (b & bit <> 0) AS n_failed, count(*) FILTER (b & mask = bit) AS n_regained, count(*) FILTER (b & mask = 0) AS n_kept
+    FROM (VALUES {_POLICY_ROWS}) AS p(version, rule, bit, mask), q GROUP BY ALL
+"""
