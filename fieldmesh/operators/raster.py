@@ -329,19 +329,37 @@ def log_blockage(d: Column) -> Column:
 
 
 def profiles(links: DataFrame, raster: DataFrame | StoredBlocks, res: float, step: float, min_n: int = 10, value: str = "z", side: int = BLOCK) -> DataFrame:
-    """Adds a profile array to links: samples go to blocks as one row per (link, block) that has its own samples only."""
-    from .links import sample_profile
-
-    s = sample_profile(links, step, min_n).select("tower_id", "rx_id", "samples")
-    of = lambda p: F.struct(F.floor(F.floor(p["y"] / res) / side).alias("block_row"), F.floor(F.floor(p["x"] / res) / side).alias("block_col"))
-    s = s.withColumn("samples", F.transform("samples", lambda p, i: F.struct(i.alias("i"), p["x"].alias("x"), p["y"].alias("y"), of(p).alias("b"))))
-    part = lambda b: F.struct(b.alias("b"), F.filter("samples", lambda p: p["b"] == b).alias("own"))
-    need = s.select("tower_id", "rx_id", F.explode(F.transform(F.array_distinct(F.transform("samples", lambda p: p["b"])), part)).alias("q"))
-    need = need.select("tower_id", "rx_id", "q.b.block_row", "q.b.block_col", F.transform("q.own", lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x"), p["y"].alias("y"))).alias("own"))
+    """Adds a profile array to links.
+
+    A line meets a block in one run of samples, so a link goes to each of its blocks with the run's first and last place only, and
+    comes back with the run's heights: no sample's coordinates travel.
+    """
+    n = F.greatest(F.ceil(F.col("dist_m") / step), F.lit(min_n)).cast("int")
+    s = links.select("tower_id", "rx_id", "tx_x", "tx_y", (F.col("x") - F.col("tx_x")).alias("_dx"), (F.col("y") - F.col("tx_y")).alias("_dy"), n.alias("_n"))
+    at = lambda c, i: F.col(f"tx_{c}") + F.col(f"_d{c}") * (i / (F.col("_n") - 1.0))
+    cell = lambda c, i: F.floor(F.floor(at(c, i) / res) / side)
+    # a block's row and column in one number, which is cheap to compare
+    block = lambda i: cell("y", i) * (1 << 32) + cell("x", i)
+    s = s.withColumn("_ids", F.transform(F.sequence(F.lit(0), F.col("_n") - 1), block)).withColumn("_id", F.explode(F.array_distinct("_ids")))
+    first = F.array_position("_ids", F.col("_id")).cast("int") - 1
+    last = F.col("_n") - F.array_position(F.reverse("_ids"), F.col("_id")).cast("int")
+    col = F.expr("shiftright(shiftleft(_id, 32), 32)")
+    need = s.withColumn("_first", first).withColumn("_last", last).withColumn("block_col", col).withColumn("block_row", F.expr("shiftright(_id - block_col, 32)")).drop("_ids", "_id")
     j = need.join(_blocks_for(need, raster, value, side), ["block_row", "block_col"], "left")
-    one = lambda p: F.struct(p["i"].alias("i"), _bilinear(p["x"], p["y"], res, side).alias("z"))
-    got = j.select("tower_id", "rx_id", F.transform("own", one).alias("own")).groupBy("tower_id", "rx_id").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("all"))
-    got = got.select("tower_id", "rx_id", F.transform("all", lambda p: p["z"]).alias("profile"))
+    width = side + BEFORE + AFTER
+    own = F.transform(F.sequence("_first", "_last"), lambda i: F.struct((at("x", i) / res).alias("fx"), (at("y", i) / res).alias("fy")))
+    own = F.transform(own, lambda p: F.struct(p["fx"].alias("fx"), p["fy"].alias("fy"), F.floor(p["fx"]).alias("c"), F.floor(p["fy"]).alias("r")))
+    corner = (F.col("block_row") * side - BEFORE) * width + F.col("block_col") * side - BEFORE
+    own = F.transform(own, lambda p: F.struct((p["r"] * width + p["c"] - corner).cast("int").alias("at"), (p["fx"] - p["c"]).alias("tx"), (p["fy"] - p["r"]).alias("ty")))
+
+    def height(p: Column) -> Column:
+        got = lambda k: F.get("cells", p["at"] + k)
+        along = lambda a, b, t: F.when(t == 0, a).otherwise(a * (F.lit(1.0) - t) + b * t)
+        return along(along(got(0), got(1), p["tx"]), along(got(width), got(width + 1), p["tx"]), p["ty"])
+
+    runs = j.select("tower_id", "rx_id", F.struct("_first", F.transform(own, height).alias("z")).alias("run"))
+    got = runs.groupBy("tower_id", "rx_id").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    got = got.select("tower_id", "rx_id", F.flatten(F.transform("runs", lambda r: r["z"])).alias("profile"))
     return links.join(got, ["tower_id", "rx_id"])
 
 
