@@ -36,6 +36,8 @@ from .components import components
 REGISTERS, ROWS = 112, 4
 BASE = 1.02
 BLOCK, SET_BLOCK = 2048, 512
+#: Shingles of one of the SET_BLOCK members of a group, on average at most.
+SET_SHINGLES = 4096
 #: Centres of a round, and rounds, before what is left outside the largest star meets all others.
 CENTRES, ROUNDS = 16, 2
 FLOOR = 0.55
@@ -355,8 +357,10 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     dealt = _dealt(members, "size", BLOCK, "bucket").select("gkey", "id").join(one, "id").select("gkey", "id", "n_shingles", "sketch")
     trees = stage(_bucket_trees(dealt.repartition(parts, "gkey").sortWithinPartitions("gkey", "id")), "bucket-trees")
     near = components(trees)
-    sizes = near.groupBy("component").agg(F.count("*").alias("size"))
-    near = near.join(sizes, "component").join(classes.select("id", "place.doc_id", "place.tie"), "id")
+    near = near.join(classes.select("id", "n_shingles", "place.doc_id", "place.tie"), "id")
+    # long texts count for several: what a task holds goes with the shingles of its group
+    sizes = near.groupBy("component").agg(F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") / SET_SHINGLES)).alias("size"))
+    near = near.join(sizes, "component")
     near = stage(near.select("id", "component", "size", "doc_id", "tie"), "near")
     n_near, n_large = near.select(F.count("*"), F.count_if(F.col("size") > SET_BLOCK)).first()
 
