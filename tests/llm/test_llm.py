@@ -129,6 +129,37 @@ def test_exact_dedup(spark, corpus, collide):
     assert got == expected
 
 
+@pytest.mark.parametrize("collide", [False, True])
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_exact_dedup_slices_hot_keys(spark, monkeypatch, collide, shuffled):
+    """A text that a third of the rows have goes to many owners, with broadcasts and without; no owner gets more than a bucket's capacity."""
+    from pyspark.sql import functions as F
+
+    from fieldmesh.llm import common
+
+    if shuffled:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    written = {}
+
+    def kept(df, tag):
+        written[tag] = df.select(*df.columns).collect() if tag == "hash-index" else []
+        return common.stage(df, tag)
+
+    monkeypatch.setattr(exact_dedup, "stage", kept)
+    rows = [(i, "hot  text" if i % 2 else "hot text", "x") for i in range(0, 400)] + [(1000 + i, f"t {i % 500}", "x") for i in range(800)]
+    key = (lambda c: F.length(c).cast("long")) if collide else F.xxhash64
+    got = sorted(tuple(r) for r in exact_dedup.exact_dedup(frame(spark, rows), key=key, capacity=64).collect())
+    groups = defaultdict(list)
+    for d, t, _ in rows:
+        groups[SPACE.sub(" ", t)].append(d)
+    assert got == sorted((d, min(g), len(g), d == min(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for d in g)
+    if not collide:
+        index = written["hash-index"]
+        assert len({r["key"] for r in index}) == 501 and len({r["bucket"] for r in index}) > 10
+        load = Counter((r["bucket"], r["slice"]) for r in index)
+        assert max(load.values()) <= 96 and len([k for k in load if k[1]]) > 20
+
+
 def test_exact_dedup_keeps_rows_without_ids_and_drops_repeats(spark):
     rows = [(None, "a  b", "x"), (None, "a b", "y"), (None, "c", "x"), (3, "d", "x"), (3, "d", "x"), (3, "e", "x"), (2, "e ", "x"), (None, "e ", "z"), (None, None, "x")]
     got = exact_dedup.drop_duplicates(spark.createDataFrame(rows, DOCS)).collect()
