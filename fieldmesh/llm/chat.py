@@ -12,7 +12,8 @@ are null, negative or repeated) are sorted over all tasks and cut by rank.
 
 Ties: keeping or relabelling before merging before inserting, then the role that comes first. Defined cases: null
 or unknown roles are relabelled; null text is empty; null or negative turn numbers go with the first stretch (nulls first);
-turns with one number are ordered by role and text; repeated rows are turns of their own; a null conv_id is a conversation;
+turns with one number are ordered by role and text; repeated rows are turns of their own; a null conv_id is a conversation
+of its own, whatever the other ids;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -37,11 +38,6 @@ CHUNK, CROWDED = 256, 1024
 _FAR = 1 << 60
 
 
-def _code(role: str | None) -> int:
-    r = (role or "").strip().lower()
-    return NAMES.index(r) if r in NAMES[1:] else START
-
-
 def _steps() -> dict[int, list[list[tuple[int, int, str, int]]]]:
     """By the turn's role and the state before: (cost, state after, action, inserted role or 0) in order of preference."""
     out: dict[int, list] = {}
@@ -183,7 +179,9 @@ def format_chats(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     code = F.lower(F.trim(F.coalesce("role", F.lit(""))))
     code = F.when(code == "system", SYSTEM).when(code == "user", USER).when(code == "assistant", ASSISTANT).otherwise(START)
     part = F.floor(F.greatest(F.coalesce("turn", F.lit(0)), F.lit(0)) / chunk).cast("long")
-    rows = turns.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")).alias("conv_key"), part.alias("part"), F.struct(F.col("turn").cast("long").alias("turn"), code.alias("code"), "role", F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    # every id has a mark before it, so none is taken for the null one
+    conv_key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    rows = turns.select("conv_id", conv_key.alias("conv_key"), part.alias("part"), F.struct(F.col("turn").cast("long").alias("turn"), code.alias("code"), "role", F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     sizes = rows.groupBy("conv_key", "part").agg(F.count("*").alias("n"))
     crowded = stage(sizes.filter(F.col("n") > max(CROWDED, chunk)).select("conv_key", "part"), "crowded-stretches")
     if crowded.limit(1).count():

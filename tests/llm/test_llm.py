@@ -180,6 +180,15 @@ def test_directory_splits_past_one_step(spark):
         assert max(x for x in lows if x <= unsigned(r["key"])) == unsigned(r["bucket"])
 
 
+def test_chat_null_conversation_is_no_other(spark):
+    """A null id, the empty one and "\\0" are three conversations, with clashing extra columns beside them."""
+    rows = [(c, 0, "user", f"{c!r}", "k", 1) for c in (None, "", "\0", "=", "a")]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string, conv_key string, part int")
+    got = chat.format_chats(df).collect()
+    assert sorted(repr(r["conv_id"]) for r in got) == sorted(repr(r[0]) for r in rows)
+    assert all(r["action"] == "keep" and r["closing"] == 1 and repr(r["conv_id"]) in r["rendered"] for r in got)
+
+
 def test_token_counts(spark, corpus):
     from tokenizers import Tokenizer
 
