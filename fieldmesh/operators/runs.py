@@ -43,8 +43,9 @@ def human_duration(seconds: Column) -> Column:
     for name, d in UNITS:
         n = F.floor(rest / d).cast("long")
         parts.append(F.when(n > 1, F.concat(n.cast("string"), F.lit(f" {name}s"))).when(n == 1, F.concat(n.cast("string"), F.lit(f" {name}"))))
-        rest = rest - n * d
-    two = F.slice(F.filter(F.array(*parts), lambda p: p.isNotNull()), 1, 2)
+        # the rest is named once, so the expression grows with the units and does not double with each
+        rest = rest % float(d)
+    two = F.slice(F.array_compact(F.array(*parts)), 1, 2)
     return F.when(s < 1, "Less than one second.").otherwise(F.concat(F.lit("About "), F.array_join(two, " and "), F.lit(".")))
 
 

@@ -27,3 +27,18 @@ def test_nearest_server_is_exact_and_meets_few_sites(spark, monkeypatch):
     assert all(n == len(sites) for n, _ in met)
     # all pairs within the radius are some 150 x 200 x 0.7
     assert sum(n for _, n in met) < 12_000
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_human_duration_names_each_rest_once(spark):
+    from pyspark.sql import functions as F
+
+    from fieldmesh.operators.runs import human_duration
+
+    df = spark.createDataFrame([(90061.0,), (0.2,), (31557600.0 * 2 + 2592000.0,)], "s double")
+    out = df.select(human_duration(F.col("s")).alias("h"))
+    assert [r["h"] for r in out.collect()] == ["About 1 day and 1 hour.", "Less than one second.", "About 2 years and 1 month."]
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
