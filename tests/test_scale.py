@@ -42,3 +42,22 @@ def test_human_duration_names_each_rest_once(spark):
     out = df.select(human_duration(F.col("s")).alias("h"))
     assert [r["h"] for r in out.collect()] == ["About 1 day and 1 hour.", "Less than one second.", "About 2 years and 1 month."]
     assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_roughness_has_no_cells_finer_than_its_points(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from fieldmesh.operators import terrain
+
+    sides, plain = [], terrain.disc_cover
+    monkeypatch.setattr(terrain, "disc_cover", lambda c, r, side: sides.append(side) or plain(c, r, side))
+    p = spark.range(400).select((F.col("id") % 20 * 100.0).alias("x"), (F.floor(F.col("id") / 20) * 100.0).alias("y"), (F.col("id") * 7 % 31).cast("double").alias("z"))
+    grid = spark.createDataFrame([(1, 950.0, 950.0), (2, 0.0, 0.0)], "rx_id long, x double, y double")
+    got = {(r["rx_id"], r["radius"]): (r["n"], r["msd"]) for r in terrain.roughness(grid, p, (120.0, 333.0)).collect()}
+    rows = [(r["x"], r["y"], r["z"]) for r in p.collect()]
+    for k, x, y in ((1, 950.0, 950.0), (2, 0.0, 0.0)):
+        for r in (120.0, 333.0):
+            z = [q[2] for q in rows if math.dist(q[:2], (x, y)) <= r]
+            m = sum(z) / len(z)
+            assert got[k, r][0] == len(z) and abs(got[k, r][1] - sum((v - m) ** 2 for v in z) / len(z)) < 1e-9
+    assert sides[0] > 90
