@@ -61,3 +61,39 @@ def test_roughness_has_no_cells_finer_than_its_points(spark, monkeypatch):
             m = sum(z) / len(z)
             assert got[k, r][0] == len(z) and abs(got[k, r][1] - sum((v - m) ** 2 for v in z) / len(z)) < 1e-9
     assert sides[0] > 90
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from fieldmesh.operators.spatial import balanced_join
+
+    side = spark.range(50).select("id", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("c"))
+    j = balanced_join(side.withColumn("k", F.col("id") % 7), spark.range(50).select((F.col("id") % 7).alias("k"), F.col("id").alias("b")), ["k"])
+    assert "BroadcastHashJoin" not in plan_of(j)
+    assert j.count() == sum(21 for a in range(50) for b in range(50) if a % 7 == b % 7)
+
+
+def test_nearest_meets_a_repeated_place_once(spark, monkeypatch):
+    from fieldmesh.operators import spatial
+
+    met, plain = [], spatial.range_join
+    monkeypatch.setattr(spatial, "range_join", lambda a, b, r: met.append((a.count(), b.count(), r)) or plain(a, b, r))
+    a = spark.createDataFrame([(i, float(i % 3) * 10, 0.0) for i in range(60)] + [(None, 20.0, 0.0), (99, None, 0.0)], "a long, x double, y double")
+    b = spark.createDataFrame([(i, float(i % 100), float(i // 100 % 100)) for i in range(20_000)][::-1], "b long, x double, y double")
+    got = spatial.nearest(a, b, "a", "b", 1000.0).collect()
+    assert len(got) == 62
+    assert all(r["dist_m"] == 0.0 and r["nearest_b"] == r["x"] for r in got if r["x"] is not None)
+    assert [r["nearest_b"] for r in got if r["x"] is None] == [None]
+    assert met[0][:2] == (3, 10_000) and met[0][2] < 20
+
+
+def test_nearest_geo_starts_with_the_density(spark, monkeypatch):
+    from fieldmesh.operators import spatial
+
+    met, plain = [], spatial.geo_join
+    monkeypatch.setattr(spatial, "geo_join", lambda a, b, r: met.append((a.count(), b.count(), r)) or plain(a, b, r))
+    b = spark.createDataFrame([(i, -80.0 + i % 400 * 0.4, -179.0 + i % 361 * 0.99) for i in range(10_000)], "b long, lat double, lon double")
+    a = spark.createDataFrame([(i, 12.3, 4.5) for i in range(40)], "a long, lat double, lon double")
+    assert {r["dist_m"] >= 0 for r in spatial.nearest_geo(a, b, "a", "b", 3000.0).collect()} == {True}
+    assert met[0][:2] == (1, 10_000) and met[0][2] < 1_000_000
