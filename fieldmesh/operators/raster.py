@@ -25,9 +25,13 @@ def blocks(raster: DataFrame, value: str = "z", side: int = BLOCK) -> DataFrame:
 
     A cell goes to its own block, and to a neighbour only from within its halo.
     """
-    r = raster.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias("v"))
     of = lambda c: F.explode(F.sequence(F.floor((F.col(c) - AFTER) / side), F.floor((F.col(c) + BEFORE) / side)))
-    r = r.withColumn("block_row", of("row")).withColumn("block_col", of("col"))
+    return _filled(raster.withColumn("block_row", of("row")).withColumn("block_col", of("col")), value, side)
+
+
+def _filled(marked: DataFrame, value: str, side: int) -> DataFrame:
+    """The blocks of cells (row, col, value) that stand once for each block (block_row, block_col) that they are in."""
+    r = marked.select("block_row", "block_col", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias("v"))
     width = side + BEFORE + AFTER
     at = (F.col("row") - F.col("block_row") * side + BEFORE) * width + F.col("col") - F.col("block_col") * side + BEFORE
     r = r.select("block_row", "block_col", at.cast("int").alias("at"), "v")
@@ -80,8 +84,29 @@ class StoredBlocks:
         return self.blocks.join(F.broadcast(asked), ["zone_row", "zone_col"], "left_semi").select("block_row", "block_col", "cells")
 
 
-def _blocks_for(places: DataFrame, raster: DataFrame | StoredBlocks, value: str, side: int) -> DataFrame:
-    return raster.near(places) if isinstance(raster, StoredBlocks) else blocks(raster, value, side)
+def _with_cells(places: DataFrame, raster: DataFrame | StoredBlocks, value: str, side: int) -> DataFrame:
+    """places (block_row, block_col, ...) with the cells of their block; null where there is none.
+
+    Only blocks that places are in are made. Few of them are broadcast, and places are not moved; else a block that many places are
+    in is dealt, with them, to many owners.
+    """
+    from .scratch import cut_lineage
+    from .spatial import SMALL, balanced_join, sized
+
+    asked = cut_lineage(places.select("block_row", "block_col").distinct(), "asked")
+    n = asked.count()
+    if isinstance(raster, StoredBlocks):
+        own = raster.near(asked)
+    else:
+        of = lambda c: F.explode(F.sequence(F.floor((F.col(c) - AFTER) / side), F.floor((F.col(c) + BEFORE) / side)))
+        marked = raster.withColumn("block_row", of("row")).withColumn("block_col", of("col"))
+        wanted = marked.join(sized(asked, n, 40), ["block_row", "block_col"], "left_semi")
+        own = _filled(wanted, value, side)
+    few = n * (side + BEFORE + AFTER) ** 2 * 8 <= SMALL
+    if few:
+        return places.join(F.broadcast(own), ["block_row", "block_col"], "left")
+    nowhere = places.filter("block_row IS NULL OR block_col IS NULL").withColumn("cells", F.lit(None).cast("array<double>"))
+    return balanced_join(places, asked.join(own, ["block_row", "block_col"], "left"), ["block_row", "block_col"]).unionByName(nowhere)
 
 
 def _at(r: Column, c: Column, side: int) -> Column:
@@ -108,7 +133,7 @@ def _with_block(samples: DataFrame, res: float, side: int) -> DataFrame:
 def bilinear_lookup(samples: DataFrame, raster: DataFrame | StoredBlocks, res: float, value: str = "z", side: int = BLOCK) -> DataFrame:
     """Adds `value` to samples (x, y) by bilinear interpolation; null outside or beside missing cells."""
     s = _with_block(samples, res, side)
-    j = s.join(_blocks_for(s, raster, value, side), ["block_row", "block_col"], "left")
+    j = _with_cells(s, raster, value, side)
     return j.withColumn(value, _bilinear(F.col("x"), F.col("y"), res, side)).drop("block_row", "block_col", "cells")
 
 
@@ -118,7 +143,7 @@ def nearest_cell_lookup(samples: DataFrame, raster: DataFrame | StoredBlocks, re
     A sample looks into the block that it is in once: the block's halo has every cell that may be nearest.
     """
     s = _with_block(samples, res, side)
-    j = s.join(_blocks_for(s, raster, value, side), ["block_row", "block_col"], "left")
+    j = _with_cells(s, raster, value, side)
     c, r = F.floor(F.col("x") / res).cast("long"), F.floor(F.col("y") / res).cast("long")
     at, row, col = _at(r, c, side), F.round(F.col("y") / res).cast("long"), F.round(F.col("x") / res).cast("long")
 
@@ -204,8 +229,10 @@ def assign_tile_multi_crs(samples: DataFrame, tiles: DataFrame, id_col: str) ->
     sides = F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     right = lambda a, b: F.col("x") < a["x"] + (F.col("y") - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))
     crossed = F.filter(sides, lambda q: ((q["a"]["y"] > F.col("y")) != (q["b"]["y"] > F.col("y"))) & right(q["a"], q["b"]))
-    inside = met.filter(F.size(crossed) % 2 == 1).groupBy(id_col).agg(F.min("tile").alias("tile"), F.max("tile").alias("_other"))
-    one = F.when(F.col("tile") == F.col("_other"), F.col("tile")).otherwise(F.raise_error(F.lit("a sample lies in two tiles")))
+    # no filter here: it would be pushed below the projection and project each sample again for every side
+    hit = F.when(F.size(crossed) % 2 == 1, F.col("tile"))
+    inside = met.groupBy(id_col).agg(F.min(hit).alias("tile"), F.max(hit).alias("_other"))
+    one = F.when(F.col("tile").isNull() | (F.col("tile") == F.col("_other")), F.col("tile")).otherwise(F.raise_error(F.lit("a sample lies in two tiles")))
     return samples.join(inside.select(id_col, one.alias("tile")), id_col, "left")
 
 
@@ -345,7 +372,7 @@ def profiles(links: DataFrame, raster: DataFrame | StoredBlocks, res: float, ste
     last = F.col("_n") - F.array_position(F.reverse("_ids"), F.col("_id")).cast("int")
     col = F.expr("shiftright(shiftleft(_id, 32), 32)")
     need = s.withColumn("_first", first).withColumn("_last", last).withColumn("block_col", col).withColumn("block_row", F.expr("shiftright(_id - block_col, 32)")).drop("_ids", "_id")
-    j = need.join(_blocks_for(need, raster, value, side), ["block_row", "block_col"], "left")
+    j = _with_cells(need, raster, value, side)
     width = side + BEFORE + AFTER
     own = F.transform(F.sequence("_first", "_last"), lambda i: F.struct((at("x", i) / res).alias("fx"), (at("y", i) / res).alias("fy")))
     own = F.transform(own, lambda p: F.struct(p["fx"].alias("fx"), p["fy"].alias("fy"), F.floor(p["fx"]).alias("c"), F.floor(p["fy"]).alias("r")))

@@ -97,3 +97,32 @@ def test_nearest_geo_starts_with_the_density(spark, monkeypatch):
     a = spark.createDataFrame([(i, 12.3, 4.5) for i in range(40)], "a long, lat double, lon double")
     assert {r["dist_m"] >= 0 for r in spatial.nearest_geo(a, b, "a", "b", 3000.0).collect()} == {True}
     assert met[0][:2] == (1, 10_000) and met[0][2] < 1_000_000
+
+
+def test_a_tile_s_projection_is_not_repeated_for_its_sides(spark):
+    from pyspark.sql import functions as F
+
+    from fieldmesh.operators.raster import assign_tile_multi_crs
+
+    at = lambda a, b: {"lat": a, "lon": b}
+    ring = [at(40.0, -87.0), at(40.0, -86.0), at(41.0, -86.0), at(41.0, -87.0), at(40.0, -87.0)]
+    tiles = spark.createDataFrame([("t", 40.0, -87.0, 1.0, 0.0, 0.0, ring)], "tile string, lat0 double, lon0 double, scale double, false_x double, false_y double, ring array<struct<lat:double,lon:double>>")
+    own = spark.range(3).select("id", (F.col("id") * 0.4 + 40.1).alias("lat"), F.lit(-86.5).alias("lon"))
+    got = assign_tile_multi_crs(own, tiles, "id")
+    assert {r["id"]: r["tile"] for r in got.collect()} == {0: "t", 1: "t", 2: "t"}
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "ATAN" in line.upper() for line in text.splitlines())
+
+
+def test_lookup_makes_only_the_blocks_that_places_are_in(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from fieldmesh.operators import raster
+
+    made, plain = [], raster._filled
+    monkeypatch.setattr(raster, "_filled", lambda df, *a: made.append(df.select("block_row", "block_col").distinct().count()) or plain(df, *a))
+    cells = spark.range(64 * 640).select(F.floor(F.col("id") / 64).alias("row"), (F.col("id") % 64).alias("col"), (F.col("id") % 101).cast("double").alias("z"))
+    own = spark.createDataFrame([(1, 3.0, 5.0), (2, 40.0, 5.0), (3, -900.0, 5.0), (4, None, 5.0)], "id long, x double, y double")
+    got = {r["id"]: r["z"] for r in raster.nearest_cell_lookup(own, cells, 1.0).collect()}
+    assert got == {1: (5 * 64 + 3) % 101, 2: (5 * 64 + 40) % 101, 3: None, 4: None}
+    assert made == [2]
