@@ -126,3 +126,14 @@ def test_lookup_makes_only_the_blocks_that_places_are_in(spark, monkeypatch):
     got = {r["id"]: r["z"] for r in raster.nearest_cell_lookup(own, cells, 1.0).collect()}
     assert got == {1: (5 * 64 + 3) % 101, 2: (5 * 64 + 40) % 101, 3: None, 4: None}
     assert made == [2]
+
+
+def test_equal_towers_are_one_site(spark):
+    from fieldmesh.operators import links
+
+    towers = spark.createDataFrame([(i, 10.0, 0.0, None if i % 2 else 5.0) for i in range(40)] + [(99, 0.0, 9e9, 1.0)], "tower_id long, x double, y double, height_m double")
+    rx = spark.createDataFrame([(1, 0.0, 0.0), (2, 5e5, 0.0)], "rx_id long, x double, y double")
+    pairs, members = links.site_links(towers, rx, 50.0)
+    assert pairs.count() == 2
+    got = {(r["rx_id"], r["tower_id"], r["tx_height_m"], r["dist_m"]) for r in links.each_tower(pairs, members).collect()}
+    assert got == {(1, i, None if i % 2 else 5.0, 10.0) for i in range(40)}
