@@ -142,7 +142,9 @@ def nearest_cell_lookup(samples: DataFrame, raster: DataFrame | StoredBlocks, re
 
     A sample looks into the block that it is in once: the block's halo has every cell that may be nearest.
     """
-    s = _with_block(samples, res, side)
+    # each sample is compared with 25 cells: dealt out evenly, however few files they come from
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = _with_block(samples.repartition(tasks, *[F.col(f"`{c}`") for c in samples.columns]), res, side)
     j = _with_cells(s, raster, value, side)
     c, r = F.floor(F.col("x") / res).cast("long"), F.floor(F.col("y") / res).cast("long")
     at, row, col = _at(r, c, side), F.round(F.col("y") / res).cast("long"), F.round(F.col("x") / res).cast("long")
