@@ -95,7 +95,10 @@ def config_diff(now: DataFrame, stored: DataFrame) -> DataFrame:
     return now.exceptAll(stored).withColumn("side", F.lit("now")).unionByName(stored.exceptAll(now).withColumn("side", F.lit("stored")))
 
 
-def pending(tasks: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
+def pending(tasks: DataFrame, done: DataFrame | Column, *keys: str) -> DataFrame:
+    """The tasks that are not done. done: a list of keys, or what holds for a done task's own columns, so that no task is moved."""
+    if isinstance(done, Column):
+        return tasks.filter(~F.coalesce(done, F.lit(False)))
     return tasks.join(done, list(keys), "left_anti")
 
 

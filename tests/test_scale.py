@@ -137,3 +137,22 @@ def test_equal_towers_are_one_site(spark):
     assert pairs.count() == 2
     got = {(r["rx_id"], r["tower_id"], r["tx_height_m"], r["dist_m"]) for r in links.each_tower(pairs, members).collect()}
     assert got == {(1, i, None if i % 2 else 5.0, 10.0) for i in range(40)}
+
+
+def moved(df):
+    """The exchanges of a plan, without the broadcasts."""
+    return plan_of(df).count("Exchange hashpartitioning")
+
+
+def test_pending_by_a_rule_moves_no_task(spark):
+    from pyspark.sql import functions as F
+
+    from fieldmesh.operators.runs import pending
+    from fieldmesh.plans.queries import QUERIES
+
+    t = spark.createDataFrame([(1, 4), (3, 4), (3, 5), (3, 5), (None, 4), (3, None), (None, None)], "rx_id long, tower_id long")
+    done = (F.col("tower_id") % 4 == 0) & (F.col("rx_id") % 3 == 0)
+    by_rule, by_list = pending(t, done), pending(t, t.filter(done), "rx_id", "tower_id")
+    assert sorted(map(str, by_rule.collect())) == sorted(map(str, by_list.collect())) and by_rule.count() == 6
+    # the receivers alone are dealt out
+    assert moved(QUERIES["pending_tasks"](spark, "/root/testdata/sf0.001")) == 1
