@@ -156,3 +156,26 @@ def test_pending_by_a_rule_moves_no_task(spark):
     assert sorted(map(str, by_rule.collect())) == sorted(map(str, by_list.collect())) and by_rule.count() == 6
     # the receivers alone are dealt out
     assert moved(QUERIES["pending_tasks"](spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_ends_in_an_area_are_looked_up_once_each(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from fieldmesh.operators import links, measure, spatial
+
+    met, plain = [], spatial.points_in_polygon
+    monkeypatch.setattr(spatial, "points_in_polygon", lambda p, *a: met.append(p.count()) or plain(p, *a))
+    corner = lambda x, y: {"x": x, "y": y}
+    area = spark.createDataFrame([(1, [corner(0.0, 0.0), corner(10.0, 0.0), corner(10.0, 10.0), corner(0.0, 10.0), corner(0.0, 0.0)])], "poly_id int, ring array<struct<x:double,y:double>>")
+    towers = spark.createDataFrame([(i, 1.0 + i % 2 * 20, 1.0, 5.0) for i in range(40)] + [(None, 1.0, 1.0, 5.0), (99, None, 1.0, 5.0)], "tower_id long, x double, y double, height_m double")
+    # one on the boundary, one outside, one in the area and out of reach of all but itself
+    rx = spark.createDataFrame([(1, 10.0, 3.0), (2, 12.0, 3.0), (3, 1.0, 9.9), (4, 2.0, 2.0), (5, None, 2.0)], "rx_id long, x double, y double")
+    pairs = lambda df: sorted((r["rx_id"], r["tower_id"]) for r in df.select("rx_id", "tower_id").collect())
+    assert pairs(measure.linked_tests_in_area(towers, rx, area, 8.6)) == [(4, i) for i in range(0, 40, 2)]
+    assert met == [42, 5]
+    # the same from tests that are given, which share 6 places and one that is not known
+    met.clear()
+    t = links.link_join(towers.dropna(subset="tower_id"), rx, 30.0).select("rx_id", "tower_id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("tx_x").alias("x2"), F.col("tx_y").alias("y2"))
+    t = t.unionByName(t.limit(1).withColumns({"x1": F.lit(None).cast("double")}))
+    assert pairs(measure.tests_in_area(t, area)) == pairs(measure.linked_tests_in_area(towers, rx, area, 30.0))
+    assert met[0] <= 7 and t.count() > 100
