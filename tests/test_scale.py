@@ -179,3 +179,22 @@ def test_ends_in_an_area_are_looked_up_once_each(spark, monkeypatch):
     t = t.unionByName(t.limit(1).withColumns({"x1": F.lit(None).cast("double")}))
     assert pairs(measure.tests_in_area(t, area)) == pairs(measure.linked_tests_in_area(towers, rx, area, 30.0))
     assert met[0] <= 7 and t.count() > 100
+
+
+def test_maps_of_all_kinds_meet_their_places_once_and_unmoved(spark):
+    from fieldmesh.plans.queries import QUERIES
+
+    for name in ("fetch_map", "fetch_map_gps"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        # receivers are dealt out for the links, and once more (or reused) as pixels
+        assert moved(df) == 2 and "SortMergeJoin" not in plan_of(df)
+
+    own = "tower_id long, rx_id long, rx_height_m double, coverage_db double, blockage_dist_m double, terrain_dist_m double"
+    results = spark.createDataFrame([(1, 7, 1.5, 100.0, 9.0, 4.0), (1, 8, 1.5, None, 1.0, None), (2, 9, 1.5, 3.0, 1.0, 1.0)], own)
+    rx = spark.createDataFrame([(7, 1.0, 2.0), (8, 3.0, 4.0), (8, 5.0, 6.0)], "rx_id long, x double, y double")
+    towers = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 1.0)], "tower_id long, x double, y double")
+    got = maps.fetch_maps(results, rx, towers, ("coverage", "blockage_by_veg_dist"))
+    assert got.columns == ["tower_id", "rx_id", "rx_height_m", "value", "x", "y", "tx_x", "tx_y", "kind"]
+    rows = {(r["kind"], r["rx_id"], r["x"], r["value"]) for r in got.collect()}
+    assert rows == {("coverage", 7, 1.0, 100.0), ("coverage", 8, 3.0, None), ("coverage", 8, 5.0, None), ("blockage_by_veg_dist", 7, 1.0, 5.0), ("blockage_by_veg_dist", 8, 3.0, None), ("blockage_by_veg_dist", 8, 5.0, None)}
+    assert [r["value"] for r in maps.fetch_map(results, rx, towers, "coverage").orderBy("rx_id", "x").collect()] == [100.0, None, None]
