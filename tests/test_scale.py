@@ -198,3 +198,19 @@ def test_maps_of_all_kinds_meet_their_places_once_and_unmoved(spark):
     rows = {(r["kind"], r["rx_id"], r["x"], r["value"]) for r in got.collect()}
     assert rows == {("coverage", 7, 1.0, 100.0), ("coverage", 8, 3.0, None), ("coverage", 8, 5.0, None), ("blockage_by_veg_dist", 7, 1.0, 5.0), ("blockage_by_veg_dist", 8, 3.0, None), ("blockage_by_veg_dist", 8, 5.0, None)}
     assert [r["value"] for r in maps.fetch_map(results, rx, towers, "coverage").orderBy("rx_id", "x").collect()] == [100.0, None, None]
+
+
+def test_values_of_links_are_computed_once_for_a_site(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from fieldmesh.operators import links
+    from fieldmesh.plans.queries import QUERIES
+
+    met, plain = [], links.each_tower
+    monkeypatch.setattr(links, "each_tower", lambda p, m: met.append(p) or plain(p, m))
+    for name, value in (("blended_loss", "loss_db"), ("ehata_median", "median_db"), ("point_results", "dist_3d_m"), ("point_to_line", "off_m")):
+        met.clear()
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(met) == 1 and value in met[0].columns and "site" in met[0].columns
+        assert moved(df) == 1
+        assert met[0].groupBy("rx_id" if "rx_id" in met[0].columns else "gid", "site").count().filter(F.col("count") > 1).count() == 0
