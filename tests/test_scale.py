@@ -214,3 +214,29 @@ def test_values_of_links_are_computed_once_for_a_site(spark, monkeypatch):
         assert len(met) == 1 and value in met[0].columns and "site" in met[0].columns
         assert moved(df) == 1
         assert met[0].groupBy("rx_id" if "rx_id" in met[0].columns else "gid", "site").count().filter(F.col("count") > 1).count() == 0
+
+
+def test_links_are_written_site_by_site(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fieldmesh.operators import links, runs
+    from fieldmesh.plans.queries import QUERIES
+
+    towers = spark.range(400).select(F.col("id").alias("tower_id"), (F.col("id") % 20 * 10.0).alias("x"), F.lit(0.0).alias("y"))
+    rx = spark.range(300).select(F.col("id").alias("rx_id"), (F.col("id") * 7 % 200).cast("double").alias("x"), F.lit(1.0).alias("y"))
+    pairs, members = links.site_links(towers, rx, 50.0, most=500)
+    # 300 receivers and 20 sites are 6000 pairs
+    assert pairs.rdd.getNumPartitions() == 13
+    plain, ordered = links.each_tower(pairs.select("rx_id", "site"), members), links.each_tower(links.by_site(pairs.select("rx_id", "site")), members)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, ordered.collect()))
+    # of each task, the towers of a site are in one stretch
+    for task in ordered.rdd.map(lambda r: r["tower_id"] % 20).glom().collect():
+        assert sum(a != b for a, b in zip(task, task[1:], strict=False)) == max(len(set(task)) - 1, 0)
+    for name in ("pending_tasks", "blended_loss", "vegetation_loss", "ehata_median", "point_to_line", "fetch_map", "fetch_map_gps"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert "Sort [" in plan_of(df), name
+    todo = runs.pending(ordered, F.col("rx_id") % 3 == 0)
+    todo.write.parquet(f"{tmp_path}/a")
+    runs.pending(plain, F.col("rx_id") % 3 == 0).write.parquet(f"{tmp_path}/b")
+    size = lambda k: sum(p.stat().st_size for p in (tmp_path / k).glob("*.parquet"))
+    assert size("a") < size("b")
