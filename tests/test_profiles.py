@@ -137,3 +137,16 @@ def test_sea_under_a_level(spark):
     assert got == {1: (pytest.approx(50.0), "A"), 2: (0.0, None), 3: (pytest.approx(50.0), "C"), 4: (None, "C")}
     low = df.withColumn("profile", F.transform("profile", lambda z: F.when(z < 20, 0.0).otherwise(z)))
     assert sorted(map(str, terrain.sea_share(low).drop("profile").collect())) == sorted(map(str, terrain.sea_share(df, 20.0).drop("profile").collect()))
+
+
+def test_curves_are_looked_up(spark):
+    from fieldmesh.functions import radio
+
+    xs, ys = [-20, -15, -10, -5, 0], [-18, -12.5, -8, -3.5, 1]
+    rows = [-30.0, -20.0, -17.3, -15.0, -5.0, -0.1, 0.0, 3.0, None, float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i long, v double")
+    got = [r["c"] for r in df.select("i", radio.curve(xs, ys, F.col("v")).alias("c")).orderBy("i").collect()]
+    assert got == [-18.0, -18.0, (-17.3 + 20) / 5 * 5.5 - 18, -12.5, -3.5, (-0.1 + 5) / 5 * 4.5 - 3.5, 1.0, 1.0, 1.0, 1.0]
+    p = spark.createDataFrame([(1, 20_000.0, [1.0, 5.0, 9.0, 60.0])], "id long, dist_m double, profile array<double>")
+    # a leg of a curve in the plan would be a comparison with its end
+    assert terrain.general_slope(p)._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") < 20
